@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, simhash, toxicity
+from . import bpe, fingerprint, licenses, mixing, packing, simhash, toxicity, transport, url_filter, warc
 from .common import documents, materialise
 
 
+#: The rules of the URL query: host, path and verdict.
+URL_RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -22,6 +45,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(dealt.doc.alias("doc_id"), "source", "tokens", "epoch", "weight", "budget", "before", "block")
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.parse_records(warc.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    found = warc.resolve_revisits(records.drop("body"))
+    number = F.regexp_extract("record_id", r"(\d+)$", 1).cast("long")
+    source = F.regexp_extract("source_id", r"(\d+)$", 1).cast("long")
+    return found.select(number.alias("page_id"), "canonical", "ts", "verdict", "validator", source.alias("source_page_id"), "headers")
+
+
+def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.media_digests(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -30,7 +65,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_level_bpe, op5_token_binary, op6_mixing, op9_simhash, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_byte_level_bpe,
+        op3_url_filter,
+        op4_fingerprint,
+        op5_token_binary,
+        op6_mixing,
+        op7_warc_revisits,
+        op8_transport_stream,
+        op9_simhash,
+        op10_toxicity,
+    )
+}
 
 #: SQL for those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, crc32, id_text, map_slices
-from .words import Cache
+from .words import Cache, flat_words
 
 #: Bounds of the training sample, for each class and for each document of it.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 32
@@ -37,24 +37,16 @@ BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 2, 256, 0.3, 7
 #: Documents of the sample that an n-gram must occur in.
 LEAST_DOCS = 3
-NOT_WORD = r"[^\pL\pN]+"
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Where each text's words start in one flat list, the list as numbers, and the words by number. A word
-    that is repeated at once counts once: long runs of one word say no more than the word."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(texts), NOT_WORD)
-    offsets = parts.offsets.to_numpy().astype(np.int64)
-    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets -= offsets[0]
-    words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    keep = np.fromiter(map(bool, words), bool, len(words))[place] if words else np.empty(0, bool)
+    """As ``flat_words``, but a word that is repeated at once counts once: long runs say no more than the word."""
+    starts, place, words = flat_words(texts)
     again = np.zeros(len(place), bool)
     again[1:] = place[1:] == place[:-1]
-    again[offsets[:-1][offsets[:-1] < len(place)]] = False
-    keep = keep & ~again
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return before[offsets], place[keep], words
+    again[starts[:-1][starts[:-1] < len(place)]] = False
+    before = np.concatenate([[0], np.cumsum(~again)])
+    return before[starts], place[~again], words
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

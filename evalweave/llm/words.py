@@ -17,6 +17,22 @@ import pyarrow.compute as pc
 CACHE_ENTRIES, KEPT_LENGTH = 300_000, 64
 
 
+#: What stands between words that are letters and digits only, in Arrow's regular expressions.
+NOT_WORD = r"[^\pL\pN]+"
+
+
+def flat_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Where each text's lower-case words start in one flat list, the list as numbers, and the words by number."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), NOT_WORD)
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets -= offsets[0]
+    words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    keep = np.fromiter(map(bool, words), bool, len(words))[place] if words else np.empty(0, bool)
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return before[offsets], place[keep], words
+
+
 class Cache:
     """A mapping of bounded size: a full young generation becomes the old one, and what is asked for again
     moves back to the young."""
