@@ -35,6 +35,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 32
 WINDOW, STRIDE = 16, 8
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 2, 256, 0.3, 7
+#: What training works on at a time; bounds memory, not results.
+DOCS_AT_ONCE, WORDS_AT_ONCE = 100, 20_000
 #: Documents of the sample that an n-gram must occur in.
 LEAST_DOCS = 3
 
@@ -75,6 +77,17 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((hashed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % BUCKETS, np.concatenate(owners)
 
 
+def sorted_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words' n-grams, word by word, and how many each word has."""
+    buckets, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        some = words[at : at + WORDS_AT_ONCE]
+        bucket, owner = word_grams(some)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
 def window_bounds(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first, end) of the windows: WINDOW words every STRIDE, a last one at the end of the text, and
     one empty window for a text without words."""
@@ -94,10 +107,12 @@ class Model:
     bias: float
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.empty(0)
-        bucket, word = word_grams(words)
-        return np.bincount(word, self.bucket[bucket], len(words)) / np.bincount(word, minlength=len(words))
+        out = [np.empty(0)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            bucket, word = word_grams(some)
+            out.append(np.bincount(word, self.bucket[bucket], len(some)) / np.bincount(word, minlength=len(some)))
+        return np.concatenate(out)
 
     def text_logits(self, texts: pa.Array, cache: Cache) -> np.ndarray:
         starts, place, words = split_words(texts)
@@ -119,13 +134,10 @@ def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 60.0 if share else -60.0)
     rng = np.random.default_rng(SEED)
     starts, place, words = split_words(pa.array(windows, pa.string()))
-    bucket, owner = word_grams(words)
-    order = np.argsort(owner, kind="stable")
-    bucket, sizes = bucket[order], np.bincount(owner, minlength=len(words))
+    bucket, sizes = sorted_grams(words)
     first = np.cumsum(sizes) - sizes
     # n-grams of fewer documents say nothing about others; what training doesn't touch stays zero
-    spread = np.unique(bucket_documents(place, starts, doc, bucket, sizes, first))
-    common = np.bincount(spread % BUCKETS, minlength=BUCKETS) >= LEAST_DOCS
+    common = bucket_documents(place, starts, doc, bucket, sizes, first) >= LEAST_DOCS
     vectors = np.zeros((BUCKETS, WIDTH), np.float32)
     weights, bias = rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     square, square_w, square_b = np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -196,12 +208,15 @@ def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
 
 
 def bucket_documents(place: np.ndarray, starts: np.ndarray, doc: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """document * BUCKETS + bucket for each n-gram of each distinct word of each document."""
-    pairs = np.unique(np.repeat(doc, np.diff(starts)).astype(np.int64) * len(sizes) + place)
-    owner, word = np.divmod(pairs, len(sizes))
-    m = sizes[word]
-    grams = bucket[np.repeat(first[word] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-    return np.repeat(owner, m) * BUCKETS + grams
+    """In how many documents each bucket occurs, counted for some documents at a time."""
+    pairs = np.unique(np.repeat(doc, np.diff(starts)).astype(np.int64) * max(1, len(sizes)) + place)
+    owner, word = np.divmod(pairs, max(1, len(sizes)))
+    counts = np.zeros(BUCKETS, np.int64)
+    for some in np.split(np.arange(len(owner)), np.searchsorted(owner, np.arange(DOCS_AT_ONCE, (owner[-1] if len(owner) else 0) + 1, DOCS_AT_ONCE))):
+        m = sizes[word[some]]
+        grams = bucket[np.repeat(first[word[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        counts += np.bincount(np.unique(np.repeat(owner[some], m) * BUCKETS + grams) % BUCKETS, minlength=BUCKETS)
+    return counts
 
 
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
