@@ -6,7 +6,8 @@ shares a kept hash. An inverted index from kept hashes to places in templates tu
 (template, diagonal) candidates. Each is aligned in a band around its diagonals; what part of the template's
 words match, and where the first and last of them stand in the text, is reported.
 
-Of detections that overlap in a text, the one with the larger coverage stands (of equal ones the longer).
+Of detections that overlap in a text, the one with more matched words stands (of equal ones the one with the
+larger coverage).
 
 Templates are a small table that every task holds. Defined cases: a null or empty text has no detection;
 repeated rows are reported each; an empty table gives an empty one; other columns are ignored.
@@ -185,7 +186,7 @@ def detections(text: str, index: Index, hits: list[tuple[int, int]]) -> list[tup
 def standing(found: list[tuple[float, int, int, int, str]]) -> list[tuple[str, float, int, int, int]]:
     """Detections without those that overlap a better one."""
     kept: list[tuple] = []
-    for coverage, matched, start, end, name in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
+    for coverage, matched, start, end, name in sorted(found, key=lambda x: (-x[1], -x[0], x[2], x[4])):
         if all(end <= a or b <= start for _, _, _, a, b in kept):
             kept.append((name, coverage, matched, start, end))
     return sorted(kept, key=lambda x: x[3])
