@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import batch_of, id_text, map_slices
-from .words import Cache, WordEncoder
+from .words import Cache, WordEncoder, id_bytes
 
 #: Pairs that a worker remembers before it starts afresh; this bounds memory, not results.
 PAIR_ENTRIES = 500_000
@@ -238,7 +238,7 @@ class TextEncoder(WordEncoder):
         return [b"".join(map(ids.__getitem__, parts)) for parts in split]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.encoder.encode_pieces([p.encode() for p in pieces])]
+        return id_bytes(self.encoder.encode_pieces([p.encode() for p in pieces]))
 
 
 @cache

@@ -8,7 +8,7 @@ One file holds the documents of one range of doc_id in ascending order. Its part
 - blocks x uint64: byte offset of each block in the payload
 - payload: blocks of packed ids; an id's lowest bit comes first, and each block starts at a byte
 
-An id takes the fewest bits that hold the vocabulary. Ids are packed and unpacked 64 lanes at a time with
+An id takes the fewest bits that hold the vocabulary. Ids are packed and unpacked lane by lane with
 numpy; any range of ids can be read from its own blocks only.
 
 Files are written by the tasks under a name that only depends on their range, first under a temporary
@@ -21,6 +21,8 @@ reads back as an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import math
 import os
 import struct
 import uuid
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint_dir, id_text, slices
 from .ordered import BUCKET, add_bucket, bucket_starts, shuffle_width
-from .words import WordEncoder
+from .words import WordEncoder, id_bytes
 
 MAGIC, HEADER, BLOCK_IDS = b"EWBITS01", struct.Struct("<8s5Q"), 4096
 NULL_ID = np.iinfo(np.int64).min
@@ -47,24 +49,29 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids at ``bits`` bits each. 64 ids fill ``bits`` whole words; each lane is placed for all groups at once."""
-    groups = -(-len(ids) // 64)
-    lanes = np.zeros((groups, 64), np.uint64)
+    """Ids at ``bits`` bits each. The fewest ids that fill whole words make a group, and each lane of a group
+    is placed for all groups at once."""
+    common = math.gcd(bits, 64)
+    lanes_of, words_of = 64 // common, bits // common
+    groups = -(-len(ids) // lanes_of)
+    lanes = np.zeros((groups, lanes_of), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
-    words = np.zeros((groups, bits), np.uint64)
-    for lane in range(64):
+    words = np.zeros((groups, words_of), np.uint64)
+    for lane in range(lanes_of):
         word, shift = divmod(lane * bits, 64)
         words[:, word] |= lanes[:, lane] << np.uint64(shift)
         if shift + bits > 64:
             words[:, word + 1] |= lanes[:, lane] >> np.uint64(64 - shift)
-    return words.astype("<u8").tobytes()[: -(-len(ids) * bits // 8)]
+    return words.astype("<u8", copy=False).tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    groups = -(-n // 64)
-    words = np.frombuffer(data.ljust(groups * bits * 8, b"\0"), "<u8")[: groups * bits].reshape(groups, bits)
-    lanes, mask = np.empty((groups, 64), np.uint32), np.uint64((1 << bits) - 1)
-    for lane in range(64):
+    common = math.gcd(bits, 64)
+    lanes_of, words_of = 64 // common, bits // common
+    groups = -(-n // lanes_of)
+    words = np.frombuffer(data.ljust(groups * words_of * 8, b"\0"), "<u8")[: groups * words_of].reshape(groups, words_of)
+    lanes, mask = np.empty((groups, lanes_of), np.uint32), np.uint64((1 << bits) - 1)
+    for lane in range(lanes_of):
         word, shift = divmod(lane * bits, 64)
         value = words[:, word] >> np.uint64(shift)
         if shift + bits > 64:
@@ -95,7 +102,7 @@ class PackedFile:
         self._data, self._payload = data, at + 16 * docs + 8 * blocks
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """ids[start:stop], read from the blocks that hold them; whole blocks are contiguous in lanes of 64."""
+        """ids[start:stop], read from the blocks that hold them; whole blocks are unpacked."""
         if start >= stop:
             return np.empty(0, np.uint32)
         first, last = start // self.block_ids, (stop - 1) // self.block_ids
@@ -107,6 +114,10 @@ class PackedFile:
 
 
 
+#: What stands between words that are encoded together, and how many are.
+TAB, JOINED = "\t", 256
+
+
 class WordTokenizer(WordEncoder):
     """A byte-level file of the ``tokenizers`` library over whole texts."""
 
@@ -116,15 +127,39 @@ class WordTokenizer(WordEncoder):
         super().__init__(self._encode_words, 600_000)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        (self._tab,) = self.tokenizer.encode(TAB, add_special_tokens=False).ids
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Words with a space before them share long strings, with a tabulator between each two: white space
+        that the library's splitter makes a piece of its own there. What holds white space elsewhere, or the
+        text of a special token, is encoded by itself."""
+        alone = [not w.startswith(" ") or w[1:].split() != [w[1:]] or "<|" in w for w in words]
+        out = [b""] * len(words)
+        joined = [i for i, x in enumerate(alone) if not x]
+        groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for group, found in zip(groups, self._ids([TAB.join(words[i] for i in group) for group in groups]), strict=True):
+            ids = np.array(found, "<u4")
+            ends = np.append(np.flatnonzero(ids == self._tab), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for i, end in zip(group, ends, strict=True):
+                out[i] = data[4 * at : 4 * end]
+                at = end + 1
+        single = [i for i, x in enumerate(alone) if x]
+        for i, value in zip(single, id_bytes(self._ids([words[i] for i in single])), strict=True):
+            out[i] = value
+        return out
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @cache
 def _tokenizer(path: str) -> WordTokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    made = WordTokenizer(path)
+    gc.collect()
+    gc.freeze()
+    return made
 
 
 def write_packed(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ encoded once, and their ids are gathered for all places at once with numpy.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ class Cache:
         if len(self.young) >= self.entries:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, keys))
-        gaps = _gaps(found)
+        if not (gaps := _gaps(found)):
+            return found
         older = list(map(self.old.get, map(keys.__getitem__, gaps)))
         for i, value in zip(gaps, older, strict=True):
             if value is not None:
@@ -70,6 +72,13 @@ def _gaps(values: list) -> list[int]:
         return out
 
 
+def id_bytes(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit integers."""
+    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = list(accumulate((4 * len(x) for x in ids), initial=0))
+    return [flat[a:b] for a, b in pairwise(ends)]
+
+
 def joined_words(parts: list[str]) -> list[str]:
     """Parts of a text cut at its spaces, joined again where no character other than white space follows."""
     out = [parts[0]]
