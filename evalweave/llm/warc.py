@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .ordered import BUCKET, add_bucket, shuffle_width
 
 #: The header fields that a 304 answer carries for the stored response.
@@ -96,7 +97,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     # records without a URL or time are kept apart: each is a key of its own
     odd = F.col("canonical").isNull() | F.col("ts").isNull()
     key = F.when(odd, F.concat(F.lit(" "), F.coalesce("record_id", F.lit("")))).otherwise(F.col("canonical"))
-    rows = add_bucket(rows.withColumn("key", key).withColumn("full", F.when(~odd, full)), "ts", shuffle_width(records))
+    # what follows reads the records several times: they are parsed once
+    rows = materialise(rows.select("record_id", "type", "canonical", "ts", "digest", "headers", key.alias("key"), F.when(~odd, full).alias("full")))
+    rows = add_bucket(rows, "ts", shuffle_width(records))
     earlier = Window.partitionBy("key", BUCKET).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max("full").over(earlier)).where("type = 'revisit'")
     ranges = rows.where("full is not null").groupBy("key", BUCKET).agg(F.max("full").alias("last"))
