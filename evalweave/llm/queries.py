@@ -81,5 +81,49 @@ QUERIES = {
     )
 }
 
+URL_PARTS = r"""u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages)"""
+
+
+def _rule_sql(rule: url_filter.Rule) -> str:
+    return f"WHEN (host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}') THEN"
+
+
+def _url_sql() -> str:
+    """The rules from the longest on: the first that fits decides."""
+    longest = sorted(URL_RULES, key=lambda r: -len(r.name))
+    names = " ".join(f"{_rule_sql(r)} '{r.name}'" for r in longest)
+    verdicts = " ".join(f"{_rule_sql(r)} '{r.verdict}'" for r in longest)
+    return f"WITH {URL_PARTS} SELECT page_id, host, path, CASE {names} END AS rule, CASE {verdicts} ELSE 'allow' END AS verdict FROM u"
+
+
+#: The captures that ``warc.page_captures`` writes, and the latest earlier response of each revisit.
+WARC_SQL = r"""
+WITH c AS (
+  SELECT page_id AS i, html, md5(coalesce(html, '')) AS digest, 1704067200 + page_id * 60 AS t, 1704067200 + page_id * 60 + 43200 + (page_id % 7) * 600 AS again,
+         regexp_replace(coalesce(url, ''), '#.*$', '', 's') AS bare FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '://([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+  regexp_extract(bare, '://[^/?]*([^?]*)', 1) AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|ref=)'))), '&') AS query FROM c),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical FROM h),
+s AS (SELECT r.i, max(f.i) AS source FROM k r LEFT JOIN k f ON f.canonical = r.canonical AND f.t < r.again GROUP BY 1),
+j AS (SELECT r.i AS page_id, r.canonical, r.again AS ts, s.source, f.t AS ft, f.html AS fhtml, f.digest AS fdigest, r.digest AS rdigest, r.t AS rt,
+  '"' || substr(f.digest, 1, 16) || '"' AS ftag,
+  CASE WHEN r.i % 3 <> 0 THEN CASE WHEN r.i % 13 = 0 THEN '"other"' ELSE '"' || substr(r.digest, 1, 16) || '"' END END AS rtag,
+  CASE WHEN r.i % 3 = 0 AND r.i % 11 > 5 THEN r.t - 86400 END AS rmod, f.t - 86400 AS fmod,
+  CASE WHEN r.i % 11 = 5 THEN r.digest END AS rsent
+  FROM k r JOIN s ON s.i = r.i LEFT JOIN k f ON f.i = s.source),
+v AS (SELECT *, CASE WHEN source IS NULL THEN NULL WHEN rtag IS NOT NULL THEN 'etag' WHEN rmod IS NOT NULL THEN 'last-modified' WHEN rsent IS NOT NULL THEN 'digest' END AS validator,
+  CASE WHEN source IS NULL THEN 'missing' WHEN rtag IS NOT NULL THEN CASE WHEN rtag = ftag THEN 'resolved' ELSE 'mismatch' END
+    WHEN rmod IS NOT NULL THEN CASE WHEN rmod = fmod THEN 'resolved' ELSE 'mismatch' END
+    WHEN rsent IS NOT NULL THEN CASE WHEN 'md5:' || rsent = 'md5:' || fdigest THEN 'resolved' ELSE 'mismatch' END ELSE 'unvalidated' END AS verdict FROM j)
+SELECT page_id, canonical, ts, verdict, validator, source AS source_page_id,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(octet_length(encode(coalesce(fhtml, ''))) AS VARCHAR) || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10)
+    || 'date: ' || strftime(make_timestamp(ts * 1000000), '%a, %d %b %Y %H:%M:%S GMT') || chr(10)
+    || 'etag: ' || CASE WHEN rtag IS NOT NULL THEN rtag ELSE CASE WHEN source % 5 = 0 THEN 'W/' ELSE '' END || ftag END || chr(10)
+    || 'expires: ' || strftime(make_timestamp((ts + 600) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') || chr(10)
+    || 'last-modified: ' || strftime(make_timestamp(fmod * 1000000), '%a, %d %b %Y %H:%M:%S GMT') END AS headers
+FROM v"""
+
 #: SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": _url_sql(), "op7_warc_revisits": WARC_SQL}
