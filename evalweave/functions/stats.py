@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -86,13 +87,13 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return (term(p) + term(q)) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_1df_sf(x: pd.Series) -> pd.Series:
     """Upper tail of chi-squared with one degree of freedom."""
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(math.sqrt(v / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
@@ -110,7 +111,7 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of the table ((a, b), (c, d)); equal tables are worked out once a batch."""
     known: dict[tuple, float] = {}

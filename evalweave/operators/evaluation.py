@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .ordered import running_totals
+from .ordered import running_totals, with_totals
 
 
 def count_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred", weight: str | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def rank_metrics(df: DataFrame, keys: list[str], y: str = "y", score: str = "sco
     """
     before = running_totals(by_score(df, keys, y, score, weight), keys, "score", ["pos", "neg"])
     totals = before.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    rows = before.join(totals, keys)
+    rows = with_totals(before, totals, keys)
     above_pos, above_neg = F.col("P") - F.col("before_pos"), F.col("N") - F.col("before_neg")  # at this score or above
     wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     precision = F.sum(F.when(F.col("pos") > 0, F.col("pos") * above_pos.cast("double") / (above_pos + above_neg)).otherwise(0.0))
@@ -43,7 +43,7 @@ def curve_points(df: DataFrame, keys: list[str], y: str = "y", score: str = "sco
     """(keys, score, tp, fp, fn, tn) when every score from this one on is called positive."""
     before = running_totals(by_score(df, keys, y, score), keys, "score", ["pos", "neg"])
     totals = before.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    rows = before.join(totals, keys)
+    rows = with_totals(before, totals, keys)
     return rows.select(*keys, "score", (F.col("P") - F.col("before_pos")).alias("tp"), (F.col("N") - F.col("before_neg")).alias("fp"), F.col("before_pos").alias("fn"), F.col("before_neg").alias("tn"))
 
 

@@ -30,3 +30,8 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
     own = marked.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__inside_{v}") for v in values))
     joined = own.join(totals, [*keys, "__range"])
     return joined.select(*df.columns, *((F.col(f"__ahead_{v}") + F.col(f"__inside_{v}")).alias(f"before_{v}") for v in values))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the totals of their keys; without keys the totals are one row."""
+    return rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))

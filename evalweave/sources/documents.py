@@ -91,6 +91,11 @@ def _office_rows(name: str, content: bytes) -> list[tuple[str, int, list[str]]]:
 
 def scan_office_tables(spark: SparkSession, path: str) -> DataFrame:
     """(file, table, row, cells) of workbooks and documents; each file is small enough for one task."""
+    return office_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def office_rows(files: DataFrame) -> DataFrame:
+    """The same of a table (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +103,7 @@ def scan_office_tables(spark: SparkSession, path: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["file", "table", "row", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, table string, row int, cells array<string>")
+    return files.mapInArrow(run, "file string, table string, row int, cells array<string>")
 
 
 def scan_bits(spark: SparkSession, path: str, bytes_per_feature: int, samples: int) -> DataFrame:
