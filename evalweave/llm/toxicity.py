@@ -1,7 +1,7 @@
 """Toxicity by subword bags: embeddings of character n-grams, averaged into a linear softmax.
 
-A word is the mean of the vectors of its n-grams (with its ends marked) and of the word itself, a window of
-words is the mean of its words, and a softmax over two classes judges the window. All vectors and weights
+A word is the mean of the vectors of its n-grams (with its ends marked) and of the word itself, a window is the mean
+of its words (a short text is filled up with empty ones), and a softmax over two classes judges the window. All vectors and weights
 are trained jointly in numpy. A misspelt word shares most of its n-grams with the known one.
 
 A document's score is that of its most toxic window, as a few words decide about long documents. Labels are
@@ -34,11 +34,13 @@ from .words import Cache, flat_words
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 32
 WINDOW, STRIDE = 16, 8
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE, SEED = 2, 256, 0.3, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 2, 120, 256, 0.3, 7
 #: What training works on at a time; bounds memory, not results.
 DOCS_AT_ONCE, WORDS_AT_ONCE = 100, 20_000
+#: Part of the n-grams that each step of training leaves out, so that none of a word's n-grams is indispensable.
+DROPPED = 0.4
 #: Documents of the sample that an n-gram must occur in.
-LEAST_DOCS = 3
+LEAST_DOCS = 4
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -119,7 +121,7 @@ class Model:
         known = cache.recall(words, lambda fresh: self.word_scores(fresh).tolist())
         total = np.concatenate([[0.0], np.cumsum(np.array(known, float)[place] if len(place) else [])])
         text, first, end = window_bounds(starts)
-        logits = (total[end] - total[first]) / np.maximum(1, end - first) + self.bias
+        logits = (total[end] - total[first]) / WINDOW + self.bias
         return np.maximum.reduceat(logits, np.searchsorted(text, np.arange(len(starts) - 1))) if len(text) else logits
 
 
@@ -149,7 +151,10 @@ def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
         w, row = place[at], np.repeat(np.arange(len(rows)), n)
         m = sizes[w]
         grams = bucket[np.repeat(first[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-        return grams, np.repeat(row, m), np.repeat(1 / (m * n[row]), m).astype(np.float32)
+        rows_of, word = np.repeat(row, m), np.repeat(np.arange(len(w)), m)
+        kept = rng.random(len(grams)) >= DROPPED
+        m = np.bincount(word[kept], minlength=len(w))
+        return grams[kept], rows_of[kept], (1 / (m[word[kept]] * WINDOW)).astype(np.float32)
 
     def mean_vectors(grams: np.ndarray, row: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, WIDTH), np.float32)
@@ -158,8 +163,9 @@ def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
             out[row[heads]] = np.add.reduceat(vectors[grams] * share[:, None], heads)
         return out
 
-    def fit(rows: np.ndarray, target: np.ndarray, epochs: int) -> None:
+    def fit(rows: np.ndarray, target: np.ndarray) -> None:
         nonlocal bias
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(rows))))
         # both classes weigh the same
         weigh = np.where(target == 1, 0.5 / max(1e-9, target.mean()), 0.5 / max(1e-9, 1 - target.mean())).astype(np.float32)
         for _ in range(epochs):
@@ -191,16 +197,16 @@ def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
     def scores() -> np.ndarray:
         found = model()
         total = np.concatenate([[0.0], np.cumsum(found.word_scores(words)[place])])
-        return (total[starts[1:]] - total[starts[:-1]]) / np.maximum(1, np.diff(starts)) + found.bias
+        return (total[starts[1:]] - total[starts[:-1]]) / WINDOW + found.bias
 
     everything, target = np.arange(len(windows)), label[doc]
-    fit(everything, target, EPOCHS)
+    fit(everything, target)
     for _ in range(2):
         now = scores()
         top = np.full(len(label), -np.inf)
         np.maximum.at(top, doc, now)
         picked = (target == 0) | (now >= 0.5 * top[doc]) & (now > 0) | (now == top[doc])
-        fit(everything[picked], target[picked], EPOCHS)
+        fit(everything[picked], target[picked])
     now, top = scores(), np.full(len(label), -np.inf)
     np.maximum.at(top, doc, now)
     seen = np.isfinite(top)
