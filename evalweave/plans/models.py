@@ -332,3 +332,48 @@ def scratch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "table")
     table(spark, sf_dir, "supplier").write.parquet(path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long features of orders in wide form: presence of five brands, for the label of the order."""
+    names = [f"Brand#{k}" for k in range(1, 6)]
+    wide = calls(spark, sf_dir).where(F.col("feature").isin(names)).withColumn("one", F.lit(1.0)).groupBy("sample").pivot("feature", names).agg(F.max("one")).fillna(0.0)
+    return cohort(spark, sf_dir).join(wide, "sample").select("sample", "y", *(F.col(f"`{n}`").alias(f"b{i}") for i, n in enumerate(names, 1)))
+
+
+BRANDS = [f"b{i}" for i in range(1, 6)]
+
+
+def _fitted_scores(spark: SparkSession, sf_dir: str, classifier) -> DataFrame:
+    """Mean probability of the positive class by label, from a model fitted on even samples."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=BRANDS, outputCol="features").transform(_features(spark, sf_dir))
+    model = classifier.fit(rows.where("sample % 2 = 0"))
+    p = vector_to_array("probability")[1]
+    return model.transform(rows.where("sample % 2 = 1")).groupBy("y").agg(F.count("*").alias("n"), F.avg(p).alias("mean_probability"))
+
+
+@query("M08_tree_ensembles")
+def tree_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    models = {"forest": RandomForestClassifier(labelCol="y", numTrees=10, seed=7), "boosting": GBTClassifier(labelCol="y", maxIter=4, stepSize=0.05, seed=7)}
+    parts = [_fitted_scores(spark, sf_dir, m).withColumn("model", F.lit(name)) for name, m in models.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("M09_multilayer_perceptron")
+def multilayer_perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    return _fitted_scores(spark, sf_dir, MultilayerPerceptronClassifier(labelCol="y", layers=[5, 8, 2], maxIter=30, seed=7))
+
+
+@query("M11_linear_attribution", f"WITH {CALLS}, x AS (SELECT c.sample, MAX(CASE WHEN feature = 'Brand#1' THEN 1 ELSE 0 END) AS b1, MAX(CASE WHEN feature = 'Brand#2' THEN 1 ELSE 0 END) AS b2 FROM calls c JOIN cohort USING (sample) WHERE feature IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1), m AS (SELECT AVG(CAST(b1 AS DOUBLE)) AS m1, AVG(CAST(b2 AS DOUBLE)) AS m2 FROM x) SELECT round(AVG(abs(CAST(0.7 AS DOUBLE) * (b1 - m1))), 9) AS b1, round(AVG(abs(CAST(-0.3 AS DOUBLE) * (b2 - m2))), 9) AS b2 FROM x, m")
+def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute share of each feature in a linear score: coefficient times distance from the mean."""
+    rows, coefficients = _features(spark, sf_dir), {"b1": 0.7, "b2": -0.3}
+    means = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in coefficients))
+    return rows.crossJoin(F.broadcast(means)).agg(*(F.round(F.avg(F.abs(F.lit(w) * (F.col(c) - F.col(f"m_{c}")))), 9).alias(c) for c, w in coefficients.items()))  # one row
