@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import batch_of, id_text, map_slices
-from .words import Cache, WordEncoder, id_bytes
+from .words import CACHE_ENTRIES, Cache, WordEncoder, id_bytes
 
 #: Pairs that a worker remembers before it starts afresh; this bounds memory, not results.
 PAIR_ENTRIES = 500_000
@@ -226,10 +226,10 @@ class EditableEncoding:
 class TextEncoder(WordEncoder):
     """Whole texts: words are looked up, and all new pieces of a batch share one pass of the encoder."""
 
-    def __init__(self, encoder: PrefixBPE, pattern: str):
-        super().__init__(self._encode_words)
+    def __init__(self, encoder: PrefixBPE, pattern: str, entries: int = CACHE_ENTRIES):
+        super().__init__(self._encode_words, entries)
         self.encoder, self.split = encoder, regex.compile(pattern)
-        self._pieces = Cache()
+        self._pieces = Cache(entries)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         split = list(map(self.split.findall, words))
@@ -242,9 +242,9 @@ class TextEncoder(WordEncoder):
 
 
 @cache
-def _encoder(path: str, pattern: str) -> TextEncoder:
+def _encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> TextEncoder:
     """One for each worker process; it outlives the task."""
-    encoder = TextEncoder(PrefixBPE(load_ranks(path)), pattern)
+    encoder = TextEncoder(PrefixBPE(load_ranks(path)), pattern, entries)
     gc.collect()
     gc.freeze()  # the vocabulary stays: no need to look through it again and again
     return encoder
@@ -281,14 +281,15 @@ def _decoder(path: str) -> PrefixBPE:
     return PrefixBPE(load_ranks(path))
 
 
-def encoding_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoding_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids again, and digest both.
 
-    Both steps run in one task on the same ids, so neither ids nor bytes pass through the JVM.
+    Both steps run in one task on the same ids, so neither ids nor bytes pass through the JVM. ``entries``
+    bounds each generation of a worker's caches; it sets memory and time, not results.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, entries)
         decimal = _decimals(len(encoder.encoder.token_bytes)).__getitem__
         n, ids_sha, decoded_sha = [], [], []
         for array in encoder.encode_batch(batch.column("text")):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, crc32, id_text, map_slices
-from .words import Cache, flat_words
+from .words import CACHE_ENTRIES, Cache, flat_words
 
 #: Bounds of the training sample, for each class and for each document of it.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 32
@@ -293,14 +293,14 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     return found.select("doc_id", (crc32("doc_id") % folds == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, entries: int = CACHE_ENTRIES) -> DataFrame:
     """The rows whose own text isn't judged toxic, with all their columns."""
     model = df.sparkSession.sparkContext.broadcast(fit_model(df, labels))
     caches: dict[int, Cache] = {}
 
     def run(batches):
         for batch in batches:
-            logits = model.value.text_logits(pc.fill_null(batch.column("text"), ""), caches.setdefault(0, Cache()))
+            logits = model.value.text_logits(pc.fill_null(batch.column("text"), ""), caches.setdefault(0, Cache(entries)))
             yield batch.filter(pa.array(sigmoid(logits) < 0.5))
 
     return df.mapInArrow(run, df.schema)
