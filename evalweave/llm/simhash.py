@@ -17,6 +17,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -118,11 +120,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``df`` whose document is its class's least id, one row for each id (the least text of rows
-    that repeat it). Rows without an id can't be named and stay as they are."""
+    that repeat it). Rows without an id can't be named and stay as they are. ``classes`` gives doc_id and
+    component_id."""
     named = F.col(f"`{id_col}`")
-    kept = near_duplicates(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = classes(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     order = Window.partitionBy("__kept").orderBy(F.col(f"`{text_col}`").asc_nulls_last())
     rows = df.join(kept, named == F.col("__kept")).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
     return rows.drop("__kept", "__rank").unionByName(df.where(named.isNull()))
