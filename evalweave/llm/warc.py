@@ -1,8 +1,8 @@
 """WARC records and the resolution of not-modified revisits.
 
 A revisit record of a 304 answer has no body: it stands for the body of an earlier full response. It is
-resolved by an as-of join on the canonical URL: the latest full response that is strictly earlier (of equal
-times the larger record id). Then validators are checked, the first that both sides have: entity tags (weakly:
+resolved by an as-of join on the canonical URL: the latest full response (status 200, no Content-Range) that is
+strictly earlier (of equal times the larger record id). Then validators are checked, the first that both sides have: entity tags (weakly:
 without ``W/``), the modification date, the payload digest. If it agrees, the revisit is ``resolved`` and the
 stored headers are updated with those that a 304 answer may change; a disagreement is a ``mismatch``, no common
 validator ``unvalidated``, no earlier response ``missing``.
@@ -17,10 +17,18 @@ headers that repeat a name the first counts; an empty table gives an empty one;
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
+from collections.abc import Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batch_of, materialise
 from .ordered import BUCKET, add_bucket, shuffle_width
 
 #: The header fields that a 304 answer carries for the stored response.
@@ -28,6 +36,9 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 #: Query parameters that don't change what a URL names.
 TRACKING = r"^(utm_|ref=)"
 VERSION, BREAK = "WARC/1.0\r\n", "\r\n"
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: Bytes that are buffered of a file.
+PIECE = 1 << 20
 
 
 def canonical_url(url: Column) -> Column:
@@ -69,13 +80,48 @@ def parse_records(df: DataFrame, record: str = "warc") -> DataFrame:
     return found
 
 
+def cut_records(stream: BinaryIO) -> Iterator[bytes]:
+    """The records of an uncompressed WARC stream, each as long as its Content-Length says. Where that is
+    missing or no record's end follows, a record goes on to the next version line."""
+    line = stream.readline()
+    while line:
+        if not VERSION_LINE.match(line):
+            line = stream.readline()
+            continue
+        record, length = [line], 0
+        while line := stream.readline():
+            record.append(line)
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                length = int(value)
+            if line == b"\r\n":
+                break
+        record.append(stream.read(length))
+        rest, line = [], stream.readline()
+        while line and not VERSION_LINE.match(line):
+            rest.append(line)
+            line = stream.readline()
+        yield b"".join(record + (rest if any(x.strip() for x in rest) else []))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzipped, cut at the version line while they are read as text.
+    """Records of WARC files of versions 1.0 and 1.1, plain or gzipped, cut by their Content-Length.
 
-    Bodies that aren't UTF-8 are read with replacement characters; their digests are those of the file.
+    A file is streamed in one task through ``pyarrow.fs``. Bodies that aren't UTF-8 are read with replacement
+    characters; their digests are those of the file.
     """
-    lines = spark.read.option("lineSep", VERSION).text(path).where(F.length("value") > 0)
-    return parse_records(lines.withColumnRenamed("value", "warc"))
+    files = spark.read.format("binaryFile").load(path).select("path")  # the contents aren't loaded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in (u for batch in batches for u in batch.column("path").to_pylist()):
+            store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            with store.open_input_file(name) as file:
+                zipped = file.read(2) == b"\x1f\x8b"
+                file.seek(0)
+                for record in cut_records(io.BufferedReader(gzip.GzipFile(fileobj=file) if zipped else file, PIECE)):
+                    yield batch_of(warc=([record.decode("utf-8", "replace")], pa.string()))
+
+    return parse_records(files.mapInArrow(run, "warc string"))
 
 
 def merged_headers(stored: Column, answer: Column) -> Column:
@@ -89,9 +135,13 @@ def merged_headers(stored: Column, answer: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """(record_id, canonical, ts, verdict, validator, source_id, headers) of every revisit record.
 
-    ``records``: record_id, type, url, ts, digest, headers as ``parse_records`` gives them.
+    ``records``: record_id, type, url, ts, digest, headers and status as ``parse_records`` gives them. Without a
+    column status every response that isn't a range counts as full.
     """
-    rows = records.where(F.col("type").isin("response", "revisit"))
+    whole = header(F.col("headers"), "content-range").isNull()
+    if "status" in records.columns:
+        whole = whole & (F.coalesce("status", F.lit(0)) == 200)
+    rows = records.where((F.col("type") == "revisit") | (F.col("type") == "response") & whole)
     rows = rows.select("record_id", "type", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "digest", "headers")
     full = F.when((F.col("type") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "digest", "headers"))
     # records without a URL or time are kept apart: each is a key of its own
