@@ -47,6 +47,7 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "All-rights-reserved-notice": "All rights reserved.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
