@@ -236,7 +236,7 @@ def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import association
 
-    c = calls(spark, sf_dir).where("feature < 'Brand#2'")
+    c = calls(spark, sf_dir)
     n = c.select("sample").distinct().count()
     counts = c.groupBy("feature").agg(F.count("*").alias("n"))
     pairs = association.pair_counts(c).join(counts.select(F.col("feature").alias("f"), F.col("n").alias("nf")), "f").join(counts.select(F.col("feature").alias("g"), F.col("n").alias("ng")), "g")

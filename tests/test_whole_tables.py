@@ -1,11 +1,13 @@
 """Queries without SQL work on all samples and features: against plain loops."""
 
 import collections
+import itertools
+import math
 
 import pyarrow.parquet as pq
 import pytest
 
-from evalweave.plans import aggregates
+from evalweave.plans import aggregates, joins
 
 
 @pytest.fixture
@@ -33,3 +35,17 @@ def test_fisher_exact_counts_every_sample(spark, sf_dir):
     have, label = tables(sf_dir)
     found = {r.feature: (r.a, r.b) for r in aggregates.fisher_exact(spark, sf_dir).collect()}
     assert found == {f: (sum(label[s] for s in x), sum(not label[s] for s in x)) for f, x in have.items()}
+
+
+def test_threshold_components_have_every_feature(spark, sf_dir):
+    have, _ = tables(sf_dir)
+    n = len(set().union(*have.values()))
+    group = {f: {f} for f in have}
+    for f, g in itertools.combinations(have, 2):
+        a, b, both = len(have[f]), len(have[g]), len(have[f] & have[g])
+        if both and abs((n * both - a * b) / math.sqrt(a * (n - a) * b * (n - b))) >= 0.05:
+            merged = group[f] | group[g]
+            for x in merged:
+                group[x] = merged
+    want = sorted(len(x) for x in {min(x): x for x in group.values()}.values())
+    assert sorted(r["size"] for r in joins.threshold_components(spark, sf_dir).collect()) == want and sum(want) == 5
