@@ -1,16 +1,18 @@
 """Toxicity by subword bags: embeddings of character n-grams, averaged into a linear softmax.
 
 A word is the mean of the vectors of its n-grams (with its ends marked) and of the word itself, a window is the mean
-of its words (a short text is filled up with empty ones), and a softmax over two classes judges the window. All vectors and weights
-are trained jointly in numpy. A misspelt word shares most of its n-grams with the known one.
+of its words (a short text is filled up with empty ones), and a softmax over two classes judges the window. All
+vectors and weights are trained jointly in numpy. A misspelt word shares most of its n-grams with the known one.
 
 A document's score is that of its most toxic window, as a few words decide about long documents. Labels are
 known for documents only: training starts with the label for every window, then keeps, of the toxic
-documents, the windows that the model itself picks out, and lastly moves the threshold to where it separates
-the sampled documents best.
+documents, the windows that the model itself picks out. Words that it then finds toxic are also shown misspelt.
+Lastly the threshold moves to where it separates the sampled documents best.
 
-The sample for training is bounded: at most ``SAMPLE_DOCS`` labelled documents a class and ``SAMPLE_WINDOWS``
-windows a document, the first by a hash. Everything else reads whole texts of all documents.
+The sample for training is bounded: of each class the first ``SAMPLE_DOCS`` labelled documents by a hash, but
+those over ``SAMPLE_TEXT`` bytes, and of these as many as ``SAMPLE_BYTES`` hold. The texts of the sample are read
+whole, window by window. Everything else reads whole texts of all documents. A score depends on its text and
+the sample only, not on how rows are partitioned or batched.
 
 Defined cases: a null text counts as empty; a text without words gets the score of an empty window; repeated
 rows are scored each; an empty table gives an empty one; without labels of both classes all scores are the
@@ -19,28 +21,36 @@ share of the one class (0 without any). Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, crc32, id_text, map_slices
+from .common import batch_of, crc32, id_text, map_slices, slices
 from .words import CACHE_ENTRIES, Cache, flat_words
 
-#: Bounds of the training sample, for each class and for each document of it.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 32
-WINDOW, STRIDE = 16, 8
+#: Bounds of the training sample: labelled documents of each class, bytes of a text that is taken, bytes of all
+#: texts of a class.
+SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_BYTES = 1500, 1 << 18, 12 << 20
+WINDOW, STRIDE = 4, 2
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4, 5)
-EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 2, 120, 256, 0.3, 7
-#: What training works on at a time; bounds memory, not results.
-DOCS_AT_ONCE, WORDS_AT_ONCE = 100, 20_000
+#: Steps of each of 1 + ROUNDS fits, windows in a step.
+STEPS, ROUNDS, BATCH, RATE, SEED = 200, 2, 256, 0.3, 7
+#: Worst windows of a clean document that later fits draw from, and what part of the logit of their document's
+#: worst window makes windows of toxic documents toxic.
+HARDEST, CLOSE = 4, 0.5
+#: What scoring works on at a time; bounds memory, not results.
+WORDS_AT_ONCE = 20_000
 #: Part of the n-grams that each step of training leaves out, so that none of a word's n-grams is indispensable.
 DROPPED = 0.4
-#: Documents of the sample that an n-gram must occur in.
-LEAST_DOCS = 4
+#: How many toxic documents that stay weigh as much as a clean one that goes, where the threshold is set.
+CLEAN_COUNTS = 3
+#: Part of the toxic words that a step sees misspelt, misspellings of each, and the documents such a word occurs in.
+EDITED, EDITS, LEAST_DOCS, SHORTEST_EDITED = 0.4, 40, 4, 4
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -119,159 +129,208 @@ class Model:
     def text_logits(self, texts: pa.Array, cache: Cache) -> np.ndarray:
         starts, place, words = split_words(texts)
         known = cache.recall(words, lambda fresh: self.word_scores(fresh).tolist())
-        total = np.concatenate([[0.0], np.cumsum(np.array(known, float)[place] if len(place) else [])])
         text, first, end = window_bounds(starts)
-        logits = (total[end] - total[first]) / WINDOW + self.bias
+        logits = window_sums(np.array(known, float), place, first, end) / WINDOW + self.bias
         return np.maximum.reduceat(logits, np.searchsorted(text, np.arange(len(starts) - 1))) if len(text) else logits
 
 
+def window_sums(values: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of values[place[first:end]] of each window, word by word: what else is in the batch can't change it."""
+    total = np.zeros(len(first))
+    ordered = values[place] if len(place) else np.zeros(0)
+    for k in range(WINDOW):
+        at = np.flatnonzero(first + k < end)
+        total[at] += ordered[first[at] + k]
+    return total
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(windows: list[str], doc: np.ndarray, label: np.ndarray) -> Model:
-    """``windows``: texts of a few words; ``doc``: which document each is from; ``label``: by document."""
+def misspelt(word: str, rng: np.random.Generator) -> str:
+    """The word with one letter changed, dropped, added or swapped with the next; short words as they are."""
+    if len(word) < SHORTEST_EDITED:
+        return word
+    kind, at, letter = rng.integers(4), int(rng.integers(len(word))), word[int(rng.integers(len(word)))]
+    if kind == 0:
+        return word[:at] + letter + word[at + 1 :]
+    if kind == 1:
+        return word[:at] + word[at + 1 :]
+    if kind == 2:
+        return word[:at] + letter + word[at:]
+    return word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of the ranges first[i] .. first[i] + n[i]."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Trainer:
+    """Vectors, weights and the training windows; every step takes as many windows of toxic documents as of others."""
+
+    def __init__(self, texts: list[str], label: np.ndarray):
+        self.rng, self.label = np.random.default_rng(SEED), label
+        starts, self.place, words = split_words(pa.array(texts, pa.string()))
+        self.doc, self.first, self.end = window_bounds(starts)
+        self.heads = np.searchsorted(self.doc, np.arange(len(texts)))
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * max(1, len(words)) + self.place)
+        self.words, self.common = words, np.bincount(pairs % max(1, len(words)), minlength=len(words)) >= LEAST_DOCS
+        self.bucket, self.sizes = sorted_grams(words)
+        self.misspell(np.zeros(len(words), bool))
+        self.vectors = np.zeros((BUCKETS, WIDTH), np.float32)
+        self.weights, self.bias = self.rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.square, self.square_w, self.square_b = np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+
+    def misspell(self, toxic: np.ndarray) -> None:
+        """``toxic`` words of several documents are from now on also seen with a letter changed, in EDITS ways."""
+        fresh = np.flatnonzero(self.common & toxic)
+        self.form_at, self.forms = np.arange(len(self.words)), np.ones(len(self.words), np.int64)
+        self.form_at[fresh], self.forms[fresh] = len(self.words) + np.arange(len(fresh)) * EDITS, EDITS
+        bucket, sizes = sorted_grams([misspelt(self.words[w], self.rng) for w in fresh.tolist() for _ in range(EDITS)])
+        own = self.sizes[: len(self.words)]
+        self.bucket, self.sizes = np.concatenate([self.bucket[: own.sum()], bucket]), np.concatenate([own, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def bag(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, row, share) of the n-grams of the given windows, some words misspelt, some n-grams left out."""
+        row, at = spread(self.first[rows], (self.end - self.first)[rows])
+        w = self.place[at]
+        edited = self.rng.random(len(w)) < EDITED
+        w = np.where(edited, self.form_at[w] + (self.rng.random(len(w)) * self.forms[w]).astype(np.int64), w)
+        word, at = spread(self.starts[w], self.sizes[w])
+        kept = self.rng.random(len(at)) >= DROPPED
+        word, at = word[kept], at[kept]
+        m = np.bincount(word, minlength=len(w))
+        return self.bucket[at], row[word], (1 / (m[word] * WINDOW)).astype(np.float32)
+
+    def step(self, rows: np.ndarray, target: np.ndarray) -> None:
+        grams, row, share = self.bag(rows)
+        mean = np.zeros((len(rows), WIDTH), np.float32)
+        if len(grams):
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            mean[row[heads]] = np.add.reduceat(self.vectors[grams] * share[:, None], heads)
+        logits = mean @ self.weights + self.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(rows)), target] -= 1
+        p /= len(rows)
+        to_mean, to_weights, to_bias = p @ self.weights.T, mean.T @ p, p.sum(0)
+        self.square_w += to_weights**2
+        self.square_b += to_bias**2
+        self.weights -= RATE * to_weights / np.sqrt(self.square_w)
+        self.bias = self.bias - RATE * to_bias / np.sqrt(self.square_b)
+        if len(grams):
+            order = np.argsort(grams, kind="stable")
+            heads = np.flatnonzero(np.diff(grams[order], prepend=-1))
+            step = np.add.reduceat((to_mean[row] * share[:, None])[order], heads)
+            at = grams[order][heads]
+            self.square[at] += (step**2).mean(1)
+            self.vectors[at] -= RATE * step / np.sqrt(self.square[at])[:, None]
+
+    def fit(self) -> None:
+        """STEPS steps with the label of its document for every window."""
+        self._run([np.arange(len(self.doc))[self.label[self.doc] == c] for c in (0, 1)], None)
+
+    def refine(self) -> None:
+        """STEPS more. Toxic are only those windows of toxic documents that the model so far finds toxic, and not
+        much less than their document's worst; a quarter of the clean windows are their documents' worst."""
+        now = self.window_logits()
+        top = np.maximum.reduceat(now, self.heads)[self.doc]
+        toxic = self.label[self.doc] == 1
+        picked, clean = np.flatnonzero(toxic & (now > 0) & (now >= CLOSE * top)), np.flatnonzero(~toxic)
+        if not len(picked):
+            return
+        self.misspell(self.word_scores() / WINDOW + self.bias[1] - self.bias[0] > 0)
+        worst = clean[np.lexsort((-now[clean], self.doc[clean]))]
+        place = np.arange(len(worst)) - np.searchsorted(self.doc[worst], self.doc[worst])
+        self._run([clean, picked], worst[place < HARDEST])
+
+    def _run(self, windows: list[np.ndarray], hard: np.ndarray | None) -> None:
+        target = np.repeat([0, 1], BATCH // 2)
+        draws, more = [self._by_document(w) for w in windows], None if hard is None else self._by_document(hard)
+        for _ in range(STEPS):
+            rows = np.concatenate([draw(BATCH // 2) for draw in draws])
+            if more is not None:
+                rows[: BATCH // 8] = more(BATCH // 8)
+            self.step(rows, target)
+
+    def _by_document(self, windows: np.ndarray) -> Callable[[int], np.ndarray]:
+        """Draws from windows (ascending by document): a document first, then one of its windows, so long
+        documents don't outweigh others."""
+        _, begin, count = np.unique(self.doc[windows], return_index=True, return_counts=True)
+
+        def draw(n: int) -> np.ndarray:
+            docs = self.rng.integers(0, len(begin), n)
+            return windows[begin[docs] + (self.rng.random(n) * count[docs]).astype(np.int64)]
+
+        return draw
+
+    def model(self) -> Model:
+        return Model((self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
+
+    def word_scores(self) -> np.ndarray:
+        n = len(self.words)
+        owner = np.repeat(np.arange(n), self.sizes[:n])
+        return np.bincount(owner, self.model().bucket[self.bucket[: len(owner)]], n) / self.sizes[:n]
+
+    def window_logits(self) -> np.ndarray:
+        return window_sums(self.word_scores(), self.place, self.first, self.end) / WINDOW + float(self.bias[1] - self.bias[0])
+
+    def document_logits(self) -> np.ndarray:
+        """Of every document the logit of its worst window."""
+        return np.maximum.reduceat(self.window_logits(), self.heads)
+
+
+def train(texts: list[str], label: np.ndarray) -> Model:
+    """``label`` of each whole text: 0 or 1."""
     if len(set(label.tolist())) < 2:
         share = float(label[0]) if len(label) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 60.0 if share else -60.0)
-    rng = np.random.default_rng(SEED)
-    starts, place, words = split_words(pa.array(windows, pa.string()))
-    bucket, sizes = sorted_grams(words)
-    first = np.cumsum(sizes) - sizes
-    # n-grams of fewer documents say nothing about others; what training doesn't touch stays zero
-    common = bucket_documents(place, starts, doc, bucket, sizes, first) >= LEAST_DOCS
-    vectors = np.zeros((BUCKETS, WIDTH), np.float32)
-    weights, bias = rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
-    square, square_w, square_b = np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-
-    def bag(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, row, share) of all n-grams of the given windows."""
-        n = np.diff(starts)[rows]
-        at = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        w, row = place[at], np.repeat(np.arange(len(rows)), n)
-        m = sizes[w]
-        grams = bucket[np.repeat(first[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-        rows_of, word = np.repeat(row, m), np.repeat(np.arange(len(w)), m)
-        kept = rng.random(len(grams)) >= DROPPED
-        m = np.bincount(word[kept], minlength=len(w))
-        return grams[kept], rows_of[kept], (1 / (m[word[kept]] * WINDOW)).astype(np.float32)
-
-    def mean_vectors(grams: np.ndarray, row: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, WIDTH), np.float32)
-        if len(grams):
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            out[row[heads]] = np.add.reduceat(vectors[grams] * share[:, None], heads)
-        return out
-
-    def fit(rows: np.ndarray, target: np.ndarray) -> None:
-        nonlocal bias
-        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(rows))))
-        # both classes weigh the same
-        weigh = np.where(target == 1, 0.5 / max(1e-9, target.mean()), 0.5 / max(1e-9, 1 - target.mean())).astype(np.float32)
-        for _ in range(epochs):
-            for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-                grams, row, share = bag(rows[some])
-                mean = mean_vectors(grams, row, share, len(some))
-                logits = mean @ weights + bias
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(some)), target[some]] -= 1
-                p *= weigh[some][:, None] / len(some)
-                to_mean, to_weights, to_bias = p @ weights.T, mean.T @ p, p.sum(0)
-                square_w[:] += to_weights**2
-                square_b[:] += to_bias**2
-                weights[:] -= RATE * to_weights / np.sqrt(square_w)
-                bias = bias - RATE * to_bias / np.sqrt(square_b)
-                if len(grams):
-                    order = np.argsort(grams, kind="stable")
-                    heads = np.flatnonzero(np.diff(grams[order], prepend=-1))
-                    step = np.add.reduceat((to_mean[row] * share[:, None])[order], heads)
-                    at = grams[order][heads]
-                    at, step = at[common[at]], step[common[at]]
-                    square[at] += (step**2).mean(1)
-                    vectors[at] -= RATE * step / np.sqrt(square[at])[:, None]
-
-    def model(shift: float = 0.0) -> Model:
-        return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]) + shift)
-
-    def scores() -> np.ndarray:
-        found = model()
-        total = np.concatenate([[0.0], np.cumsum(found.word_scores(words)[place])])
-        return (total[starts[1:]] - total[starts[:-1]]) / WINDOW + found.bias
-
-    everything, target = np.arange(len(windows)), label[doc]
-    fit(everything, target)
-    for _ in range(2):
-        now = scores()
-        top = np.full(len(label), -np.inf)
-        np.maximum.at(top, doc, now)
-        picked = (target == 0) | (now >= 0.5 * top[doc]) & (now > 0) | (now == top[doc])
-        fit(everything[picked], target[picked])
-    now, top = scores(), np.full(len(label), -np.inf)
-    np.maximum.at(top, doc, now)
-    seen = np.isfinite(top)
-    return model(-best_threshold(top[seen], label[seen]))
-
-
-def bucket_documents(place: np.ndarray, starts: np.ndarray, doc: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """In how many documents each bucket occurs, counted for some documents at a time."""
-    pairs = np.unique(np.repeat(doc, np.diff(starts)).astype(np.int64) * max(1, len(sizes)) + place)
-    owner, word = np.divmod(pairs, max(1, len(sizes)))
-    counts = np.zeros(BUCKETS, np.int64)
-    for some in np.split(np.arange(len(owner)), np.searchsorted(owner, np.arange(DOCS_AT_ONCE, (owner[-1] if len(owner) else 0) + 1, DOCS_AT_ONCE))):
-        m = sizes[word[some]]
-        grams = bucket[np.repeat(first[word[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-        counts += np.bincount(np.unique(np.repeat(owner[some], m) * BUCKETS + grams) % BUCKETS, minlength=BUCKETS)
-    return counts
+    trainer = Trainer(texts, label)
+    trainer.fit()
+    for _ in range(ROUNDS):
+        trainer.refine()
+    found = trainer.model()
+    return Model(found.bucket, found.bias - best_threshold(trainer.document_logits(), label))
 
 
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """Half way between nearly all of the one class and nearly all of the other, if these are apart; else the
-    middle of the widest range of thresholds with the best balanced accuracy."""
-    low, high = np.quantile(score[label == 0], 0.999), np.quantile(score[label == 1], 0.01)
-    if low < high:
-        return float((low + high) / 2)
+    """The middle of the widest range of thresholds with the best weighted accuracy by class: a clean document
+    that goes costs CLEAN_COUNTS times a toxic one that stays."""
     order = np.argsort(score, kind="stable")
     score, label = score[order], label[order]
-    right = np.concatenate([[0], np.cumsum(label == 0)]) / max(1, (label == 0).sum()) + 1 - np.concatenate([[0], np.cumsum(label == 1)]) / max(1, (label == 1).sum())
+    stay = np.concatenate([[0], np.cumsum(label == 0)]) / max(1, (label == 0).sum())
+    caught = 1 - np.concatenate([[0], np.cumsum(label == 1)]) / max(1, (label == 1).sum())
+    right = CLEAN_COUNTS * stay + caught
     edges = np.concatenate([[score[0] - 1], score, [score[-1] + 1]])
     width = np.diff(edges)
-    best = np.flatnonzero((right >= right.max() - 1e-3) & (width > 0))
+    best = np.flatnonzero((right >= right[width > 0].max() - 1e-3) & (width > 0))
     at = best[np.argmax(width[best])]
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5) -> DataFrame:
-    """(doc_id, label, window): the bounded sample, without documents whose crc32(doc_id) is in fold 0."""
-    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(crc32("doc_id") % folds != 0)
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, left_out: tuple[int, ...] = (0,)) -> DataFrame:
+    """(doc_id, label, text): the bounded sample of whole texts, without documents whose crc32(doc_id) modulo
+    ``folds`` is in ``left_out``."""
+    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~(crc32("doc_id") % folds).isin(*left_out))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(known.where("label = 0").orderBy(*order).limit(SAMPLE_DOCS))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 x SAMPLE_DOCS ids
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        starts, place, words = split_words(batch.column("text"))
-        text, first, end = window_bounds(starts)
-        ids, labels = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
-        rng = np.random.default_rng(SEED)
-        key = rng.random(len(text))
-        order = np.lexsort((key, text))
-        rank = np.arange(len(text)) - np.searchsorted(text, text)
-        rows = np.sort(order[rank < SAMPLE_WINDOWS])
-        return batch_of(
-            doc_id=([ids[text[i]] for i in rows], pa.int64()), label=([labels[text[i]] for i in rows], pa.int32()), window=([" ".join(words[w] for w in place[first[i] : end[i]]) for i in rows], pa.string())
-        )
-
-    return map_slices(picked.select("doc_id", "label", "text"), cut, "doc_id long, label int, window string", "text")
+    size = F.octet_length("text")
+    picked = id_text(docs).join(F.broadcast(chosen), "doc_id").where(size <= SAMPLE_TEXT)  # at most 2 x SAMPLE_DOCS ids
+    # of rows that repeat an id the least text; then as many whole texts as fit
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return picked.withColumn("bytes", F.sum(size).over(before)).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "label", "text")
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5) -> Model:
-    """Trains on the bounded sample; the order of its rows does not matter."""
-    rows = training_sample(docs, labels, label_col, folds).toArrow().sort_by([("doc_id", "ascending"), ("window", "ascending")])
-    ids, doc = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-    label = np.zeros(len(ids), np.int64)
-    label[doc] = rows["label"].to_numpy()
-    return train(rows["window"].to_pylist(), doc, label)
+def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, left_out: tuple[int, ...] = (0,)) -> Model:
+    """Trains on the bounded sample; neither the order of rows nor how they are partitioned matters."""
+    rows = training_sample(docs, labels, label_col, folds, left_out).toArrow().sort_by("doc_id")
+    return train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,14 +352,14 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     return found.select("doc_id", (crc32("doc_id") % folds == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, entries: int = CACHE_ENTRIES) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, entries: int = CACHE_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose own text isn't judged toxic, with all their columns."""
-    model = df.sparkSession.sparkContext.broadcast(fit_model(df, labels))
+    model = df.sparkSession.sparkContext.broadcast(fit_model(id_text(df, id_col, text_col), labels))  # BUCKETS floats
     caches: dict[int, Cache] = {}
 
-    def run(batches):
-        for batch in batches:
-            logits = model.value.text_logits(pc.fill_null(batch.column("text"), ""), caches.setdefault(0, Cache(entries)))
-            yield batch.filter(pa.array(sigmoid(logits) < 0.5))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            logits = model.value.text_logits(pc.fill_null(part.column(text_col), ""), caches.setdefault(0, Cache(entries)))
+            yield part.filter(pa.array(sigmoid(logits) < 0.5))
 
     return df.mapInArrow(run, df.schema)

@@ -152,6 +152,35 @@ def test_held_out_labels_are_not_used(spark):
     assert a == b
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, labels = toxic_table(400)
+    rows += [rows[7], rows[7], (9000, None), (9001, prose(4000))]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = [sorted(map(tuple, toxicity.judge(docs.repartition(n), known.repartition(n)).collect())) for n in (1, 2, 16)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_sample_is_bounded_and_whole(spark, monkeypatch):
+    rows, labels = toxic_table(60)
+    rows += [(1, "a repeat")] * 50 + [(100, "long " * 60_000), (101, prose(30_000))]
+    labels += [(100, 1), (101, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.training_sample(docs, known, left_out=(9,)).collect()}
+    assert set(found) == {i for i, _ in labels} - {100} and found[1].text == min(t for i, t in rows if i == 1)
+    assert found[101].text == rows[-1][1]
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    some = toxicity.training_sample(docs, known, left_out=(9,)).collect()
+    for label in (0, 1):
+        assert 0 < sum(len(r.text) for r in some if r.label == label) <= 3000
+
+
+def test_drop_toxic_with_other_names(spark):
+    rows, labels = toxic_table(200)
+    docs = spark.createDataFrame([(t, i, 3) for i, t in rows] + [(None, None, 4)], "body string, id long, n int")
+    kept = toxicity.drop_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), id_col="id", text_col="body")
+    assert kept.columns == docs.columns and {r.n for r in kept.collect()} == {3, 4}
+
+
 def test_windows_cover_every_word():
     starts = np.array([0, 0, 5, 21, 60])
     text, first, end = toxicity.window_bounds(starts)
@@ -167,7 +196,9 @@ def test_scores_equal_plain_sums():
     for text, logit in zip(texts, got, strict=True):
         words = [w for k, w in enumerate(text.split()) if k == 0 or w != text.split()[k - 1]]
         scores = model.word_scores(words)
-        spans = [(max(0, min(a, len(words) - 16)), max(0, min(a, len(words) - 16)) + 16) for a in range(0, max(1, len(words) - 8), 8)] or [(0, 16)]
+        size, step = toxicity.WINDOW, toxicity.STRIDE
+        at = [max(0, min(a, len(words) - size)) for a in range(0, max(1, len(words) - step), step)]
+        spans = [(a, a + size) for a in at]
         assert logit == pytest.approx(max(scores[a:b].sum() / toxicity.WINDOW for a, b in spans) - 0.5)
 
 
