@@ -6,13 +6,17 @@ tables (PAT and PMT, with their CRC) open the stream and come again every TABLES
 start: those units are marked as random access points and the clock reference is stored there. Continuity
 counters count on for each PID; stuffing sits in adaptation fields, so every payload byte is kept as it is.
 
-``demux`` reads any such stream: it follows PAT and PMT to the elementary PID, checks sync bytes, transport
-errors, table CRCs and continuity counters, joins the packets of each unit and lists timestamps and random
-access points.
+``streams`` reads transport streams: it joins the sections of PAT and PMT over their packets, follows them to
+every elementary PID of every program, checks sync bytes, transport errors, table CRCs and continuity counters,
+joins the packets of each unit and lists timestamps, random access points and the units that are not whole. ``demux``
+gives the first of the elementary streams.
 
 Defined cases: a null text counts as empty; a payload is filled up with bytes 255 to a positive multiple of
 576; repeated rows and equal texts give equal values; an empty table gives an empty one; other columns are
-ignored; a lost, repeated or damaged packet is counted and its unit marked, it doesn't stop the reading.
+ignored; a stream that names no elementary PID has an empty payload. Nothing stops the reading: a lost or damaged
+packet is counted, and so are tables with a wrong CRC; a packet that is sent again is counted and left out. A unit is
+listed as broken where a packet of it is lost, where its start code is missing or where its length isn't the one
+that it states.
 """
 
 from __future__ import annotations
@@ -138,83 +142,136 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Demuxed:
-    payload: bytes
-    timestamps: list[int]
-    random_access: list[int]
-    packets: int
-    program: int
-    pid: int
-    table_errors: int
-    discontinuities: int
-    damaged: int
-    unit_lengths: list[int] = field(default_factory=list)
-
-
-def _read_section(packets: np.ndarray, start: np.ndarray, offset: np.ndarray, table_id: int) -> tuple[bytes | None, int]:
-    """The first whole section of the table in packets that start one, and how many fail their CRC."""
-    found, wrong, known = None, 0, {}
-    for packet, at in zip(packets[start], offset[start], strict=True):
-        data = packet[at:].tobytes()
-        data = data[1 + data[0] :]
-        if len(data) < 3 or data[0] != table_id:
-            continue
-        section = data[: 3 + ((data[1] & 15) << 8 | data[2])]
-        if section not in known:
-            known[section] = section_crc(section) == 0
-        if not known[section]:
-            wrong += 1
-        elif found is None:
-            found = section
-    return found, wrong
+    """One elementary stream; packets, table_errors and damaged are those of the whole transport stream."""
 
-
-def demux(stream: bytes) -> Demuxed:
-    whole = len(stream) // PACKET
-    packets = np.frombuffer(stream, np.uint8, whole * PACKET).reshape(-1, PACKET)
-    good = (packets[:, 0] == SYNC) & (packets[:, 1] & 0x80 == 0)
-    damaged = int((~good).sum()) + bool(len(stream) % PACKET)
-    packets = packets[good]
-    pid = (packets[:, 1].astype(np.int64) & 31) << 8 | packets[:, 2]
-    start, control, counter = packets[:, 1] & 0x40 != 0, packets[:, 3] >> 4 & 3, packets[:, 3] & 15
-    adapt = np.where(control >= 2, packets[:, 4].astype(np.int64) + 1, 0)
-    offset = np.minimum(PACKET, 4 + adapt)
-    has_payload = control & 1 == 1
-    pat, wrong_pat = _read_section(packets, start & has_payload & (pid == PAT_PID), offset, 0)
-    empty = Demuxed(b"", [], [], len(packets), 0, 0, wrong_pat, 0, damaged)
-    if pat is None:
-        return empty
-    program, table_pid = next(((int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(pat) - 4, 4) if pat[i : i + 2] != b"\0\0"), (0, -1))
-    pmt, wrong_pmt = _read_section(packets, start & has_payload & (pid == table_pid), offset, 2)
-    empty.table_errors += wrong_pmt
-    if pmt is None:
-        return empty
-    media_pid = int.from_bytes(pmt[12 + ((pmt[10] & 15) << 8 | pmt[11]) + 1 :][:2], "big") & 0x1FFF
-    # continuity: each PID's counter goes on by one with every packet that has a payload
-    gaps = repeats = 0
-    keep = np.ones(len(packets), bool)
-    for p in (PAT_PID, table_pid, media_pid):
-        own = np.flatnonzero((pid == p) & has_payload)
-        step = np.diff(counter[own].astype(np.int64)) % 16
-        again = own[1:][step == 0]
-        again = again[(packets[again] == packets[own[:-1][step == 0]]).all(1)] if len(again) else again
+    program: int = 0
+    pid: int = 0
+    payload: bytes = b""
+    timestamps: list[int] = field(default_factory=list)
+    random_access: list[int] = field(default_factory=list)
+    unit_lengths: list[int] = field(default_factory=list)
+    broken: list[int] = field(default_factory=list)
+    packets: int = 0
+    table_errors: int = 0
+    discontinuities: int = 0
+    damaged: int = 0
+
+
+class Packets:
+    """The good packets of a stream and the fields of their headers."""
+
+    def __init__(self, stream: bytes):
+        rows = np.frombuffer(stream, np.uint8, len(stream) // PACKET * PACKET).reshape(-1, PACKET)
+        good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
+        self.damaged = int((~good).sum()) + bool(len(stream) % PACKET)
+        self.rows = rows = rows[good]
+        self.pid = (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]
+        self.start, control, self.counter = rows[:, 1] & 0x40 != 0, rows[:, 3] >> 4 & 3, (rows[:, 3] & 15).astype(np.int64)
+        self.adapt = np.where(control >= 2, rows[:, 4].astype(np.int64) + 1, 0)
+        self.offset = np.minimum(PACKET, 4 + self.adapt)
+        self.has_payload = control & 1 == 1
+        self.wrong = 0
+
+    def of(self, pid: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(packets of the PID with a payload, which of them follow a gap, how many were sent again and left out)."""
+        own = np.flatnonzero((self.pid == pid) & self.has_payload)
+        step = np.diff(self.counter[own], prepend=self.counter[own[:1]] - 1) % 16
+        same = np.flatnonzero(step == 0)
+        again = same[(self.rows[own[same]] == self.rows[own[same - 1]]).all(1)]
+        keep = np.ones(len(own), bool)
         keep[again] = False
-        repeats += len(again)
-        gaps += int((step != 1).sum()) - len(again)
-    own = np.flatnonzero((pid == media_pid) & has_payload & keep)
-    begins = start[own]
+        return own[keep], step[keep] != 1, len(again)
+
+    def sections(self, pid: int, table_id: int) -> list[bytes]:
+        """The distinct sections of a table whose CRC is right; others are counted in ``wrong``."""
+        found: dict[bytes, bool] = {}
+        own, gap, _ = self.of(pid)
+        held = b""
+        for i, lost in zip(own.tolist(), gap.tolist(), strict=True):
+            data = self.rows[i, self.offset[i] :].tobytes()
+            if lost:
+                held = b""
+            if not self.start[i]:
+                held = self._take(held + data, table_id, found) if held else b""
+                continue
+            pointer = data[0] if data else 0
+            if held:
+                self._take(held + data[1 : 1 + pointer], table_id, found)
+            held = self._take(data[1 + pointer :], table_id, found)
+        return [section for section, right in found.items() if right]
+
+    def _take(self, data: bytes, table_id: int, found: dict[bytes, bool]) -> bytes:
+        """Takes whole sections from the start of ``data`` and returns what is left of an unfinished one."""
+        while len(data) >= 3 and data[0] != FILL:
+            size = 3 + ((data[1] & 15) << 8 | data[2])
+            if len(data) < size:
+                return data
+            if data[0] == table_id:
+                section = data[:size]
+                if section not in found:
+                    found[section] = size > 11 and section_crc(section) == 0
+                self.wrong += not found[section]
+            data = data[size:]
+        return data if data and data[0] != FILL else b""
+
+
+def streams(stream: bytes) -> list[Demuxed]:
+    """Every elementary stream, in the order of the tables."""
+    packets = Packets(stream)
+    programs: dict[int, int] = {}
+    for pat in packets.sections(PAT_PID, 0):
+        for i in range(8, len(pat) - 7, 4):
+            number = int.from_bytes(pat[i : i + 2], "big")
+            if number:  # 0 names the network's table
+                programs.setdefault(number, int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF)
+    gaps = int(packets.of(PAT_PID)[1].sum()) + packets.of(PAT_PID)[2]
+    named: dict[tuple[int, int], None] = {}
+    for number, table in programs.items():
+        _, lost, again = packets.of(table)
+        gaps += int(lost.sum()) + again
+        for pmt in packets.sections(table, 2):
+            if int.from_bytes(pmt[3:5], "big") != number:
+                continue
+            at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+            while at + 5 <= len(pmt) - 4:
+                named.setdefault((number, int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
+                at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    found = [_elementary(packets, number, pid) for number, pid in named]
+    for x in found:
+        x.packets, x.table_errors, x.damaged, x.discontinuities = len(packets.rows), packets.wrong, packets.damaged, x.discontinuities + gaps
+    return found or [Demuxed(packets=len(packets.rows), table_errors=packets.wrong, damaged=packets.damaged, discontinuities=gaps)]
+
+
+def _elementary(packets: Packets, program: int, pid: int) -> Demuxed:
+    own, lost, again = packets.of(pid)
+    out = Demuxed(program, pid, discontinuities=int(lost.sum()) + again)
+    begins = packets.start[own]
     if not begins.any():
-        return Demuxed(b"", [], [], len(packets), program, media_pid, wrong_pat + wrong_pmt, gaps + repeats, damaged)
-    own, begins = own[np.argmax(begins) :], begins[np.argmax(begins) :]
-    rows, at, heads = packets[own], offset[own].copy(), np.flatnonzero(begins)
-    first, column = rows[heads], at[heads]
-    header = np.take_along_axis(first, np.minimum(PACKET - 1, column[:, None] + np.arange(HEAD)), 1)
-    at[heads] += 9 + header[:, 8].astype(np.int64)
-    stamped = header[:, 7] & 0x80 != 0
-    marked = (adapt[own[heads]] > 1) & (first[:, 5] & 0x40 != 0)
+        return out
+    own, begins, lost = own[np.argmax(begins) :], begins[np.argmax(begins) :], lost[np.argmax(begins) :]
+    rows, at, heads = packets.rows[own], packets.offset[own].copy(), np.flatnonzero(begins)
+    first = rows[heads]
+    header = np.take_along_axis(first, np.minimum(PACKET - 1, at[heads][:, None] + np.arange(HEAD)), 1).astype(np.int64)
+    whole = (at[heads] + 9 <= PACKET) & (header[:, 0] == 0) & (header[:, 1] == 0) & (header[:, 2] == 1)
+    at[heads] += np.where(whole, 9 + header[:, 8], 0)
+    whole &= at[heads] <= PACKET
+    stamped = whole & (header[:, 7] & 0x80 != 0) & (header[:, 8] >= 5)
+    marked = (packets.adapt[own[heads]] > 1) & (first[:, 5] & 0x40 != 0)
     mask = np.arange(PACKET) >= at[:, None]
     sizes = np.add.reduceat(mask.sum(1), heads)
-    times = _unstamp(header[:, 9:14])
-    return Demuxed(rows[mask].tobytes(), times[stamped].tolist(), np.flatnonzero(marked).tolist(), len(packets), program, media_pid, wrong_pat + wrong_pmt, gaps + repeats, damaged, sizes.tolist())
+    stated = header[:, 4] << 8 | header[:, 5]  # 0 where it is left open
+    # a gap that a unit's start shows belongs to the unit before as well
+    gap = np.maximum.reduceat(lost & ~begins, heads)
+    gap[:-1] |= lost[heads[1:]]
+    broken = ~whole | gap | (stated != 0) & (sizes != stated - 3 - header[:, 8])
+    out.payload, out.timestamps, out.random_access = rows[mask].tobytes(), _unstamp(header[:, 9:14])[stamped].tolist(), np.flatnonzero(marked).tolist()
+    out.unit_lengths, out.broken = sizes.tolist(), np.flatnonzero(broken).tolist()
+    return out
+
+
+def demux(stream: bytes) -> Demuxed:
+    """The first elementary stream."""
+    return streams(stream)[0]
 
 
 def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,16 +285,18 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def demuxed(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """(doc_id, payload, timestamps, random_access, packets, program, pid, table_errors, discontinuities, damaged)."""
+    """(doc_id, program, pid, payload, timestamps, random_access, broken, packets, table_errors, discontinuities,
+    damaged): a row for each elementary stream."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [demux(m or b"") for m in batch.column("media").to_pylist()]
+        found = [(i, x) for i, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True) for x in streams(m or b"")]
+        values = lambda name: [getattr(x, name) for _, x in found]
         return batch_of(
-            doc_id=(batch.column("doc_id"), None), payload=([x.payload for x in found], pa.binary()), timestamps=([x.timestamps for x in found], pa.list_(pa.int64())), random_access=([x.random_access for x in found], pa.list_(pa.int32())),
-            **{name: ([getattr(x, name) for x in found], pa.int32()) for name in ("packets", "program", "pid", "table_errors", "discontinuities", "damaged")},
+            doc_id=([i for i, _ in found], pa.int64()), program=(values("program"), pa.int32()), pid=(values("pid"), pa.int32()), payload=(values("payload"), pa.binary()), timestamps=(values("timestamps"), pa.list_(pa.int64())),
+            **{name: (values(name), pa.list_(pa.int32())) for name in ("random_access", "broken")}, **{name: (values(name), pa.int32()) for name in ("packets", "table_errors", "discontinuities", "damaged")},
         )
 
-    schema = "doc_id long, payload binary, timestamps array<long>, random_access array<int>, packets int, program int, pid int, table_errors int, discontinuities int, damaged int"
+    schema = "doc_id long, program int, pid int, payload binary, timestamps array<long>, random_access array<int>, broken array<int>, packets int, table_errors int, discontinuities int, damaged int"
     return map_slices(df.select("doc_id", df[media_col].alias("media")), run, schema, "media")
 
 
@@ -253,7 +312,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out["tail_crc32"].append(zlib.crc32(x.payload[-32:]))
             out["media_bytes"].append(len(media))
             out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-            out["feature"].append(f"program={x.program} pid={x.pid} packets={x.packets} units={len(x.unit_lengths)} pts={x.timestamps[0]}..{x.timestamps[-1]} random_access={len(x.random_access)} errors={x.table_errors + x.discontinuities + x.damaged}")
+            out["feature"].append(f"program={x.program} pid={x.pid} packets={x.packets} units={len(x.unit_lengths)} pts={'..'.join(map(str, x.timestamps[:1] + x.timestamps[-1:])) or 'none'} random_access={len(x.random_access)} errors={x.table_errors + x.discontinuities + x.damaged}")
         kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
         return batch_of(doc_id=(batch.column("doc_id"), None), n_bytes=(batch.column("n_bytes"), None), **{k: (v, kinds.get(k, pa.string())) for k, v in out.items()})
 

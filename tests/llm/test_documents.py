@@ -164,6 +164,88 @@ def test_faulty_streams():
     assert transport.section_crc(b"123456789") == 0x0376E6E7
 
 
+def plain_payload(stream):
+    """Payload of the media PID, packet by packet, without numpy or the module's tables."""
+    out = b""
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        if (packet[1] & 31) << 8 | packet[2] != 0x0101:
+            continue
+        data = packet[4 + (packet[4] + 1 if packet[3] & 0x20 else 0) :]
+        out += data[9 + data[8] :] if packet[1] & 0x40 else data
+    return out
+
+
+def test_streams_are_read_by_a_plain_reader():
+    for n in (0, 10, 5000):
+        payload = transport.padded(RNG.randbytes(n))
+        assert plain_payload(transport.mux(payload)) == payload
+
+
+def test_damaged_streams_never_stop_the_reading():
+    whole = transport.mux(transport.padded(RNG.randbytes(30_000)))
+    for _ in range(300):
+        stream = bytearray(whole)
+        for _ in range(RNG.randint(1, 40)):
+            stream[RNG.randrange(len(stream))] = RNG.randrange(256)
+        if RNG.random() < 0.3:
+            at = RNG.randrange(len(stream))
+            del stream[at : at + RNG.randint(1, 400)]
+        transport.streams(bytes(stream))
+    for _ in range(100):
+        transport.streams(b"".join(b"G" + RNG.randbytes(187) for _ in range(RNG.randint(0, 30))))
+    table = bytearray(whole)
+    table[3], table[4] = 0x30, 183  # an adaptation field that fills the first table's packet
+    assert transport.demux(bytes(table)).payload == transport.demux(whole).payload
+
+
+def test_units_with_lost_packets_are_listed():
+    whole = transport.mux(transport.padded(RNG.randbytes(576 * 20)))
+    for packet in range(1, 4):  # of the fourth unit: two tables, then four packets each
+        at = 188 * (2 + 3 * 4 + packet)
+        assert transport.demux(whole[:at] + whole[at + 188 :]).broken == [3]
+    at = 188 * (2 + 3 * 4)
+    assert 2 in transport.demux(whole[:at] + whole[at + 188 :]).broken
+    assert transport.demux(whole).broken == []
+    code = bytearray(whole)
+    code[188 * (2 + 4) + 4 + transport.ADAPT + 2] = 9
+    assert transport.demux(bytes(code)).broken == [1]
+
+
+def packets_of(pid, data, start=True):
+    """A payload over as many packets as it takes."""
+    out = []
+    for k, at in enumerate(range(0, len(data), 184)):
+        out.append((bytes([0x47, (0x40 if start and not k else 0) | pid >> 8, pid & 255, 0x10 | k % 16]) + data[at : at + 184]).ljust(188, b"\xff"))
+    return b"".join(out)
+
+
+def test_long_tables_and_several_programs():
+    pids = list(range(300, 380))
+    entries = b"".join(bytes([6]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p in pids)
+    pat = transport._section(0, 1, b"".join(x.to_bytes(2, "big") for x in (0, 0xE010, 1, 0xE100, 2, 0xE200)))
+    long = transport._section(2, 1, b"\xe1\x00\xf0\x00" + entries)  # over three packets
+    short = transport._section(2, 2, b"\xe1\x00\xf0\x00" + bytes([6]) + (0xE000 | 400).to_bytes(2, "big") + b"\xf0\x00")
+    media = bytearray(transport.mux(transport.padded(b"x"))[188 * 2 :])
+    for at in range(0, len(media), 188):
+        media[at + 1], media[at + 2] = media[at + 1] & 0xE0 | 400 >> 8, 400 & 255
+    stream = packets_of(0, b"\0" + pat) + packets_of(0x100, b"\0" + long) + packets_of(0x200, b"\0" + short) + bytes(media)
+    found = {(x.program, x.pid): x for x in transport.streams(stream)}
+    assert set(found) == {(1, p) for p in pids} | {(2, 400)}
+    assert found[2, 400].payload == transport.padded(b"x") and found[1, 300].payload == b""
+
+
+def test_media_of_odd_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert transport.media_digests(docs).count() == 0
+    long = spark.createDataFrame([(1, "é" * 400_000), (None, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in transport.media_digests(long).collect()}
+    assert got[1].n_bytes == 800_000 and got[None].payload_bytes == 576
+    media = transport.with_media(long).unionByName(spark.createDataFrame([(9, 0, None)], "doc_id long, n_bytes long, media binary"))
+    rows = {r.doc_id: r for r in transport.demuxed(media).collect()}
+    assert bytes(rows[1].payload) == transport.padded(("é" * 400_000).encode()) and bytes(rows[9].payload) == b""
+
+
 def test_media_digests(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 288), (4, "é" * 288)]
     found = transport.media_digests(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, media int")).collect()
