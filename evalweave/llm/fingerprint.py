@@ -14,7 +14,7 @@ from the sketches what part of the phrases two texts have in common, 2|A and B|
 for texts with at most SKETCH phrases, and 1 for equal texts.
 
 Defined cases: a null text counts as empty; the empty text has root 0 and an empty sketch, and its likeness
-to another is 0; repeated doc_ids are ordered by their text; null doc_ids come first; a single document is
+to another is 0; repeated doc_ids are ordered by a hash of their text, then by the text; null doc_ids come first; a single document is
 its own successor; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, id_text, slices
-from .ordered import BUCKET, add_bucket, shuffle_width
+from .ordered import BUCKET, add_bucket, shuffle_width, tie_hash
 
 SKETCH, SKETCH_LEVEL = 48, 3
 #: Bytes that are parsed at a time (a longer text alone); bounds memory, not results.
@@ -177,16 +177,15 @@ def edited(text: str, following: str) -> str:
 def with_following(df: DataFrame) -> DataFrame:
     """(bucket, guest, doc_id, text): the rows dealt by ranges of doc_id and sorted, each range closed by a
     guest, the first row of the next one (of the first, for the last)."""
-    marked = add_bucket(df, "doc_id", 4 * shuffle_width(df))
-    first = F.when(F.count("*") > F.count("doc_id"), F.lit(None).cast("long")).otherwise(F.min("doc_id"))
-    heads = marked.groupBy(BUCKET).agg(first.alias("first")).orderBy(BUCKET).collect()  # a row for each range
-    rows = [(h["first"], heads[i - 1][BUCKET]) for i, h in enumerate(heads)]
-    guests = df.sparkSession.createDataFrame(rows, "first long, before int")
-    own = F.array(F.struct(F.col(BUCKET).alias("bucket"), F.lit(False).alias("guest")))
-    more = F.when(F.col("before").isNotNull(), F.array(F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<bucket:int,guest:boolean>>"))
-    placed = marked.join(F.broadcast(guests), marked.doc_id.eqNullSafe(F.col("first")), "left")
-    placed = placed.select(F.explode(F.concat(own, more)).alias("at"), "doc_id", "text").select("at.bucket", "at.guest", "doc_id", "text")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    marked = add_bucket(df, "doc_id", 4 * shuffle_width(df), "text").withColumn("tie", tie_hash("text"))
+    heads = marked.groupBy(BUCKET).agg(F.min(F.struct("doc_id", "tie")).alias("first")).orderBy(BUCKET).collect()  # a row for each range
+    rows = [(h["first"]["doc_id"], h["first"]["tie"], heads[i - 1][BUCKET]) for i, h in enumerate(heads)]
+    firsts = df.sparkSession.createDataFrame(rows, "first long, first_tie long, before int")
+    found = df.withColumn("tie", tie_hash("text")).join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("first_tie")))
+    guests = found.groupBy(F.col("before").alias("bucket"), "doc_id", "tie").agg(F.min("text").alias("text")).withColumn("guest", F.lit(True))
+    own = marked.select(F.col(BUCKET).alias("bucket"), F.lit(False).alias("guest"), "doc_id", "tie", "text")
+    placed = own.unionByName(guests).repartition("bucket")
+    return placed.sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

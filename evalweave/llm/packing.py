@@ -1,6 +1,8 @@
 """Token ids as files of fixed-width bits.
 
-One file holds the documents of one range of doc_id in ascending order. Its parts, all little-endian:
+Documents are dealt to ranges of doc_id, and a range's documents are written in ascending order to files of
+bounded size: a new one starts where the next document would bring a file over FILE_IDS ids (a longer document
+has a file of its own). So neither files nor what a task holds grow with the data. A file's parts, all little-endian:
 
 - header: magic ``EWBITS01``, then unsigned 64-bit bits per id, ids per block, documents, ids, blocks
 - documents x int64: doc_id (a null id is stored as the smallest int64)
@@ -11,11 +13,11 @@ One file holds the documents of one range of doc_id in ascending order. Its part
 An id takes the fewest bits that hold the vocabulary. Ids are packed and unpacked lane by lane with
 numpy; any range of ids can be read from its own blocks only.
 
-Files are written by the tasks under a name that only depends on their range, first under a temporary
+Files are written by the tasks under a name that only depends on their range and its part, first under a temporary
 name and then renamed, so a task that runs again after a lost executor replaces its file with an equal one.
 
 Defined cases: a null text counts as empty and an empty text holds just its end id; repeated doc_ids keep
-one entry each, in an order set by their text; null doc_ids come first; an empty table writes no file and
+one entry each, ordered by a hash of their text, then by the text; null doc_ids come first; an empty table writes no file and
 reads back as an empty table; other columns are ignored.
 """
 
@@ -33,14 +35,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint_dir, id_text, slices
-from .ordered import BUCKET, add_bucket, bucket_starts, shuffle_width
+from .common import batch_of, checkpoint_dir, id_text, materialise, slices
+from .ordered import BUCKET, add_bucket, shuffle_width, tie_hash
 from .words import WordEncoder, id_bytes
 
 MAGIC, HEADER, BLOCK_IDS = b"EWBITS01", struct.Struct("<8s5Q"), 4096
+#: Ids of a file: 16 MB at 16 bits.
+FILE_IDS = 1 << 23
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -162,36 +166,38 @@ def _tokenizer(path: str) -> WordTokenizer:
     return made
 
 
-def write_packed(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_packed(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes the files under ``folder`` (a URI that pyarrow
-    and Spark can both reach). Returns (bucket, path, n_docs, n_ids), a row for each file, after writing."""
-    marked = add_bucket(id_text(df, id_col, text_col), "doc_id", 4 * shuffle_width(df))
-    dealt = marked.repartition(BUCKET).sortWithinPartitions(BUCKET, F.col("doc_id").asc_nulls_first(), "text")
+    and Spark can both reach). Returns (bucket, part, path, n_docs, n_ids), a row for each file, after writing."""
+    marked = add_bucket(id_text(df, id_col, text_col), "doc_id", 4 * shuffle_width(df), "text")
+    dealt = marked.repartition(BUCKET).sortWithinPartitions(BUCKET, F.col("doc_id").asc_nulls_first(), tie_hash("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, tail = _tokenizer(tokenizer_path), np.uint32(end_id)
         bits = bits_for(max(tokenizer.vocabulary, end_id + 1))
-        now, docs, encoded = None, [], []
+        now, part, held, docs, encoded = None, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
             lengths = np.array(list(map(len, encoded)), np.int64)
             ids = np.concatenate(encoded)
-            path = save(folder, f"ids-{now:06d}.bits", file_bytes(np.array(docs, np.int64), lengths, ids, bits))
-            return batch_of(bucket=([now], pa.int32()), path=([path], pa.string()), n_docs=([len(docs)], pa.int64()), n_ids=([len(ids)], pa.int64()))
-
-        for part in slices(batches, "text"):
-            made = tokenizer.encode_batch(part.column("text"))
-            for bucket, doc, ids in zip(part.column(BUCKET).to_pylist(), part.column("doc_id").to_pylist(), made, strict=True):
+            path = save(folder, f"ids-{now:06d}-{part:06d}.bits", file_bytes(np.array(docs, np.int64), lengths, ids, bits))
+            return batch_of(bucket=([now], pa.int32()), part=([part], pa.int32()), path=([path], pa.string()), n_docs=([len(docs)], pa.int64()), n_ids=([len(ids)], pa.int64()))
+
+        for piece in slices(batches, "text"):
+            made = tokenizer.encode_batch(piece.column("text"))
+            for bucket, doc, ids in zip(piece.column(BUCKET).to_pylist(), piece.column("doc_id").to_pylist(), made, strict=True):
+                if docs and (bucket != now or held + len(ids) + 1 > file_ids):
+                    yield flush()
+                    part, held, docs, encoded = part + 1, 0, [], []
                 if bucket != now:
-                    if docs:
-                        yield flush()
-                    now, docs, encoded = bucket, [], []
+                    now, part = bucket, 0
                 docs.append(NULL_ID if doc is None else doc)
                 encoded.append(np.append(ids, tail))
+                held += len(ids) + 1
         if docs:
             yield flush()
 
-    return dealt.mapInArrow(run, "bucket int, path string, n_docs long, n_ids long")
+    return dealt.mapInArrow(run, "bucket int, part int, path string, n_docs long, n_ids long")
 
 
 def save(folder: str, name: str, data: bytes) -> str:
@@ -206,12 +212,13 @@ def save(folder: str, name: str, data: bytes) -> str:
 
 
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """(bucket, position, doc_id, local_start, ids binary as little-endian uint32) of every document."""
+    """(bucket, part, position, doc_id, local_start, ids binary as little-endian uint32) of every document; position
+    and local_start count within its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                packed, bucket = PackedFile(content), int(path.rpartition("-")[2].partition(".")[0])
+                packed, (bucket, number) = PackedFile(content), file_place(path)
                 ends = np.cumsum(packed.lengths)
                 for at in range(0, len(ends), 256):
                     to = min(at + 256, len(ends))
@@ -220,6 +227,7 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
                     cuts = [(int(ends[i] - packed.lengths[i]) - base, int(ends[i]) - base) for i in range(at, to)]
                     yield batch_of(
                         bucket=([bucket] * (to - at), pa.int32()),
+                        part=([number] * (to - at), pa.int32()),
                         position=(list(range(at, to)), pa.int64()),
                         doc_id=([None if d == NULL_ID else int(d) for d in packed.doc_ids[at:to]], pa.int64()),
                         local_start=([base + a for a, _ in cuts], pa.int64()),
@@ -227,16 +235,16 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bits").load(folder)
-    return files.select("path", "content").mapInArrow(run, "bucket int, position long, doc_id long, local_start long, ids binary")
+    return files.select("path", "content").mapInArrow(run, "bucket int, part int, position long, doc_id long, local_start long, ids binary")
 
 
 def digest_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """(bucket, doc_id, local_start, n_tokens, ids_crc32) from the files' own bytes."""
+    """(bucket, part, doc_id, local_start, n_tokens, ids_crc32) from the files' own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                packed, bucket = PackedFile(content), int(path.rpartition("-")[2].partition(".")[0])
+                packed, (bucket, number) = PackedFile(content), file_place(path)
                 ends = np.cumsum(packed.lengths)
                 starts = ends - packed.lengths
                 crc = []
@@ -246,6 +254,7 @@ def digest_packed(spark: SparkSession, folder: str) -> DataFrame:
                     crc += [zlib.crc32(ids[a - base : b - base]) for a, b in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)]
                 yield batch_of(
                     bucket=([bucket] * len(ends), pa.int32()),
+                    part=([number] * len(ends), pa.int32()),
                     doc_id=([None if d == NULL_ID else int(d) for d in packed.doc_ids], pa.int64()),
                     local_start=(starts.tolist(), pa.int64()),
                     n_tokens=(packed.lengths.tolist(), pa.int64()),
@@ -253,22 +262,37 @@ def digest_packed(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bits").load(folder)
-    return files.select("path", "content").mapInArrow(run, "bucket int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "content").mapInArrow(run, "bucket int, part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+
+
+def file_place(path: str) -> tuple[int, int]:
+    """Range and part from a file's name."""
+    bucket, part = path.rpartition("/")[2].removeprefix("ids-").removesuffix(".bits").split("-")
+    return int(bucket), int(part)
+
+
+def file_starts(written: DataFrame) -> DataFrame:
+    """(bucket, part, start): ids of all files before. Parts are summed within their range, and ranges' totals,
+    of which there is a set number, in one order."""
+    earlier = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = written.groupBy("bucket").agg(F.sum("n_ids").alias("all")).select("bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("ahead"))
+    inside = written.select("bucket", "part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("inside"))
+    return inside.join(ranges, "bucket").select("bucket", "part", (F.col("ahead") + F.col("inside")).alias("start"))
 
 
-def packed_round_trip(df: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
+def packed_round_trip(df: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): writes all documents and reads the files back.
 
     The files go to a fresh folder under the cluster's shared one unless ``folder`` is given.
     """
     spark = df.sparkSession
     folder = folder or shared_uri(f"{checkpoint_dir(spark)}/packed-{uuid.uuid4().hex}")
-    written = write_packed(df, folder, tokenizer_path, end_id).select("bucket", "n_ids").collect()  # a row for each file
-    if not written:
+    written = materialise(write_packed(df, folder, tokenizer_path, end_id, file_ids=file_ids).select("bucket", "part", "n_ids"))
+    if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    totals = spark.createDataFrame(written, "bucket int, n_ids long").withColumnRenamed("bucket", BUCKET)
-    starts = bucket_starts(totals, "n_ids").select(F.col(BUCKET).alias("bucket"), "start")
-    found = digest_packed(spark, folder).join(F.broadcast(starts), "bucket")  # as many rows as there are files, at most 4 x shuffle partitions
+    # a row for each file, so about a millionth of the data; Spark chooses how to join it by its size
+    found = digest_packed(spark, folder).join(file_starts(written), ["bucket", "part"])
     return found.select("doc_id", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -121,6 +121,27 @@ def test_packed_files(spark, tmp_path):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
-    rows = packing.read_packed(spark, f"file://{tmp_path}/ids").orderBy("bucket", "position").collect()
+    rows = packing.read_packed(spark, f"file://{tmp_path}/ids").orderBy("bucket", "part", "position").collect()
     assert [zlib.crc32(r.ids) for r in rows] == [w[3] for w in want]
     assert packing.packed_round_trip(df.limit(0), JSON, f"file://{tmp_path}/none").count() == 0
+
+
+def test_files_are_bounded_and_a_hot_id_is_spread(spark, tmp_path):
+    library, words = Tokenizer.from_file(JSON), "alpha beta gamma delta epsilon".split()
+    rows = [(None, f"{words[i % 5]} {i}") for i in range(300)] + [(7, f"{words[i % 3]} {i} " * 3) for i in range(300)] + [(i, "w " * (i % 40)) for i in range(300)] + [(9000, "x y " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = packing.packed_round_trip(df, JSON, f"file://{tmp_path}/ids", file_ids=200).collect()
+    names = sorted(p.name for p in (tmp_path / "ids").glob("ids-*.bits"))
+    assert len(names) > 40 and max(p.stat().st_size for p in (tmp_path / "ids").glob("ids-*") if p.stat().st_size < 5000) < 4096
+    held = packing.read_packed(spark, f"file://{tmp_path}/ids").collect()
+    assert len({(r.bucket) for r in held if r.doc_id is None}) > 1 and len({r.bucket for r in held if r.doc_id == 7}) > 1
+    ordered = sorted(found, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in ordered:
+        assert r.start == at
+        at += r.n_tokens
+    want = sorted((str(i), zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in found) == want
+    whole = packing.packed_round_trip(df, JSON, f"file://{tmp_path}/one").collect()
+    assert sorted(map(str, whole)) == sorted(map(str, found))
