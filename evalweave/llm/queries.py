@@ -48,8 +48,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.parse_records(warc.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     found = warc.resolve_revisits(records.drop("body"))
-    number = F.regexp_extract("record_id", r"(\d+)$", 1).cast("long")
-    source = F.regexp_extract("source_id", r"(\d+)$", 1).cast("long")
+    number = F.regexp_extract("record_id", r"^[a-z]+-(-?\d*)$", 1).try_cast("long")
+    source = F.regexp_extract("source_id", r"^[a-z]+-(-?\d*)$", 1).try_cast("long")
     return found.select(number.alias("page_id"), "canonical", "ts", "verdict", "validator", source.alias("source_page_id"), "headers")
 
 
@@ -112,7 +112,7 @@ j AS (SELECT r.i AS page_id, r.canonical, r.again AS ts, s.source, f.t AS ft, f.
   CASE WHEN r.i % 3 <> 0 THEN CASE WHEN r.i % 13 = 0 THEN '"other"' ELSE '"' || substr(r.digest, 1, 16) || '"' END END AS rtag,
   CASE WHEN r.i % 3 = 0 AND r.i % 11 > 5 THEN r.t - 86400 END AS rmod, f.t - 86400 AS fmod,
   CASE WHEN r.i % 11 = 5 THEN r.digest END AS rsent
-  FROM k r JOIN s ON s.i = r.i LEFT JOIN k f ON f.i = s.source),
+  FROM k r JOIN s ON s.i IS NOT DISTINCT FROM r.i LEFT JOIN k f ON f.i = s.source),
 v AS (SELECT *, CASE WHEN source IS NULL THEN NULL WHEN rtag IS NOT NULL THEN 'etag' WHEN rmod IS NOT NULL THEN 'last-modified' WHEN rsent IS NOT NULL THEN 'digest' END AS validator,
   CASE WHEN source IS NULL THEN 'missing' WHEN rtag IS NOT NULL THEN CASE WHEN rtag = ftag THEN 'resolved' ELSE 'mismatch' END
     WHEN rmod IS NOT NULL THEN CASE WHEN rmod = fmod THEN 'resolved' ELSE 'mismatch' END

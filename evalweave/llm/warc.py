@@ -2,8 +2,10 @@
 
 A revisit record of a 304 answer has no body: it stands for the body of an earlier full response. It is
 resolved by an as-of join on the canonical URL: the latest full response (status 200, no Content-Range) that is
-strictly earlier (of equal times the larger record id). Then validators are checked, the first that both sides have: entity tags (weakly:
-without ``W/``), the modification date, the payload digest. If it agrees, the revisit is ``resolved`` and the
+strictly earlier (of equal times the larger record id). A revisit counts as not modified by its profile, or without
+one by its status 304 (or none); others, such as those of an identical digest, aren't reported. Then validators are
+checked, the first that both sides have: entity tags (weakly: without ``W/``), the modification date, the payload
+digest. If it agrees, the revisit is ``resolved`` and the
 stored headers are updated with those that a 304 answer may change; a disagreement is a ``mismatch``, no common
 validator ``unvalidated``, no earlier response ``missing``.
 
@@ -39,6 +41,8 @@ VERSION, BREAK = "WARC/1.0\r\n", "\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes that are buffered of a file.
 PIECE = 1 << 20
+#: Fixed value: how the profile of a not-modified revisit ends.
+NOT_MODIFIED = "server-not-modified"
 
 
 def canonical_url(url: Column) -> Column:
@@ -62,7 +66,8 @@ def header(headers: Column, name: str) -> Column:
 
 
 def parse_records(df: DataFrame, record: str = "warc") -> DataFrame:
-    """The columns of ``df`` but ``record``, and type, url, ts (seconds), record_id, digest, headers and body."""
+    """The columns of ``df`` but ``record``, and type, url, ts (seconds), record_id, digest, profile, status,
+    headers and body."""
     parts = F.split(F.regexp_replace(F.col(record), r"^WARC/1\.[01]\r\n", ""), "\r\n\r\n", 3)
     cut = df.withColumn("__parts", parts).withColumn("__warc", header_list(F.get("__parts", F.lit(0))))
     http = F.coalesce(F.get("__parts", F.lit(1)), F.lit(""))
@@ -73,6 +78,7 @@ def parse_records(df: DataFrame, record: str = "warc") -> DataFrame:
         F.unix_timestamp(F.try_to_timestamp(header(F.col("__warc"), "warc-date"))).alias("ts"),
         header(F.col("__warc"), "warc-record-id").alias("record_id"),
         header(F.col("__warc"), "warc-payload-digest").alias("digest"),
+        header(F.col("__warc"), "warc-profile").alias("profile"),
         F.try_element_at(F.split(F.substring_index(http, BREAK, 1), " "), F.lit(2)).cast("int").alias("status"),
         header_list(http).alias("headers"),
         F.get("__parts", F.lit(2)).alias("body"),
@@ -133,33 +139,37 @@ def merged_headers(stored: Column, answer: Column) -> Column:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """(record_id, canonical, ts, verdict, validator, source_id, headers) of every revisit record.
+    """(record_id, canonical, ts, verdict, validator, source_id, headers) of every not-modified revisit.
 
-    ``records``: record_id, type, url, ts, digest, headers and status as ``parse_records`` gives them. Without a
-    column status every response that isn't a range counts as full.
+    ``records``: record_id, type, url, ts, digest, headers, status and profile as ``parse_records`` gives them. Without
+    a column status every response that isn't a range counts as full.
     """
+    status = F.col("status") if "status" in records.columns else F.lit(None).cast("int")
     whole = header(F.col("headers"), "content-range").isNull()
     if "status" in records.columns:
-        whole = whole & (F.coalesce("status", F.lit(0)) == 200)
-    rows = records.where((F.col("type") == "revisit") | (F.col("type") == "response") & whole)
+        whole = whole & (F.coalesce(status, F.lit(0)) == 200)
+    unchanged = F.coalesce(status, F.lit(304)) == 304
+    if "profile" in records.columns:
+        unchanged = F.when(F.col("profile").isNotNull(), F.contains(F.lower("profile"), F.lit(NOT_MODIFIED))).otherwise(unchanged)
+    rows = records.where((F.col("type") == "revisit") & unchanged | (F.col("type") == "response") & whole)
     rows = rows.select("record_id", "type", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "digest", "headers")
-    full = F.when((F.col("type") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "digest", "headers"))
-    # records without a URL or time are kept apart: each is a key of its own
-    odd = F.col("canonical").isNull() | F.col("ts").isNull()
-    key = F.when(odd, F.concat(F.lit(" "), F.coalesce("record_id", F.lit("")))).otherwise(F.col("canonical"))
+    full = F.when(F.col("type") == "response", F.struct("ts", "record_id", "digest", "headers"))
     # what follows reads the records several times: they are parsed once
-    rows = materialise(rows.select("record_id", "type", "canonical", "ts", "digest", "headers", key.alias("key"), F.when(~odd, full).alias("full")))
-    rows = add_bucket(rows, "ts", shuffle_width(records))
-    earlier = Window.partitionBy("key", BUCKET).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    rows = materialise(rows.withColumn("full", full))
+    # records without a URL or time meet nothing
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    lost = rows.where(~placed & (F.col("type") == "revisit")).withColumn("source", F.lit(None).cast(rows.schema["full"].dataType))
+    rows = add_bucket(rows.where(placed), "ts", shuffle_width(records))
+    earlier = Window.partitionBy("canonical", BUCKET).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max("full").over(earlier)).where("type = 'revisit'")
-    ranges = rows.where("full is not null").groupBy("key", BUCKET).agg(F.max("full").alias("last"))
+    ranges = rows.where("full is not null").groupBy("canonical", BUCKET).agg(F.max("full").alias("last"))
     # a range's revisits also look at the ranges before it: those with revisits only get a row as well
-    asked = near.select("key", BUCKET).distinct()
-    spans = asked.join(ranges, ["key", BUCKET], "full")
-    before = Window.partitionBy("key").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.withColumn("carried", F.max("last").over(before)).select("key", BUCKET, "carried")
-    found = near.join(carried, ["key", BUCKET], "left").withColumn("source", F.coalesce("near", "carried"))
-    return judged(found)
+    asked = near.select("canonical", BUCKET).distinct()
+    spans = asked.join(ranges, ["canonical", BUCKET], "full")
+    before = Window.partitionBy("canonical").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("carried", F.max("last").over(before)).select("canonical", BUCKET, "carried")
+    found = near.join(carried, ["canonical", BUCKET], "left").withColumn("source", F.coalesce("near", "carried"))
+    return judged(found.select(*lost.columns).unionByName(lost))
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -188,18 +198,21 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 
 def page_captures(pages: DataFrame) -> DataFrame:
     """A crawl of the table ``pages`` as WARC records (page_id, warc): each page's full response, a minute
-    after the page before, and a revisit at least half a day later, with validators of several kinds."""
+    after the page before, and a revisit at least half a day later, with validators of several kinds. Between
+    the two some pages answer with an error, with a part of the page or with 304, which can't be sources. A page
+    without an id has no times, so its revisit is ``missing``."""
     i = F.col("page_id")
     digest = F.md5(F.coalesce(F.col("html"), F.lit("")))
     date = lambda ts: F.date_format(ts.cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     stamp = lambda ts: F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     first = F.lit(1704067200) + i * 60
+    between = first + 21600
     again = first + 43200 + (i % 7) * 600
     tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(BREAK)), F.lit(""))
 
-    def record(kind: str, ts: Column, http: Column, body: Column) -> Column:
-        head = [line("WARC-Type", F.lit(kind)), line("WARC-Target-URI", F.coalesce(F.col("url"), F.lit(""))), line("WARC-Date", stamp(ts)), line("WARC-Record-ID", F.concat(F.lit(kind + "-"), i.cast("string")))]
+    def record(kind: str, name: str, ts: Column, http: Column, body: Column) -> Column:
+        head = [line("WARC-Type", F.lit(kind)), line("WARC-Target-URI", F.coalesce(F.col("url"), F.lit(""))), line("WARC-Date", stamp(ts)), line("WARC-Record-ID", F.concat(F.lit(name + "-"), F.coalesce(i.cast("string"), F.lit(""))))]
         more = [line("WARC-Payload-Digest", F.concat(F.lit("md5:"), digest))] if kind == "response" else [F.when(i % 11 == 5, line("WARC-Payload-Digest", F.concat(F.lit("md5:"), digest))).otherwise(F.lit(""))]
         return F.concat(F.lit(VERSION), *head, *more, F.lit(BREAK), http, F.lit(BREAK), body)
 
@@ -207,9 +220,12 @@ def page_captures(pages: DataFrame) -> DataFrame:
         F.lit("HTTP/1.1 200 OK" + BREAK), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(F.coalesce("html", F.lit(""))).cast("string")),
         line("ETag", F.concat(F.when(i % 5 == 0, "W/").otherwise(""), tag)), line("Last-Modified", date(first - 86400)), line("Cache-Control", F.lit("max-age=3600")), line("Date", date(first)),
     )
+    part = F.when(i % 3 == 0, "404 Not Found" + BREAK).when(i % 3 == 1, "206 Partial Content" + BREAK + "Content-Range: bytes 0-0/9" + BREAK).otherwise("304 Not Modified" + BREAK)
+    other = F.concat(F.lit("HTTP/1.1 "), part, line("ETag", F.lit('"between"')), line("Date", date(between)))
     answer = F.concat(
         F.lit("HTTP/1.1 304 Not Modified" + BREAK), line("Date", date(again)), line("Cache-Control", F.lit("max-age=600")), line("Content-Length", F.lit("0")), line("Expires", date(again + 600)),
         F.when(i % 3 != 0, line("ETag", F.when(i % 13 == 0, F.lit('"other"')).otherwise(tag))).when(i % 11 > 5, line("Last-Modified", date(first - 86400))).otherwise(F.lit("")),
     )
-    pairs = F.array(record("response", first, full, F.coalesce(F.col("html"), F.lit(""))), record("revisit", again, answer, F.lit("")))
-    return pages.select("page_id", F.explode(pairs).alias("warc"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    some = [record("response", "response", first, full, html), F.when(i % 17 == 3, record("response", "between", between, other, F.lit("x"))), record("revisit", "revisit", again, answer, F.lit(""))]
+    return pages.select("page_id", F.explode(F.array_compact(F.array(*some))).alias("warc"))
