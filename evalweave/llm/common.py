@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows and text bytes that a task holds at a time, whatever Spark's own batches are.
 SLICE_ROWS = 2048
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:

@@ -45,22 +45,26 @@ class Cache:
 
     def recall(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """The value of each of the distinct keys; ``make`` gives those that aren't known."""
-        if len(self.young) >= self.entries:
-            self.young, self.old = {}, self.young
         found = list(map(self.young.get, keys))
         if not (gaps := _gaps(found)):
             return found
         older = list(map(self.old.get, map(keys.__getitem__, gaps)))
         for i, value in zip(gaps, older, strict=True):
             if value is not None:
-                self.young[keys[i]] = found[i] = value
+                found[i] = value
+                self._keep(keys[i], value)
         gaps = [i for i, value in zip(gaps, older, strict=True) if value is None]
         for i, value in zip(gaps, make([keys[i] for i in gaps]), strict=True):
             found[i] = value
             if len(keys[i]) <= KEPT_LENGTH:
-                self.young[keys[i]] = value
+                self._keep(keys[i], value)
         return found
 
+    def _keep(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.entries:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
 
 def _gaps(values: list) -> list[int]:
     out, at = [], -1
@@ -95,7 +99,7 @@ class WordEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self._encode = encode
-        self._words, self._heads = Cache(entries), Cache()
+        self._words, self._heads = Cache(entries), Cache(entries)
 
     def _after_space(self, words: list[str]) -> list[bytes]:
         return self._words.recall(words, lambda fresh: self._encode([" " + w for w in fresh]))
