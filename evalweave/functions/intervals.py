@@ -15,7 +15,7 @@ NUMBER = "decimal(18,6)"
 def parse_mic(raw: Column) -> Column:
     """The interval of a reading; null if it isn't a sign and a positive number."""
     text = F.trim(raw)
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^≤|^</=", "<="), "^≥|^>/=", ">="), "^==", "="), "^=\\s*", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^≤", "<="), "^≥", ">="), "^==", "="), "^=\\s*", "")
     sign, number = F.regexp_extract(text, r"^(<=|>=|<|>)?", 1), F.regexp_extract(text, r"^(?:<=|>=|<|>)?\s*(\d+(?:\.\d+)?)$", 1)
     value = F.when(number != "", number.cast(NUMBER))
     zero, none = F.lit(0).cast(NUMBER), F.lit(None).cast(NUMBER)

@@ -87,7 +87,7 @@ def genotype_token(col: Column) -> tuple[Column, Column]:
 
 
 #: Numbers of the alleles of the OXA-48-like group.
-OXA_48_LIKE = (48, 54, 162, 163, 181, 199, 204, 232, 244, 245, 247, 252, 370, 405, 416, 438, 439, 484, 505, 515, 517, 519, 535, 538, 546, 547)
+OXA_48_LIKE = (48, 162, 163, 181, 204, 232, 244, 245, 370, 405, 438, 484, 505, 517, 519, 535, 537)
 
 
 def carbapenemase_family(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import intervals, labels
+from ..functions import breakpoints, intervals, labels
 from ..operators import gates, graph, joins
 from ..registry import query
 from ..roles import CALLS, CUT, SAMPLES, SNAPSHOTS, calls, cohort, samples, snapshots, table
@@ -180,15 +180,36 @@ def as_of_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("found.view_id").alias("view_id"))
 
 
-@query("J22_breakpoint_lookup", f"WITH {READINGS} SELECT CASE WHEN event_id % 6 = 0 THEN 'NO_UNIQUE_DOCUMENTED_BREAKPOINT' WHEN event_id % 6 = 1 THEN 'INCOMPLETE_METADATA' WHEN event_id % 6 = 2 THEN 'UNSUPPORTED_BREAKPOINT_CONVENTION' ELSE 'INTERPRETED' END AS status, COUNT(*) AS n FROM readings GROUP BY 1")
+#: Rules of the query: for purchases a documented one, for clicks two, for views without a citation, for errors of a
+#: convention that isn't supported; none for signups.
+BREAKPOINTS = [
+    ("purchase", "S_LE_R_GT", "https://example.org/v1", "ab" * 32),
+    ("click", "S_LE_R_GT", "https://example.org/v1", "ab" * 32),
+    ("click", "S_LE_R_GT", "https://example.org/v2", "ab" * 32),
+    ("view", "S_LE_R_GT", "", "ab" * 32),
+    ("error", "R_GE", "https://example.org/v1", "ab" * 32),
+]
+BREAKPOINT_SQL = f"""WITH {READINGS}, r AS (SELECT e.event_id, e.event_type, sign, m, e.event_id % 6 AS v, e.event_id % 10 AS w FROM readings JOIN events e USING (event_id)),
+  k AS (SELECT *, sign IN ('<', '<=') AS low, sign IN ('>', '>=') AS high FROM r),
+  c AS (SELECT *, CASE WHEN NOT high AND m <= {S_MAX} THEN 'S' WHEN high AND m > {R_LIMIT} OR sign = '>' AND m = {R_LIMIT} THEN 'R'
+    WHEN sign = '=' THEN CASE WHEN m <= {R_LIMIT} THEN 'I' ELSE 'R' END
+    WHEN low THEN CASE WHEN m <= {R_LIMIT} THEN 'S|I' ELSE 'S|I|R' END
+    ELSE CASE WHEN m < {S_MAX} OR sign = '>=' AND m = {S_MAX} THEN 'S|I|R' ELSE 'I|R' END END AS possible FROM k),
+  s AS (SELECT CASE WHEN v = 1 THEN 'INCOMPLETE_METADATA' WHEN v = 2 AND w = 2 THEN 'INVALID_MIC' WHEN event_type IN ('signup', 'click') THEN 'NO_UNIQUE_DOCUMENTED_BREAKPOINT'
+    WHEN event_type = 'view' THEN 'BREAKPOINT_CITATION_INCOMPLETE' WHEN event_type = 'error' THEN 'UNSUPPORTED_BREAKPOINT_CONVENTION'
+    WHEN contains(possible, '|') THEN 'CENSORED_AMBIGUOUS' ELSE 'VERSION_CONDITIONAL_INTERPRETATION' END AS status, possible FROM c)
+SELECT status, CASE WHEN status IN ('CENSORED_AMBIGUOUS', 'VERSION_CONDITIONAL_INTERPRETATION') THEN possible ELSE '' END AS possible_categories, COUNT(*) AS n FROM s GROUP BY 1, 2"""
+
+
+@query("J22_breakpoint_lookup", BREAKPOINT_SQL)
 def breakpoint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drug = F.element_at(F.array(*map(F.lit, ("unlisted", "a", "odd", "a", "a", "a"))), (F.col("event_id") % 6 + 1).cast("int"))
-    version = F.when(F.col("event_id") % 6 == 1, "").otherwise("v1")
-    rules = spark.createDataFrame([("a", "v1", "S_LE_R_GT", S_MAX, R_LIMIT), ("a", "", "S_LE_R_GT", S_MAX, R_LIMIT), ("odd", "v1", "OTHER", 1, 2)], "drug string, version string, convention string, s_max int, r_above int")
-    ruled = rules.groupBy("drug", "version").agg(F.count("*").alias("rules"), F.first("convention").alias("convention"))
-    rows = readings(spark, sf_dir).withColumn("drug", drug).withColumn("version", version).join(F.broadcast(ruled), ["drug", "version"], "left")  # rules are a fixed list
-    status = F.when(F.coalesce(F.col("rules"), F.lit(0)) != 1, "NO_UNIQUE_DOCUMENTED_BREAKPOINT").when(F.col("version") == "", "INCOMPLETE_METADATA").when(F.col("convention") != "S_LE_R_GT", "UNSUPPORTED_BREAKPOINT_CONVENTION").otherwise("INTERPRETED")
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    types = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("drug"))
+    value = F.when((F.col("event_id") % 6 == 2) & (F.col("event_id") % 10 == 2), "NaN").otherwise(F.col("number").cast("string"))
+    version = F.when(F.col("event_id") % 6 == 1, "").otherwise("V1")
+    given = [F.lit(v).alias(k) for k, v in {"organism": "Any Organism", "standard": "TEST", "context": "any", "unit": "mg/L", "method": "mic"}.items()]
+    rows = readings(spark, sf_dir).join(types, "event_id").select("drug", value.alias("mic_value"), F.col("sign").alias("mic_sign"), version.alias("version"), *given)
+    rules = spark.createDataFrame([(d, "any organism", "test", "any", "mg/l", "v1", f"{S_MAX}", f"{R_LIMIT}", *rest) for d, *rest in BREAKPOINTS], "drug string, organism string, standard string, context string, unit string, version string, s_max string, r_above string, convention string, source_url string, source_sha256 string")
+    return breakpoints.interpret(rows, rules).groupBy("status", "possible_categories").agg(F.count("*").alias("n"))
 
 
 @query("J23_aligned_values", "SELECT d.doc_id, CAST(l.toxic AS BIGINT) AS toxic FROM documents d JOIN labels l USING (doc_id)")

@@ -18,7 +18,7 @@ from ..roles import CALLS, PREDICTIONS, SAMPLES, calls, cohort, predictions, sam
 from ..session import scratch
 from ..sources import documents as docs
 from .metrics import BA, CELLS
-from .rows import readings
+from .rows import READINGS, R_LIMIT, S_MAX, readings
 
 DRAWS, SEED = 50, 20261114
 
@@ -203,16 +203,37 @@ def minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("datasetA.c_custkey").alias("a"), F.col("datasetB.c_custkey").alias("b"), F.round(-F.log(2 * j / (1 + j)) / 3, 6).alias("distance"))
 
 
-@query("F21_evidence_states", "SELECT CASE CAST(k % 6 AS INTEGER) WHEN 0 THEN 'NO_EVIDENCE' WHEN 1 THEN 'FIRST_ONLY' WHEN 2 THEN 'CONCORDANT' WHEN 3 THEN 'CATEGORY_DIFFERS' WHEN 4 THEN 'DOCUMENTED_CHANGE' ELSE 'UNEXPLAINED_DIFFERENCE' END AS state, COUNT(*) AS n FROM range(60) t(k) GROUP BY 1")
+#: Each event is a case of its own, observed before and after. Intervals in SQL are lo, hi and whether they are closed.
+EVIDENCE_SQL = f"""WITH {READINGS}, c AS (SELECT event_id AS i, sign, m, m * CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 8 END AS n, CASE WHEN event_id % 5 IN (1, 3) THEN TRUE ELSE FALSE END AS swapped FROM readings),
+  t AS (SELECT *, CASE WHEN swapped THEN '=' ELSE sign END AS other FROM c),
+  x AS (SELECT *, CASE WHEN sign IN ('<', '<=') THEN 0 ELSE m END AS alo, CASE WHEN sign IN ('>', '>=') THEN 1e9 ELSE m END AS ahi, sign IN ('=', '>=') AS alc, sign IN ('=', '<=') AS ahc,
+    CASE WHEN other IN ('<', '<=') THEN 0 ELSE n END AS blo, CASE WHEN other IN ('>', '>=') THEN 1e9 ELSE n END AS bhi, other IN ('=', '>=') AS blc, other IN ('=', '<=') AS bhc,
+    CASE WHEN m <= {S_MAX} THEN 'S' WHEN m <= {R_LIMIT} THEN 'I' ELSE 'R' END AS ac, CASE WHEN i % 19 = 0 THEN 'ND' WHEN n <= {S_MAX} THEN 'S' WHEN n <= {R_LIMIT} THEN 'I' ELSE 'R' END AS bc FROM t),
+  y AS (SELECT *, (alo < bhi OR alo = bhi AND alc AND bhc) AND (blo < ahi OR blo = ahi AND blc AND ahc) AS meet, m <> n OR sign <> other AS differs FROM x)
+SELECT CASE WHEN i % 17 = 0 THEN 'INSUFFICIENT_PAIRED_REFERENCE' WHEN i % 13 = 0 THEN 'AMBIGUOUS_MULTIPLE_REFERENCE_STATES' WHEN i % 11 = 0 THEN 'UNSUPPORTED_OR_MISSING_MIC_OR_UNIT'
+  WHEN i % 4 = 0 AND i % 8 <> 0 AND i % 12 <> 0 AND differs THEN 'DOCUMENTED_MIC_UPDATE_LINK' WHEN bc = 'ND' THEN 'CATEGORY_UNAVAILABLE_CAUSE_UNRESOLVED'
+  WHEN NOT meet AND ac <> bc THEN 'DISJOINT_MIC_WITH_CATEGORY_CHANGE' WHEN NOT meet THEN 'DISJOINT_MIC_WITH_SAME_CATEGORY' WHEN ac <> bc THEN 'CATEGORY_ONLY_REFERENCE_DIFFERENCE'
+  WHEN differs THEN 'OVERLAPPING_REPORTING_INTERVALS' ELSE 'SAME_REPORTED_REFERENCE' END AS evidence_state, COUNT(*) AS n FROM y GROUP BY 1"""
+
+
+@query("F21_evidence_states", EVIDENCE_SQL)
 def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("id") % 6
-    one = lambda mic, cat: F.array(F.struct(F.lit(mic).alias("mic"), F.lit(cat).alias("category")))
-    none = F.array().cast("array<struct<mic:string,category:string>>")
-    first = F.when(k == 0, none).otherwise(one("<=1", "S"))
-    second = F.when(k < 2, none).when(k == 2, one("1", "S")).when(k == 3, one("1", "R")).otherwise(one("8", "R"))
-    history = F.array(F.struct(F.lit("x").alias("sample"), F.lit("d").alias("drug"), F.when(k == 4, "url").otherwise("").alias("source"), F.lit("2024-01-01").cast("date").alias("day"), F.lit("1").alias("old_value"), F.lit("8").alias("new_value")))
-    changes = evidence.valid_changes(history, F.lit("x"), F.lit("d"), F.lit("2024-06-01").cast("date"))
-    return spark.range(60).groupBy(evidence.case_state(first, second, changes).alias("state")).agg(F.count("*").alias("n"))
+    i = F.col("event_id")
+    rows = readings(spark, sf_dir).select("event_id", i.cast("string").alias("sample"), F.lit("Meropenem").alias("drug"), "sign", "number")
+    rows = rows.withColumn("later", F.col("number") * F.element_at(F.array(F.lit(1), F.lit(2), F.lit(8)), (i % 3 + 1).cast("int"))).withColumn("other", F.when((i % 5).isin(1, 3), "=").otherwise(F.col("sign")))
+    category = lambda n: F.when(n <= S_MAX, "S").when(n <= R_LIMIT, "I").otherwise("R")
+    first = lambda sign, n, unit: F.struct(F.concat(sign, n.cast("string")).alias("mic"), unit.alias("unit"), category(F.col("number")).alias("category"))
+    unit = F.when(i % 11 == 0, "mm").otherwise("mg/L")
+    # some cases have a row more: the same in another spelling, or another reading
+    again = F.when(i % 13 == 0, first(F.col("sign"), F.col("number") + 1, unit)).when((i % 7 == 0) & (i % 11 != 0), first(F.when(F.col("sign") == "=", "==").otherwise(F.col("sign")), F.col("number"), F.lit("µg/mL")))
+    old = rows.select("sample", "drug", F.explode(F.array_compact(F.array(first(F.col("sign"), F.col("number"), unit), again))).alias("o")).select("sample", "drug", "o.*")
+    new = rows.where(i % 17 != 0).select("sample", F.upper("drug").alias("drug"), F.concat("other", F.col("later").cast("string")).alias("mic"), F.lit("ug/ml").alias("unit"), F.when(i % 19 == 0, "ND").otherwise(category(F.col("later"))).alias("category"))
+    history = rows.where(i % 4 == 0).select(
+        "sample", "drug", F.concat("sign", F.col("number").cast("string")).alias("old_value"), F.concat("other", F.col("later").cast("string")).alias("new_value"),
+        F.when(i % 12 == 0, "12/01/27").otherwise("01/15/24").alias("day"), F.when(i % 8 == 0, "").otherwise("https://example.org/h").alias("source_url"), F.sha2("sample", 256).alias("artifact_sha256"),
+    )
+    cases = rows.select("sample", "drug", F.lit("2024-06-01").cast("date").alias("as_of"))
+    return evidence.audit(cases, old, new, history).groupBy("evidence_state").agg(F.count("*").alias("n"))
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:

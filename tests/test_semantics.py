@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalweave.functions import evidence, intervals, labels, sequences, stats
+from evalweave.functions import breakpoints, evidence, intervals, labels, sequences, stats
 from evalweave.operators import association, evaluation, gates, graph, joins, ordered, resampling
 from evalweave.sources import text
 from evalweave.streaming import snapshots
@@ -35,6 +35,7 @@ def test_allowed_categories(spark, raw, want):
         (">8", "R", "BOUNDARY_SENSITIVE"),
         ("<64", "R", "OBSERVED_INTERVAL_OR_CATEGORY_UNCERTAIN"),
         ("≤0.06", "S", "BOUNDARY_ROBUST"),
+        ("</=0.125", "S", "UNSUPPORTED_MIC"),
     ],
 )
 def test_boundary_status(spark, raw, label, want):
@@ -173,9 +174,94 @@ def test_strands(spark):
     assert [tuple(x) for x in row[0]] == [(1, "+"), (2, "+"), (4, "-"), (5, "-")] and [tuple(x) for x in row[1]] == [(1, "+")] and row[2] == 2
 
 
-def test_evidence_without_observations(spark):
-    none = F.array().cast("array<struct<mic:string,category:string>>")
-    assert spark.range(1).select(evidence.case_state(none, none, F.array())).first()[0] == "NO_EVIDENCE"
+CASE = {"sample": "s1", "drug": "meropenem"}
+HISTORY = {**CASE, "old_value": "2", "new_value": "4", "day": "08/11/22", "source_url": "https://example.invalid/x", "artifact_sha256": "a" * 64}
+
+
+def audited(spark, old, new, history=()):
+    """The evidence of one case; observations are (mic, unit, category)."""
+    seen = "sample string, drug string, mic string, unit string, category string"
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cases = frame([(*CASE.values(), "2026-11-10")], "sample string, drug string, d string").select("sample", "drug", F.to_date("d").alias("as_of"))
+    rows = [[(*CASE.values(), *o) for o in side] for side in (old, new)]
+    past = frame([tuple(h[k] for k in HISTORY) for h in history], ", ".join(f"{k} string" for k in HISTORY))
+    (found,) = evidence.audit(cases, frame(rows[0], seen), frame(rows[1], seen), past).collect()
+    return found
+
+
+@pytest.mark.parametrize(
+    "old, new, history, state",
+    [
+        ([("==2.0", "mg/L", "S")], [("2", "µg/mL", "S")], [], "SAME_REPORTED_REFERENCE"),
+        ([("1", "mg/L", "S")], [("2", "mg/L", "S")], [], "DISJOINT_MIC_WITH_SAME_CATEGORY"),
+        ([("2", "mg/L", "S")], [("4", "mg/L", "I")], [], "DISJOINT_MIC_WITH_CATEGORY_CHANGE"),
+        ([("2", "mg/L", "ND")], [("4", "mg/L", "R")], [], "CATEGORY_UNAVAILABLE_CAUSE_UNRESOLVED"),
+        ([("2", "mg/L", "S")], [("4", "mg/mL", "I")], [], "UNSUPPORTED_OR_MISSING_MIC_OR_UNIT"),
+        ([("n/a", "mg/L", "S")], [("4", "mg/L", "I")], [], "UNSUPPORTED_OR_MISSING_MIC_OR_UNIT"),
+        ([], [("4", "mg/L", "I")], [], "INSUFFICIENT_PAIRED_REFERENCE"),
+        ([("2", "mg/L", "S"), ("8", "mg/L", "R")], [("4", "mg/L", "I")], [HISTORY], "AMBIGUOUS_MULTIPLE_REFERENCE_STATES"),
+        ([("8", "mg/L", "R"), ("2", "mg/L", "S")], [("4", "mg/L", "I")], [HISTORY], "AMBIGUOUS_MULTIPLE_REFERENCE_STATES"),
+        ([("2", "mg/L", "S")], [("2", "mg/L", "I")], [], "CATEGORY_ONLY_REFERENCE_DIFFERENCE"),
+        ([("<=2", "mg/L", "S")], [("2", "mg/L", "S")], [], "OVERLAPPING_REPORTING_INTERVALS"),
+        ([("2", "mg/L", "S")] * 2, [("4", "mg/L", "I")], [HISTORY], "DOCUMENTED_MIC_UPDATE_LINK"),
+        ([("2", "mg/L", "S")], [("4", "mg/L", "I")], [{**HISTORY, "drug": "MEROPENEM "}], "DOCUMENTED_MIC_UPDATE_LINK"),
+        *(([("2", "mg/L", "S")], [("4", "mg/L", "I")], [{**HISTORY, k: v}], "DISJOINT_MIC_WITH_CATEGORY_CHANGE") for k, v in (("old_value", "1"), ("drug", "imipenem"), ("sample", "other"), ("day", "12/01/27"), ("artifact_sha256", ""), ("source_url", ""))),
+    ],
+)
+def test_evidence_states(spark, old, new, history, state):
+    found = audited(spark, old, new, history)
+    assert found.evidence_state == state and bool(found.history_link) == (state == "DOCUMENTED_MIC_UPDATE_LINK")
+    assert (found.old_rows, found.new_rows) == (len(old), len(new))
+
+
+def test_history_that_does_not_link(spark):
+    found = audited(spark, [("2", "mg/L", "S")], [("4", "mg/L", "I")], [{**HISTORY, "old_value": "1"}])
+    assert (found.native_history, found.history_link, found.category_difference, found.mic_disjoint) == (True, False, True, True)
+    assert audited(spark, [("2", "mg/L", "ND")], [("4", "mg/L", "R")]).category_difference is None
+
+
+RULE = {"organism": "test organism", "drug": "test drug", "standard": "TEST", "version": "v1", "context": "test context", "unit": "u", "s_max": "2", "r_above": "8", "convention": "S_LE_R_GT", "source_url": "https://example.invalid/t", "source_sha256": "a" * 64}
+READING = {k: RULE[k] for k in breakpoints.CONTEXT} | {"method": "MIC", "mic_sign": "=", "mic_value": "2"}
+
+
+def interpreted(spark, reading, rules):
+    make = lambda rows, names: spark.createDataFrame([tuple(r[k] for k in names) for r in rows], ", ".join(f"{k} string" for k in names))
+    row = breakpoints.interpret(make([READING | reading], list(READING)), make(rules, list(RULE))).first()
+    return row.status, row.possible_categories
+
+
+@pytest.mark.parametrize("sign, value, want", [("=", "2", "S"), ("==", "2", "S"), ("<=", "2", "S"), (">", "2", "I|R"), (">=", "2", "S|I|R"), ("=", "8", "I"), (">", "8", "R"), (">=", "8", "I|R"), ("<", "8", "S|I"), ("=", "9", "R"), ("<", "2", "S"), ("<=", "8", "S|I"), ("≥", "8", "I|R")])
+def test_breakpoint_categories(spark, sign, value, want):
+    status = "CENSORED_AMBIGUOUS" if "|" in want else "VERSION_CONDITIONAL_INTERPRETATION"
+    assert interpreted(spark, {"mic_sign": sign, "mic_value": value, "drug": "TEST Drug"}, [RULE]) == (status, want)
+
+
+@pytest.mark.parametrize(
+    "reading, rules, want",
+    [
+        ({}, [], "NO_UNIQUE_DOCUMENTED_BREAKPOINT"),
+        ({}, [RULE, RULE], "NO_UNIQUE_DOCUMENTED_BREAKPOINT"),
+        ({"version": ""}, [RULE], "INCOMPLETE_METADATA"),
+        ({"organism": None}, [RULE], "INCOMPLETE_INTERPRETIVE_CONTEXT"),
+        ({"method": "disk"}, [RULE], "NOT_MIC"),
+        ({"mic_value": "NaN"}, [RULE], "INVALID_MIC"),
+        ({"mic_value": "-1"}, [RULE], "INVALID_MIC"),
+        ({"mic_sign": "~"}, [RULE], "UNKNOWN_SIGN"),
+        ({}, [{**RULE, "source_sha256": "ab"}], "BREAKPOINT_CITATION_INCOMPLETE"),
+        ({}, [{**RULE, "s_max": "two"}], "INVALID_BREAKPOINT"),
+        ({}, [{**RULE, "s_max": "9"}], "UNSUPPORTED_BREAKPOINT"),
+        ({}, [{**RULE, "convention": "R_GE"}], "UNSUPPORTED_BREAKPOINT_CONVENTION"),
+    ],
+)
+def test_breakpoint_failures(spark, reading, rules, want):
+    assert interpreted(spark, reading, rules) == (want, "")
+
+
+def test_family_alleles(spark):
+    """The alleles of the OXA-48-like group."""
+    alleles = [48, 162, 163, 181, 204, 232, 244, 245, 370, 405, 438, 484, 505, 517, 519, 535, 537]
+    rows = spark.range(700).select("id", labels.carbapenemase_family(F.concat(F.lit("blaOXA-"), F.col("id").cast("string"))).alias("family"))
+    assert [r.id for r in rows.where("family = 'OXA-48-like'").orderBy("id").collect()] == alleles
 
 
 def test_membership_faults(spark, tmp_path):
