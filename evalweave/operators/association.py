@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_totals, with_range, with_totals
+
 
 def presence_counts(calls: DataFrame, cohort: DataFrame, strata: list[str] | None = None) -> DataFrame:
     """(strata, feature, a, b, n_pos, n_neg): samples with the feature by label, and class sizes. Each
@@ -13,7 +17,7 @@ def presence_counts(calls: DataFrame, cohort: DataFrame, strata: list[str] | Non
     sizes = cohort.groupBy(*strata).agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))
     counts = calls.select("sample", "feature").distinct().join(cohort, "sample").groupBy(*strata, "feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     if strata:
-        return counts.join(F.broadcast(sizes) if len(strata) == 0 else sizes, strata)
+        return counts.join(sizes, strata)
     return counts.crossJoin(F.broadcast(sizes))  # one row
 
 
@@ -31,14 +35,22 @@ def top_features(scored: DataFrame, keys: list[str], score: str, k: int, tie: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bh_fdr(df: DataFrame, keys: list[str], p: str, ties: list[str], name: str = "q") -> DataFrame:
-    """Step-up q-values within the keys; rows without p keep null and don't count."""
-    valid = F.col(p).isNotNull()
-    group = Window.partitionBy(*keys, valid)
-    rank = F.row_number().over(group.orderBy(F.col(p), *ties))
-    ranked = df.withColumn("__rank", rank).withColumn("__n", F.count("*").over(group))
-    step = F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(group.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn(name, F.when(valid, F.least(F.lit(1.0), step))).drop("__rank", "__n")
+def bh_fdr(df: DataFrame, keys: list[str], p: str, name: str = "q", ranges: int = 16) -> DataFrame:
+    """Step-up q-values within the keys; rows without p keep null and don't count.
+
+    Equal p have one q, so distinct p are counted first; ranks and the least later step are then taken in ranges
+    of p and from range to range, so no key is one task.
+    """
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    ranked = with_totals(running_totals(counts, keys, "__p", ["__n"], ranges), totals, keys)
+    steps = with_range(ranked.withColumn("__step", F.col("__p") * F.col("__all") / (F.col("before___n") + F.col("__n"))), "__p", ranges)
+    least = F.min("__step").over(Window.partitionBy(*keys, "__range").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    later = Window.partitionBy(*keys).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = steps.groupBy(*keys, "__range").agg(F.min("__step").alias("__least")).select(*keys, "__range", F.min("__least").over(later).alias("__ahead"))
+    q = steps.withColumn("__q", least).join(ahead, [*keys, "__range"]).select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__p").alias("__value"), F.least(F.lit(1.0), "__q", "__ahead").alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)] + [F.col(p) == F.col("__value")]
+    return df.join(q, reduce(lambda a, b: a & b, same), "left").select(*df.columns, name)
 
 
 def cochran_mantel_haenszel(a: Column, b: Column, n_pos: Column, n_neg: Column) -> list[Column]:
@@ -66,12 +78,14 @@ def meta_analysis(rows: DataFrame, keys: list[str], effect: str = "lor", se: str
     return q.join(random, keys).select(*keys, "k", "fixed", F.sqrt(1 / F.col("sw")).alias("fixed_se"), "q", "i2", "tau2", "random", "random_se", (F.col("random") - 1.96 * F.col("random_se")).alias("ci_low"), (F.col("random") + 1.96 * F.col("random_se")).alias("ci_high"))
 
 
-def pair_counts(calls: DataFrame) -> DataFrame:
-    """(f, g, n11) for features f < g that occur together: self join on the sample, so its size follows the
-    number of calls of a sample squared; samples should have few."""
-    a = calls.select("sample", F.col("feature").alias("f"))
-    b = calls.select("sample", F.col("feature").alias("g"))
-    return a.join(b, "sample").where("f < g").groupBy("f", "g").agg(F.count("*").alias("n11"))
+def pair_counts(calls: DataFrame, split: int = 1000) -> DataFrame:
+    """(f, g, n11) for features f < g that occur together, by a self join on the sample. A sample with more than
+    ``split`` features is dealt into parts of that size, each of which meets all of its features."""
+    sizes = calls.groupBy("sample").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    rows = calls.join(sizes, "sample")
+    a = rows.select("sample", F.pmod(F.xxhash64("feature"), F.col("parts")).cast("int").alias("part"), F.col("feature").alias("f"))
+    b = rows.select("sample", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("feature").alias("g"))
+    return a.join(b, ["sample", "part"]).where("f < g").groupBy("f", "g").agg(F.count("*").alias("n11"))
 
 
 def phi(n11: Column, na: Column, nb: Column, n: Column) -> Column:

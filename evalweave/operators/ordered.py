@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
+#: Bits of monotonically_increasing_id that count within a partition.
+WITHIN = 33
+
 
 def with_range(df: DataFrame, order: str, ranges: int, name: str = "__range") -> DataFrame:
     """Adds the number of the range of ``order`` (numeric) that a row falls into; equal values share one."""
@@ -35,3 +40,40 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
 def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the totals of their keys; without keys the totals are one row."""
     return rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds each row's place (from 0) in a total order: a distributed sort, then the partitions' sizes, of which
+    there is a row for each partition, are added up."""
+    placed = materialise(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", WITHIN)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    found = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return found.select(*df.columns, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << WITHIN) - 1))).alias(name))
+
+
+def hash_ranks(df: DataFrame, keys: list[str], hashed: Column, tie: str, name: str, parts: int = 32) -> DataFrame:
+    """Adds the rank (from 1) of each row within its keys by (hash, tie): counted in parts of the hash's range, so a
+    key of most rows is spread over as many tasks."""
+    marked = df.withColumn("__h", hashed).withColumn("__part", F.least(F.lit(parts - 1), F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * parts).cast("int")))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__h", tie))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = marked.groupBy(*keys, "__part").agg(F.count("*").alias("__n")).select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    return marked.withColumn("__inside", inside).join(ahead, [*keys, "__part"]).select(*df.columns, (F.col("__ahead") + F.col("__inside")).alias(name))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, a column for each point): quantiles with linear interpolation, from the rows at the places around
+    them; no group's values are gathered. Nulls don't count."""
+    rows = positions(df.select(*keys, value).where(F.col(value).isNotNull()), [*(F.col(k) for k in keys), F.col(value)], "__p")
+    rows = materialise(rows)
+    groups = rows.groupBy(*keys).agg(F.min("__p").alias("__first"), F.count("*").alias("__n"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("__n") - 1)).alias("at")) for name, q in points.items()))
+    asked = groups.select("__first", F.explode(wanted).alias("w")).select((F.col("__first") + F.floor("w.at")).alias("low"), (F.col("__first") + F.ceil("w.at")).alias("high"), (F.col("w.at") - F.floor("w.at")).alias("part"), "w.name")
+    ends = asked.select("name", F.explode(F.array(F.struct(F.col("low").alias("__p"), (1 - F.col("part")).alias("weight"), F.lit(0).alias("end")), F.struct(F.col("high").alias("__p"), F.col("part").alias("weight"), F.lit(1).alias("end")))).alias("e")).select("name", "e.*")
+    found = rows.join(ends, "__p")
+    # low + (high - low) * part, so that equal ends give just that value
+    at = lambda name, end: F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col(value)))
+    share = lambda name: F.max(F.when((F.col("name") == name) & (F.col("end") == 1), F.col("weight")))
+    return found.groupBy(*keys).agg(*((at(n, 0) + (at(n, 1) - at(n, 0)) * share(n)).alias(n) for n in points))

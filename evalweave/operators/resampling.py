@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .ordered import hash_ranks, positions
+
 
 def own_group(group: Column, row_id: Column) -> Column:
     """The group, or a block of the row's own where it is unknown."""
@@ -25,10 +28,9 @@ def hashed_weights(groups: DataFrame, draws: int, seed: int) -> DataFrame:
 
     Groups are numbered by the order of their name; picks are counted by number.
     """
-    named = groups.select("group").distinct()
-    n = named.count()
-    numbered = named.withColumn("k", F.row_number().over(Window.orderBy("group")) - 1)  # a row for each group
-    picks = groups.sparkSession.range(draws * n).select((F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("k"))
+    numbered = materialise(positions(groups.select("group").distinct(), [F.col("group")], "k"))
+    n = numbered.count()
+    picks = groups.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("k"))
     return picks.groupBy("draw", "k").agg(F.count("*").alias("w")).join(numbered, "k").select("draw", "group", "w")
 
 
@@ -45,8 +47,8 @@ def stratified_sample(df: DataFrame, label: str, n: int, row_id: str, seed: int)
     shares = shares.withColumn("base", F.floor("exact")).withColumn("rest", F.row_number().over(Window.orderBy((F.col("exact") - F.col("base")).desc(), label)))  # a row for each class
     missing = shares.agg((F.lit(min(n, total)) - F.sum("base")).alias("more"))
     quota = shares.crossJoin(F.broadcast(missing)).select(label, (F.col("base") + F.when(F.col("rest") <= F.col("more"), 1).otherwise(0)).alias("quota"))
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    return df.withColumn("__k", F.row_number().over(order)).join(F.broadcast(quota), label).where("__k <= quota").drop("__k", "quota")
+    ranked = hash_ranks(df, [label], F.xxhash64(F.lit(seed), row_id), row_id, "__k")
+    return ranked.join(F.broadcast(quota), label).where("__k <= quota").drop("__k", "quota")  # a row for each class
 
 
 def random_rows(df: DataFrame, n: int, row_id: str, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import association
+from ..operators import association, ordered
 from ..registry import query
 from ..roles import CALLS, SAMPLES, SNAPSHOTS, calls, cohort, samples, snapshots, table
 
@@ -47,7 +47,9 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A07_exact_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.5), 6) AS mid, round(quantile_cont(l_extendedprice, 0.975), 6) AS high FROM lineitem GROUP BY 1")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(F.round(F.percentile("l_extendedprice", q), 6).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))))
+    points = {"low": 0.025, "mid": 0.5, "high": 0.975}
+    found = ordered.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", points)
+    return found.select("l_returnflag", *(F.round(n, 6).alias(n) for n in points))
 
 
 @query("A08_sample_deviation", "SELECT s_nationkey, round(stddev_samp(s_acctbal), 6) AS sd FROM supplier GROUP BY 1")
@@ -148,7 +150,7 @@ def cochran_mantel_haenszel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, p, q = (F.col(c) for c in ("a", "b", "n_pos", "n_neg"))
     c = association.presence_counts(calls(spark, sf_dir), cohort(spark, sf_dir))
-    return association.bh_fdr(c.withColumn("p_value", stats.fisher_exact(a, b, p - a, q - b)), [], "p_value", ["feature"]).select("feature", "a", "b", F.round("p_value", 8).alias("p_value"), F.round("q", 8).alias("q"))
+    return association.bh_fdr(c.withColumn("p_value", stats.fisher_exact(a, b, p - a, q - b)), [], "p_value").select("feature", "a", "b", F.round("p_value", 8).alias("p_value"), F.round("q", 8).alias("q"))
 
 
 @query("A32_p_values")
@@ -157,11 +159,11 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("feature", F.round(stats.chi2_1df_sf("cmh_chi2"), 9).alias("p_value"))
 
 
-PAIRS = f"{CALLS}, c AS (SELECT * FROM calls WHERE feature < 'Brand#2'), n AS (SELECT feature, COUNT(*) AS n FROM c GROUP BY 1), t AS (SELECT COUNT(*) AS t FROM cohort), j AS (SELECT x.feature AS f, y.feature AS g, CAST(COUNT(*) AS DOUBLE) AS n11 FROM c x JOIN c y USING (sample) WHERE x.feature < y.feature GROUP BY 1, 2)"
+PAIRS = f"{CALLS}, c AS (SELECT * FROM calls), n AS (SELECT feature, COUNT(*) AS n FROM c GROUP BY 1), t AS (SELECT COUNT(*) AS t FROM cohort), j AS (SELECT x.feature AS f, y.feature AS g, CAST(COUNT(*) AS DOUBLE) AS n11 FROM c x JOIN c y USING (sample) WHERE x.feature < y.feature GROUP BY 1, 2)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir).where("feature < 'Brand#2'")
+    c = calls(spark, sf_dir)
     n = c.groupBy("feature").agg(F.count("*").alias("n"))
     return association.pair_counts(c).join(n.select(F.col("feature").alias("f"), F.col("n").alias("nf")), "f").join(n.select(F.col("feature").alias("g"), F.col("n").alias("ng")), "g")
 
@@ -191,7 +193,7 @@ def jensen_shannon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A41_outer_fences", "SELECT round(q[1] - 3 * (q[2] - q[1]), 6) AS low, round(q[2] + 3 * (q[2] - q[1]), 6) AS high FROM (SELECT quantile_cont(value, [0.25, 0.75]) AS q FROM events) u")
 def outer_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "events").agg(F.percentile("value", 0.25).alias("a"), F.percentile("value", 0.75).alias("b"))
+    q = ordered.exact_quantiles(table(spark, sf_dir, "events"), [], "value", {"a": 0.25, "b": 0.75})
     spread = 3 * (F.col("b") - F.col("a"))
     return q.select(F.round(F.col("a") - spread, 6).alias("low"), F.round(F.col("b") + spread, 6).alias("high"))
 
@@ -227,9 +229,11 @@ def cohort_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A49_concentration", "WITH g AS (SELECT event_type, user_id, COUNT(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS r, SUM(n) OVER (PARTITION BY event_type) AS t FROM g) SELECT event_type, MAX(n) AS largest, round(CAST(MAX(n) AS DOUBLE) / MAX(t), 9) AS share, string_agg(CASE WHEN r <= 3 THEN CAST(user_id AS VARCHAR) || ':' || CAST(n AS VARCHAR) END, ';' ORDER BY r) AS top FROM r GROUP BY 1")
 def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    ranked = g.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("n").desc(), "user_id")))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "user_id", "n")))), lambda x: F.concat_ws(":", x["user_id"].cast("string"), x["n"].cast("string"))), ";")
-    return ranked.groupBy("event_type").agg(F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 9).alias("share"), top.alias("top"))
+    # a limit on the rank is applied before the shuffle as well, so a type's best rows come from all tasks
+    best = g.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("n").desc(), "user_id"))).where("r <= 3")
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "user_id", "n"))), lambda x: F.concat_ws(":", x["user_id"].cast("string"), x["n"].cast("string"))), ";")
+    sizes = g.groupBy("event_type").agg(F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 9).alias("share"))
+    return sizes.join(best.groupBy("event_type").agg(top.alias("top")), "event_type")
 
 
 @query("A51_replicated_signature", f"WITH {CALLS}, x AS (SELECT sample % 2 AS coh, feature, sample, y FROM calls JOIN cohort USING (sample)), t AS (SELECT sample % 2 AS coh, SUM(y) AS p, SUM(1 - y) AS q FROM cohort GROUP BY 1), d AS (SELECT feature, x.coh, CAST(SUM(y) AS DOUBLE) / MAX(p) - CAST(SUM(1 - y) AS DOUBLE) / MAX(q) AS rd FROM x JOIN t ON x.coh = t.coh GROUP BY 1, 2) SELECT a.feature, sign(a.rd) = sign(b.rd) AS same_sign, round(least(abs(a.rd), abs(b.rd)), 9) AS smaller FROM d a JOIN d b ON a.feature = b.feature AND a.coh = 0 AND b.coh = 1")
@@ -254,15 +258,15 @@ def prevalence_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A54_unknown_features", f"WITH {CALLS} SELECT sample, COUNT(*) AS total, COUNT(*) FILTER (WHERE feature >= 'Brand#2') AS unknown, COALESCE(array_to_string(list_sort(list(feature) FILTER (WHERE feature >= 'Brand#2')), ';'), '') AS names FROM calls GROUP BY 1")
 def unknown_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = calls(spark, sf_dir).select("feature").distinct().where("feature < 'Brand#2'").withColumn("known", F.lit(1))
-    rows = calls(spark, sf_dir).join(F.broadcast(schema), "feature", "left")  # the schema is a fixed list of features
+    rows = calls(spark, sf_dir).join(schema, "feature", "left")
     new = F.when(F.col("known").isNull(), F.col("feature"))
     return rows.groupBy("sample").agg(F.count("*").alias("total"), F.count(new).alias("unknown"), F.array_join(F.array_sort(F.collect_list(new)), ";").alias("names"))
 
 
-@query("A55_contribution_profile", f"WITH {CALLS}, c AS (SELECT sample, feature, CAST(substr(feature, 7) AS INTEGER) - 13 AS beta FROM calls WHERE sample < 3000), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY beta DESC, feature) AS r FROM c WHERE beta > 0) SELECT sample, string_agg(feature || '=' || CAST(beta AS VARCHAR), ';' ORDER BY r) AS top FROM r WHERE r <= 2 GROUP BY 1")
+@query("A55_contribution_profile", f"WITH {CALLS}, c AS (SELECT sample, feature, CAST(substr(feature, 7) AS INTEGER) - 13 AS beta FROM calls), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY beta DESC, feature) AS r FROM c WHERE beta > 0) SELECT sample, string_agg(feature || '=' || CAST(beta AS VARCHAR), ';' ORDER BY r) AS top FROM r WHERE r <= 2 GROUP BY 1")
 def contribution_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     beta = F.substring("feature", 7, 4).cast("int") - 13
-    rows = calls(spark, sf_dir).where("sample < 3000").withColumn("beta", beta).where("beta > 0")
+    rows = calls(spark, sf_dir).withColumn("beta", beta).where("beta > 0")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("beta")).alias("k"), "feature", "beta"))), 1, 2)
     return rows.groupBy("sample").agg(F.array_join(F.transform(best, lambda x: F.concat_ws("=", x["feature"], x["beta"].cast("string"))), ";").alias("top"))
 
@@ -280,8 +284,10 @@ def first_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W04_average_rank", "SELECT p_partkey, (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (COUNT(*) OVER (PARTITION BY p_brand, p_size) - 1) / CAST(2 AS DOUBLE)) AS rank FROM part")
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ties = F.count("*").over(Window.partitionBy("p_brand", "p_size"))
-    return table(spark, sf_dir, "part").select("p_partkey", (F.rank().over(Window.partitionBy("p_brand").orderBy("p_size")) + (ties - 1) / 2.0).alias("rank"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    ties = rows.groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    ranks = ordered.running_totals(ties, ["p_brand"], "p_size", ["n"]).select("p_brand", "p_size", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return rows.join(ranks, ["p_brand", "p_size"]).select("p_partkey", "rank")
 
 
 @query("W05_exclusive_cumulative", "SELECT event_id, COALESCE(round(SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6), 0) AS before FROM events")
@@ -293,7 +299,7 @@ def exclusive_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W06_bh_fdr", "WITH p AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) / 50 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, COUNT(*) OVER (PARTITION BY p_brand) AS n FROM p) SELECT p_partkey, round(least(1, MIN(p * n / r) OVER (PARTITION BY p_brand ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r")
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") / 50.0).alias("p"))
-    return association.bh_fdr(rows, ["p_brand"], "p", ["p_partkey"]).select("p_partkey", F.round("q", 9).alias("q"))
+    return association.bh_fdr(rows, ["p_brand"], "p").select("p_partkey", F.round("q", 9).alias("q"))
 
 
 @query("W07_group_centred", "SELECT p_partkey, round(p_retailprice - AVG(p_retailprice) OVER (PARTITION BY p_brand), 6) AS centred FROM part")
@@ -319,20 +325,21 @@ def carry_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(order).alias("last_signup"))
 
 
-@query("T01_mixed_sort", "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC NULLS LAST, s_suppkey LIMIT 20")
+@query("T01_mixed_sort", "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC NULLS LAST, s_suppkey")
 def mixed_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").orderBy(F.col("s_nationkey").desc_nulls_last(), "s_suppkey").limit(20)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").orderBy(F.col("s_nationkey").desc_nulls_last(), "s_suppkey")
 
 
-@query("T02_sort_by_key", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 25")
+@query("T02_sort_by_key", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")
 def sort_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").limit(25).select("c_custkey")
+    return table(spark, sf_dir, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").select("c_custkey")
 
 
 @query("T03_top_fraction", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, COUNT(*) OVER () AS n FROM part) u WHERE r <= ceil(n * CAST(0.1 AS DOUBLE))")
 def top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part")
-    return rows.orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(-(-rows.count() // 10)).select("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    placed = ordered.positions(rows, [F.col("p_retailprice").desc(), F.col("p_partkey")])
+    return placed.where(F.col("position") < -(-rows.count() // 10)).select("p_partkey")
 
 
 @query("T04_largest", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import breakpoints, intervals, labels
-from ..operators import gates, graph, joins
+from ..operators import gates, graph, joins, ordered
 from ..registry import query
 from ..roles import CALLS, CUT, SAMPLES, SNAPSHOTS, calls, cohort, samples, snapshots, table
 from .rows import READINGS, R_LIMIT, S_MAX, readings
@@ -23,9 +23,9 @@ def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("long").alias("quality"))
 
 
-@query("J03_full_join_provenance", "SELECT side AS _side, COUNT(*) AS n FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id) u GROUP BY 1")
+@query("J03_full_join_provenance", "SELECT side AS _side, COUNT(*) AS n FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT doc_id FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id) u GROUP BY 1")
 def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     return joins.with_provenance(docs, table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("_side").agg(F.count("*").alias("n"))
 
 
@@ -166,10 +166,18 @@ def setting_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J21_dated_history", f"SELECT COUNT(*) AS valid FROM events p JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts <= p.ts AND v.value <> p.value WHERE p.event_type = 'purchase' AND p.ts < TIMESTAMP '{CUT} 00:00:00'")
 def dated_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    cases = e.where((F.col("event_type") == "purchase") & (F.col("ts") < F.lit(f"{CUT} 00:00:00").cast("timestamp"))).select("user_id", F.col("ts").alias("as_of"), F.col("value").alias("new"))
-    history = e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("old"))
-    return cases.join(history, "user_id").where("ts <= as_of and old <> new").agg(F.count("*").alias("valid"))
+    """How many changes count: all of a user's views up to the case, less those of the same value. Both are
+    running counts, so no case meets its views one by one."""
+    e = table(spark, sf_dir, "events").where("event_type in ('purchase', 'view')")
+    cut = F.lit(f"{CUT} 00:00:00").cast("timestamp")
+    view = (F.col("event_type") == "view").cast("long")
+    case = ((F.col("event_type") == "purchase") & (F.col("ts") < cut)).cast("long")
+    total = None
+    for keys, sign in ((["user_id"], 1), (["user_id", "value"], -1)):
+        at = e.groupBy(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.sum(view).alias("views"), F.sum(case).alias("cases"))
+        counted = ordered.running_totals(at, keys, "t", ["views"]).agg((sign * F.sum(F.col("cases") * (F.col("before_views") + F.col("views")))).alias("valid"))
+        total = counted if total is None else total.unionByName(counted)
+    return total.agg(F.coalesce(F.sum("valid"), F.lit(0)).alias("valid"))
 
 
 @query("J21_as_of_latest", "SELECT p.event_id, max(v.event_id) AS view_id FROM events p LEFT JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts < p.ts WHERE p.event_type = 'purchase' GROUP BY 1")
@@ -219,10 +227,12 @@ def aligned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(values, "doc_id").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
 
 
-@query("J24_content_duplicates", "WITH h AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'E2' ELSE 'E3' END AS cohort, sha256(text) AS digest FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.digest = b.digest AND a.cohort = 'E2' AND b.cohort = 'E3'")
+@query("J24_content_duplicates", "WITH h AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'E2' ELSE 'E3' END AS cohort, sha256(text) AS digest FROM documents), c AS (SELECT digest, MIN(doc_id) AS class, COUNT(*) FILTER (WHERE cohort = 'E2') AS e2, COUNT(*) FILTER (WHERE cohort = 'E3') AS e3 FROM h WHERE digest IS NOT NULL GROUP BY 1) SELECT doc_id, cohort, class, e2, e3 FROM h JOIN c USING (digest) WHERE e2 > 0 AND e3 > 0")
 def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return h.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), "digest").join(h.where("doc_id % 2 <> 0").select(F.col("doc_id").alias("b"), "digest"), "digest").select("a", "b")
+    """Documents whose content occurs in both cohorts, with their class (the least id) and its size in either."""
+    h = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "E2").otherwise("E3").alias("cohort"), F.sha2("text", 256).alias("digest")).where("digest is not null")
+    sizes = h.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count_if(F.col("cohort") == "E2").alias("e2"), F.count_if(F.col("cohort") == "E3").alias("e3"))
+    return h.join(sizes.where("e2 > 0 and e3 > 0"), "digest").select("doc_id", "cohort", "class", "e2", "e3")
 
 
 @query("J26_group_overlap", "SELECT status, COUNT(*) AS samples FROM (SELECT c_custkey, CASE WHEN COUNT(o_orderkey) = 0 THEN 'MISSING' WHEN SUM(CASE WHEN o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderkey < 3) THEN 1 ELSE 0 END) > 0 THEN 'SHARED' ELSE 'NO_SHARED' END AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) u GROUP BY 1")

@@ -12,15 +12,16 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import evidence, sequences, stats
 from ..operators import evaluation, resampling
-from ..operators.ordered import running_totals
+from ..operators.ordered import hash_ranks, positions, running_totals
 from ..registry import query
 from ..roles import CALLS, PREDICTIONS, SAMPLES, calls, cohort, predictions, samples, table
-from ..session import scratch
+from ..session import materialise, scratch
 from ..sources import documents as docs
 from .metrics import BA, CELLS
 from .rows import READINGS, R_LIMIT, S_MAX, readings
 
-DRAWS, SEED = 50, 20261114
+#: Draws of a bootstrap, trials with anchors.
+DRAWS, TRIALS, SEED = 10_000, 20, 20261114
 
 
 @query("B01_cluster_bootstrap")
@@ -74,9 +75,9 @@ def weighted_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("B06_anchor_trials")
 def anchor_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In each trial 5 anchors a source by hash; the error of the rest against that of the anchors."""
-    rows = samples(spark, sf_dir).withColumn("wrong", ((F.col("score_a") >= 0.5) != (F.col("y") == 1)).cast("int")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    order = Window.partitionBy("trial", "source").orderBy(F.xxhash64(F.lit(SEED), "trial", "doc_id"), "doc_id")
-    anchored = rows.withColumn("anchor", F.row_number().over(order) <= 5)
+    rows = samples(spark, sf_dir).withColumn("wrong", ((F.col("score_a") >= 0.5) != (F.col("y") == 1)).cast("int")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
+    ranked = hash_ranks(rows, ["trial", "source"], F.xxhash64(F.lit(SEED), "trial", "doc_id"), "doc_id", "rank")
+    anchored = ranked.withColumn("anchor", F.col("rank") <= 5)
     return anchored.groupBy("trial", "source").agg(F.avg(F.when(F.col("anchor"), F.col("wrong"))).alias("anchor_error"), F.avg(F.when(~F.col("anchor"), F.col("wrong"))).alias("rest_error"))
 
 
@@ -93,8 +94,8 @@ def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
     """Adds a fold: rows of each label in hash order are dealt out in turn."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(SEED), key), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    ranked = hash_ranks(rows, [label], F.xxhash64(F.lit(SEED), key), key, "__rank")
+    return ranked.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
 
 
 @query("M03_stratified_folds", f"WITH {SAMPLES} SELECT y, CAST(f AS INTEGER) AS fold, COUNT(*) AS n FROM (SELECT y, (row_number() OVER (PARTITION BY y ORDER BY doc_id) - 1) % 5 AS f FROM samples) u GROUP BY 1, 2")
@@ -102,23 +103,18 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(samples(spark, sf_dir), "y", "doc_id", 5).groupBy("y", "fold").agg(F.count("*").alias("n"))
 
 
-def group_folds(spark: SparkSession, groups: DataFrame, k: int) -> DataFrame:
-    """(group, fold): groups by size, each to the fold that has fewest positives and rows so far. There is a
-    row for each group, and only their counts pass the driver."""
-    load = [[0, 0, f] for f in range(k)]
-    out = []
-    for g in groups.orderBy(F.col("positives").desc(), F.col("n").desc(), "group").toLocalIterator():
-        least = min(load)
-        least[0] += g["positives"]
-        least[1] += g["n"]
-        out.append((g["group"], least[2]))
-    return spark.createDataFrame(out, "group string, fold int")
+def group_folds(groups: DataFrame, k: int) -> DataFrame:
+    """(group, fold): groups from the most positives and rows on are dealt to the folds, there and back again, so
+    that folds have like counts of both."""
+    turn = F.col("position") % (2 * k)
+    dealt = positions(groups, [F.col("positives").desc(), F.col("n").desc(), F.col("group")])
+    return dealt.select("group", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 
 
 @query("M04_group_folds_M05_audit", f"WITH {SAMPLES} SELECT COUNT(*) AS groups, 0 AS crossing, CAST(5 AS BIGINT) AS folds FROM (SELECT DISTINCT source FROM samples) u")
 def group_fold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).withColumn("group", F.col("source"))
-    folds = group_folds(spark, rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("positives")), 5)
+    folds = group_folds(rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("positives")), 5)
     by = rows.join(folds, "group").groupBy("group").agg(F.count_distinct("fold").alias("folds"), F.min("fold").alias("fold"))
     return by.agg(F.count("*").alias("groups"), F.sum((F.col("folds") > 1).cast("int")).cast("int").alias("crossing"), F.count_distinct("fold").alias("folds"))
 
@@ -192,15 +188,20 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J25_minhash_neighbours")
 def minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose names' 3-character words are alike: MinHash join, then the distance -ln(2j/(1+j))/k."""
+    """Distinct texts whose words of 5 are alike: MinHash join, then the distance -ln(2j/(1+j))/k. A text is named
+    by the least of its documents."""
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 200").select("c_custkey", sequences.kmers(F.concat_ws("-", "c_name", "c_mktsegment"), 3).alias("words"))
-    vectors = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 16, binary=True).transform(rows)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=4, seed=7).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, 0.2, "jaccard").where("datasetA.c_custkey < datasetB.c_custkey")
+    texts = table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    words = F.split(F.lower(F.trim("text")), r"\s+")
+    last = F.size("w") - 4
+    rows = texts.select("doc_id", words.alias("w")).where(F.size("w") >= 5)
+    rows = rows.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).alias("words"))
+    vectors = materialise(HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 20, binary=True).transform(rows).select("doc_id", "features"))
+    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=6, seed=7).fit(vectors)
+    near = model.approxSimilarityJoin(vectors, vectors, 0.2, "jaccard").where("datasetA.doc_id < datasetB.doc_id")
     j = 1 - F.col("jaccard")
-    return near.select(F.col("datasetA.c_custkey").alias("a"), F.col("datasetB.c_custkey").alias("b"), F.round(-F.log(2 * j / (1 + j)) / 3, 6).alias("distance"))
+    return near.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), F.round(-F.log(2 * j / (1 + j)) / 5, 6).alias("distance"))
 
 
 #: Each event is a case of its own, observed before and after. Intervals in SQL are lo, hi and whether they are closed.
@@ -269,10 +270,10 @@ def typing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.split(line, "\t"), 3).alias("st"), pairs["gapA"].alias("gapa"))
 
 
-@query("F35_presence_vector", f"WITH {CALLS}, s AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#99']) AS feature) SELECT c.sample, string_agg(CASE WHEN k.sample IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.feature) AS bits FROM (SELECT DISTINCT sample FROM calls WHERE sample < 500) c CROSS JOIN s LEFT JOIN calls k ON k.sample = c.sample AND k.feature = s.feature GROUP BY 1")
+@query("F35_presence_vector", f"WITH {CALLS}, s AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#99']) AS feature) SELECT c.sample, string_agg(CASE WHEN k.sample IS NULL THEN '0' ELSE '1' END, '' ORDER BY s.feature) AS bits FROM (SELECT DISTINCT sample FROM calls) c CROSS JOIN s LEFT JOIN calls k ON k.sample = c.sample AND k.feature = s.feature GROUP BY 1")
 def presence_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = ["Brand#1", "Brand#2", "Brand#99"]
-    by = calls(spark, sf_dir).where("sample < 500").groupBy("sample").agg(F.collect_set("feature").alias("have"))
+    by = calls(spark, sf_dir).groupBy("sample").agg(F.collect_set("feature").alias("have"))
     return by.select("sample", F.concat(*(F.array_contains("have", f).cast("int").cast("string") for f in schema)).alias("bits"))
 
 
@@ -309,13 +310,13 @@ def _office(spark: SparkSession, name: str, parts: dict[str, str]) -> DataFrame:
     return docs.office_rows(content)
 
 
-@query("X01_scalar_function_X02_row_function", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey < 1000")
+@query("X01_scalar_function_X02_row_function", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders")
 def scalar_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def doubled(price: pd.Series, status: pd.Series) -> pd.Series:
         return price.where(status != "F", price * 2)
 
-    return table(spark, sf_dir, "orders").where("o_orderkey < 1000").select("o_orderkey", doubled("o_totalprice", "o_orderstatus").alias("v"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", doubled("o_totalprice", "o_orderstatus").alias("v"))
 
 
 @query("X03_aggregate_function", "SELECT p_brand, round(SUM(CAST(p_size AS DOUBLE) * p_retailprice) / SUM(p_size), 6) AS weighted FROM part GROUP BY 1")
@@ -323,9 +324,9 @@ def aggregate_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.sum(F.col("p_size") * F.col("p_retailprice")) / F.sum("p_size"), 6).alias("weighted"))
 
 
-@query("X04_table_function", "SELECT p_partkey, w AS word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 300) u")
+@query("X04_table_function", "SELECT p_partkey, w AS word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) u")
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey < 300")
+    rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", F.inline(F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("word")))))
 
 

@@ -133,9 +133,9 @@ def bit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unpacked(rows, 16).select("feature", F.col("sample").cast("long").alias("sample"))
 
 
-@query("S15_sparse_rows", "SELECT vec_id, CAST(i AS BIGINT) AS feature, CAST(embedding[CAST(i AS INTEGER)] AS DOUBLE) AS value FROM embeddings, range(1, 9) t(i) WHERE embedding[CAST(i AS INTEGER)] > 0")
+@query("S15_sparse_rows", "SELECT vec_id, CAST(i AS BIGINT) AS feature, CAST(embedding[CAST(i AS INTEGER)] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, (SELECT MAX(len(embedding)) + 1 FROM embeddings))) AS i) t WHERE embedding[CAST(i AS INTEGER)] > 0")
 def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("p", "v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))
     return rows.where("v > 0").select("vec_id", (F.col("p") + 1).cast("long").alias("feature"), F.col("v").cast("double").alias("value"))
 
 

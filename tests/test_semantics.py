@@ -104,7 +104,7 @@ def test_fisher_matches_enumeration(spark):
 
 def test_bh_keeps_nulls(spark):
     rows = spark.createDataFrame([(1, 0.01), (2, 0.03), (3, 0.04), (4, 0.2), (5, None)], "i int, p double")
-    got = {r.i: r.q for r in association.bh_fdr(rows, [], "p", ["i"]).collect()}
+    got = {r.i: r.q for r in association.bh_fdr(rows, [], "p").collect()}
     assert got[5] is None and [got[i] for i in (1, 2, 3, 4)] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.2])
 
 
