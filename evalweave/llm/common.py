@@ -48,6 +48,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one is set only where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

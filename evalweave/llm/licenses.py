@@ -3,7 +3,8 @@
 Texts and templates are words in lower case. Hashes of GRAM words in a row are winnowed: of every WINNOW
 neighbouring hashes the least is kept, so a run of GRAM + WINNOW - 1 words that a text shares with a template
 shares a kept hash. An inverted index from kept hashes to places in templates turns a text's hits into
-(template, diagonal) candidates. Each is aligned in a band around its diagonals; what part of the template's
+(template, diagonal) candidates. Short templates, of which an edit may leave no such run, are indexed by all their
+pairs of words instead, and texts are looked up pair by pair. Each candidate is aligned in a band around its diagonals; what part of the template's
 words match, and where the first and last of them stand in the text, is reported.
 
 Of detections that overlap in a text, the one with more matched words stands (of equal ones the one with the
@@ -29,6 +30,8 @@ from .common import batch_of, id_text, map_slices
 from .words import flat_words
 
 GRAM, WINNOW, LEAST_COVERAGE, SLACK = 3, 2, 0.8, 0.2
+#: Templates of fewer words are short: with LEAST_COVERAGE of them in place, two in a row are left, but maybe no more.
+SHORT, PAIR = 14, 2
 #: A template of many fingerprints is a candidate from so large a part of them on.
 LEAST_HITS = 0.1
 
@@ -60,11 +63,11 @@ def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [w for w, _ in found], [s for _, s in found]
 
 
-def gram_hashes(hashes: np.ndarray) -> np.ndarray:
-    """One hash for each GRAM words in a row."""
-    n = max(0, len(hashes) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(GRAM):
+def gram_hashes(hashes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """One hash for each ``gram`` words in a row."""
+    n = max(0, len(hashes) - gram + 1)
+    out = np.full(n, gram, np.uint64)
+    for k in range(gram):
         out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[k : k + n]
         out ^= out >> np.uint64(31)
     return out * np.uint64(0xD6E8FEB86659FD93)
@@ -106,8 +109,9 @@ def build_index(templates: tuple[tuple[str, str], ...]) -> Index:
     names, words, places, kept = [], [], defaultdict(list), []
     for t, (name, text) in enumerate(templates):
         own = words_at(text)[0]
-        grams = gram_hashes(np.array([xxhash.xxh64_intdigest(w) for w in own], np.uint64))
-        picked = winnow(grams, np.zeros(len(grams), np.int64))
+        short = len(own) < SHORT
+        grams = gram_hashes(np.array([xxhash.xxh64_intdigest(w) for w in own], np.uint64), PAIR if short else GRAM)
+        picked = np.arange(len(grams)) if short else winnow(grams, np.zeros(len(grams), np.int64))
         for at in picked.tolist():
             places[int(grams[at])].append((t, at))
         names.append(name)
@@ -202,15 +206,16 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
         texts = batch.column("text")
         starts, place, words = flat_words(texts)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)[place] if len(place) else np.empty(0, np.uint64)
-        grams = gram_hashes(hashes)
         owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-        inside = np.flatnonzero(owner[: len(grams)] == owner[GRAM - 1 :]) if len(grams) else np.empty(0, np.int64)
-        picked = inside[winnow(grams[inside], owner[inside])]
-        near = np.minimum(np.searchsorted(index.hashes, grams[picked]), len(index.hashes) - 1)
-        picked = picked[index.hashes[near] == grams[picked]] if len(index.hashes) else picked[:0]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in picked.tolist():
-            hits[int(owner[at])].append((at - int(starts[owner[at]]), int(grams[at])))
+        for gram in (PAIR, GRAM):
+            grams = gram_hashes(hashes, gram)
+            inside = np.flatnonzero(owner[: len(grams)] == owner[gram - 1 :]) if len(grams) else np.empty(0, np.int64)
+            picked = inside if gram == PAIR else inside[winnow(grams[inside], owner[inside])]
+            near = np.minimum(np.searchsorted(index.hashes, grams[picked]), len(index.hashes) - 1)
+            picked = picked[index.hashes[near] == grams[picked]] if len(index.hashes) else picked[:0]
+            for at in picked.tolist():
+                hits[int(owner[at])].append((at - int(starts[owner[at]]), int(grams[at])))
         ids = batch.column("doc_id").to_pylist()
         rows = [(ids[i], *found) for i, own in hits.items() for found in detections(texts[i].as_py(), index, own)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 from .ordered import shuffle_width
 
 #: Halvings of the exponent's range, of which so many are done by one pass over the shares.
@@ -107,7 +107,8 @@ def weights(docs: DataFrame, entropy: float | None = None, limit: float | None =
 def mix(docs: DataFrame, entropy: float | None = None, limit: float | None = LIMIT, budget: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """(doc, source, tokens, epoch, weight, budget, before, block, order): the dealt documents.
 
-    ``docs``: (doc, source, tokens); it is read several times, so it should be a table. ``before``: tokens
+    ``docs``: (doc, source, tokens) and maybe tie, a hash of what else tells rows of one doc apart (so that an id that
+    many rows repeat, or none, is spread); it is read several times, so it should be a table. ``before``: tokens
     that the source has dealt before this document. A permutation that the budget cuts ends with the
     document that reaches it; the result is ordered by (block, order) where it is written in order.
     """
@@ -116,12 +117,13 @@ def mix(docs: DataFrame, entropy: float | None = None, limit: float | None = LIM
     if table.count() <= FEW_SOURCES:
         small = F.broadcast(small)
     passes = F.ceil(F.col("budget") / F.col("all")).cast("int")
-    rows = docs.select("doc", F.col("source").alias("name"), _key(), "tokens").join(small, "source")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("order", F.xxhash64(F.lit(seed), "epoch", "doc"))
+    tie = F.col("tie") if "tie" in docs.columns else F.lit(0)
+    rows = docs.select("doc", F.col("source").alias("name"), _key(), "tokens", tie.alias("tie")).join(small, "source")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("order", F.xxhash64(F.lit(seed), "epoch", "doc", "tie"))
     parts = max(16, 4 * shuffle_width(docs))
     rows = rows.withColumn("part", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
     keys = ["source", "epoch", "part"]
-    within = Window.partitionBy(*keys).orderBy("order", "doc", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys).orderBy("order", "doc", "tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys).agg(F.sum("tokens").alias("part_tokens"))
     totals = totals.select(*keys, F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("ahead"))
@@ -137,17 +139,18 @@ def _key() -> Column:
 
 
 def source_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), n_tokens(F.col(f"`{text_col}`")).alias("tokens"))
+    return df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), n_tokens(F.col(f"`{text_col}`")).alias("tokens"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df``, each as often as the mix deals it, in the order of the mix; columns as they are.
 
-    Rows that repeat an id are dealt by the id, each of them as often as the mix deals that id at most to one.
+    Rows that repeat an id, a source and a text are dealt as one, each of them as often as the mix deals that one at
+    most. Any column names will do.
     """
-    dealt = mix(materialise(source_tokens(df, id_col, text_col, source_col)))
-    key = lambda col: F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null")).alias("__doc")
-    places = dealt.select(key(F.col("doc")), F.col("epoch").alias("__epoch"), F.col("block").alias("__block"), F.col("order").alias("__order"))
-    places = places.groupBy("__doc", "__epoch").agg(F.min("__block").alias("__block"), F.min("__order").alias("__order"))
-    rows = df.withColumn("__doc", key(F.col(f"`{id_col}`"))).join(places, "__doc")
-    return rows.repartitionByRange("__block", "__order").sortWithinPartitions("__block", "__order").select(*(F.col(f"`{c}`") for c in df.columns))
+    key = F.to_json(F.struct(F.col(f"`{id_col}`").alias("i"), F.col(f"`{source_col}`").alias("s"), F.xxhash64(F.col(f"`{text_col}`")).alias("t")))
+    doc, epoch, block, order = (unused(df, n) for n in ("__doc", "__epoch", "__block", "__order"))
+    dealt = mix(materialise(source_tokens(df, id_col, text_col, source_col).withColumn("doc", F.to_json(F.struct(F.col("doc").alias("i"), F.col("source").alias("s"), F.col("tie").alias("t"))))))
+    places = dealt.groupBy(F.col("doc").alias(doc), F.col("epoch").alias(epoch)).agg(F.min("block").alias(block), F.min("order").alias(order))
+    rows = df.withColumn(doc, key).join(places, doc)
+    return rows.repartitionByRange(block, order).sortWithinPartitions(block, order).select(*(F.col(f"`{c}`") for c in df.columns))

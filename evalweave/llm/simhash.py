@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_text, map_slices, materialise
+from .common import batch_of, id_text, map_slices, materialise, unused
 from .components import components
 
 SEED, WORDS, BITS, SEGMENT, DISTANCE = 42, 3, 64, 32, 3
@@ -124,8 +124,8 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``df`` whose document is its class's least id, one row for each id (the least text of rows
     that repeat it). Rows without an id can't be named and stay as they are. ``classes`` gives doc_id and
     component_id."""
-    named = F.col(f"`{id_col}`")
-    kept = classes(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    order = Window.partitionBy("__kept").orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    rows = df.join(kept, named == F.col("__kept")).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return rows.drop("__kept", "__rank").unionByName(df.where(named.isNull()))
+    named, kept_id, rank = F.col(f"`{id_col}`"), unused(df, "__kept"), unused(df, "__rank")
+    kept = classes(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    order = Window.partitionBy(kept_id).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
+    rows = df.join(kept, named == F.col(kept_id)).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return rows.drop(kept_id, rank).unionByName(df.where(named.isNull()))

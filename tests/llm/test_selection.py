@@ -260,27 +260,54 @@ def test_native_plan(spark):
 # the pipeline
 
 
-def plain_pipeline(docs, keep_toxic, model):
-    """The first two stages on lists: not judged toxic, then the least id of each class."""
-    kept = [(i, t) for i, t in docs if model.text_logits(pa.array([t or ""]), toxicity.Cache())[0] < 0]
-    fps = {i: plain_fingerprint(t or "") for i, t in kept}
-    classes, least = plain_classes(fps.values()), {}
-    for i, f in fps.items():
-        least[classes[f]] = min(least.get(classes[f], 1 << 60), i)
-    return {i for i, f in fps.items() if least[classes[f]] == i}
+def shingles_of(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def plain_pipeline(docs, model):
+    """The first two stages on lists: not judged toxic, then the least id of each class of five-word shingles with a
+    Jaccard similarity of 0.8, all pairs compared."""
+    kept = sorted((i, shingles_of(t or "")) for i, t in docs if model.text_logits(pa.array([t or ""]), toxicity.Cache())[0] < 0)
+    root = {i: i for i, _ in kept}
+    for k, (i, a) in enumerate(kept):
+        for j, b in kept[:k]:
+            if root[i] != root[j] and (a == b or (a or b) and 5 * len(a & b) >= 4 * len(a | b)):
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    return {i for i in root if root[i] == i}
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the supplied tables")
 def test_pipeline_against_plain_version(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit_model(docs, labels)
-    want = plain_pipeline([tuple(r) for r in docs.select("doc_id", "text").collect()], False, model)
+    want = plain_pipeline([tuple(r) for r in docs.select("doc_id", "text").collect()], model)
     got = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in got.collect()} == want
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).schema.names == docs.schema.names, name
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    base = prose(60)
+    rows = [(1, base, "en", "a", 1), (1, base, "en", "a", 1), (2, None, None, None, None), (None, base, "en", "a", 1), (None, None, None, None, None), (3, "", "en", "b", 0), (4, prose(5000), "en", "b", 1)]
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+    found = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    # without labels nothing is toxic; of the empty texts and of the copies the least id stays, and rows without an id
+    assert {r.doc_id for r in found} == {1, 2, 4, None}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_clashing_names_are_kept(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, __doc string, __rank int, __kept long, __block string"
+    df = spark.createDataFrame([(i, f"text {i}", "en", "a", 1, f"d{i}", i, 5, "b") for i in range(9)] + [(None, "x", "en", "a", 1, "d9", 9, 5, "b")], names)
+    for found in (mixing.mixed_documents(df), simhash.keep_one_of_each(df)):
+        assert found.columns == df.columns and {(r["__doc"], r["__rank"]) for r in found.collect()} == {(f"d{i}", i) for i in range(10)}
+
+
 def test_crc_of_ids(spark):
     ids = [0, 5, -3, 10**15]
     found = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", crc32("doc_id").alias("c")).collect()
