@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,15 @@ def session(name: str = "evalweave", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of its own only in local mode where that is unset, as in tests."""
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context.getCheckpointDir().isDefined():
+        found = context.getCheckpointDir().get()
     if not found:
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "/tmp/checkpoints"
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
