@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,11 +58,15 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is configured (tests)."""
+    """The shared folder of the cluster; a local one is set only in local mode where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and set_already.isDefined():
+        found = set_already.get()
     if not found:
-        found = set_already.get() if set_already.isDefined() else "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "/tmp/checkpoints"
     if not set_already.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
