@@ -43,8 +43,8 @@ STEPS, ROUNDS, BATCH, RATE, SEED = 200, 2, 256, 0.3, 7
 #: Worst windows of a clean document that later fits draw from, and what part of the logit of their document's
 #: worst window makes windows of toxic documents toxic.
 HARDEST, CLOSE = 4, 0.5
-#: What scoring works on at a time; bounds memory, not results.
-WORDS_AT_ONCE = 20_000
+#: What scoring and training work on at a time; bounds memory, not results.
+WORDS_AT_ONCE, DOCS_AT_ONCE = 20_000, 64
 #: Part of the n-grams that each step of training leaves out, so that none of a word's n-grams is indispensable.
 DROPPED = 0.4
 #: How many toxic documents that stay weigh as much as a clean one that goes, where the threshold is set.
@@ -91,11 +91,11 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sorted_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words' n-grams, word by word, and how many each word has."""
-    buckets, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    buckets, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
     for at in range(0, len(words), WORDS_AT_ONCE):
         some = words[at : at + WORDS_AT_ONCE]
         bucket, owner = word_grams(some)
-        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.uint16))  # BUCKETS is 2^16
         sizes.append(np.bincount(owner, minlength=len(some)))
     return np.concatenate(buckets), np.concatenate(sizes)
 
@@ -162,6 +162,23 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]
 
 
+def numbered_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """As ``split_words`` over all texts, and in how many texts each word occurs; DOCS_AT_ONCE texts at a time."""
+    number: dict[str, int] = {}
+    starts, places, docs = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], np.empty(0, np.int64)
+    for at in range(0, len(texts), DOCS_AT_ONCE):
+        own_starts, place, words = split_words(pa.array(texts[at : at + DOCS_AT_ONCE], pa.string()))
+        numbers = np.array([number.setdefault(w, len(number)) for w in words], np.int32)
+        starts.append(own_starts[1:] + starts[-1][-1])
+        places.append(numbers[place])
+        text = np.repeat(np.arange(len(own_starts) - 1), np.diff(own_starts))
+        pairs = np.unique(text * max(1, len(words)) + place)
+        seen = np.bincount(numbers[pairs % max(1, len(words))], minlength=len(number)) if len(pairs) else np.zeros(len(number), np.int64)
+        seen[: len(docs)] += docs
+        docs = seen
+    return np.concatenate(starts), np.concatenate(places), list(number), docs
+
+
 def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, place) of the ranges first[i] .. first[i] + n[i]."""
     owner = np.repeat(np.arange(len(n)), n)
@@ -173,11 +190,10 @@ class Trainer:
 
     def __init__(self, texts: list[str], label: np.ndarray):
         self.rng, self.label = np.random.default_rng(SEED), label
-        starts, self.place, words = split_words(pa.array(texts, pa.string()))
-        self.doc, self.first, self.end = window_bounds(starts)
+        starts, self.place, words, docs = numbered_words(texts)
+        self.doc, self.first, self.end = (x.astype(np.int32) for x in window_bounds(starts))
         self.heads = np.searchsorted(self.doc, np.arange(len(texts)))
-        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * max(1, len(words)) + self.place)
-        self.words, self.common = words, np.bincount(pairs % max(1, len(words)), minlength=len(words)) >= LEAST_DOCS
+        self.words, self.common = words, docs >= LEAST_DOCS
         self.bucket, self.sizes = sorted_grams(words)
         self.misspell(np.zeros(len(words), bool))
         self.vectors = np.zeros((BUCKETS, WIDTH), np.float32)
@@ -232,7 +248,7 @@ class Trainer:
 
     def fit(self) -> None:
         """STEPS steps with the label of its document for every window."""
-        self._run([np.arange(len(self.doc))[self.label[self.doc] == c] for c in (0, 1)], None)
+        self._run([np.flatnonzero(self.label[self.doc] == c).astype(np.int32) for c in (0, 1)], None)
 
     def refine(self) -> None:
         """STEPS more. Toxic are only those windows of toxic documents that the model so far finds toxic, and not
@@ -240,7 +256,8 @@ class Trainer:
         now = self.window_logits()
         top = np.maximum.reduceat(now, self.heads)[self.doc]
         toxic = self.label[self.doc] == 1
-        picked, clean = np.flatnonzero(toxic & (now > 0) & (now >= CLOSE * top)), np.flatnonzero(~toxic)
+        picked, clean = np.flatnonzero(toxic & (now > 0) & (now >= CLOSE * top)), np.flatnonzero(~toxic).astype(np.int32)
+        del top, toxic
         if not len(picked):
             return
         self.misspell(self.word_scores() / WINDOW + self.bias[1] - self.bias[0] > 0)
@@ -260,7 +277,8 @@ class Trainer:
     def _by_document(self, windows: np.ndarray) -> Callable[[int], np.ndarray]:
         """Draws from windows (ascending by document): a document first, then one of its windows, so long
         documents don't outweigh others."""
-        _, begin, count = np.unique(self.doc[windows], return_index=True, return_counts=True)
+        begin = np.flatnonzero(np.diff(self.doc[windows], prepend=-1))
+        count = np.diff(begin, append=len(windows))
 
         def draw(n: int) -> np.ndarray:
             docs = self.rng.integers(0, len(begin), n)
@@ -272,9 +290,13 @@ class Trainer:
         return Model((self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
 
     def word_scores(self) -> np.ndarray:
-        n = len(self.words)
-        owner = np.repeat(np.arange(n), self.sizes[:n])
-        return np.bincount(owner, self.model().bucket[self.bucket[: len(owner)]], n) / self.sizes[:n]
+        n, table, found = len(self.words), self.model().bucket, [np.empty(0)]
+        for at in range(0, n, WORDS_AT_ONCE):
+            sizes = self.sizes[at : min(n, at + WORDS_AT_ONCE)]
+            first = self.starts[at]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            found.append(np.bincount(owner, table[self.bucket[first : first + len(owner)]], len(sizes)) / sizes)
+        return np.concatenate(found)
 
     def window_logits(self) -> np.ndarray:
         return window_sums(self.word_scores(), self.place, self.first, self.end) / WINDOW + float(self.bias[1] - self.bias[0])
