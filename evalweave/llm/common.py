@@ -78,6 +78,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the library's own in the shared folder, in whatever store that is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def crc32(col: str | Column) -> Column:
     """Unsigned crc32 of a column's decimal text."""
     return F.crc32(F.encode(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")), "UTF-8"))
