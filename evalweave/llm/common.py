@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,6 +79,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the library's own in the shared folder, in whatever store that is."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, mixing, packing, simhash, toxicity, transport, url_filter, warc
+from . import audit, bpe, centroids, fingerprint, licenses, mixing, packing, quality, simhash, toxicity, transport, url_filter, warc
 from .common import documents, materialise
 
 
@@ -65,6 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.assignments(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES = {
         op8_transport_stream,
         op9_simhash,
         op10_toxicity,
+        op11_quality,
+        op12_filter_audit,
+        op13_centroids,
     )
 }
 
@@ -125,5 +140,46 @@ SELECT page_id, canonical, ts, verdict, validator, source AS source_page_id,
     || 'last-modified: ' || strftime(make_timestamp(fmod * 1000000), '%a, %d %b %Y %H:%M:%S GMT') END AS headers
 FROM v"""
 
+#: Masks by rule, then all orders of the five letters; what an order's earlier letters are is read from its text.
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT part, doc_id, len(words) < 50 AS a, 100 * list_unique(words) < 65 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t),
+c AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS failed,
+  count(*) AS n, count(*) FILTER (WHERE l.quality = 1) AS good, count(*) FILTER (WHERE l.toxic = 1) AS toxic FROM f LEFT JOIN labels l USING (doc_id) GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+u AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, '[' || filter_order[1:step] || ']' AS upto, '[' || filter_order[1:step - 1] || '_]' AS before FROM o, range(1, 6) r(step)),
+g AS (SELECT part, filter_order, step, letter,
+  sum(n) FILTER (WHERE NOT regexp_matches(failed, upto)) AS kept,
+  sum(n) FILTER (WHERE contains(failed, letter) AND NOT regexp_matches(failed, before)) AS removed,
+  sum(n) FILTER (WHERE contains(failed, letter) AND regexp_matches(failed, before)) AS redundant,
+  sum(n) FILTER (WHERE failed = letter) AS unique_fails,
+  sum(good) FILTER (WHERE contains(failed, letter) AND NOT regexp_matches(failed, before)) AS good_lost,
+  sum(toxic) FILTER (WHERE contains(failed, letter) AND NOT regexp_matches(failed, before)) AS toxic_lost FROM c, u GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+FROM g"""
+
+
+def _centroid_sql(k: int, rounds: int) -> str:
+    """Plain Lloyd: every round compares every vector with every centroid. Components are rows (vec_id, i, x)."""
+    parts = [
+        f"""w AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMS}),
+v AS MATERIALIZED (SELECT vec_id, unnest(range({centroids.DIMS})) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM w),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{centroids.SALT}' || vec_id)) - 1 AS cluster FROM w QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, i, x FROM s JOIN v USING (vec_id))"""
+    ]
+    assigned = "d{n} AS MATERIALIZED (SELECT * FROM (SELECT vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM v JOIN c{n} c USING (i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"
+    for n in range(rounds):
+        parts.append(assigned.format(n=n))
+        mean = f"SELECT cluster, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS exactly FROM d{n} JOIN v USING (vec_id) GROUP BY ALL"
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.cluster, c.i, coalesce(m.exactly, c.x) AS x FROM c{n} c LEFT JOIN ({mean}) m ON m.cluster = c.cluster AND m.i = c.i)")
+    parts.append(assigned.format(n=rounds))
+    named = f"(SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)"
+    return f"WITH {', '.join(parts)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM d{rounds} JOIN {named} USING (cluster)"
+
+
 #: SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op3_url_filter": _url_sql(), "op7_warc_revisits": WARC_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": _url_sql(), "op7_warc_revisits": WARC_SQL, "op12_filter_audit": AUDIT_SQL, "op13_centroids": _centroid_sql(centroids.CENTROIDS, centroids.ROUNDS)}
