@@ -35,7 +35,7 @@ def top_features(scored: DataFrame, keys: list[str], score: str, k: int, tie: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bh_fdr(df: DataFrame, keys: list[str], p: str, name: str = "q", ranges: int = 16) -> DataFrame:
+def bh_fdr(df: DataFrame, keys: list[str], p: str, name: str = "q", ranges: int | None = None) -> DataFrame:
     """Step-up q-values within the keys; rows without p keep null and don't count.
 
     Equal p have one q, so distinct p are counted first; ranks and the least later step are then taken in ranges

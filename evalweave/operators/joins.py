@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .gates import GateError, assert_empty
 
 #: Which sides of a join must have unique keys.
@@ -79,16 +80,20 @@ def set_comparison(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), "new_only").when(new.isNull(), "old_only").when(old == new, "same").when(~plain(old) | ~plain(new), "non_sir").when(reversal, "reversal").otherwise("other")
 
 
-def gap_distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Positions between two closed ranges, 0 where they overlap or touch."""
-    return F.greatest(F.lit(0), b0 - a1 - 1, a0 - b1 - 1)
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", parts: int = 256) -> DataFrame:
+    """A join in which a key with many rows of ``left`` is dealt over ``parts`` tasks by a hash of ``spread``.
 
-
-def nearest(queries: DataFrame, features: DataFrame, on: list[str], distance: Column, ties: list[str], query_keys: list[str]) -> DataFrame:
-    """For each query the feature of its contig with the least distance, ties by the given columns."""
-    pairs = queries.join(features, on).withColumn("distance", distance)
-    best = F.min(F.struct("distance", *ties, *(c for c in features.columns if c not in on and c not in ties))).alias("best")
-    return pairs.groupBy(*query_keys).agg(best).select(*query_keys, "best.*")
+    Hot is a key with more than a ``parts``-th of the left rows, so there are fewer than ``parts`` of them: only these are
+    broadcast, and only their right rows are repeated. ``how``: inner or left.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    hot = counts.join(F.broadcast(total), F.col("__n") * parts > F.col("__all")).select(*on, F.lit(True).alias("__hot"))  # one row
+    hot = F.broadcast(materialise(hot))  # fewer than ``parts`` rows
+    dealt = left.join(hot, on, "left").withColumn("__deal", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    met = right.join(hot, on, "left").withColumn("__deal", F.explode(every)).drop("__hot")
+    return dealt.join(met, [*on, "__deal"], how).drop("__deal")
 
 
 def ambiguity(candidates: list[DataFrame], record: str, target: str) -> DataFrame:

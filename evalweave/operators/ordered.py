@@ -12,8 +12,14 @@ from ..session import materialise
 WITHIN = 33
 
 
-def with_range(df: DataFrame, order: str, ranges: int, name: str = "__range") -> DataFrame:
+def width(df: DataFrame, ranges: int | None = None) -> int:
+    """How many ranges or parts to deal rows into: as many as shuffles have, if not given."""
+    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_range(df: DataFrame, order: str, ranges: int | None = None, name: str = "__range") -> DataFrame:
     """Adds the number of the range of ``order`` (numeric) that a row falls into; equal values share one."""
+    ranges = width(df, ranges)
     found = df.select(F.col(order).cast("double").alias("v")).where("v is not null").approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else []
     splits = [float("-inf"), *sorted(set(found)), float("inf")]
     if len(splits) < 3:
@@ -22,7 +28,7 @@ def with_range(df: DataFrame, order: str, ranges: int, name: str = "__range") ->
     return Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep").transform(marked).drop("__order")
 
 
-def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], ranges: int = 16) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """Adds before_<value>: the sum of ``value`` over rows of the keys with a smaller ``order``.
 
     ``df`` has one row for each (keys, order). Each range is summed by itself, and the ranges' totals in turn.
@@ -53,9 +59,32 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
     return found.select(*df.columns, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << WITHIN) - 1))).alias(name))
 
 
-def hash_ranks(df: DataFrame, keys: list[str], hashed: Column, tie: str, name: str, parts: int = 32) -> DataFrame:
+def running_counts(df: DataFrame, order: list[Column], counts: Column, name: str = "before") -> DataFrame:
+    """Adds how many rows before each, in a total order of all rows, meet the condition: a distributed sort, running counts
+    within its partitions, and the partitions' totals, of which there is a row for each."""
+    placed = materialise(df.withColumn("__one", counts.cast("long")).orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftrightunsigned("__at", WITHIN))
+    totals = placed.groupBy("__part").agg(F.sum("__one").alias("__n"))
+    starts = totals.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum("__one").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.withColumn("__inside", inside).join(F.broadcast(starts), "__part")
+    return found.select(*df.columns, (F.col("__start") + F.col("__inside")).alias(name))
+
+
+def prefix_sums(df: DataFrame, keys: list[str], place: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row. ``place`` numbers the rows of each key densely; blocks of places
+    are summed by themselves, and their totals in turn."""
+    marked = df.withColumn("__block", F.floor(F.col(place) / block))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "__block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    totals = marked.groupBy(*keys, "__block").agg(F.sum(value).alias("__total")).select(*keys, "__block", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    return marked.withColumn("__inside", inside).join(totals, [*keys, "__block"]).select(*df.columns, (F.col("__inside") + F.col("__ahead")).alias(name))
+
+
+def hash_ranks(df: DataFrame, keys: list[str], hashed: Column, tie: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds the rank (from 1) of each row within its keys by (hash, tie): counted in parts of the hash's range, so a
     key of most rows is spread over as many tasks."""
+    parts = width(df, parts)
     marked = df.withColumn("__h", hashed).withColumn("__part", F.least(F.lit(parts - 1), F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * parts).cast("int")))
     inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__h", tie))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import breakpoints, intervals, labels
 from ..operators import gates, graph, joins, ordered
+from ..operators import intervals as interval_joins
 from ..registry import query
 from ..roles import CALLS, CUT, SAMPLES, SNAPSHOTS, calls, cohort, samples, snapshots, table
+from ..session import materialise
 from .rows import READINGS, R_LIMIT, S_MAX, readings
 
 
@@ -133,19 +135,55 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.snapshot_diff(old, new, ["target", "drug"], "category").groupBy("drug", "status").agg(F.count("*").alias("keys"))
 
 
-@query("J17_interval_overlap_join", f"WITH {READINGS}, b AS (SELECT event_id AS id, event_id // 50 AS g, CASE WHEN sign IN ('<', '<=') THEN 0 ELSE m END AS lo, CASE WHEN sign IN ('>', '>=') THEN NULL ELSE m END AS hi, sign IN ('=', '>=') AS lc, sign IN ('=', '<=') AS hc FROM readings) SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.g = b.g AND a.id < b.id WHERE (b.hi IS NULL OR a.lo < b.hi OR (a.lo = b.hi AND a.lc AND b.hc)) AND (a.hi IS NULL OR b.lo < a.hi OR (b.lo = a.hi AND b.lc AND a.hc))")
+OVERLAP = """(b.hi IS NULL OR a.lo < b.hi OR (a.lo = b.hi AND a.lc AND b.hc)) AND (a.hi IS NULL OR b.lo < a.hi OR (b.lo = a.hi AND b.lc AND a.hc))"""
+BOUNDS = f"""WITH {READINGS}, b AS (SELECT event_id AS id, user_id, event_type, CASE WHEN sign IN ('<', '<=') THEN 0 ELSE m END AS lo, CASE WHEN sign IN ('>', '>=') THEN NULL ELSE m END AS hi, sign IN ('=', '>=') AS lc, sign IN ('=', '<=') AS hc FROM readings JOIN events USING (event_id))"""
+
+
+def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of each user and kind of event as intervals with ends in one order."""
+    x = intervals.parse_mic(F.col("raw"))
+    low, high = interval_joins.endpoints(F.col("x.lo"), F.col("x.hi"), F.col("x.lo_closed"), F.col("x.hi_closed"))
+    # parsed once: filters on the ends would otherwise repeat the parser
+    rows = materialise(readings(spark, sf_dir).select(F.col("event_id").alias("id"), x.alias("x"))).where("x is not null")
+    keys = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "ts")
+    return rows.join(keys, "id").select("id", "user_id", "event_type", "ts", low.alias("low"), high.alias("high"))
+
+
+@query("J17_interval_overlap_join", BOUNDS + f" SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.id < b.id WHERE {OVERLAP}")
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings(spark, sf_dir).select("event_id", F.floor(F.col("event_id") / 50).alias("g"), intervals.parse_mic(F.col("raw")).alias("x"))
-    a, b = rows.select(F.col("event_id").alias("a"), "g", F.col("x").alias("xa")), rows.select(F.col("event_id").alias("b"), "g", F.col("x").alias("xb"))
-    return a.join(b, "g").where((F.col("a") < F.col("b")) & intervals.overlap(F.col("xa"), F.col("xb"))).select("a", "b")
+    """Pairs of readings of one user and kind that may be the same value."""
+    return interval_joins.self_overlaps(bounded(spark, sf_dir), ["user_id", "event_type"])
+
+
+@query("J17_overlap_of_two_tables", BOUNDS + f""", o AS (SELECT b.* FROM b JOIN events e ON e.event_id = b.id WHERE e.ts < TIMESTAMP '{CUT} 00:00:00'), n AS (SELECT b.* FROM b JOIN events e ON e.event_id = b.id WHERE e.ts >= TIMESTAMP '{CUT} 00:00:00')
+SELECT a.event_type, COUNT(*) AS pairs, COUNT(DISTINCT a.id) AS older, COUNT(DISTINCT b.id) AS newer FROM o a JOIN n b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE {OVERLAP} GROUP BY 1""")
+def overlap_of_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of event the readings of an earlier snapshot that those of a later one may repeat."""
+    rows, cut = bounded(spark, sf_dir), F.lit(f"{CUT} 00:00:00").cast("timestamp")
+    pairs = interval_joins.overlap_join(rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut), ["user_id", "event_type"])
+    kinds = rows.select(F.col("id").alias("a"), "event_type")
+    return pairs.join(kinds, "a").groupBy("event_type").agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("older"), F.count_distinct("b").alias("newer"))
 
 
 @query("J18_nearest_interval", "SELECT o_orderkey AS q, MIN(greatest(0, s0 - q1 - 1, q0 - s1 - 1)) AS distance FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS q0, CAST(floor(o_totalprice) AS BIGINT) + 50 AS q1 FROM orders) o JOIN (SELECT l_orderkey, CAST(floor(l_extendedprice) AS BIGINT) AS s0, CAST(floor(l_extendedprice) AS BIGINT) + 500 AS s1 FROM lineitem) l ON l_orderkey = o_orderkey GROUP BY 1")
 def nearest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda c: F.floor(c)
-    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), price("o_totalprice").alias("q0"), (price("o_totalprice") + 50).alias("q1"))
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), "l_linenumber", price("l_extendedprice").alias("s0"), (price("l_extendedprice") + 500).alias("s1"))
-    return joins.nearest(q, f, ["q"], joins.gap_distance(F.col("q0"), F.col("q1"), F.col("s0"), F.col("s1")), ["l_linenumber"], ["q"]).select("q", "distance")
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contig"), F.col("o_orderkey").alias("id"), price("o_totalprice").alias("q0"), (price("o_totalprice") + 50).alias("q1"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contig"), F.col("l_linenumber").alias("feature"), price("l_extendedprice").alias("s0"), (price("l_extendedprice") + 500).alias("s1"))
+    return interval_joins.nearest(q, f, ["contig"]).select(F.col("id").alias("q"), "distance")
+
+
+@query("J18_nearest_feature", """WITH q AS (SELECT doc_id AS id, lang, n_chars AS q0, n_chars + 10 AS q1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+f AS (SELECT doc_id AS feature, lang, n_chars AS s0, n_chars + doc_id % 40 AS s1 FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT q.*, feature, s0, s1, greatest(0, s0 - q1 - 1, q0 - s1 - 1) AS distance FROM q JOIN f USING (lang))
+SELECT id, lang, q0, q1, feature, s0, s1, distance FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, s0 > q1 + 1, CASE WHEN s0 <= q1 + 1 THEN -s1 ELSE 0 END, feature) = 1""")
+def nearest_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For documents without labels the labelled one of the same language that is nearest by length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").alias("at"))
+    known = table(spark, sf_dir, "labels").select("doc_id")
+    q = docs.join(known, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "lang", F.col("at").alias("q0"), (F.col("at") + 10).alias("q1"))
+    f = docs.join(known, "doc_id").select(F.col("doc_id").alias("feature"), "lang", F.col("at").alias("s0"), (F.col("at") + F.col("doc_id") % 40).alias("s1"))
+    return interval_joins.nearest(q, f, ["lang"])
 
 
 @query("J19_pair_self_join", "SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_name = b.p_name THEN 'equal' ELSE 'contained' END AS relation FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name = b.p_name OR contains(a.p_name, split_part(b.p_name, ' ', 2))")
@@ -247,12 +285,10 @@ def group_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J27_carriers", f"WITH {CALLS}, c AS (SELECT feature, sample, y, stratum, row_number() OVER (PARTITION BY feature ORDER BY y DESC, sample) AS rank FROM calls JOIN cohort USING (sample)) SELECT feature, sample, y, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 3")
 def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the least rows of each feature are kept while aggregating, so a feature of most samples needs no sort
-    rows = calls(spark, sf_dir).join(cohort(spark, sf_dir), "sample").withColumn("part", F.pmod(F.xxhash64("sample"), F.lit(32)))
-    pick = lambda keys: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "sample", "y"))), 1, 3)
-    parts = rows.groupBy("feature", "part").agg(pick(None).alias("some")).select("feature", F.explode("some").alias("r")).select("feature", "r.sample", "r.y")
-    best = parts.groupBy("feature").agg(pick(None).alias("some")).select("feature", F.posexplode("some").alias("p", "r"))
-    return best.select("feature", "r.sample", "r.y", (F.col("p") + 1).alias("rank"))
+    # a limit on the rank is taken before the shuffle as well, so a feature of most samples sends few rows
+    rows = calls(spark, sf_dir).join(cohort(spark, sf_dir), "sample")
+    order = Window.partitionBy("feature").orderBy(F.col("y").desc(), "sample")
+    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("feature", "sample", "y", "rank")
 
 
 @query("U06_identity_components", "WITH RECURSIVE e AS (SELECT o_custkey AS k, MIN(o_orderkey) AS m FROM orders GROUP BY 1) SELECT COUNT(DISTINCT m) AS components, COUNT(*) AS nodes, MAX(n) AS largest FROM (SELECT m, COUNT(*) OVER (PARTITION BY m) AS n FROM orders JOIN e ON o_custkey = k) u")

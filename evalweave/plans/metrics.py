@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import evaluation
+from ..operators import certificates, evaluation
 from ..registry import query
 from ..roles import PREDICTIONS, SAMPLES, predictions, samples
 
@@ -197,6 +197,47 @@ def flip_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("margin", F.when(F.col("n") * F.col("harm") > F.col("margin"), F.floor(F.col("margin") / F.col("harm")) + 1).alias("least_flips"))
 
 
+CERTIFICATES = f"""WITH {SAMPLES}, r AS (SELECT doc_id AS id, y, score_a AS a, score_b AS b, lang = 'en' AS en, CAST(score_a >= CAST(0.5 AS DOUBLE) AS INTEGER) - CAST(score_b >= CAST(0.5 AS DOUBLE) AS INTEGER) AS d FROM samples),
+  k AS (SELECT *, COUNT(*) OVER () * d - SUM(d) OVER () AS wb, 2 * rank() OVER (ORDER BY a) + COUNT(*) OVER (PARTITION BY a) - 2 * rank() OVER (ORDER BY b) - COUNT(*) OVER (PARTITION BY b) AS wr FROM r),
+  w AS (SELECT mask, metric, fixed_totals, id, y, CASE metric WHEN 'AUROC' THEN wr ELSE wb END AS w, mask = 'all' OR en AS allowed FROM k, (SELECT unnest(['all', 'en']) AS mask) x, (SELECT unnest(['balanced_accuracy', 'AUROC']) AS metric) y, (SELECT unnest([FALSE, TRUE]) AS fixed_totals) z),
+  t AS (SELECT mask, metric, fixed_totals, COUNT(*) AS n, SUM(y) AS positives, COUNT(*) FILTER (WHERE allowed) AS eligible, SUM(y * w) AS margin FROM w GROUP BY ALL),
+  h AS (SELECT w.*, margin, -sign(margin) * (1 - 2 * y) * w AS harm FROM w JOIN t USING (mask, metric, fixed_totals) WHERE allowed AND margin <> 0 AND positives > 0 AND positives < n),
+  o AS (SELECT *, row_number() OVER (PARTITION BY mask, metric, fixed_totals, CASE WHEN fixed_totals THEN y ELSE 0 END ORDER BY harm DESC, id) AS rank FROM h WHERE fixed_totals OR harm > 0),
+  u AS (SELECT mask, metric, fixed_totals, rank, any_value(margin) AS margin, SUM(harm) AS harm, COUNT(*) AS m FROM o GROUP BY ALL HAVING NOT fixed_totals OR COUNT(*) = 2),
+  c AS (SELECT *, SUM(harm) OVER (PARTITION BY mask, metric, fixed_totals ORDER BY rank) AS harmed FROM u),
+  p AS (SELECT mask, metric, fixed_totals, MIN(rank) AS last, arg_min(harmed, rank) AS harmed, MIN(rank * m) AS flips FROM c WHERE harmed > abs(margin) GROUP BY ALL),
+  v AS (SELECT o.*, last FROM o JOIN p USING (mask, metric, fixed_totals) WHERE rank <= last)"""
+
+CERTIFICATES_SQL = CERTIFICATES + """, g AS (SELECT mask, metric, fixed_totals, SUM(1 - 2 * y) AS gained FROM v GROUP BY ALL)
+SELECT mask, metric, fixed_totals, n, positives, n - positives AS negatives, eligible, margin AS integer_margin, CASE WHEN margin > 0 THEN 'method1_above_method2' WHEN margin < 0 THEN 'method1_below_method2' ELSE 'tie' END AS initial_order,
+  round(margin / CAST(2 * positives * (n - positives) AS DOUBLE), 12) AS point_difference, flips AS least_flips, sign(margin) * (abs(margin) - harmed) AS witness_margin,
+  round(sign(margin) * (abs(margin) - harmed) / CAST(2 * (positives + gained) * (n - positives - gained) AS DOUBLE), 12) AS witness_difference,
+  CASE WHEN margin = 0 THEN 'INITIAL_TIE_NO_STRICT_ORDER' WHEN flips IS NOT NULL THEN 'EXACT_MINIMUM_WITH_ATTAINING_COUNTERFACTUAL_WITNESS' ELSE 'NO_STRICT_REVERSAL_POSSIBLE_WITHIN_ALLOWED_MASK' END AS status
+FROM t LEFT JOIN p USING (mask, metric, fixed_totals) LEFT JOIN g USING (mask, metric, fixed_totals)"""
+
+
+def _certificates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = samples(spark, sf_dir).select(F.col("doc_id").alias("id"), "y", F.col("score_a").alias("a"), F.col("score_b").alias("b"), "lang")
+    masks = {"all": F.lit(True), "en": F.col("lang") == "en"}
+    return certificates.certificates(rows, [certificates.Scenario(name, allowed, metric, fixed) for name, allowed in masks.items() for metric in certificates.METRICS for fixed in (False, True)])
+
+
+@query("A45_certificates", CERTIFICATES_SQL)
+def ranking_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For either metric, free or fixed class totals, and all or only English rows: the fewest labels whose change turns
+    the order of the two scores around."""
+    report, _ = _certificates(spark, sf_dir)
+    whole = {c: F.col(c).cast("long") for c in ("n", "positives", "negatives", "eligible", "integer_margin", "least_flips", "witness_margin")}
+    return report.drop("scenario").withColumns(whole | {c: F.round(c, 12) for c in ("point_difference", "witness_difference")})
+
+
+@query("A45_witnesses", CERTIFICATES + " SELECT mask, metric, fixed_totals, id, rank - 1 AS rank, y, 1 - y AS flipped FROM v")
+def ranking_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose change attains each certificate."""
+    report, witnesses = _certificates(spark, sf_dir)
+    return witnesses.join(F.broadcast(report.select("scenario", "mask", "metric", "fixed_totals")), "scenario").drop("scenario")  # a row for each scenario
+
+
 @query("A50_weighted_error_scenarios", f"WITH {SAMPLES}, c AS (SELECT SUM(CASE WHEN y = 1 AND score_a < CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS fna, SUM(CASE WHEN y = 0 AND score_a >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS fpa, SUM(CASE WHEN y = 1 AND score_b < CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS fnb, SUM(CASE WHEN y = 0 AND score_b >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) AS fpb FROM samples) SELECT CAST(w AS INTEGER) AS w, CAST(w * fna + fpa AS BIGINT) AS cost_a, CAST(w * fnb + fpb AS BIGINT) AS cost_b, CASE WHEN w * fna + fpa < w * fnb + fpb THEN 'A' WHEN w * fna + fpa > w * fnb + fpb THEN 'B' ELSE 'tie' END AS winner FROM c, (SELECT unnest([1, 2, 5, 10]) AS w) x")
 def weighted_error_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = lambda m, y, high: F.count_if((F.col("y") == y) & ((F.col(f"score_{m}") >= 0.5) == F.lit(high)))
