@@ -1,13 +1,32 @@
-"""Cluster bootstrap as a weight for each (draw, group), and seeded sampling by hash."""
+"""Cluster bootstrap by multiplicities that are made where they are used, and seeded sampling by hash.
+
+A draw of the cluster bootstrap picks G groups of G with replacement, so the groups' multiplicities are one multinomial.
+No table of (draw, group) is ever made. The G picks of all draws are split down a binary tree over the groups' numbers, each node by
+a binomial with a seed of its own, so any task can make the multiplicities of any run of groups for all draws at once, and gets the
+same ones. Groups with equal cells are alike for every metric of the cells: only their number counts, so they are one type, a run of
+numbers whose multiplicities are needed as a sum. A million rows without a group of their own are then a few dozen types.
+
+Tasks add up multiplicity times count for all draws in arrays, blocks of draws are merged in a second step, and only then metrics are
+taken, draw by draw.
+"""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import materialise
-from .ordered import hash_ranks, positions
+from .ordered import hash_ranks, positions, prefix_sums
+
+#: Draws that are merged together, and nodes of the tree that a task remembers.
+BLOCK, KEPT = 500, 256
 
 
 def own_group(group: Column, row_id: Column) -> Column:
@@ -15,29 +34,201 @@ def own_group(group: Column, row_id: Column) -> Column:
     return F.coalesce(F.when(F.trim(group) != "", group), F.concat(F.lit("UNRESOLVED::"), row_id.cast("string")))
 
 
-def multinomial_weights(spark: SparkSession, groups: list[str], draws: int, seed: int) -> DataFrame:
-    """(draw, group, w) for a fixed list of groups, replayed from numpy's generator: for exact replays of
-    small designs only, as draws x groups rows pass the driver."""
-    w = np.random.default_rng(seed).multinomial(len(groups), [1 / len(groups)] * len(groups), draws)
-    rows = [(d, g, int(w[d, i])) for d in range(draws) for i, g in enumerate(groups) if w[d, i]]
-    return spark.createDataFrame(rows, "draw int, group string, w long")
-
-
-def hashed_weights(groups: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, group, w): in each draw as many picks as there are groups, each by a hash, spread over tasks.
-
-    Groups are numbered by the order of their name; picks are counted by number.
+class Multiplicities:
+    """How often the groups of a run of numbers are picked, in each of ``draws`` draws of ``groups`` picks of ``groups`` groups."""
+
+    def __init__(self, groups: int, draws: int, seed: int):
+        self.groups, self.draws, self.seed = groups, draws, seed
+        self.height = max(0, groups - 1).bit_length()
+        self.known: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+
+    def _size(self, level: int, node: int) -> int:
+        """How many groups lie below a node that covers 2^level numbers."""
+        return max(0, min(self.groups, (node + 1) << level) - (node << level))
+
+    def node(self, level: int, node: int) -> np.ndarray:
+        if level == self.height:
+            return np.full(self.draws, self.groups, np.int64)
+        found = self.known.pop((level, node), None)
+        if found is None:
+            above = self.node(level + 1, node >> 1)
+            left, whole = self._size(level, node & ~1), self._size(level + 1, node >> 1)
+            picked = above if left == whole else np.random.default_rng([self.seed, level, node >> 1]).binomial(above, left / whole)
+            found = picked if node & 1 == 0 else above - picked
+        self.known[level, node] = found
+        if len(self.known) > KEPT:
+            self.known.popitem(last=False)
+        return found
+
+    def run(self, first: int, n: int) -> np.ndarray:
+        """The sum over groups first .. first + n - 1, from the fewest nodes."""
+        total, left, right = np.zeros(self.draws, np.int64), first, first + n
+        level = 0
+        while left < right:
+            if level == self.height:
+                return total + self.node(level, 0)
+            if left & 1:
+                total += self.node(level, left)
+                left += 1
+            if right & 1 and left < right:
+                right -= 1
+                total += self.node(level, right)
+            left, right, level = left >> 1, right >> 1, level + 1
+        return total
+
+
+def group_types(cells: DataFrame, cell: list[str], counts: list[str]) -> DataFrame:
+    """(cells, first, n): types of groups with the same cells, as runs of group numbers in an order of their hash.
+
+    ``cells``: group, the ``cell`` columns, whole-number ``counts``, one row for each (group, cell). A group has as many entries
+    as there are cells, a number that the design sets (folds times models).
     """
-    numbered = materialise(positions(groups.select("group").distinct(), [F.col("group")], "k"))
-    n = numbered.count()
-    picks = groups.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("k"))
-    return picks.groupBy("draw", "k").agg(F.count("*").alias("w")).join(numbered, "k").select("draw", "group", "w")
-
-
-def weighted_scores(df: DataFrame, weights: DataFrame, keys: list[str], group: str = "group") -> DataFrame:
-    """(draw, keys, score, pos, neg): rows are first counted by (keys, group, score), then weighted."""
-    cells = df.groupBy(*keys, F.col(group).alias("group"), "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    return cells.join(weights, "group").groupBy("draw", *keys, "score").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * (F.col("n") - F.col("pos"))).alias("neg"))
+    own = F.array_sort(F.collect_list(F.struct(*cell, *counts)))
+    types = cells.groupBy("group").agg(own.alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
+    placed = materialise(positions(types, [F.xxhash64("cells"), F.col("cells")], "at"))
+    return prefix_sums(placed, [], "at", "n", "upto").select("cells", (F.col("upto") - F.col("n")).alias("first"), "n")
+
+
+def resampled_totals(cells: DataFrame, cell: list[str], counts: list[str], draws: int, seed: int) -> DataFrame:
+    """(cell, draw, counts): the counts of every cell in each draw, summed over the picked groups."""
+    types = materialise(group_types(cells, cell, counts))
+    groups = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    kinds = {c: cells.schema[c].dataType for c in cell}
+    keys = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
+    schema = StructType.fromDDL(f"{keys}, block int, {', '.join(f'{c} array<bigint>' for c in counts)}")
+    fields = to_arrow_schema(schema)
+
+    def rows_of(totals: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row for each cell and block of draws."""
+        for key, found in totals.items():
+            for block in range(-(-draws // BLOCK)):
+                part = found[:, block * BLOCK : (block + 1) * BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*key, block, *(p.tolist() for p in part)], fields, strict=True)], schema=fields)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks, totals = Multiplicities(groups, draws, seed), {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                w = picks.run(row["first"], row["n"])
+                for entry in row["cells"]:
+                    key = tuple(entry[c] for c in cell)
+                    found = totals.setdefault(key, np.zeros((len(counts), draws), np.int64))
+                    for i, c in enumerate(counts):
+                        found[i] += w * entry[c]
+        yield from rows_of(totals)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                values = np.array([row[c] for c in counts], np.int64)
+                key = tuple(row[c] for c in [*cell, "block"])
+                totals[key] = totals[key] + values if key in totals else values
+        for key, values in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*key, *values.tolist()], fields, strict=True)], schema=fields)
+
+    # runs of neighbours share the upper nodes of the tree
+    parts = types.repartitionByRange("first").sortWithinPartitions("first").mapInArrow(weigh, schema)
+    merged = parts.repartition("block", *cell).mapInArrow(merge, schema)
+    each = merged.select(*cell, "block", F.posexplode(F.arrays_zip(*counts)).alias("at", "c"))
+    return each.select(*cell, (F.col("block") * BLOCK + F.col("at")).alias("draw"), *(F.col(f"c.{c}").alias(c) for c in counts))
+
+
+def least_valid(draws: int) -> int:
+    """How many draws must be valid: four fifths, and at least 25 of fewer than 100 draws, 500 of more."""
+    return max(25 if draws < 100 else 500, int(0.8 * draws))
+
+
+def with_floor(summary: DataFrame, draws: int, valid: str = "valid") -> DataFrame:
+    """Adds the share of valid draws and whether they are enough to be summarised."""
+    return summary.withColumn("valid_share", F.col(valid) / F.lit(float(draws))).withColumn("enough", F.col(valid) >= least_valid(draws))
+
+
+def require_floor(summary: DataFrame, draws: int, valid: str = "valid") -> DataFrame:
+    """The summary, or an error when it is run if too few draws were valid."""
+    message = F.concat(F.lit("too few valid draws: "), F.col(valid).cast("string"), F.lit(f" of {draws}, required {least_valid(draws)}"))
+    return summary.withColumn(valid, F.when(F.col(valid) >= least_valid(draws), F.col(valid)).otherwise(F.raise_error(message).cast("long")))
+
+
+def resampled_ranks(df: DataFrame, draws: int, seed: int, score: str = "score", group: str = "group") -> DataFrame:
+    """(draw, positives, negatives, auroc, ap) in every draw: ties count a half, and average precision goes step by step from the top. Rows
+    without a score are left out.
+
+    Rows are counted by (score, group), then dealt by ranges of the score. Each task keeps running sums over its own scores for
+    all draws. A first pass gives the ranges' totals, the second starts each range from what lies below and above it: a range's totals
+    are two numbers for each draw, and there are as many ranges as shuffles have parts.
+    """
+    df = df.where(F.col(score).isNotNull() & ~F.isnan(score))
+    cells = df.groupBy(F.col(score).alias("score"), F.col(group).alias("group")).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    numbered = materialise(positions(df.select(F.col(group).alias("group")).distinct(), [F.col("group")], "number"))
+    groups = numbered.count()
+    rows = cells.join(numbered, "group").repartitionByRange("score").sortWithinPartitions("score", "number").select(F.spark_partition_id().alias("part"), "score", "number", "pos", "neg")
+    rows = materialise(rows)
+    totals_schema = "part int, draw int, pos long, neg long"
+
+    def by_score(batches: Iterator[pa.RecordBatch], picks: Multiplicities) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(part, positives, negatives in each draw) of one score after the other; rows come in order of part and score."""
+        now, pos, neg = None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if now != (row["part"], row["score"]):
+                    if now is not None:
+                        yield now[0], pos, neg
+                    now, pos, neg = (row["part"], row["score"]), np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+                w = picks.run(row["number"], 1)
+                pos, neg = pos + w * row["pos"], neg + w * row["neg"]
+        if now is not None:
+            yield now[0], pos, neg
+
+    def long(part: int, **columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array(np.full(draws, part, np.int32)), "draw": pa.array(np.arange(draws, dtype=np.int32)), **{k: pa.array(v) for k, v in columns.items()}})
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for part, pos, neg in by_score(batches, Multiplicities(groups, draws, seed)):
+            have = found.setdefault(part, [np.zeros(draws, np.int64), np.zeros(draws, np.int64)])
+            have[0] += pos
+            have[1] += neg
+        for part, (pos, neg) in found.items():
+            yield long(part, pos=pos, neg=neg)
+
+    totals = materialise(rows.mapInArrow(sums, totals_schema))
+    below = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("draw")
+    offsets = totals.select("part", "draw", *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("pos", "neg")), *(F.sum(c).over(whole).alias(f"{c}_all") for c in ("pos", "neg")))
+    names = ["pos_below", "neg_below", "pos_all", "neg_all"]
+    by_draw = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("draw", c))), lambda x: x[c]).alias(c)
+    packed = offsets.groupBy("part").agg(*map(by_draw, names))  # ``draws`` entries each
+    # what lies below a part comes with its first row
+    heads = rows.groupBy("part").agg(F.min(F.struct("score", "number")).alias("h")).select("part", F.col("h.score").alias("score"), F.col("h.number").alias("number")).join(packed, "part")
+    started = rows.join(heads, ["part", "score", "number"], "left").repartition("part").sortWithinPartitions("part", "score", "number")
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts: dict[int, dict[str, np.ndarray]] = {}
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                heads = np.flatnonzero(batch.column("pos_all").is_valid().to_numpy(zero_copy_only=False))
+                for i in heads.tolist():
+                    starts[batch.column("part")[i].as_py()] = {c: np.array(batch.column(c)[i].as_py(), np.int64) for c in names}
+                yield batch.select(["part", "score", "number", "pos", "neg"])
+
+        now, at, wins, gained = None, {}, None, None
+        for part, pos, neg in by_score(seen(), Multiplicities(groups, draws, seed)):
+            if part != now:
+                if now is not None:
+                    yield long(now, wins=wins, gained=gained, pos=at["pos_all"], neg=at["neg_all"])
+                now, at, wins, gained = part, starts.pop(part), np.zeros(draws), np.zeros(draws)
+            wins += pos * (at["neg_below"] + neg / 2)
+            above_pos, above_neg = at["pos_all"] - at["pos_below"], at["neg_all"] - at["neg_below"]  # at this score or above
+            gained += np.where(pos > 0, pos * above_pos / np.maximum(1, above_pos + above_neg), 0)
+            at["pos_below"], at["neg_below"] = at["pos_below"] + pos, at["neg_below"] + neg
+        if now is not None:
+            yield long(now, wins=wins, gained=gained, pos=at["pos_all"], neg=at["neg_all"])
+
+    found = started.mapInArrow(ranks, "part int, draw int, wins double, gained double, pos long, neg long").groupBy("draw").agg(F.sum("wins").alias("wins"), F.sum("gained").alias("gained"), F.first("pos").alias("positives"), F.first("neg").alias("negatives"))
+    p, n = F.col("positives"), F.col("negatives")
+    return found.select("draw", "positives", "negatives", F.when((p > 0) & (n > 0), F.col("wins") / (p * n)).alias("auroc"), F.when(p > 0, F.col("gained") / p).alias("ap"))
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, row_id: str, seed: int) -> DataFrame:

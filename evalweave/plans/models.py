@@ -24,36 +24,49 @@ from .rows import READINGS, R_LIMIT, S_MAX, readings
 DRAWS, TRIALS, SEED = 10_000, 20, 20261114
 
 
+COUNTS = ["tp", "fn", "tn", "fp"]
+
+
+def resampled_metrics(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, draw, the rates of each draw): confusion counts by (group, cell) are resampled by group. ``rows``: group, y, pred."""
+    cells = rows.groupBy("group", *cell).agg(*stats.confusion(F.col("y"), F.col("pred")))
+    totals = resampling.resampled_totals(cells, cell, COUNTS, DRAWS, SEED)
+    return totals.select(*cell, "draw", *(c.alias(n) for n, c in stats.metrics(*(F.col(c) for c in COUNTS)).items()))
+
+
+def interval_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Valid draws, mean and 95 % interval of a value over its draws, of which there are DRAWS at most for each key."""
+    found = df.groupBy(*keys).agg(F.count(value).alias("valid"), F.round(F.avg(value), 9).alias("mean"), *(F.round(F.percentile(value, q), 9).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))
+    return resampling.with_floor(found, DRAWS)
+
+
 @query("B01_cluster_bootstrap")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro mean over folds of the balanced accuracy in each draw, for draws in which every fold has both
-    classes; then its quantiles."""
+    """Macro mean over folds of the balanced accuracy in each draw, valid where every fold has both classes."""
     rows = predictions(spark, sf_dir).where("scheme = 'mod5'").withColumn("group", resampling.own_group(F.col("source"), F.col("doc_id")))
-    weights = resampling.hashed_weights(rows, DRAWS, SEED)
-    cells = rows.groupBy("group", "fold", "model").agg(*stats.confusion(F.col("y"), F.col("pred"))).join(weights, "group")
-    names = ("tp", "fn", "tn", "fp")
-    by = cells.groupBy("draw", "fold", "model").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
-    ba = by.select("draw", "fold", "model", stats.metrics(*(F.col(c) for c in names))["ba"].alias("ba"))
-    draws = ba.groupBy("draw", "model").agg(F.count("ba").alias("folds"), F.avg("ba").alias("ba")).where("folds = 5")
-    return draws.groupBy("model").agg(F.count("*").alias("draws"), *(F.round(F.percentile("ba", q), 9).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))
+    ba = resampled_metrics(rows, ["fold", "model"]).groupBy("draw", "model").agg(F.count("ba").alias("folds"), F.avg("ba").alias("ba"))
+    return interval_of(ba.select("model", F.when(F.col("folds") == 5, F.col("ba")).alias("ba")), ["model"], "ba")
 
 
-@query("B02_replayed_multiplicities", "SELECT COUNT(DISTINCT draw) AS draws, COUNT(*) FILTER (WHERE w = 5) AS complete FROM (SELECT unnest(range(20)) AS draw, 5 AS w) u")
-def replayed_multiplicities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]  # a fixed list
-    w = resampling.multinomial_weights(spark, groups, 20, SEED).groupBy("draw").agg(F.sum("w").alias("w"))
-    return w.agg(F.count_distinct("draw").alias("draws"), F.count_if(F.col("w") == len(groups)).alias("complete"))
+@query("B02_group_bootstrap")
+def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several metrics of whole groups drawn with replacement; a draw without both classes is invalid, and too few valid ones
+    stop the query."""
+    rows = samples(spark, sf_dir).select("y", (F.col("score_a") >= 0.5).cast("int").alias("pred"), F.col("lang").alias("cohort"), resampling.own_group(F.col("source"), F.col("doc_id")).alias("group"))
+    by = resampled_metrics(rows, ["cohort"])
+    valid = F.col("sensitivity").isNotNull() & F.col("specificity").isNotNull()
+    named = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.when(valid, F.col(m)).cast("double").alias("value")) for m in ("sensitivity", "specificity", "ba", "mcc", "f1")))).alias("m")
+    return resampling.require_floor(interval_of(by.select("cohort", "draw", named).select("cohort", "m.metric", "m.value"), ["cohort", "metric"], "value"), DRAWS)
 
 
 @query("B03_paired_contrasts")
 def paired_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model B less model A on the same draws."""
     rows = predictions(spark, sf_dir).where("scheme = 'mod5'").withColumn("group", resampling.own_group(F.col("source"), F.col("doc_id")))
-    cells = rows.groupBy("group", "model").agg(*stats.confusion(F.col("y"), F.col("pred"))).join(resampling.hashed_weights(rows, DRAWS, SEED), "group")
-    names = ("tp", "fn", "tn", "fp")
-    by = cells.groupBy("draw", "model").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
-    ba = by.select("draw", "model", stats.metrics(*(F.col(c) for c in names))["ba"].alias("ba"))
-    gap = evaluation.paired_gap(ba, ["draw"], "model", "A", "B", ["ba"])
-    return gap.agg(F.count("*").alias("draws"), F.avg((F.col("ba_delta") > 0).cast("double")).alias("above"), *(F.round(F.percentile("ba_delta", q), 9).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
+    gap = evaluation.paired_gap(resampled_metrics(rows, ["model"]).select("draw", "model", "ba"), ["draw"], "model", "A", "B", ["ba"])
+    share = lambda c: F.avg(F.when(F.col("ba_delta").isNotNull(), c.cast("double")))
+    found = gap.agg(F.count("ba_delta").alias("valid"), share(F.col("ba_delta") > 0).alias("above"), share(F.col("ba_delta") < 0).alias("below"), *(F.round(F.percentile("ba_delta", q), 9).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
+    return resampling.with_floor(found, DRAWS)
 
 
 @query("B04_own_groups", "SELECT COUNT(DISTINCT CASE WHEN doc_id % 10 = 0 THEN 'UNRESOLVED::' || CAST(doc_id AS VARCHAR) ELSE source END) AS groups FROM documents")
@@ -64,12 +77,10 @@ def own_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("B05_weighted_rank_metrics")
 def weighted_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC in every draw: cells of (group, score) are weighted, then ordered within the draw."""
-    rows = samples(spark, sf_dir).select("y", F.col("score_a").alias("score"), F.col("source").alias("group"))
-    cells = resampling.weighted_scores(rows, resampling.hashed_weights(rows, DRAWS, SEED), [])
-    before = running_totals(cells, ["draw"], "score", ["neg"])
-    by = before.groupBy("draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)).alias("wins"))
-    return by.where("p > 0 and n > 0").select("draw", F.round(F.col("wins") / (F.col("p") * F.col("n")), 9).alias("auroc"))
+    """AUROC and average precision in every draw, from cells of (group, score)."""
+    rows = samples(spark, sf_dir).select("y", F.col("score_a").alias("score"), resampling.own_group(F.col("source"), F.col("doc_id")).alias("group"))
+    by = resampling.resampled_ranks(rows, DRAWS, SEED)
+    return by.select("draw", F.round("auroc", 9).alias("auroc"), F.round("ap", 9).alias("ap"))
 
 
 @query("B06_anchor_trials")

@@ -80,32 +80,6 @@ def test_group_folds_are_balanced(spark):
     assert max(positives) - min(positives) <= 40
 
 
-def test_bootstrap_against_plain_draws(spark, monkeypatch):
-    monkeypatch.setattr(models, "DRAWS", 25)
-    rows = models.predictions(spark, DATA).where("scheme = 'mod5'").withColumn("group", resampling.own_group(F.col("source"), F.col("doc_id")))
-    weights = {(r.draw, r.group): r.w for r in resampling.hashed_weights(rows, 25, models.SEED).collect()}
-    groups = {r.group for r in rows.select("group").distinct().collect()}
-    assert all(sum(weights.get((d, g), 0) for g in groups) == len(groups) for d in range(25))
-    data = rows.select("group", "fold", "model", "y", "pred").collect()
-    values = collections.defaultdict(list)
-    for d in range(25):
-        counts = collections.Counter()
-        for r in data:
-            counts[r.model, r.fold, r.y, r.pred] += weights.get((d, r.group), 0)
-        for m in "AB":
-            folds = []
-            for f in range(5):
-                p, n = counts[m, f, 1, 0] + counts[m, f, 1, 1], counts[m, f, 0, 0] + counts[m, f, 0, 1]
-                if p and n:
-                    folds.append((counts[m, f, 1, 1] / p + counts[m, f, 0, 0] / n) / 2)
-            if len(folds) == 5:
-                values[m].append(np.mean(folds))
-    found = {r.model: r for r in models.cluster_bootstrap(spark, DATA).collect()}
-    assert set(found) == set(values)
-    for m, v in values.items():
-        assert found[m].draws == len(v)
-        assert [found[m].low, found[m].median, found[m].high] == pytest.approx(np.quantile(v, [0.025, 0.5, 0.975]).tolist(), abs=1e-8)
-
 
 def test_random_rows_and_samples(spark):
     rows, df = table(spark)

@@ -154,14 +154,6 @@ def test_components_of_long_path_and_star(spark):
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 150)} == {100} and found[999] == 999
 
 
-def test_multiplicities_add_up(spark):
-    groups = spark.createDataFrame([(g,) for g in "abcdef"], "group string")
-    w = resampling.hashed_weights(groups, 9, 4).groupBy("draw").agg(F.sum("w").alias("w")).collect()
-    assert len(w) == 9 and {r.w for r in w} == {6}
-    again = resampling.multinomial_weights(spark, list("abc"), 5, 2).groupBy("draw").agg(F.sum("w").alias("w")).collect()
-    assert {r.w for r in again} == {3}
-
-
 def test_labels(spark):
     got = [tuple(r) for r in spark.createDataFrame([(" resistant ",), ("i",), ("n/a",), (None,)], "v string").select(labels.category(F.col("v")), labels.binary_label(F.col("v")), labels.missing_to_null(F.col("v"))).collect()]
     assert got == [("R", 1, "resistant"), ("I", None, "i"), (None, None, None), (None, None, None)]
