@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Rows and text bytes that a task holds at a time, whatever Spark's own batches are.
 SLICE_ROWS = 2048
@@ -46,10 +48,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, a null text as the empty one; other columns can't clash."""
+    """Only the id and the text, a null text as the empty one; other columns can't clash. Ids are whole numbers; others are
+    refused by name."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"column {id_col} is {kind.simpleString()}, ids must be whole numbers")
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def text_digests(texts: list[str]) -> pa.Array:
+    """The SHA-256 of each text's UTF-8."""
+    return pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_text, map_slices, materialise, unused
+from ..operators.joins import spread_join
+from .common import batch_of, id_text, map_slices, materialise, text_digests, unused
 from .components import components
 
 SEED, WORDS, BITS, SEGMENT, DISTANCE = 42, 3, 64, 32, 3
@@ -55,13 +56,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, digest, fp): the SHA-256 of every whole text, and its fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array(list(map(fingerprint, batch.column("text").to_pylist())), np.uint64)
-        return batch_of(doc_id=(batch.column("doc_id"), None), fp=(pa.array(found.view(np.int64)), None))
+        texts = batch.column("text").to_pylist()
+        found = np.array(list(map(fingerprint, texts)), np.uint64)
+        return batch_of(doc_id=(batch.column("doc_id"), None), digest=(text_digests(texts), None), fp=(pa.array(found.view(np.int64)), None))
 
-    return map_slices(id_text(df, id_col, text_col), run, "doc_id long, fp long", "text")
+    return map_slices(id_text(df, id_col, text_col), run, "doc_id long, digest binary, fp long", "text")
 
 
 def _bits(n: int) -> F.Column:
@@ -100,9 +102,8 @@ def _across_groups(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): the class of every document under links of at most DISTANCE bits."""
-    docs = materialise(fingerprints(df, id_col, text_col))
+def fingerprint_classes(docs: DataFrame) -> DataFrame:
+    """(fp, component_id): the class of every fingerprint, named by its least id. ``docs``: (doc_id, fp)."""
     nodes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     close = materialise(_within_two(nodes.select("fp")))
     groups = components(close)
@@ -116,16 +117,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = known.join(merged, "group", "left").select("fp", F.coalesce("label", "group").alias("label"))
     member = nodes.join(named, "fp")
     least = member.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    classes = member.join(least, "label").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``df`` whose document is its class's least id, one row for each id (the least text of rows
-    that repeat it). Rows without an id can't be named and stay as they are. ``classes`` gives doc_id and
-    component_id."""
-    named, kept_id, rank = F.col(f"`{id_col}`"), unused(df, "__kept"), unused(df, "__rank")
-    kept = classes(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    order = Window.partitionBy(kept_id).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    rows = df.join(kept, named == F.col(kept_id)).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return rows.drop(kept_id, rank).unionByName(df.where(named.isNull()))
+    return member.join(least, "label").select("fp", "component_id", "label")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id): the class of every document under links of at most DISTANCE bits."""
+    docs = materialise(fingerprints(df, id_col, text_col).select("doc_id", "fp"))
+    classes = fingerprint_classes(docs).select("fp", "component_id")
+    # a fingerprint that many documents share is dealt out
+    named = spread_join(docs, classes, ["fp"], "doc_id")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def row_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, label): the class of every row; rows of one text, and of one label, are alike."""
+    docs = materialise(fingerprints(df, id_col, text_col))
+    return spread_join(docs, fingerprint_classes(docs).select("fp", "label"), ["fp"], "doc_id").select("doc_id", "digest", "label")
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame, str, str], DataFrame] = row_classes, parts: int = 256) -> DataFrame:
+    """One row of each class of ``df``: the one with the least id, and of rows that repeat it the least SHA-256 of the text.
+
+    A repeated id alone is no copy: rows of one id with different texts each stand for their own class. Rows without an id
+    can't be named and stay as they are. ``classes`` gives (doc_id, digest, label) for every row.
+    """
+    named, ident, digest, rank, deal = F.col(f"`{id_col}`"), *(unused(df, name) for name in ("__id", "__digest", "__rank", "__deal"))
+    rows = materialise(classes(df, id_col, text_col).where("doc_id is not null"))
+    kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("r")).select(F.col("r.doc_id").alias(ident), F.col("r.digest").alias(digest))
+    # rows that repeat both id and text on more than a ``parts``-th of the table, fewer than ``parts`` kinds
+    often = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where(F.col("n") * parts > rows.count()).where("n > 1")
+    often = materialise(often.select(F.col("doc_id").alias(ident), F.col("digest").alias(digest), F.lit(True).alias(rank)))
+    keyed = df.where(named.isNotNull()).withColumn(ident, named.cast("long")).withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)))
+    every = F.when(F.col(rank), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    if some := not often.isEmpty():
+        # dealt by where they lie, as equal rows have equal hashes
+        keyed = keyed.join(F.broadcast(often), [ident, digest], "left").withColumn(deal, F.when(F.col(rank), F.spark_partition_id() % parts).otherwise(0)).drop(rank)
+        kept = kept.join(F.broadcast(often), [ident, digest], "left").withColumn(deal, F.explode(every)).drop(rank)
+    keys = [ident, digest, *([deal] if some else [])]
+    first = lambda rows, by: rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(ident))).where(F.col(rank) == 1).drop(rank)
+    one = first(keyed.join(kept, keys), keys)
+    if some:  # one of each deal is left of these
+        mark = one.join(F.broadcast(often), [ident, digest], "left")
+        one = mark.where(F.col(rank).isNull()).drop(rank).unionByName(first(mark.where(F.col(rank)).drop(rank), [ident, digest]))
+    return one.select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(df.where(named.isNull()))

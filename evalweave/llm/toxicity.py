@@ -336,23 +336,33 @@ def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, left_out: tuple[int, ...] = (0,)) -> DataFrame:
     """(doc_id, label, text): the bounded sample of whole texts, without documents whose crc32(doc_id) modulo
-    ``folds`` is in ``left_out``."""
+    ``folds`` is in ``left_out``. Ids are chosen by their texts' sizes first, then only these texts are fetched."""
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~(crc32("doc_id") % folds).isin(*left_out))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(known.where("label = 0").orderBy(*order).limit(SAMPLE_DOCS))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
-    size = F.octet_length("text")
-    picked = id_text(docs).join(F.broadcast(chosen), "doc_id").where(size <= SAMPLE_TEXT)  # at most 2 x SAMPLE_DOCS ids
-    # of rows that repeat an id the least text; then as many whole texts as fit
-    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = id_text(docs).where(F.octet_length("text") <= SAMPLE_TEXT)
+    # of rows that repeat an id the least text
+    of = lambda ids: texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # noqa: E731  at most 2 x SAMPLE_DOCS ids
+    sizes = of(chosen).select("doc_id", "label", F.octet_length("text").alias("bytes"))
     before = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return picked.withColumn("bytes", F.sum(size).over(before)).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "label", "text")
+    fitting = sizes.withColumn("bytes", F.sum("bytes").over(before)).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "label")
+    return of(fitting)
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, left_out: tuple[int, ...] = (0,)) -> Model:
-    """Trains on the bounded sample; neither the order of rows nor how they are partitioned matters."""
-    rows = training_sample(docs, labels, label_col, folds, left_out).toArrow().sort_by("doc_id")
-    return train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
+    """Trains on the bounded sample, in one task: the driver only gets the model. Neither the order of rows nor how they are
+    partitioned matters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            rows = pa.Table.from_batches(parts).sort_by("doc_id")
+            model = train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
+            yield batch_of(bucket=([model.bucket.astype("<f4").tobytes()], pa.binary()), bias=([model.bias], pa.float64()))
+
+    found = training_sample(docs, labels, label_col, folds, left_out).coalesce(1).mapInArrow(run, "bucket binary, bias double").collect()
+    return Model(np.frombuffer(found[0].bucket, "<f4"), found[0].bias) if found else train([], np.empty(0, np.int64))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,13 +385,15 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, entries: int = CACHE_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose own text isn't judged toxic, with all their columns."""
+    """The rows whose own text isn't judged toxic, with all their columns, whatever their names."""
     model = df.sparkSession.sparkContext.broadcast(fit_model(id_text(df, id_col, text_col), labels))  # BUCKETS floats
     caches: dict[int, Cache] = {}
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    text = f"c{df.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            logits = model.value.text_logits(pc.fill_null(part.column(text_col), ""), caches.setdefault(0, Cache(entries)))
+        for part in slices(batches, text):
+            logits = model.value.text_logits(pc.fill_null(part.column(text), ""), caches.setdefault(0, Cache(entries)))
             yield part.filter(pa.array(sigmoid(logits) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

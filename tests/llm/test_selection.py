@@ -1,5 +1,6 @@
 """SimHash classes, toxicity, mixing and the pipeline: against plain versions, held-out labels and planted cases."""
 
+import hashlib
 import random
 import zlib
 from pathlib import Path
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalweave.llm import components, mixing, simhash, toxicity
+from evalweave.llm import components, mixing, shingles, simhash, toxicity
 from evalweave.llm.common import crc32
 
 RNG = random.Random(11)
@@ -103,6 +104,29 @@ def test_one_of_each_class_stays(spark):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    texts = [prose(60) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[0]), (0, texts[3]), (4, texts[3])]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    for classes in (simhash.row_classes, shingles.classes):
+        found = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(df, classes=classes).collect()]
+        assert sorted(found) == sorted([(0, texts[3]), (1, texts[0]), (1, texts[1]), (2, texts[2])])
+
+
+def test_one_row_many_times(spark):
+    rows = [(7, "the same text again", "en", "s", 1)] * 40 + [(i, prose(30), "en", "s", 1) for i in range(10, 30)] + [(8, "the same text again", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for parts in (4, 256):
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each(df, parts=parts).collect()) == [7, *range(10, 30)]
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for use in (simhash.near_duplicates, simhash.keep_one_of_each):
+        with pytest.raises(TypeError, match="column doc_id is string"):
+            use(df)
+
+
 # toxicity
 
 BAD = ["kwzplumt", "vrtuxqss", "xylozrkk"]
@@ -179,6 +203,9 @@ def test_drop_toxic_with_other_names(spark):
     docs = spark.createDataFrame([(t, i, 3) for i, t in rows] + [(None, None, 4)], "body string, id long, n int")
     kept = toxicity.drop_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), id_col="id", text_col="body")
     assert kept.columns == docs.columns and {r.n for r in kept.collect()} == {3, 4}
+    odd = docs.select("*", F.lit("x").alias("a.b"), F.lit(1).alias("c0"), F.lit(2).alias("score"))
+    again = toxicity.drop_toxic(odd, spark.createDataFrame(labels, "doc_id long, toxic int"), id_col="id", text_col="body")
+    assert again.columns == odd.columns and again.count() == kept.count() and {tuple(r)[3:] for r in again.collect()} == {("x", 1, 2)}
 
 
 def test_windows_cover_every_word():
@@ -266,25 +293,38 @@ def shingles_of(text):
 
 
 def plain_pipeline(docs, model):
-    """The first two stages on lists: not judged toxic, then the least id of each class of five-word shingles with a
-    Jaccard similarity of 0.8, all pairs compared."""
-    kept = sorted((i, shingles_of(t or "")) for i, t in docs if model.text_logits(pa.array([t or ""]), toxicity.Cache())[0] < 0)
-    root = {i: i for i, _ in kept}
-    for k, (i, a) in enumerate(kept):
-        for j, b in kept[:k]:
-            if root[i] != root[j] and (a == b or (a or b) and 5 * len(a & b) >= 4 * len(a | b)):
-                low, high = sorted((root[i], root[j]))
-                root = {x: low if r == high else r for x, r in root.items()}
-    return {i for i in root if root[i] == i}
+    """The first two stages on lists of rows (id, text): not judged toxic, then one row of each class of five-word shingles with
+    a Jaccard similarity of 0.8, all pairs compared: the one with the least id, then the least digest; rows without an id stay."""
+    clean = [(i, t or "") for i, t in docs if model.text_logits(pa.array([t or ""]), toxicity.Cache())[0] < 0]
+    sets = [shingles_of(t) for _, t in clean]
+    root = list(range(len(clean)))
+    for k, a in enumerate(sets):
+        for j in range(k):
+            b = sets[j]
+            if root[k] != root[j] and (a == b or (a or b) and 5 * len(a & b) >= 4 * len(a | b)):
+                old, new = root[k], root[j]
+                root = [new if r == old else r for r in root]
+    best = {}
+    for k, (i, t) in enumerate(clean):
+        if i is not None:
+            best.setdefault(root[k], []).append((i, hashlib.sha256(t.encode()).hexdigest(), t))
+    return sorted([min(rows)[::2] for rows in best.values()] + [(i, t) for i, t in clean if i is None], key=str)
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the supplied tables")
 def test_pipeline_against_plain_version(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit_model(docs, labels)
-    want = plain_pipeline([tuple(r) for r in docs.select("doc_id", "text").collect()], model)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = plain_pipeline(rows, model)
     got = corpus_pipeline.run(spark, DATA)
-    assert {r.doc_id for r in got.collect()} == want
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in want}
+    # repeated ids with other texts, repeated rows and rows without an id
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(rows[0][0], "a text of its own with more than five words"), rows[3], (None, rows[5][1]), (None, rows[5][1])], "doc_id long, text string"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["simhash"](spark, stages["toxicity"](spark, odd, DATA), DATA)
+    model = toxicity.fit_model(odd, labels)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == plain_pipeline([tuple(r) for r in odd.collect()], model)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).schema.names == docs.schema.names, name
 
