@@ -1,5 +1,5 @@
 """Registered queries, by kind. Importing a module registers its queries."""
 
-from . import aggregates, joins, metrics, models, rows, scans
+from . import aggregates, joins, metrics, models, rows, scans, structure
 
-__all__ = ["aggregates", "joins", "metrics", "models", "rows", "scans"]
+__all__ = ["aggregates", "joins", "metrics", "models", "rows", "scans", "structure"]
