@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import gates
+from ..operators import gates, tasks
+from ..operators.ordered import positions
 from ..registry import query
-from ..roles import table
-from ..session import scratch
+from ..roles import calls, table
+from ..session import materialise, scratch
 from ..sources import documents as docs
-from ..sources import text
+from ..sources import files, text
 
 
 def _written(df: DataFrame, name: str, fmt: str = "csv", **options) -> str:
@@ -125,12 +126,33 @@ def membership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.scan_membership(spark, path)
 
 
-@query("S14_bit_matrix", "SELECT CAST(n_nationkey AS BIGINT) AS feature, CAST(b AS BIGINT) AS sample FROM nation, range(16) t(b) WHERE ((n_nationkey * 37 + 11) >> CAST(b AS INTEGER)) & 1 = 1")
+BITS_SQL = """WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS feature FROM (SELECT DISTINCT p_brand FROM part) d)
+SELECT DISTINCT feature, CAST(l_orderkey AS INTEGER) AS sample FROM lineitem JOIN part ON l_partkey = p_partkey JOIN b USING (p_brand)"""
+
+
+def stored_bits(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """Which orders have which brand, written as files of bits: their folder and the number of samples."""
+    found = calls(spark, sf_dir)
+    brands = materialise(positions(found.select("feature").distinct(), [F.col("feature")], "number"))
+    samples = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    path = scratch(spark, "bits")
+    cells = found.join(brands, "feature").select(F.col("number").alias("feature"), "sample")
+    files.write_bits(cells, path, samples, brands.count(), per_file=7).count()
+    return path, samples
+
+
+@query("S14_bit_matrix", BITS_SQL)
 def bit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("n_nationkey") * 37 + 11
-    byte = lambda c: F.lpad(F.hex(c), 2, "0")
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("feature"), F.unhex(F.concat(byte(number % 256), byte(F.floor(number / 256)))).alias("bits"))
-    return docs.unpacked(rows, 16).select("feature", F.col("sample").cast("long").alias("sample"))
+    """The set bits of a matrix that lies in several files, in splits of a few features."""
+    path, samples = stored_bits(spark, sf_dir)
+    return files.scan_bits(spark, path, samples, split=3)
+
+
+@query("S14_selected_features", BITS_SQL + " WHERE feature IN (0, 5, 6, 7, 20)")
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the bytes of the asked features are read."""
+    path, samples = stored_bits(spark, sf_dir)
+    return files.scan_bits(spark, path, samples, features=[0, 5, 6, 7, 20])
 
 
 @query("S15_sparse_rows", "SELECT vec_id, CAST(i AS BIGINT) AS feature, CAST(embedding[CAST(i AS INTEGER)] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, (SELECT MAX(len(embedding)) + 1 FROM embeddings))) AS i) t WHERE embedding[CAST(i AS INTEGER)] > 0")
@@ -148,12 +170,25 @@ def registered_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("S20_hash_verified_scan")
+CHUNKS = """WITH c AS (SELECT c_custkey // 100 AS chunk, string_agg(c_custkey || ',' || c_name, chr(10) ORDER BY c_custkey) AS content FROM customer GROUP BY 1)"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk, file, content): customers as text, a file for each hundred."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
+    return rows.select("chunk", F.concat(F.lit("customers-"), F.col("chunk").cast("string"), F.lit(".csv")).alias("file"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+
+
+@query("S20_hash_verified_scan", CHUNKS + """ SELECT 'customers-' || chunk || '.csv' AS file, CASE WHEN chunk % 5 = 2 THEN NULL ELSE CAST(strlen(content) + CASE WHEN chunk % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) END AS bytes,
+  sha256(CASE WHEN chunk % 5 = 1 THEN content || ' ' ELSE content END) AS sha256, CASE chunk % 5 WHEN 1 THEN 'CHANGED' WHEN 2 THEN 'MISSING' WHEN 3 THEN 'UNLISTED' ELSE 'PASS' END AS verdict FROM c""")
 def hash_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest is pinned from what the files should hold; then some are written otherwise, some not at all, and some aren't listed."""
+    rows, kind = materialise(chunks(spark, sf_dir)), F.col("chunk") % 5
+    manifest = materialise(rows.where(kind != 3).select("file", F.sha2("content", 256).alias("sha256")))
     path = scratch(spark, "pinned")
-    table(spark, sf_dir, "region").coalesce(1).write.option("header", True).csv(path)
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    return docs.verified(spark, path, listed).select("bytes", "sha256", "verdict")
+    files.write_files(rows.where(kind != 2).select("file", F.when(kind == 1, F.concat("content", F.lit(" "))).otherwise(F.col("content")).alias("content")), path).count()
+    return files.verified(spark, path, manifest)
 
 
 @query("S21_column_discovery", "SELECT 'c_mktsegment' AS found")
@@ -179,11 +214,15 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").agg(F.count("*").alias("n"), F.count_distinct("n_regionkey").alias("regions")).select(F.to_json(F.struct("n", "regions")).alias("report"))
 
 
-@query("K03_task_checkpoint", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
+@query("K03_task_checkpoint", "SELECT o_orderpriority AS task, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'reused' ELSE 'computed' END AS state, COUNT(*) AS n, SUM(o_orderkey) AS keys FROM orders GROUP BY 1")
 def task_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "tasks")
-    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
-    return spark.read.schema("o_orderkey long, o_orderstatus string").parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Work that was stopped after three of five tasks is taken up: verified parts stay, the rest is made."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("task")), scratch(spark, "tasks")
+    asked = materialise(orders.groupBy("task").agg(F.count("*").alias("expected"), F.sum(F.xxhash64("o_orderkey").cast("decimal(38,0)")).cast("string").alias("input")))
+    compute = lambda todo: orders.join(todo.select("task"), "task", "left_semi")
+    tasks.resume(asked.where(F.col("task").isin("1-URGENT", "2-HIGH", "3-MEDIUM")), compute, path, "o_orderkey long")
+    rows, report = tasks.resume(asked, compute, path, "o_orderkey long")
+    return rows.groupBy("task").agg(F.sum("o_orderkey").cast("long").alias("keys")).join(report, "task").select("task", "state", "n", "keys")
 
 
 @query("K04_no_overwrite", "SELECT TRUE AS refused")
@@ -199,9 +238,9 @@ def no_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(refused,)], "refused boolean")
 
 
-@query("K05_output_manifest")
+@query("K05_output_manifest", CHUNKS + " SELECT 'customers-' || chunk || '.csv' AS file, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM c")
 def output_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, size and digest of every file that a job wrote."""
     path = scratch(spark, "outputs")
-    table(spark, sf_dir, "nation").coalesce(1).write.option("header", True).csv(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files.write_files(chunks(spark, sf_dir), path).count()
+    return files.file_digests(spark, path)

@@ -1,8 +1,7 @@
-"""Sources that need a parser of their own: HTML tables, FASTA, workbooks and word-processor tables, bits."""
+"""Sources that need a parser of their own: HTML tables, FASTA, workbooks and word-processor tables."""
 
 from __future__ import annotations
 
-import gzip
 import io
 import zipfile
 from collections.abc import Iterator
@@ -104,35 +103,3 @@ def office_rows(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["file", "table", "row", "cells"])
 
     return files.mapInArrow(run, "file string, table string, row int, cells array<string>")
-
-
-def scan_bits(spark: SparkSession, path: str, bytes_per_feature: int, samples: int) -> DataFrame:
-    """(feature, sample) presence of a feature-major matrix of bits, the lowest bit of a byte first.
-
-    Features are fixed-length records of the file, which Spark splits; their number comes from the offset.
-    """
-    rows = spark.read.format("binaryFile").load(path)
-    n = F.floor(F.length("content") / bytes_per_feature).cast("int")
-    records = rows.where(n > 0).select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("feature"))
-    return records.select("feature", F.substring("content", 1 + F.col("feature") * bytes_per_feature, F.lit(bytes_per_feature)).alias("bits")).transform(lambda d: unpacked(d, samples))
-
-
-def unpacked(df: DataFrame, samples: int) -> DataFrame:
-    """(feature, sample) for every set bit of ``bits``."""
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("sample") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("getbit", byte, F.col("sample") % 8)
-    return df.select("feature", "bits", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).where(bit == 1).select("feature", "sample")
-
-
-def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(file, bytes, sha256, verdict) of files against a manifest (file, sha256): PASS, CHANGED, UNLISTED or
-    MISSING."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("actual"))
-    both = files.join(manifest.select("file", F.col("sha256").alias("expected")), "file", "full")
-    verdict = F.when(F.col("actual").isNull(), "MISSING").when(F.col("expected").isNull(), "UNLISTED").when(F.col("actual") == F.col("expected"), "PASS").otherwise("CHANGED")
-    return both.select("file", "bytes", F.coalesce("actual", "expected").alias("sha256"), verdict.alias("verdict"))
-
-
-def gzip_bytes(data: bytes) -> bytes:
-    """The same bytes whenever they are packed."""
-    return gzip.compress(data, mtime=0)
