@@ -11,7 +11,8 @@ except near their ends: they share their interior names.
 A fingerprint is the root and a sketch: the least SKETCH distinct hashes of the phrases at SKETCH_LEVEL (some
 tens of bytes each), or of the root where there are fewer levels. The likeness of two fingerprints estimates
 from the sketches what part of the phrases two texts have in common, 2|A and B| / (|A| + |B|); it is exact
-for texts with at most SKETCH phrases, and 1 for equal texts.
+for texts with at most SKETCH phrases, and 1 for equal texts. A text with fewer than FEW phrases there also has a sketch of the finer
+phrases of FINE_LEVEL (a few bytes each); two such texts are compared by these, as one phrase more or less would decide.
 
 Defined cases: a null text counts as empty; the empty text has root 0 and an empty sketch, and its likeness
 to another is 0; repeated doc_ids are ordered by a hash of their text, then by the text; null doc_ids come first; a single document is
@@ -32,6 +33,7 @@ from .common import batch_of, id_text, slices
 from .ordered import BUCKET, add_bucket, shuffle_width, tie_hash
 
 SKETCH, SKETCH_LEVEL = 48, 3
+FINE_LEVEL, FEW = 1, 8
 #: Bytes that are parsed at a time (a longer text alone); bounds memory, not results.
 GROUP = 1 << 20
 ROUNDS_BYTES, ROUNDS_NAMES = 3, 4
@@ -64,13 +66,14 @@ def toss(symbols: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
     return symbols
 
 
-def parse(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The root of each text and its phrase names at SKETCH_LEVEL (its root, if it has fewer levels)."""
+def parse(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The root of each text, its phrase names at SKETCH_LEVEL and, if these are few, those at FINE_LEVEL (its root, where it
+    has fewer levels)."""
     n = len(texts)
-    roots, phrases = np.zeros(n, np.uint64), [np.empty(0, np.uint64)] * n
+    roots, phrases, fine = np.zeros(n, np.uint64), [np.empty(0, np.uint64)] * n, [np.empty(0, np.uint64)] * n
     texts_left = np.array([i for i in range(n) if texts[i]], np.int64)
     if not len(texts_left):
-        return roots, phrases
+        return roots, phrases, fine
     symbols = np.frombuffer(b"".join(texts), np.uint8)
     names = _BYTES[symbols]
     sizes = np.array([len(texts[i]) for i in texts_left])
@@ -79,6 +82,11 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         if level == SKETCH_LEVEL:
             for i, own in zip(texts_left, np.split(names, np.cumsum(sizes)[:-1]), strict=True):
                 phrases[i] = own
+                if len(own) >= FEW:
+                    fine[i] = np.empty(0, np.uint64)
+        if level == FINE_LEVEL:
+            for i, own in zip(texts_left, np.split(names, np.cumsum(sizes)[:-1]), strict=True):
+                fine[i] = own
         done = sizes == 1
         if level and done.any():
             ends = np.cumsum(sizes)
@@ -96,7 +104,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         names, sizes = _next_level(symbols, names, sizes, ROUNDS_NAMES if level else ROUNDS_BYTES)
         symbols = names
         level += 1
-    return roots, phrases
+    return roots, phrases, fine
 
 
 def _next_level(symbols: np.ndarray, names: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +133,16 @@ def _next_level(symbols: np.ndarray, names: np.ndarray, sizes: np.ndarray, round
     return _mix(made + lengths.astype(np.uint64) * _ODD), np.bincount(owner, minlength=len(sizes))
 
 
-Print = tuple[int, np.ndarray]
+#: Root, sketch, and sketch of fine phrases (empty for texts with many phrases).
+Print = tuple[int, np.ndarray, np.ndarray]
+
+
+def _sketch(names: np.ndarray) -> np.ndarray:
+    return np.unique((_mix(names + _ODD) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def prints(texts: list[bytes]) -> list[Print]:
-    """(root, sketch) of each text; a sketch is ascending 32-bit hashes."""
+    """(root, sketch, fine sketch) of each text; a sketch is ascending 32-bit hashes."""
     out: list[Print] = []
     at = 0
     while at < len(texts):
@@ -137,34 +150,42 @@ def prints(texts: list[bytes]) -> list[Print]:
         while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP):
             size += len(texts[to])
             to += 1
-        roots, phrases = parse(texts[at:to])
-        for root, own in zip(roots.tolist(), phrases, strict=True):
-            out.append((root, np.unique((_mix(own + _ODD) >> np.uint64(32)).astype(np.uint32))[:SKETCH]))
+        for root, own, fine in zip(*parse(texts[at:to]), strict=True):
+            out.append((int(root), _sketch(own), _sketch(fine)))
         at = to
     return out
 
 
 def as_text(print_: Print) -> str:
-    return f"{print_[0]:016x}:" + print_[1].astype(">u4").tobytes().hex()
+    root, *sketches = print_
+    return ":".join([f"{root:016x}", *(s.astype(">u4").tobytes().hex() for s in sketches)])
 
 
 def from_text(text: str) -> Print:
-    root, _, sketch = text.partition(":")
-    return int(root, 16), np.frombuffer(bytes.fromhex(sketch), ">u4").astype(np.uint32)
+    root, *sketches = text.split(":")
+    coarse, fine = (np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32) for s in sketches)
+    return int(root, 16), coarse, fine
 
 
 def likeness(a: Print, b: Print) -> float:
-    """What part of the phrases is shared, from the least hashes of the union of both sketches."""
+    """What part of the phrases is shared: of the fine ones, if both texts have few."""
     if a[0] == b[0] and np.array_equal(a[1], b[1]):
         return 1.0
-    if not len(a[1]) or not len(b[1]):
+    if len(a[2]) and len(b[2]):
+        return shared_part(a[2], b[2])
+    return shared_part(a[1], b[1])
+
+
+def shared_part(a: np.ndarray, b: np.ndarray) -> float:
+    """2|A and B| / (|A| + |B|), from the least hashes of the union of both sketches."""
+    if not len(a) or not len(b):
         return 0.0
-    union = np.union1d(a[1], b[1])
-    if len(a[1]) == SKETCH or len(b[1]) == SKETCH:
+    union = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
         # below the larger of what a full sketch reaches, both sketches are complete
-        reach = min(int(x[1][-1]) for x in (a, b) if len(x[1]) == SKETCH)
+        reach = min(int(x[-1]) for x in (a, b) if len(x) == SKETCH)
         union = union[union <= reach]
-    shared = np.intersect1d(np.intersect1d(a[1], b[1]), union)
+    shared = np.intersect1d(np.intersect1d(a, b), union)
     jaccard = len(shared) / len(union)
     return 2 * jaccard / (1 + jaccard)
 

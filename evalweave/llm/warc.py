@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise
+from .common import batch_of, materialise, unused
 from .ordered import BUCKET, add_bucket, shuffle_width
 
 #: The header fields that a 304 answer carries for the stored response.
@@ -65,25 +65,38 @@ def header(headers: Column, name: str) -> Column:
     return F.get(F.filter(headers, lambda h: h["name"] == name), F.lit(0))["value"]
 
 
+#: The columns that parsing adds.
+PARSED = ("type", "url", "ts", "record_id", "digest", "profile", "status", "headers", "body")
+
+
 def parse_records(df: DataFrame, record: str = "warc") -> DataFrame:
     """The columns of ``df`` but ``record``, and type, url, ts (seconds), record_id, digest, profile, status,
-    headers and body."""
-    parts = F.split(F.regexp_replace(F.col(record), r"^WARC/1\.[01]\r\n", ""), "\r\n\r\n", 3)
-    cut = df.withColumn("__parts", parts).withColumn("__warc", header_list(F.get("__parts", F.lit(0))))
-    http = F.coalesce(F.get("__parts", F.lit(1)), F.lit(""))
-    found = cut.select(
-        *(F.col(f"`{c}`") for c in df.columns if c != record),
-        header(F.col("__warc"), "warc-type").alias("type"),
-        header(F.col("__warc"), "warc-target-uri").alias("url"),
-        F.unix_timestamp(F.try_to_timestamp(header(F.col("__warc"), "warc-date"))).alias("ts"),
-        header(F.col("__warc"), "warc-record-id").alias("record_id"),
-        header(F.col("__warc"), "warc-payload-digest").alias("digest"),
-        header(F.col("__warc"), "warc-profile").alias("profile"),
+    headers and body. A column of ``df`` that has one of these names, whatever its case, gets underscores at its end until nothing
+    else has it."""
+    taken, others = {*PARSED, *(c.lower() for c in df.columns)}, []
+    for c in (c for c in df.columns if c != record):
+        name = c
+        if c.lower() in PARSED:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        others.append((c, name))
+    parts, warc = unused(df, "__parts"), unused(df, "__warc")
+    cut = df.withColumn(parts, F.split(F.regexp_replace(F.col(f"`{record}`"), r"^WARC/1\.[01]\r\n", ""), "\r\n\r\n", 3))
+    cut = cut.withColumn(warc, header_list(F.get(parts, F.lit(0))))
+    http, head = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.col(warc)
+    return cut.select(
+        *(F.col(f"`{c}`").alias(name) for c, name in others),
+        header(head, "warc-type").alias("type"),
+        header(head, "warc-target-uri").alias("url"),
+        F.unix_timestamp(F.try_to_timestamp(header(head, "warc-date"))).alias("ts"),
+        header(head, "warc-record-id").alias("record_id"),
+        header(head, "warc-payload-digest").alias("digest"),
+        header(head, "warc-profile").alias("profile"),
         F.try_element_at(F.split(F.substring_index(http, BREAK, 1), " "), F.lit(2)).cast("int").alias("status"),
         header_list(http).alias("headers"),
-        F.get("__parts", F.lit(2)).alias("body"),
+        F.get(parts, F.lit(2)).alias("body"),
     )
-    return found
 
 
 def cut_records(stream: BinaryIO) -> Iterator[bytes]:
@@ -190,12 +203,6 @@ def judged(found: DataFrame) -> DataFrame:
     return rows.select("record_id", "canonical", "ts", "verdict", "validator", F.col("source.record_id").alias("source_id"), merged.alias("headers"))
 
 
-def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """Resolved revisits with the body of their source."""
-    bodies = records.where("type = 'response'").select(F.col("record_id").alias("source_id"), "body")
-    return resolved.where("verdict = 'resolved'").join(bodies, "source_id")
-
-
 def page_captures(pages: DataFrame) -> DataFrame:
     """A crawl of the table ``pages`` as WARC records (page_id, warc): each page's full response, a minute
     after the page before, and a revisit at least half a day later, with validators of several kinds. Between

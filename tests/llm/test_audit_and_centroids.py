@@ -5,15 +5,12 @@ import math
 import random
 import re
 from itertools import permutations
-from pathlib import Path
 
-import duckdb
 import numpy as np
 import pytest
 
-from evalweave.llm import audit, centroids, queries
+from evalweave.llm import audit, centroids
 
-DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string, mask string, n int"
 
 
@@ -108,14 +105,3 @@ def test_few_large_and_no_vectors(spark):
     assert sorted(tuple(r) for r in centroids.assignments(df, k=40, dims=2).collect()) == plain_lloyd(clipped, 40, 5, 2, "2:")
     assert centroids.assignments(df.limit(0)).collect() == []
     assert centroids.assignments(df, dims=64).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
-
-
-@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the supplied tables")
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_centroids"])
-def test_same_as_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    found = con.execute(queries.ORACLES[name])
-    columns = [c[0] for c in found.description]
-    assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, DATA).collect()) == sorted(found.fetchall())

@@ -113,13 +113,98 @@ def test_url_rules(spark):
 def test_fingerprints_of_batches_and_alone():
     texts = [prose(RNG.randint(0, 300)).encode() for _ in range(60)] + [b"", b"a", b"ab", b"a" * 5000, b"ab" * 4000]
     together = fingerprint.prints(texts)
-    for text, (root, sketch) in zip(texts, together, strict=True):
+    for text, (root, sketch, fine) in zip(texts, together, strict=True):
         (alone,) = fingerprint.prints([text])
-        assert alone[0] == root and (alone[1] == sketch).all()
-        assert fingerprint.from_text(fingerprint.as_text(alone))[0] == root
+        assert alone[0] == root and (alone[1] == sketch).all() and (alone[2] == fine).all()
+        again = fingerprint.from_text(fingerprint.as_text(alone))
+        assert again[0] == root and (again[1] == sketch).all() and (again[2] == fine).all()
     assert len({p[0] for p in together}) == len(set(texts))
 
 
+def mixed(z):
+    z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ (z >> 27)) * 0x94D049BB133111EB % 2**64
+    return z ^ (z >> 31)
+
+
+def plain_levels(text):
+    """The phrase names of every level of one text, symbol by symbol."""
+    odd = int(fingerprint._ODD)
+    symbols, rounds, levels = list(text), fingerprint.ROUNDS_BYTES, []
+    names = [mixed((b + 1) * odd % 2**64) for b in text]
+    while symbols and not (levels and len(names) == 1):
+        runs = []
+        for s, n in zip(symbols, names, strict=True):
+            if runs and runs[-1][0] == s:
+                runs[-1][2] += 1
+            else:
+                runs.append([s, n, 1])
+        symbols = [s for s, _, _ in runs]
+        names = [mixed((n + k * odd) % 2**64) if k > 1 else n for _, n, k in runs]
+        labels = symbols
+        for _ in range(rounds):
+            tossed = []
+            for i, x in enumerate(labels):
+                differ = x ^ labels[i - 1] if i else 1
+                place = (differ & -differ).bit_length() - 1
+                tossed.append(2 * place + (x >> place & 1))
+            labels = tossed
+        cuts = [i for i in range(1, len(labels) - 1) if labels[i] > labels[i - 1] and labels[i] > labels[i + 1]]
+        made = []
+        for a, b in zip([0, *cuts], [*cuts, len(labels)], strict=True):
+            total = sum(names[i] * int(fingerprint._PLACES[i - a]) for i in range(a, b))
+            made.append(mixed((total + (b - a) * odd) % 2**64))
+        names = symbols = made
+        levels.append(made)
+        rounds = fingerprint.ROUNDS_NAMES
+    return levels
+
+
+def plain_phrases(text):
+    """(root, phrases at the sketch's level, fine phrases if the former are few)."""
+    levels = plain_levels(text)
+    if not levels:
+        return 0, set(), set()
+    at = lambda level: levels[min(level, len(levels)) - 1]
+    coarse = at(fingerprint.SKETCH_LEVEL)
+    return levels[-1][0], set(coarse), set(at(fingerprint.FINE_LEVEL)) if len(coarse) < fingerprint.FEW else set()
+
+
+PARSED = [b"", b"a", b"ab", b"aa", b"a" * 300, b"ab" * 90, b"abc" * 70 + b"xyz", "é中文".encode() * 20] + [prose(n).encode() for n in (1, 2, 5, 9, 14, 20, 40, 80, 200)]
+
+
+def test_parse_against_plain_version():
+    roots, phrases, fine = fingerprint.parse(PARSED)
+    for text, root, own, few in zip(PARSED, roots.tolist(), phrases, fine, strict=True):
+        assert (root, set(own.tolist()), set(few.tolist())) == plain_phrases(text), text
+
+
+def test_likeness_is_the_exact_overlap_of_few_phrases():
+    texts = [t for t in PARSED if t] + [t[: len(t) // 2] + PARSED[-3][: len(t) // 2] for t in PARSED if t]
+    found = fingerprint.prints(texts)
+    plain = [plain_phrases(t) for t in texts]
+    compared = 0
+    for a, p in zip(found, plain, strict=True):
+        for b, q in zip(found, plain, strict=True):
+            x, y = (p[2], q[2]) if p[2] and q[2] else (p[1], q[1])
+            if max(len(x), len(y)) <= fingerprint.SKETCH:
+                compared += 1
+                want = 1.0 if p[:2] == q[:2] else 2 * len(x & y) / (len(x) + len(y))
+                assert fingerprint.likeness(a, b) == pytest.approx(want, abs=1e-9)
+    assert compared > 100
+
+
+def test_short_texts_that_share_a_half_are_alike():
+    rng = random.Random(3)
+    near = []
+    for _ in range(300):
+        text, other = (" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(5, 9))) for _ in range(2))
+        half = len(text) // 2
+        a, b = fingerprint.prints([text.encode(), (text[: len(text) - half] + other[:half]).encode()])
+        near.append(fingerprint.likeness(a, b))
+    assert np.median(near) == pytest.approx(0.5, abs=0.15) and sum(x == 0 for x in near) <= 9
+
+
 def test_equal_substrings_share_phrases():
     inside = prose(400).encode()
     own = set(fingerprint.parse([inside])[1][0].tolist())
@@ -319,3 +404,21 @@ def test_warc_files(spark, tmp_path):
     found = sorted(warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz").collect(), key=lambda r: r.record_id)
     assert [(r.type, r.url, r.record_id, r.status, r.body.strip()) for r in found] == [("response", f"http://a.com/{i}", f"<u{i}>", 200, f"body {i}") for i in range(3)]
     assert [r.ts for r in found] == [1704067200 + i for i in range(3)]
+
+
+def test_parsing_keeps_columns_of_any_name(spark):
+    page = "WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://h/p\r\nWARC-Date: 2024-01-0{day}T00:00:00Z\r\nWARC-Record-ID: {kind}-{day}\r\n\r\nHTTP/1.1 {status} X\r\nETag: \"e\"\r\n\r\nbody"
+    rows = [(page.format(kind="response", day=1, status=200), "mine", 7, "p", "w", "dot", "B"), (page.format(kind="revisit", day=2, status=304), "mine", 8, "p", "w", "dot", "B")]
+    df = spark.createDataFrame(rows, "warc string, type string, url long, __parts string, __warc string, `a.b` string, BODY string")
+    parsed = warc.parse_records(df)
+    assert parsed.columns == ["type_", "url_", "__parts", "__warc", "a.b", "BODY_", *warc.PARSED]
+    assert {(r["type_"], r["__parts"], r["__warc"], r["a.b"], r["BODY_"], r["url"], r["body"]) for r in parsed.collect()} == {("mine", "p", "w", "dot", "B", "http://h/p", "body")}
+    assert [(r.record_id, r.verdict, r.source_id) for r in warc.resolve_revisits(parsed).collect()] == [("revisit-2", "resolved", "response-1")]
+    assert warc.parse_records(df.limit(0)).collect() == []
+
+
+def test_url_filter_of_nothing_and_repeats(spark):
+    rules = queries.URL_RULES
+    df = spark.createDataFrame([(1, "http://a.example.com/en/7x")] * 3 + [(2, None)], "page_id long, url string")
+    assert sorted(tuple(r)[:5] for r in url_filter.filter_urls(df, rules).collect()) == [(1, "a.example.com", "/en/7x", "example.com/en/7", "allow")] * 3 + [(2, "", "", None, "allow")]
+    assert url_filter.filter_urls(df.limit(0), rules).collect() == []

@@ -60,7 +60,8 @@ def test_pages_without_id_url_or_html(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    for t in ("pages", "documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in found.description]
     got = queries.QUERIES[name](spark, DATA)
