@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,18 @@ def with_range(df: DataFrame, order: str, ranges: int | None = None, name: str =
     return Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep").transform(marked).drop("__order")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join of equal keys in which null equals null, as in the grouping that made the right side."""
+    marked = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys])
+    return left.join(marked, same).drop(*(f"__same_{k}" for k in keys))
+
+
 def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], ranges: int | None = None) -> DataFrame:
     """Adds before_<value>: the sum of ``value`` over rows of the keys with a smaller ``order``.
 
-    ``df`` has one row for each (keys, order). Each range is summed by itself, and the ranges' totals in turn.
+    ``df`` has one row for each (keys, order). Each range is summed by itself, and the ranges' totals in turn. Null keys are a
+    key of their own.
     """
     marked = with_range(df, order, ranges)
     inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,13 +49,24 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
     totals = marked.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     totals = totals.select(*keys, "__range", *(F.coalesce(F.sum(f"__{v}").over(ahead), F.lit(0)).alias(f"__ahead_{v}") for v in values))
     own = marked.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__inside_{v}") for v in values))
-    joined = own.join(totals, [*keys, "__range"])
+    joined = join_same(own, totals, [*keys, "__range"])
     return joined.select(*df.columns, *((F.col(f"__ahead_{v}") + F.col(f"__inside_{v}")).alias(f"before_{v}") for v in values))
 
 
+def carried_down(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ties: list[str] | None = None) -> DataFrame:
+    """Adds the last ``value`` that isn't null up to and with each row of its keys, by ``order`` (numeric), then ``ties``: within
+    ranges of the order, then from range to range, so a key with most rows is many tasks."""
+    marked = with_range(df.withColumn("__entry", F.when(value.isNotNull(), F.struct(F.col(order), *(ties or []), value.alias("__value")))), order)
+    upto = Window.partitionBy(*keys, "__range").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy(*keys, "__range").agg(F.max("__entry").alias("__entry")).select(*keys, "__range", F.max("__entry").over(earlier).alias("__before"))
+    found = join_same(marked.withColumn("__own", F.max("__entry").over(upto)), ends, [*keys, "__range"])
+    return found.select(*df.columns, F.coalesce("__own", "__before")["__value"].alias(name))
+
+
 def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the totals of their keys; without keys the totals are one row."""
-    return rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))
+    return join_same(rows, totals, keys) if keys else rows.crossJoin(F.broadcast(totals))
 
 
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -78,7 +99,7 @@ def prefix_sums(df: DataFrame, keys: list[str], place: str, value: str, name: st
     inside = F.sum(value).over(Window.partitionBy(*keys, "__block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     totals = marked.groupBy(*keys, "__block").agg(F.sum(value).alias("__total")).select(*keys, "__block", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-    return marked.withColumn("__inside", inside).join(totals, [*keys, "__block"]).select(*df.columns, (F.col("__inside") + F.col("__ahead")).alias(name))
+    return join_same(marked.withColumn("__inside", inside), totals, [*keys, "__block"]).select(*df.columns, (F.col("__inside") + F.col("__ahead")).alias(name))
 
 
 def hash_ranks(df: DataFrame, keys: list[str], hashed: Column, tie: str, name: str, parts: int | None = None) -> DataFrame:
@@ -89,20 +110,19 @@ def hash_ranks(df: DataFrame, keys: list[str], hashed: Column, tie: str, name: s
     inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__h", tie))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = marked.groupBy(*keys, "__part").agg(F.count("*").alias("__n")).select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
-    return marked.withColumn("__inside", inside).join(ahead, [*keys, "__part"]).select(*df.columns, (F.col("__ahead") + F.col("__inside")).alias(name))
+    return join_same(marked.withColumn("__inside", inside), ahead, [*keys, "__part"]).select(*df.columns, (F.col("__ahead") + F.col("__inside")).alias(name))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """(keys, a column for each point): quantiles with linear interpolation, from the rows at the places around
-    them; no group's values are gathered. Nulls don't count."""
-    rows = positions(df.select(*keys, value).where(F.col(value).isNotNull()), [*(F.col(k) for k in keys), F.col(value)], "__p")
-    rows = materialise(rows)
-    groups = rows.groupBy(*keys).agg(F.min("__p").alias("__first"), F.count("*").alias("__n"))
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("__n") - 1)).alias("at")) for name, q in points.items()))
-    asked = groups.select("__first", F.explode(wanted).alias("w")).select((F.col("__first") + F.floor("w.at")).alias("low"), (F.col("__first") + F.ceil("w.at")).alias("high"), (F.col("w.at") - F.floor("w.at")).alias("part"), "w.name")
-    ends = asked.select("name", F.explode(F.array(F.struct(F.col("low").alias("__p"), (1 - F.col("part")).alias("weight"), F.lit(0).alias("end")), F.struct(F.col("high").alias("__p"), F.col("part").alias("weight"), F.lit(1).alias("end")))).alias("e")).select("name", "e.*")
-    found = rows.join(ends, "__p")
+    """(keys, a column for each point): quantiles with linear interpolation. Equal values are counted first and the counts
+    summed in ranges, so neither a group nor a value that many rows repeat is gathered or sorted. Nulls don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    before = running_totals(counts, keys, "__value", ["__n"])
+    rows = with_totals(before, counts.groupBy(*keys).agg(F.sum("__n").alias("__all")), keys)
+    place = lambda q: F.lit(float(q)) * (F.col("__all") - 1)
+    holds = lambda at: (F.col("before___n") <= at) & (at < F.col("before___n") + F.col("__n"))
+    ends = [F.max(F.when(holds(end(place(q))), F.col("__value"))).alias(f"__{name}_{side}") for name, q in points.items() for side, end in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*keys).agg(F.first("__all").alias("__all"), *ends)
     # low + (high - low) * part, so that equal ends give just that value
-    at = lambda name, end: F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col(value)))
-    share = lambda name: F.max(F.when((F.col("name") == name) & (F.col("end") == 1), F.col("weight")))
-    return found.groupBy(*keys).agg(*((at(n, 0) + (at(n, 1) - at(n, 0)) * share(n)).alias(n) for n in points))
+    between = lambda name, q: F.col(f"__{name}_low") + (F.col(f"__{name}_high") - F.col(f"__{name}_low")) * (place(q) - F.floor(place(q)))
+    return found.select(*keys, *(between(name, q).alias(name) for name, q in points.items()))

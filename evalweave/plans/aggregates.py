@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import association, ordered
+from ..operators.ordered import carried_down, join_same, running_totals, with_totals
 from ..registry import query
 from ..roles import CALLS, SAMPLES, SNAPSHOTS, calls, cohort, samples, snapshots, table
 
@@ -31,7 +32,10 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A04_named_aggregates", "SELECT p_brand, COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS total, round(AVG(p_retailprice), 6) AS mean, round(quantile_cont(p_retailprice, 0.5), 6) AS median, MIN(p_size) AS low, MAX(p_size) AS high FROM part GROUP BY 1")
 def named_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"), F.round(F.avg("p_retailprice"), 6).alias("mean"), F.round(F.percentile("p_retailprice", 0.5), 6).alias("median"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    parts = table(spark, sf_dir, "part")
+    by = parts.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"), F.round(F.avg("p_retailprice"), 6).alias("mean"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    middle = ordered.exact_quantiles(parts, ["p_brand"], "p_retailprice", {"median": 0.5})
+    return with_totals(by, middle.select("p_brand", F.round("median", 6).alias("median")), ["p_brand"])
 
 
 @query("A05_conditional_aggregate", "SELECT l_shipdate < TIMESTAMP '1998-01-01 00:00:00' AS early, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS returned, COUNT(*) FILTER (WHERE l_discount > CAST(0.05 AS DOUBLE)) AS discounted FROM lineitem GROUP BY 1")
@@ -200,12 +204,17 @@ def outer_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A42_assembly_metrics", "WITH c AS (SELECT p_brand AS file, p_partkey, length(p_name) AS len, length(p_name) - length(replace(replace(p_name, 'g', ''), 'c', '')) AS gc FROM part), w AS (SELECT *, SUM(len) OVER (PARTITION BY file ORDER BY len DESC, p_partkey) AS run, SUM(len) OVER (PARTITION BY file) AS total, row_number() OVER (PARTITION BY file ORDER BY len DESC, p_partkey) AS r FROM c) SELECT file, CAST(MAX(total) AS BIGINT) AS total, COUNT(*) AS contigs, CAST(MAX(CASE WHEN run * 2 >= total THEN len END) AS INTEGER) AS n50, CAST(MIN(CASE WHEN run * 2 >= total THEN r END) AS INTEGER) AS l50, round(CAST(SUM(gc) AS DOUBLE) / MAX(total), 9) AS gc FROM w GROUP BY 1")
 def assembly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), "p_partkey", F.length("p_name").alias("len"), (F.length("p_name") - F.length(F.translate("p_name", "gc", ""))).alias("gc"))
-    order = Window.partitionBy("file").orderBy(F.col("len").desc(), "p_partkey")
-    total = F.sum("len").over(Window.partitionBy("file"))
-    w = rows.select("*", F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), total.alias("total"), F.row_number().over(order).alias("r"))
-    half = F.col("run") * 2 >= F.col("total")
-    return w.groupBy("file").agg(F.max("total").alias("total"), F.count("*").alias("contigs"), F.max(F.when(half, F.col("len"))).alias("n50"), F.min(F.when(half, F.col("r"))).alias("l50"), F.round(F.sum("gc") / F.max("total"), 9).alias("gc"))
+    """Contigs are counted by length before their sizes are added up from the longest on, so no file is one task."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.length("p_name").alias("len"), (F.length("p_name") - F.length(F.translate("p_name", "gc", ""))).alias("gc"))
+    sizes = rows.groupBy("file", "len").agg(F.count("*").alias("n"), (F.count("*") * F.first("len")).alias("sum"), F.sum("gc").alias("gc"))
+    longer = running_totals(sizes.withColumn("shortness", -F.col("len")), ["file"], "shortness", ["n", "sum"])
+    total = sizes.groupBy("file").agg(F.sum("sum").alias("total"), F.sum("n").alias("contigs"), F.sum("gc").alias("all_gc"))
+    w = with_totals(longer, total, ["file"])
+    # the first length with which half is reached, and how many of it that takes
+    half = 2 * (F.col("before_sum") + F.col("sum")) >= F.col("total")
+    needed = F.greatest(F.lit(1), F.ceil((F.col("total") / 2.0 - F.col("before_sum")) / F.col("len")))
+    by = w.groupBy("file").agg(F.max("total").alias("total"), F.max("contigs").alias("contigs"), F.max(F.when(half, F.col("len"))).alias("n50"), F.min(F.when(half, F.col("before_n") + needed)).cast("int").alias("l50"), F.round(F.max("all_gc") / F.max("total"), 9).alias("gc"))
+    return by.select("file", "total", "contigs", "n50", "l50", "gc")
 
 
 @query("A47_changed_contributions", f"WITH {SNAPSHOTS}, o AS (SELECT DISTINCT target, drug FROM old_snapshot WHERE category = 'R'), n AS (SELECT DISTINCT target, drug FROM new_snapshot WHERE category = 'R') SELECT COALESCE(o.target, n.target) AS sample, COALESCE(o.drug, n.drug) AS feature, CASE WHEN n.drug IS NULL THEN -1 ELSE 1 END * length(COALESCE(o.drug, n.drug)) AS delta FROM o FULL JOIN n ON o.target = n.target AND o.drug = n.drug WHERE o.drug IS NULL OR n.drug IS NULL")
@@ -292,8 +301,12 @@ def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W05_exclusive_cumulative", "SELECT event_id, COALESCE(round(SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6), 0) AS before FROM events")
 def exclusive_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.round(F.sum("value").over(order), 6), F.lit(0.0)).alias("before"))
+    """Rows of one time are added up within it, times in ranges, so a user with most rows is many tasks."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    times = running_totals(rows.groupBy("user_id", "at").agg(F.sum("value").alias("value")), ["user_id"], "at", ["value"]).select("user_id", "at", "before_value")
+    inside = F.sum("value").over(Window.partitionBy("user_id", "at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    found = join_same(rows.withColumn("inside", F.coalesce(inside, F.lit(0.0))), times, ["user_id", "at"])
+    return found.select("event_id", F.coalesce(F.round(F.col("before_value") + F.col("inside"), 6), F.lit(0.0)).alias("before"))
 
 
 @query("W06_bh_fdr", "WITH p AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) / 50 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, COUNT(*) OVER (PARTITION BY p_brand) AS n FROM p) SELECT p_partkey, round(least(1, MIN(p * n / r) OVER (PARTITION BY p_brand ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r")
@@ -321,8 +334,9 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W10_carry_down", "SELECT event_id, MAX(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_signup FROM events")
 def carry_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(order).alias("last_signup"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return carried_down(rows, ["user_id"], "at", signup, "last_signup", ["event_id"]).select("event_id", "last_signup")
 
 
 @query("T01_mixed_sort", "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC NULLS LAST, s_suppkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import certificates, evaluation
+from ..operators.ordered import exact_quantiles, with_totals
 from ..registry import query
 from ..roles import PREDICTIONS, SAMPLES, predictions, samples
 
@@ -143,7 +144,7 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A38_quantile_bins", f"WITH {SAMPLES}, e AS (SELECT quantile_cont(score_a, [0.25, 0.5, 0.75]) AS q FROM samples) SELECT CAST(1 + CAST(score_a > q[1] AS INTEGER) + CAST(score_a > q[2] AS INTEGER) + CAST(score_a > q[3] AS INTEGER) AS INTEGER) AS bin, COUNT(*) AS n, round(AVG(CAST(y AS DOUBLE)), 9) AS rate FROM samples, e GROUP BY 1")
 def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
-    edges = rows.agg(F.array_distinct(F.percentile("score_a", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))))).alias("edges"))
+    edges = exact_quantiles(rows, [], "score_a", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.array_distinct(F.array("q1", "q2", "q3")).alias("edges"))
     number = (1 + F.size(F.filter("edges", lambda e: e < F.col("score_a")))).cast("int")
     return rows.crossJoin(F.broadcast(edges)).groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("y").cast("double")), 9).alias("rate"))  # one row
 
@@ -323,8 +324,10 @@ def exclusion_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A59_error_profile", f"WITH {SAMPLES} SELECT source, COUNT(*) AS n, COUNT(*) FILTER (WHERE wrong) AS errors, round(AVG(score_a), 9) AS mean_score, round(quantile_cont(score_a, 0.5), 9) AS median_score, COUNT(DISTINCT lang) AS types, array_to_string(list_sort(list(DISTINCT lang)), ';') AS langs FROM (SELECT *, (score_a >= CAST(0.5 AS DOUBLE)) <> (y = 1) AS wrong FROM samples) s GROUP BY 1")
 def error_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrong = (F.col("score_a") >= 0.5) != (F.col("y") == 1)
-    return samples(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(wrong).alias("errors"), F.round(F.avg("score_a"), 9).alias("mean_score"), F.round(F.percentile("score_a", 0.5), 9).alias("median_score"), F.count_distinct("lang").alias("types"), F.array_join(F.array_sort(F.collect_set("lang")), ";").alias("langs"))
+    wrong, rows = (F.col("score_a") >= 0.5) != (F.col("y") == 1), samples(spark, sf_dir)
+    by = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(wrong).alias("errors"), F.round(F.avg("score_a"), 9).alias("mean_score"), F.count_distinct("lang").alias("types"), F.array_join(F.array_sort(F.collect_set("lang")), ";").alias("langs"))
+    middle = exact_quantiles(rows, ["source"], "score_a", {"median_score": 0.5})
+    return with_totals(by, middle.select("source", F.round("median_score", 9).alias("median_score")), ["source"])
 
 
 @query("A60_paired_correctness", f"WITH {SAMPLES} SELECT y, COUNT(*) FILTER (WHERE a AND NOT b) AS a_only, COUNT(*) FILTER (WHERE b AND NOT a) AS b_only FROM (SELECT y, (score_a >= CAST(0.5 AS DOUBLE)) = (y = 1) AS a, (score_b >= CAST(0.5 AS DOUBLE)) = (y = 1) AS b FROM samples) s GROUP BY 1")
