@@ -93,11 +93,6 @@ def chi2_1df_sf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(math.sqrt(v / 2)))
 
 
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
-
-
 def _fisher(a: int, b: int, c: int, d: int) -> float:
     """Two-sided: the tables with the same margins that are at most as likely as the one seen."""
     row, other, column = a + b, c + d, a + c

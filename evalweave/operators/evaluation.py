@@ -65,8 +65,9 @@ def calibration_table(df: DataFrame, keys: list[str], bins: int = 10, y: str = "
     return df.withColumn("bin", number).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("rate")).withColumn("gap", F.abs(F.col("mean_score") - F.col("rate")))
 
 
-def calibration_fit(df: DataFrame, y: str = "y", p: str = "score", steps: int = 25) -> tuple[float, float]:
-    """Intercept and slope of a logistic refit on the logit of p, by Newton steps of one aggregate each."""
+def calibration_fit(df: DataFrame, y: str = "y", p: str = "score", steps: int = 25) -> tuple[float, float] | tuple[None, None]:
+    """Intercept and slope of a logistic refit on the logit of p, by Newton steps of one aggregate each. Neither is defined, and both
+    are None, without rows, with one class, one distinct score, or classes that a score separates."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     rows = df.select(F.log(q / (1 - q)).alias("x"), F.col(y).cast("double").alias("y")).groupBy("x").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).cache()
     a, b = 0.0, 0.0
@@ -75,7 +76,9 @@ def calibration_fit(df: DataFrame, y: str = "y", p: str = "score", steps: int =
             m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
             w = F.col("n") * m * (1 - m)
             r = rows.agg(F.sum(F.col("pos") - F.col("n") * m).alias("g0"), F.sum((F.col("pos") - F.col("n") * m) * F.col("x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11")).first()
-            det = r.h00 * r.h11 - r.h01 * r.h01
+            det = (r.h00 or 0.0) * (r.h11 or 0.0) - (r.h01 or 0.0) ** 2
+            if not det > 1e-12 * (r.h00 or 0.0) * (r.h11 or 0.0):
+                return None, None
             da, db = (r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det
             a, b = a + da, b + db
             if abs(da) + abs(db) < 1e-12:

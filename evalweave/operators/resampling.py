@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +232,44 @@ def resampled_ranks(df: DataFrame, draws: int, seed: int, score: str = "score",
     return found.select("draw", "positives", "negatives", F.when((p > 0) & (n > 0), F.col("wins") / (p * n)).alias("auroc"), F.when(p > 0, F.col("gained") / p).alias("ap"))
 
 
+def anchor_trials(df: DataFrame, budgets: list[int], trials: int, seed: int, least_rest: int = 5, modes: tuple[str, ...] = ("iid", "group_disjoint")) -> DataFrame:
+    """(mode, budget, trial, source, anchors, anchor_wrong, rest, rest_wrong): in each trial ``budget`` anchors a source, and the errors of
+    the anchors and of the rest.
+
+    ``df``: id, source, group, wrong (0 or 1). iid: anchors are the rows with the least hashes of (trial, id), the rest are all others.
+    group_disjoint: the groups with the least hashes give one row each, and no row of these groups is in the rest. Sources that are
+    too small (fewer than 10 rows, or than budget + ``least_rest``, fewer groups than the budget, or a smaller rest) are left out. Ranks
+    are counted in parts of the hash, so a source of most rows is many tasks.
+    """
+    rows = df.select("id", "source", "group", "wrong").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    sizes = df.groupBy("source").agg(F.count("*").alias("size"), F.count_distinct("group").alias("groups"))
+    drawn = lambda salt, key: F.xxhash64(F.lit(seed), F.lit(salt), "trial", key)
+    parts = []
+    if "iid" in modes:
+        parts.append(hash_ranks(rows, ["trial", "source"], drawn("row", "id"), "id", "rank").withColumn("mode", F.lit("iid")).withColumn("first", F.lit(True)))
+    if "group_disjoint" in modes:
+        groups = hash_ranks(rows.select("trial", "source", "group").distinct(), ["trial", "source"], drawn("group", "group"), "group", "rank")
+        least = rows.groupBy("trial", "source", "group").agg(F.min(F.struct(drawn("row", "id"), "id")).alias("least"))
+        chosen = groups.join(least, ["trial", "source", "group"]).select("trial", "source", "group", "rank", F.col("least.id").alias("least"))
+        parts.append(rows.join(chosen, ["trial", "source", "group"]).withColumn("mode", F.lit("group_disjoint")).withColumn("first", F.col("id") == F.col("least")).select(*parts[0].columns if parts else [*rows.columns, "rank", "mode", "first"]))
+    marked = reduce(DataFrame.unionByName, parts).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    anchor, rest = (F.col("rank") <= F.col("budget")) & F.col("first"), F.col("rank") > F.col("budget")
+    found = marked.groupBy("mode", "budget", "trial", "source").agg(F.count_if(anchor).alias("anchors"), F.sum(F.when(anchor, F.col("wrong"))).alias("anchor_wrong"), F.count_if(rest).alias("rest"), F.sum(F.when(rest, F.col("wrong"))).alias("rest_wrong"))
+    large = (F.col("size") >= F.greatest(F.lit(10), F.col("budget") + least_rest)) & ((F.col("mode") == "iid") | (F.col("groups") >= F.col("budget"))) & (F.col("rest") >= least_rest)
+    return found.join(sizes, "source").where(large).drop("size", "groups")
+
+
+def flagged_sources(trials: DataFrame, high: float = 0.2) -> DataFrame:
+    """(mode, budget, trials, mean_sources, mean_rest_error, mean_capture, high_rate): in each trial the source whose anchors are wrong most
+    often is flagged (ties by name); then how wrong its rest is, and what part of all sources' errors in the rest that is. Trials with fewer
+    than three sources don't count."""
+    rate = F.col("anchor_wrong") / F.col("anchors")
+    best = F.min_by(F.struct("rest", "rest_wrong"), F.struct(-rate, "source")).alias("f")
+    by = trials.groupBy("mode", "budget", "trial").agg(F.count("*").alias("sources"), F.sum("rest_wrong").alias("all_wrong"), best).where("sources >= 3")
+    error = F.col("f.rest_wrong") / F.col("f.rest")
+    return by.groupBy("mode", "budget").agg(F.count("*").alias("trials"), F.avg("sources").alias("mean_sources"), F.avg(error).alias("mean_rest_error"), F.avg(F.when(F.col("all_wrong") > 0, F.col("f.rest_wrong") / F.col("all_wrong"))).alias("mean_capture"), F.avg((error >= high).cast("double")).alias("high_rate"))
+
+
 def stratified_sample(df: DataFrame, label: str, n: int, row_id: str, seed: int) -> DataFrame:
     """n rows, proportional by class, topped up by the largest remainders; rows by hash order."""
     total = df.count()

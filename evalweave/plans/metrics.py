@@ -152,7 +152,7 @@ def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A39_calibration_refit")
 def calibration_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = evaluation.calibration_fit(samples(spark, sf_dir).withColumnRenamed("score_a", "score"))
-    return spark.createDataFrame([(round(a, 8), round(b, 8))], "intercept double, slope double")
+    return spark.createDataFrame([(a and round(a, 8), b and round(b, 8))], "intercept double, slope double")
 
 
 @query("A40_entropy", f"WITH {SAMPLES} SELECT source, round(AVG(CASE WHEN score_a > 0 AND score_a < 1 THEN -score_a * log2(score_a) - (1 - score_a) * log2(1 - score_a) ELSE 0 END), 9) AS entropy FROM samples GROUP BY 1")

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import evidence, sequences, stats
 from ..operators import evaluation, resampling
-from ..operators.ordered import hash_ranks, positions, running_totals
+from ..operators.ordered import hash_ranks, positions
 from ..registry import query
 from ..roles import CALLS, PREDICTIONS, SAMPLES, calls, cohort, predictions, samples, table
 from ..session import materialise, scratch
@@ -21,7 +21,8 @@ from .metrics import BA, CELLS
 from .rows import READINGS, R_LIMIT, S_MAX, readings
 
 #: Draws of a bootstrap, trials with anchors.
-DRAWS, TRIALS, SEED = 10_000, 20, 20261114
+DRAWS, TRIALS, SEED = 10_000, 200, 20261114
+BUDGETS = [3, 5, 10]
 
 
 COUNTS = ["tp", "fn", "tn", "fp"]
@@ -85,11 +86,11 @@ def weighted_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("B06_anchor_trials")
 def anchor_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In each trial 5 anchors a source by hash; the error of the rest against that of the anchors."""
-    rows = samples(spark, sf_dir).withColumn("wrong", ((F.col("score_a") >= 0.5) != (F.col("y") == 1)).cast("int")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
-    ranked = hash_ranks(rows, ["trial", "source"], F.xxhash64(F.lit(SEED), "trial", "doc_id"), "doc_id", "rank")
-    anchored = ranked.withColumn("anchor", F.col("rank") <= 5)
-    return anchored.groupBy("trial", "source").agg(F.avg(F.when(F.col("anchor"), F.col("wrong"))).alias("anchor_error"), F.avg(F.when(~F.col("anchor"), F.col("wrong"))).alias("rest_error"))
+    """Whether a few labelled anchors a source point at the source whose rest is wrong most often, with anchors drawn alone or with
+    their whole groups held out."""
+    rows = samples(spark, sf_dir).withColumn("wrong", ((F.col("score_a") >= 0.5) != (F.col("y") == 1)).cast("int"))
+    rows = rows.select(F.col("doc_id").alias("id"), "source", F.concat("lang", F.lit("/"), F.floor(F.col("score_b") * 10).cast("string")).alias("group"), "wrong")
+    return resampling.flagged_sources(resampling.anchor_trials(rows, BUDGETS, TRIALS, SEED))
 
 
 @query("B07_stratified_subsample", "WITH g AS (SELECT o_orderstatus, COUNT(*) * CAST(300 AS DOUBLE) / (SELECT COUNT(*) FROM orders) AS e FROM orders GROUP BY 1), r AS (SELECT o_orderstatus, floor(e) AS base, row_number() OVER (ORDER BY e - floor(e) DESC, o_orderstatus) AS r FROM g) SELECT o_orderstatus, CAST(base + CASE WHEN r <= 300 - (SELECT SUM(floor(e)) FROM g) THEN 1 ELSE 0 END AS BIGINT) AS n FROM r")

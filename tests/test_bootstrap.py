@@ -138,3 +138,49 @@ def test_rank_metrics_in_every_draw(spark):
         gained = sum(at[s][1] * sum(at[t][1] for t in at if t >= s) / max(1, sum(sum(at[t]) for t in at if t >= s)) for s in at if at[s][1])
         r = found[d]
         assert (r.positives, r.negatives) == (p, n) and abs(r.auroc - wins / (p * n)) < 1e-12 and abs(r.ap - gained / p) < 1e-12
+
+
+def test_anchor_trials_against_loops(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "hot" if i % 2 else f"s{i % 5}", f"g{rng.integers(14)}", int(rng.random() < 0.3)) for i in range(160)] + [(900 + i, "tiny", f"t{i}", 1) for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, source string, group string, wrong int")
+    budgets, trials, seed = [2, 6], 4, 3
+    hashed = lambda salt, key: {(r.trial, r[1]): r.h for r in df.select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), key).distinct().select("trial", key, F.xxhash64(F.lit(seed), F.lit(salt), "trial", key).alias("h")).collect()}
+    by_row, by_group = hashed("row", "id"), hashed("group", "group")
+    want = {}
+    for mode in ("iid", "group_disjoint"):
+        for k in budgets:
+            for t in range(trials):
+                for source in {r[1] for r in rows}:
+                    own = [r for r in rows if r[1] == source]
+                    groups = sorted({r[2] for r in own}, key=lambda g: (by_group[t, g], g))
+                    if len(own) < max(10, k + 5) or mode != "iid" and len(groups) < k:
+                        continue
+                    if mode == "iid":
+                        ordered = sorted(own, key=lambda r: (by_row[t, r[0]], r[0]))
+                        anchors, rest = ordered[:k], ordered[k:]
+                    else:
+                        anchors = [min((r for r in own if r[2] == g), key=lambda r: (by_row[t, r[0]], r[0])) for g in groups[:k]]
+                        rest = [r for r in own if r[2] not in groups[:k]]
+                    if len(rest) >= 5:
+                        want[mode, k, t, source] = (len(anchors), sum(r[3] for r in anchors), len(rest), sum(r[3] for r in rest))
+    found = resampling.anchor_trials(df, budgets, trials, seed)
+    got = {(r["mode"], r.budget, r.trial, r.source): (r.anchors, r.anchor_wrong, r.rest, r.rest_wrong) for r in found.collect()}
+    assert got == want
+    for r in resampling.flagged_sources(found).collect():
+        own = collections.defaultdict(dict)
+        for (mode, k, t, source), v in want.items():
+            if (mode, k) == (r["mode"], r.budget):
+                own[t][source] = v
+        picked = [(min(v.items(), key=lambda x: (-x[1][1] / x[1][0], x[0])), sum(x[3] for x in v.values())) for v in own.values() if len(v) >= 3]
+        assert r.trials == len(picked)
+        assert abs(r.mean_rest_error - np.mean([f[1][3] / f[1][2] for f, _ in picked])) < 1e-12
+        assert abs(r.mean_capture - np.mean([f[1][3] / n for f, n in picked if n])) < 1e-12
+
+
+def test_calibration_fit_without_a_slope(spark):
+    from evalweave.operators import evaluation
+
+    rows = lambda *r: spark.createDataFrame(list(r), "y int, score double")
+    for df in (rows((1, 0.4), (0, 0.4)), rows((1, 0.4)), rows((1, 0.4)).limit(0)):
+        assert evaluation.calibration_fit(df) == (None, None)
