@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, decomposition, shift
+from ..operators import clustering, decomposition, shift, sketches
 from ..registry import query
 from ..roles import SAMPLES, calls, cohort, samples, table
 from ..session import materialise
@@ -90,3 +90,12 @@ def label_free_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).select("doc_id", "source", F.col("score_a").alias("p"), F.col("lang").alias("family")).join(marks, "doc_id")
     found = shift.source_anomaly(rows, {n: F.col(n) for n in GENES})
     return found.withColumns({c: F.round(c, 9) for c in ("score_js", "family_js", "gene_gap", "anomaly")}).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("J25_sketch_pairs")
+def sketch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of three cohorts that are near each other, by sketches of 21 characters, confirmed on the whole sets."""
+    cohort_of = F.element_at(F.array(*map(F.lit, ("Development", "E2", "E3"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cohort_of.alias("cohort"), "text")
+    found = sketches.sketch_pairs(rows)
+    return found.withColumns({c: F.round(c, 9) for c in ("distance", "jaccard", "coverage")})
