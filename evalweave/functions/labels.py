@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What stands for a missing entry, and the accepted spellings of the three categories.
 MISSING = ("", "NA", "N/A", "NONE", "NAN", "NULL", "UNKNOWN", "-")
@@ -66,6 +70,19 @@ def strict_boolean(col: Column) -> Column:
     return F.when(folded.isin("true", "1"), True).when(folded.isin("false", "0"), False).when(col.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), col)).cast("boolean"))
 
 
+@F.pandas_udf(StringType())
+def normal_form(values: pd.Series) -> pd.Series:
+    """Compatibility forms alike (full width, both micro signs), without white space around and case."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip().casefold())
+
+
+def normal_units(df: DataFrame, unit: str, name: str) -> DataFrame:
+    """Adds the canonical form of a unit; every distinct spelling is normalised once."""
+    spellings = df.select(F.col(unit).alias("__unit")).where("__unit is not null").distinct()
+    known = spellings.select("__unit", canonical_unit(normal_form("__unit")).alias(name))
+    return df.join(known, F.col(unit) == F.col("__unit"), "left").drop("__unit")
+
+
 def canonical_unit(col: Column) -> Column:
     """Micro signs of both code points alike, and milligrams a litre as micrograms a millilitre."""
     folded = F.translate(F.lower(F.trim(col)), "µ", "μ")

@@ -272,17 +272,26 @@ def boundary_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("F19_unit_normal_form", "SELECT CAST(k AS BIGINT) AS k, CASE WHEN k % 4 = 3 THEN 'mm' ELSE 'mg/L' END AS unit FROM range(8) t(k)")
+UNITS = ("MG/L", "µg/mL", " μg/ml", "mm", "ｍｇ/Ｌ", "mcg/mL")
+
+
+@query("F19_unit_normal_form", f"SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 7 = 3 THEN 'mm' ELSE 'mg/L' END AS unit FROM events")
 def unit_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, ("MG/L", "µg/mL", " μg/ml", "mm"))), (F.col("id") % 4 + 1).cast("int"))
-    return spark.range(8).select(F.col("id").alias("k"), labels.canonical_unit(raw).alias("unit"))
+    """Units of readings in six spellings, some of them missing."""
+    raw = F.get(F.array(*map(F.lit, UNITS)), (F.col("event_id") % 7).cast("int"))
+    return labels.normal_units(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw", "unit").select("event_id", "unit")
+
+
+SETS = "bit_or(CASE WHEN value < 20 THEN 4 WHEN value < 60 THEN 2 ELSE 1 END) FILTER (WHERE event_type = '{}')"
 
 
-@query("F20_set_comparison", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CASE WHEN a = b THEN 'same' WHEN (a & 1 = 1 AND a & 4 = 0 AND b & 4 = 4 AND b & 1 = 0) OR (a & 4 = 4 AND a & 1 = 0 AND b & 1 = 1 AND b & 4 = 0) THEN 'reversal' ELSE 'other' END AS status FROM range(1, 8) x(a), range(1, 8) y(b)")
+@query("F20_set_comparison", f"WITH s AS (SELECT user_id, {SETS.format('click')} AS a, {SETS.format('view')} AS b FROM events GROUP BY 1) SELECT user_id, CASE WHEN a IS NULL THEN 'new_only' WHEN b IS NULL THEN 'old_only' WHEN a = b THEN 'same' WHEN (a & 1 = 1 AND a & 4 = 0 AND b & 4 = 4 AND b & 1 = 0) OR (a & 4 = 4 AND a & 1 = 0 AND b & 1 = 1 AND b & 4 = 0) THEN 'reversal' ELSE 'other' END AS status FROM s")
 def set_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = lambda c: F.filter(F.array(F.when(c.bitwiseAND(4) == 4, "S"), F.when(c.bitwiseAND(2) == 2, "I"), F.when(c.bitwiseAND(1) == 1, "R")), lambda x: x.isNotNull())
-    rows = spark.range(49).select((F.col("id") % 7 + 1).alias("a"), (F.floor(F.col("id") / 7) + 1).alias("b"))
-    return rows.select("a", "b", joins.set_comparison(F.array_sort(bits(F.col("a"))), F.array_sort(bits(F.col("b")))).alias("status"))
+    """Each user's categories in events of two kinds."""
+    rows = observations(spark, sf_dir)
+    of = lambda kind, name: rows.where(F.col("drug") == kind).groupBy(F.col("target").cast("long").alias("user_id")).agg(F.array_sort(F.collect_set("category")).alias(name))
+    both = rows.select(F.col("target").cast("long").alias("user_id")).distinct().join(of("click", "a"), "user_id", "left").join(of("view", "b"), "user_id", "left")
+    return both.select("user_id", joins.set_comparison(F.col("a"), F.col("b")).alias("status"))
 
 
 @query("F22_review_flag", f"WITH {READINGS} SELECT CASE WHEN sign IN ('<', '<=') AND m > {R_LIMIT} THEN 'LOWER_CENSORED_BUT_RESISTANT' WHEN sign IN ('>', '>=') AND m <= {S_MAX} THEN 'UPPER_CENSORED_BUT_SUSCEPTIBLE' ELSE '' END AS flag, COUNT(*) AS n FROM readings GROUP BY 1")

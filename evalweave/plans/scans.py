@@ -32,14 +32,9 @@ def csv_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S02_tsv_unquoted", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM events")
 def tsv_unquoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text with quotes in it, written and read with literal tabs."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
-    lines = rows.select(F.concat_ws("\t", F.col("event_id").cast("string"), "event_type", "props").alias("value"))
-    header = spark.createDataFrame([("event_id\tevent_type\tprops",)], "value string")
-    path = scratch(spark, "tsv")
-    lines.write.text(path)
-    names = ["event_id", "event_type", "props"]
-    assert header.first().value.split("\t") == names
-    return spark.read.schema(text.text_schema(names)).option("sep", "\t").option("quote", "").option("mode", "FAILFAST").csv(path)
+    return text.scan_tsv(spark, _written(rows, "tsv", sep="\t", header=True, quote=""), ["event_id", "event_type", "props"])
 
 
 @query("S03_tsv_required_columns", "SELECT CAST(p_partkey AS VARCHAR) AS part, p_brand AS symbol, p_type AS type FROM part")
@@ -209,9 +204,14 @@ def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("r_regionkey int, r_name string").option("header", True).csv(path).agg(F.count("*").alias("n"), F.sum("r_regionkey").alias("keys"))
 
 
-@query("K02_json_report", "SELECT '{\"n\":' || CAST(COUNT(*) AS VARCHAR) || ',\"regions\":' || CAST(COUNT(DISTINCT n_regionkey) AS VARCHAR) || '}' AS report FROM nation")
+@query("K02_json_report", "SELECT n_regionkey || '.json' AS file, '{\"region\":' || n_regionkey || ',\"n\":' || COUNT(*) || ',\"mean\":' || CAST(AVG(s_suppkey) AS DOUBLE) || '}' AS report FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").agg(F.count("*").alias("n"), F.count_distinct("n_regionkey").alias("regions")).select(F.to_json(F.struct("n", "regions")).alias("report"))
+    """A report of each region as a file of JSON, read back."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    found = rows.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.avg("s_suppkey").alias("mean"))
+    path = scratch(spark, "reports")
+    files.write_files(found.select(F.concat(F.col("region").cast("string"), F.lit(".json")).alias("file"), files.json_report(found, ["region", "n", "mean"]).alias("content")), path).count()
+    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.rtrim(F.regexp_replace("value", "\n", "")).alias("report"))
 
 
 @query("K03_task_checkpoint", "SELECT o_orderpriority AS task, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'reused' ELSE 'computed' END AS state, COUNT(*) AS n, SUM(o_orderkey) AS keys FROM orders GROUP BY 1")

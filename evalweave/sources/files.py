@@ -13,9 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import DoubleType, FloatType
 
 #: Bytes that are read at a time.
 PIECE = 8 << 20
@@ -54,6 +55,18 @@ def write_files(df: DataFrame, address: str) -> DataFrame:
     return df.select("file", "content").mapInArrow(run, "file string, bytes long")
 
 
+def json_report(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as a line of JSON. A NaN or an infinity, which JSON doesn't have, is an error when it is run."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    checked = []
+    for c in columns:
+        value = F.col(c)
+        if isinstance(kinds[c], (DoubleType, FloatType)):
+            value = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.concat(F.lit(f"{c} isn't finite: "), value.cast("string"))).cast(kinds[c])).otherwise(value)
+        checked.append(value.alias(c))
+    return F.concat(F.to_json(F.struct(*checked), {"ignoreNullFields": "false"}), F.lit("\n"))
+
+
 def listed(address: str) -> list[tuple[str, int]]:
     """(address, bytes) of the files of a folder, in order of their names; names that begin with a dot or underscore are
     not files of the data."""

@@ -173,3 +173,20 @@ def test_a_task_that_falls_short_is_not_entered(spark, tmp_path):
     assert [tuple(r) for r in report.collect()] == [("a", "failed", 0)] and rows.count() == 0
     rows, report = tasks.resume(df.withColumn("expected", F.lit(None).cast("long")), short, path, SCHEMA)
     assert [tuple(r) for r in report.collect()] == [("a", "computed", 1)] and rows.count() == 1
+
+
+def test_reports_refuse_what_json_lacks(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (2, float("nan"), "x")], "n int, mean double, note string")
+    columns = ["n", "mean", "note"]
+    assert df.where("n = 1").select(files.json_report(df, columns).alias("r")).first().r == '{"n":1,"mean":0.5,"note":null}\n'
+    for bad in (df.where("n = 2"), df.withColumn("mean", F.lit(float("-inf")))):
+        with pytest.raises(Exception, match="mean isn't finite"):
+            bad.select(files.json_report(bad, columns)).collect()
+
+
+def test_units_are_normalised_by_spelling(spark):
+    from evalweave.functions import labels
+
+    spellings = {"ｍｇ/Ｌ": "mg/L", "MG/L ": "mg/L", "µg/mL": "mg/L", "μg/ml": "mg/L", "mcg/ml": "mg/L", "ＭＭ": "mm", "Straße": "strasse", None: None, "": ""}
+    found = labels.normal_units(spark.createDataFrame([(k,) for k in spellings] * 3, "raw string"), "raw", "unit").collect()
+    assert len(found) == 27 and {r.raw: r.unit for r in found} == spellings
