@@ -210,8 +210,8 @@ CERTIFICATES = f"""WITH {SAMPLES}, r AS (SELECT doc_id AS id, y, score_a AS a, s
   v AS (SELECT o.*, last FROM o JOIN p USING (mask, metric, fixed_totals) WHERE rank <= last)"""
 
 CERTIFICATES_SQL = CERTIFICATES + """, g AS (SELECT mask, metric, fixed_totals, SUM(1 - 2 * y) AS gained FROM v GROUP BY ALL)
-SELECT mask, metric, fixed_totals, n, positives, n - positives AS negatives, eligible, margin AS integer_margin, CASE WHEN margin > 0 THEN 'method1_above_method2' WHEN margin < 0 THEN 'method1_below_method2' ELSE 'tie' END AS initial_order,
-  round(margin / CAST(2 * positives * (n - positives) AS DOUBLE), 12) AS point_difference, flips AS least_flips, sign(margin) * (abs(margin) - harmed) AS witness_margin,
+SELECT mask, metric, fixed_totals, n, CAST(positives AS BIGINT) AS positives, CAST(n - positives AS BIGINT) AS negatives, eligible, CAST(margin AS BIGINT) AS integer_margin, CASE WHEN margin > 0 THEN 'method1_above_method2' WHEN margin < 0 THEN 'method1_below_method2' ELSE 'tie' END AS initial_order,
+  round(margin / CAST(2 * positives * (n - positives) AS DOUBLE), 12) AS point_difference, flips AS least_flips, CAST(sign(margin) * (abs(margin) - harmed) AS BIGINT) AS witness_margin,
   round(sign(margin) * (abs(margin) - harmed) / CAST(2 * (positives + gained) * (n - positives - gained) AS DOUBLE), 12) AS witness_difference,
   CASE WHEN margin = 0 THEN 'INITIAL_TIE_NO_STRICT_ORDER' WHEN flips IS NOT NULL THEN 'EXACT_MINIMUM_WITH_ATTAINING_COUNTERFACTUAL_WITNESS' ELSE 'NO_STRICT_REVERSAL_POSSIBLE_WITHIN_ALLOWED_MASK' END AS status
 FROM t LEFT JOIN p USING (mask, metric, fixed_totals) LEFT JOIN g USING (mask, metric, fixed_totals)"""

@@ -214,7 +214,7 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.rtrim(F.regexp_replace("value", "\n", "")).alias("report"))
 
 
-@query("K03_task_checkpoint", "SELECT o_orderpriority AS task, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'reused' ELSE 'computed' END AS state, COUNT(*) AS n, SUM(o_orderkey) AS keys FROM orders GROUP BY 1")
+@query("K03_task_checkpoint", "SELECT o_orderpriority AS task, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'reused' ELSE 'computed' END AS state, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def task_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work that was stopped after three of five tasks is taken up: verified parts stay, the rest is made."""
     orders, path = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("task")), scratch(spark, "tasks")
