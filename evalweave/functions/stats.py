@@ -93,17 +93,39 @@ def chi2_1df_sf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(math.sqrt(v / 2)))
 
 
+#: Logarithm below which a double is zero; tables whose ratios are worked out at a time.
+UNDERFLOW, RUN = -746.0, 1 << 12
+
+
+def _from_mode(row: int, other: int, column: int, mode: int, step: int, end: int) -> np.ndarray:
+    """Logarithms of how much likelier each table from ``mode`` on, in one direction, is than the one at ``mode``: to ``end``, or until they are zero as doubles."""
+    found, last, at = [], 0.0, mode
+    while at != end and last > UNDERFLOW:
+        k = np.arange(at, at + step * min(RUN, abs(end - at)), step, dtype=float)
+        up = k if step > 0 else k - 1  # both directions are ratios of a table and the next larger one
+        ratio = np.log(row - up) + np.log(column - up) - np.log(up + 1) - np.log(other - column + up + 1)
+        logs = last + np.cumsum(step * ratio)
+        found.append(logs)
+        last, at = float(logs[-1]), at + step * len(k)
+    return np.concatenate(found) if found else np.empty(0)
+
+
 def _fisher(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided: the tables with the same margins that are at most as likely as the one seen."""
+    """Two-sided: the tables with the same margins that are at most as likely as the one seen.
+
+    Ratios of neighbours are followed from the likeliest table outwards until likelihoods are zero as doubles, so the work grows with the
+    spread of the distribution, which is of the order of the root of the counts.
+    """
     row, other, column = a + b, c + d, a + c
     low, high = max(0, column - other), min(row, column)
     if high < low:
         return 1.0
-    k = np.arange(low, high + 1)
-    log = np.array([math.lgamma(row + 1) - math.lgamma(x + 1) - math.lgamma(row - x + 1) + math.lgamma(other + 1) - math.lgamma(column - x + 1) - math.lgamma(other - column + x + 1) for x in k.tolist()])
-    p = np.exp(log - log.max())
-    p /= p.sum()
-    return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
+    mode = min(high, max(low, (row + 1) * (column + 1) // (row + other + 2)))
+    down, up = _from_mode(row, other, column, mode, -1, low), _from_mode(row, other, column, mode, 1, high)
+    p = np.exp(np.concatenate([down[::-1], [0.0], up]))
+    at = a - mode + len(down)
+    seen = p[at] if 0 <= at < len(p) else 0.0
+    return float(min(1.0, p[p <= seen * (1 + 1e-7)].sum() / p.sum()))
 
 
 @F.pandas_udf(DoubleType())

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import running_totals, with_range, with_totals
 
 
@@ -39,8 +40,9 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str, name: str = "q", ranges: int
     """Step-up q-values within the keys; rows without p keep null and don't count.
 
     Equal p have one q, so distinct p are counted first; ranks and the least later step are then taken in ranges
-    of p and from range to range, so no key is one task.
+    of p and from range to range, so no key is one task. The rows are read several times, so they are stored first.
     """
+    df = materialise(df)
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
     ranked = with_totals(running_totals(counts, keys, "__p", ["__n"], ranges), totals, keys)

@@ -102,6 +102,37 @@ def test_fisher_matches_enumeration(spark):
     assert got == pytest.approx([brute(*r) for r in rows])
 
 
+def test_fisher_of_large_tables_holds_little(spark):
+    """The work grows with the spread of the distribution, not with the number of tables of the same margins."""
+    import tracemalloc
+
+    tracemalloc.start()
+    p = stats._fisher(2_000_700, 2_000_000, 2_000_000, 2_000_700)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # of so many rows the normal approximation is good to some 1e-4
+    assert peak < 8 << 20 and abs(p - math.erfc(math.sqrt(stats_chi2(2_000_700, 2_000_000) / 2))) < 1e-3
+
+
+def stats_chi2(a, b):
+    """Pearson's statistic, with Yates' correction, of the table ((a, b), (b, a))."""
+    n = 2 * (a + b)
+    return n * (abs(a * a - b * b) - n / 2) ** 2 / float(a + b) ** 4
+
+
+def test_fdr_reads_its_rows_once(spark):
+    """A p-value that costs much is worked out once for each row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(i):
+        seen.add(1)
+        return i / 40
+
+    got = association.bh_fdr(spark.range(1, 31).select("id", counted("id").alias("p")), [], "p").collect()
+    assert len(got) == 30 and seen.value == 30
+
+
 def test_bh_keeps_nulls(spark):
     rows = spark.createDataFrame([(1, 0.01), (2, 0.03), (3, 0.04), (4, 0.2), (5, None)], "i int, p double")
     got = {r.i: r.q for r in association.bh_fdr(rows, [], "p").collect()}
