@@ -5,6 +5,9 @@ j is the share of the least SIZE hashes of their union that both have. A cut-off
 in any one order of all hashes, two sketches that near share one of the first n - t + 1 of each; the order is from rare to frequent, by counts over all
 sketches, so that classes meet at what is particular to them, and no pair within the cut-off is missed. Only pairs of different cohorts are made.
 
+Texts are numbered, and only numbers and hashes are shuffled: each hash once, to find those that several sketches have. Sketches and texts are read again
+for the few rows that are in pairs.
+
 What sketches find is then confirmed: the Jaccard similarity and the coverage of the smaller set, both on all k-mers.
 """
 
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -24,6 +27,8 @@ from .joins import spread_join
 K, SIZE, MOST = 21, 1000, 0.05
 #: Confirmation: the identity that the whole sets' distance leaves, and the coverage of the smaller set.
 IDENTITY, COVERAGE = 0.95, 0.6
+#: Texts that a task works on at a time; rows that are broadcast at most, of one long each.
+STEP, FEW = 512, 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,33 +59,42 @@ def text_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sketches(texts: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
-    """(digest, sketch): the least hashes of each text, ascending."""
+    """(row, sketch): the least hashes of each text, ascending. ``texts``: row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [kmer_hashes(t, k)[:size] for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))], names=["digest", "sketch"])
+            for part in (batch.slice(at, STEP) for at in range(0, batch.num_rows, STEP)):
+                found = [kmer_hashes(t, k)[:size] for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))], names=["row", "sketch"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, sketch array<long>")
+
 
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, sketch array<long>")
+def at_rows(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``df`` that are in a pair (a, b); their numbers are broadcast only if they are few."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    return df.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row", "left_semi")
 
 
 def candidate_pairs(sketched: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b) digests, a <= b, of classes of different cohorts whose sketches share a hash where two as similar as ``least`` must; a class
-    that several cohorts have is a pair with itself."""
-    hashes = sketched.select("digest", F.size("sketch").alias("n"), F.explode("sketch").alias("hash"))
-    often = hashes.groupBy("hash").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = spread_join(hashes, often, ["hash"], "digest").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("h"))  # a sketch's own hashes
+    """(a, b) rows, a <= b, of classes of different cohorts whose sketches share a hash where two as similar as ``least`` must; a class
+    that several cohorts have is a pair with itself. ``sketched``: row, sketch; ``members``: row, cohort."""
+    # a number and a hash are all that is shuffled of a sketch's entry, and only once
+    hashes = sketched.select(F.col("row"), F.explode("sketch").alias("hash"))
+    often = hashes.withColumn("often", F.count("*").over(Window.partitionBy("hash"))).where("often > 1")
+    sizes = sketched.select("row", F.size("sketch").alias("n"))
+    ranked = often.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("h")).join(sizes, "row")  # a sketch's own hashes
     # those that only one sketch has come first in the order, and lead nowhere
     alone = F.col("n") - F.size("h")
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1 - alone
-    lead = ranked.where(first > 0).select("digest", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.least(first.cast("int"), F.size("h"))))).alias("x")).select("digest", F.col("x.hash").alias("hash"))
-    lead = materialise(lead.join(members.select("digest", "cohort"), "digest"))
-    other = lead.select("hash", F.col("digest").alias("other"), F.col("cohort").alias("cohort_other"))
-    met = spread_join(lead, other, ["hash"], "digest").where((F.col("cohort") < F.col("cohort_other")) & (F.col("digest") != F.col("other")))
-    pairs = met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
-    shared = members.groupBy("digest").agg(F.count("*").alias("cohorts")).where("cohorts > 1")
-    return pairs.unionByName(shared.select(F.col("digest").alias("a"), F.col("digest").alias("b")))
+    lead = ranked.where(first > 0).select("row", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.least(first.cast("int"), F.size("h"))))).alias("x")).select("row", F.col("x.hash").alias("hash"))
+    lead = materialise(lead.join(members.select("row", "cohort"), "row"))
+    other = lead.select("hash", F.col("row").alias("other"), F.col("cohort").alias("cohort_other"))
+    met = spread_join(lead, other, ["hash"], "row").where((F.col("cohort") < F.col("cohort_other")) & (F.col("row") != F.col("other")))
+    pairs = met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+    shared = members.groupBy("row").agg(F.count("*").alias("cohorts")).where("cohorts > 1")
+    return pairs.unionByName(shared.select(F.col("row").alias("a"), F.col("row").alias("b")))
 
 
 def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST, identity: float = IDENTITY, coverage: float = COVERAGE) -> DataFrame:
@@ -90,16 +104,19 @@ def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST
     Nulls and empty texts have no k-mers and drop out; classes within one cohort aren't compared.
     """
     texts, members = text_classes(df)
-    texts, members = materialise(texts), materialise(members)
-    sketched = materialise(sketches(texts, k, size))
-    pairs = materialise(candidate_pairs(sketched, members, least_similarity(most, k)))
-    side = lambda name, column: sketched.select(F.col("digest").alias(name), F.col("sketch").alias(column))
+    texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()))
+    members = materialise(members.join(texts.select("digest", "row"), "digest").select("row", "cohort", "id", "n"))
+    pairs = materialise(candidate_pairs(sketches(texts, k, size), members, least_similarity(most, k)))
+    some = materialise(sketches(at_rows(texts, pairs), k, size))
+    side = lambda name, column: some.select(F.col("row").alias(name), F.col("sketch").alias(column))
     both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b")
     union = F.slice(F.array_sort(F.array_union("s", "t")), 1, size)
     near = both.select("a", "b", (F.size(F.array_intersect(F.array_intersect("s", "t"), union)) / F.size(union)).alias("j"))
     near = near.withColumn("distance", F.when(F.col("j") > 0, F.greatest(F.lit(0.0), -F.log(2 * F.col("j") / (1 + F.col("j"))) / k))).where(F.col("distance") <= most)
-    whole = lambda name, column: texts.select(F.col("digest").alias(name), F.col("text").alias(column))
-    read = materialise(near.select("a", "b", "distance")).join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    near = materialise(near.select("a", "b", "distance"))
+    texts = at_rows(texts, near)
+    whole = lambda name, column: texts.select(F.col("row").alias(name), F.col("text").alias(column))
+    read = near.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +128,11 @@ def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST
                 covered.append(common / min(len(own), len(other)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "distance")), pa.array(jaccard, pa.float64()), pa.array(covered, pa.float64())], names=["a", "b", "distance", "jaccard", "coverage"])
 
-    judged = read.mapInArrow(confirm, "a binary, b binary, distance double, jaccard double, coverage double")
+    judged = read.mapInArrow(confirm, "a long, b long, distance double, jaccard double, coverage double")
     agrees = (F.col("jaccard") >= least_similarity(1 - identity, k)) & (F.col("coverage") >= coverage)
-    of = lambda name: members.select(F.col("digest").alias(f"digest_{name}"), F.col("cohort").alias(f"cohort_{name}"), F.col("id").alias(name), F.col("n").alias(f"copies_{name}"))
-    named = judged.withColumnsRenamed({"a": "digest_1", "b": "digest_2"})
-    one = named.select(F.col("digest_1").alias("digest_a"), F.col("digest_2").alias("digest_b"), "distance", "jaccard", "coverage")
-    turned = named.where("digest_1 <> digest_2").select(F.col("digest_2").alias("digest_a"), F.col("digest_1").alias("digest_b"), "distance", "jaccard", "coverage")
-    found = one.unionByName(turned).join(of("a"), "digest_a").join(of("b"), "digest_b").where("cohort_a < cohort_b")
+    of = lambda name: members.select(F.col("row").alias(f"row_{name}"), F.col("cohort").alias(f"cohort_{name}"), F.col("id").alias(name), F.col("n").alias(f"copies_{name}"))
+    named = judged.withColumnsRenamed({"a": "row_1", "b": "row_2"})
+    one = named.select(F.col("row_1").alias("row_a"), F.col("row_2").alias("row_b"), "distance", "jaccard", "coverage")
+    turned = named.where("row_1 <> row_2").select(F.col("row_2").alias("row_a"), F.col("row_1").alias("row_b"), "distance", "jaccard", "coverage")
+    found = one.unionByName(turned).join(of("a"), "row_a").join(of("b"), "row_b").where("cohort_a < cohort_b")
     return found.select("cohort_a", "a", "copies_a", "cohort_b", "b", "copies_b", "distance", "jaccard", "coverage", agrees.alias("confirmed"))

@@ -73,3 +73,14 @@ def test_no_pairs(spark):
     assert sketches.sketch_pairs(none).collect() == []
     one = spark.createDataFrame([(1, "a", "the same"), (2, "a", "the same"), (3, None, "the same"), (4, "b", None)], "id long, cohort string, text string")
     assert sketches.sketch_pairs(one).collect() == []
+
+
+def test_a_hash_is_shuffled_once(spark):
+    """Of an entry of a sketch a number and the hash move, once: under 24 bytes."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    rng = random.Random(4)
+    rows = [(i, "abc"[i % 3], "".join(rng.choice("abcdefghijklmnop") for _ in range(1200))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, cohort string, text string")
+    before = written()
+    assert sketches.sketch_pairs(df).collect() == []
+    assert written() - before < 600 * 1200 * 2 + 600 * 1000 * 24
