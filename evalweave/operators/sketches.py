@@ -77,18 +77,37 @@ def at_rows(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row", "left_semi")
 
 
-def candidate_pairs(sketched: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b) rows, a <= b, of classes of different cohorts whose sketches share a hash where two as similar as ``least`` must; a class
-    that several cohorts have is a pair with itself. ``sketched``: row, sketch; ``members``: row, cohort."""
+def leads(sets: DataFrame, least: float) -> DataFrame:
+    """(row, n, hash): of each set the hashes, from rare to frequent, at one of which it meets every set as similar as ``least``, without those
+    that no other set has. ``sets``: row, sketch."""
     # a number and a hash are all that is shuffled of a sketch's entry, and only once
-    hashes = sketched.select(F.col("row"), F.explode("sketch").alias("hash"))
+    hashes = sets.select(F.col("row"), F.explode("sketch").alias("hash"))
     often = hashes.withColumn("often", F.count("*").over(Window.partitionBy("hash"))).where("often > 1")
-    sizes = sketched.select("row", F.size("sketch").alias("n"))
+    sizes = sets.select("row", F.size("sketch").alias("n"))
     ranked = often.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("h")).join(sizes, "row")  # a sketch's own hashes
     # those that only one sketch has come first in the order, and lead nowhere
     alone = F.col("n") - F.size("h")
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1 - alone
-    lead = ranked.where(first > 0).select("row", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.least(first.cast("int"), F.size("h"))))).alias("x")).select("row", F.col("x.hash").alias("hash"))
+    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - alone
+    lead = ranked.where(first > 0).select("row", "n", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.least(first.cast("int"), F.size("h"))))).alias("x"))
+    return lead.select("row", "n", F.col("x.hash").alias("hash"))
+
+
+def similar_sets(sets: DataFrame, most: float) -> DataFrame:
+    """(a, b, jaccard), a < b: all pairs of sets (row, sketch) whose Jaccard distance is below ``most``."""
+    lead = materialise(leads(sets, 1 - most))
+    other = lead.select("hash", F.col("row").alias("other"), F.col("n").alias("m"))
+    fits = F.least("n", "m") >= (1 - most) * F.greatest("n", "m") - 1e-9
+    pairs = materialise(spread_join(lead, other, ["hash"], "row").where((F.col("row") < F.col("other")) & fits).select(F.col("row").alias("a"), F.col("other").alias("b")).distinct())
+    some = materialise(at_rows(sets, pairs))
+    side = lambda name, column: some.select(F.col("row").alias(name), F.col("sketch").alias(column))
+    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").withColumn("common", F.size(F.array_intersect("s", "t")))
+    return both.select("a", "b", (F.col("common") / (F.size("s") + F.size("t") - F.col("common"))).alias("jaccard")).where(1 - F.col("jaccard") < most)
+
+
+def candidate_pairs(sketched: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b) rows, a <= b, of classes of different cohorts whose sketches share a hash where two as similar as ``least`` must; a class
+    that several cohorts have is a pair with itself. ``sketched``: row, sketch; ``members``: row, cohort."""
+    lead = leads(sketched, least).select("row", "hash")
     lead = materialise(lead.join(members.select("row", "cohort"), "row"))
     other = lead.select("hash", F.col("row").alias("other"), F.col("cohort").alias("cohort_other"))
     met = spread_join(lead, other, ["hash"], "row").where((F.col("cohort") < F.col("cohort_other")) & (F.col("row") != F.col("other")))

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import evidence, sequences, stats
 from ..operators import evaluation, resampling
 from ..operators.ordered import hash_ranks, positions
+from ..operators.sketches import similar_sets
 from ..registry import query
 from ..roles import CALLS, PREDICTIONS, SAMPLES, calls, cohort, predictions, samples, table
 from ..session import materialise, scratch
@@ -200,20 +201,16 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J25_minhash_neighbours")
 def minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts whose words of 5 are alike: MinHash join, then the distance -ln(2j/(1+j))/k. A text is named
-    by the least of its documents."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
+    """Distinct texts whose words of 5 have a Jaccard distance below 0.2, none missed, with the distance -ln(2j/(1+j))/k. A text is
+    named by the least of its documents. Single minima, as tables of MinHash, would bring most texts that share a common word of 5 together, so
+    texts meet at the rarest hashes of their sets instead, as many as two that near need."""
     texts = table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     words = F.split(F.lower(F.trim("text")), r"\s+")
     last = F.size("w") - 4
-    rows = texts.select("doc_id", words.alias("w")).where(F.size("w") >= 5)
-    rows = rows.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).alias("words"))
-    vectors = materialise(HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 20, binary=True).transform(rows).select("doc_id", "features"))
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=6, seed=7).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, 0.2, "jaccard").where("datasetA.doc_id < datasetB.doc_id")
-    j = 1 - F.col("jaccard")
-    return near.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), F.round(-F.log(2 * j / (1 + j)) / 5, 6).alias("distance"))
+    rows = texts.select(F.col("doc_id").alias("row"), words.alias("w")).where(F.size("w") >= 5)
+    sets = materialise(rows.select("row", F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")))).alias("sketch")))
+    j = F.col("jaccard")
+    return similar_sets(sets, 0.2).select("a", "b", F.round(-F.log(2 * j / (1 + j)) / 5, 6).alias("distance"))
 
 
 #: Each event is a case of its own, observed before and after. Intervals in SQL are lo, hi and whether they are closed.

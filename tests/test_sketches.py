@@ -84,3 +84,16 @@ def test_a_hash_is_shuffled_once(spark):
     before = written()
     assert sketches.sketch_pairs(df).collect() == []
     assert written() - before < 600 * 1200 * 2 + 600 * 1000 * 24
+
+
+def test_sets_against_all_pairs(spark):
+    """No pair is missed, and texts that only share a frequent line don't meet at it."""
+    rng, line = random.Random(6), list(range(40))
+    sets = []
+    for _ in range(60):
+        own = [rng.randrange(1 << 40) for _ in range(rng.randint(1, 160))] + line
+        sets += [own, own[: len(own) * 9 // 10], own + [rng.randrange(1 << 40) for _ in range(len(own) // 4)]]
+    found = sketches.similar_sets(spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "row long, sketch array<long>"), 0.2).collect()
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): share(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if 1 - share(sets[i], sets[j]) < 0.2}
+    assert {(r.a, r.b): r.jaccard for r in found} == want and len(want) > 100
