@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -186,12 +188,24 @@ def nearest_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_joins.nearest(q, f, ["lang"])
 
 
+#: Pairs that a task of a join within blocks compares, some; rows of a block that lie in one part of it.
+PAIRS_IN_TASK, BLOCK_ROWS = 2e6, 1000
+
+
 @query("J19_pair_self_join", "SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_name = b.p_name THEN 'equal' ELSE 'contained' END AS relation FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name = b.p_name OR contains(a.p_name, split_part(b.p_name, ' ', 2))")
 def pair_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part")
     side = lambda n: rows.select(F.col("p_partkey").alias(n), "p_brand", "p_type", "p_size", F.col("p_name").alias(f"name_{n}"))
     equal = F.col("name_a") == F.col("name_b")
-    pairs = side("a").join(side("b"), ["p_brand", "p_type", "p_size"]).where("a < b")
+    # the table is small beside its pairs: there are as many tasks as pairs call for, and a block's rows are dealt out
+    block = ["p_brand", "p_type", "p_size"]
+    sizes = materialise(rows.groupBy(*block).agg(F.count("*").alias("n")))
+    most = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / PAIRS_IN_TASK))
+    sizes = sizes.select(*block, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    left = side("a").join(sizes, block).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    right = side("b").join(sizes, block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = left.repartition(tasks, *block, "part").join(right.repartition(tasks, *block, "part"), [*block, "part"]).where("a < b")
     return pairs.where(equal | F.contains("name_a", F.element_at(F.split("name_b", " "), 2))).select("a", "b", F.when(equal, "equal").otherwise("contained").alias("relation"))
 
 

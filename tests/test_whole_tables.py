@@ -49,3 +49,16 @@ def test_threshold_components_have_every_feature(spark, sf_dir):
                 group[x] = merged
     want = sorted(len(x) for x in {min(x): x for x in group.values()}.values())
     assert sorted(r["size"] for r in joins.threshold_components(spark, sf_dir).collect()) == want and sum(want) == 5
+
+
+def test_pairs_of_one_block_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from evalweave.plans import joins
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 30, raising=False)
+    monkeypatch.setattr(joins, "PAIRS_IN_TASK", 1000.0, raising=False)
+    rows = spark.range(300).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"), F.lit("red green").alias("p_name"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    by = joins.pair_self_join(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by) == 300 * 299 // 2 and len(by) > 4 and max(r["count"] for r in by) < 300 * 299 // 4
