@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql.types import DoubleType, FloatType
 
 #: Bytes that are read at a time.
 PIECE = 8 << 20
+#: Bytes of bits that a task unpacks at a time, each to a byte and a set one to two numbers.
+SPAN = 1 << 17
 
 
 def opened(address: str) -> tuple[fs.FileSystem, str]:
@@ -113,32 +116,63 @@ def require_verified(checked: DataFrame) -> DataFrame:
 
 def write_bits(df: DataFrame, address: str, samples: int, features: int, per_file: int) -> DataFrame:
     """Writes set cells (feature, sample) as a feature-major matrix of bits, the lowest bit of a byte first: files of ``per_file``
-    features each, numbered in order; (file, bytes). A feature without cells is a row of zeros. A task holds one file's matrix."""
+    features each, numbered in order; (file, bytes). A feature without cells is a row of zeros. A task holds one piece of a file."""
     width, last = -(-samples // 8), -(-features // per_file)
     blocks = df.sparkSession.range(last).select(F.col("id").alias("block"), F.lit(None).cast("long").alias("feature"), F.lit(None).cast("int").alias("sample"))
     cells = df.select(F.floor(F.col("feature") / per_file).alias("block"), F.col("feature").cast("long"), F.col("sample").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, matrix: np.ndarray) -> pa.RecordBatch:
-            data = np.packbits(matrix, axis=1, bitorder="little").tobytes()
-            name = f"block-{block:012d}.bits"
-            store(address, name, data)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64())], names=["file", "bytes"])
-
-        now, matrix = None, None
-        for batch in batches:
-            block, feature, sample = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for b in np.unique(block).tolist():
-                if b != now:
-                    if now is not None:
-                        yield done(now, matrix)
-                    now, matrix = b, np.zeros((min(per_file, features - b * per_file), width * 8), np.uint8)
-                own = (block == b) & ~np.isnan(feature.astype(float))
-                matrix[feature[own].astype(np.int64) - b * per_file, sample[own].astype(np.int64)] = 1
-        if now is not None:
-            yield done(now, matrix)
-
-    return blocks.unionByName(cells).repartition("block").sortWithinPartitions("block").mapInArrow(run, "file string, bytes long")
+        where, folder = opened(address)
+        where.create_dir(folder, recursive=True)
+        now, file = None, None
+        try:
+            for batch in batches:
+                block, feature, sample = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for b in np.unique(block).tolist():
+                    if b != now:
+                        if file is not None:
+                            yield file.done()
+                        now, file = b, BitFile(where, folder, f"block-{b:012d}.bits", min(per_file, features - b * per_file) * width)
+                    own = (block == b) & ~np.isnan(feature.astype(float))
+                    file.add((feature[own].astype(np.int64) - b * per_file) * width * 8 + sample[own].astype(np.int64))
+            if file is not None:
+                yield file.done()
+        finally:
+            if file is not None:
+                file.out.close()
+
+    # in the order of their bits, so that a task holds one piece of a file
+    return blocks.unionByName(cells).repartition("block").sortWithinPartitions("block", "feature", "sample").mapInArrow(run, "file string, bytes long")
+
+
+class BitFile:
+    """A file of bits that is written piece by piece under another name, then renamed."""
+
+    def __init__(self, where: fs.FileSystem, folder: str, name: str, size: int):
+        self.where, self.folder, self.name, self.size = where, folder, name, size
+        self.spare = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.out, self.piece, self.bits = where.open_output_stream(self.spare), 0, None
+
+    def _write_up_to(self, piece: int) -> None:
+        while self.piece < piece:
+            n = min(SPAN, self.size - self.piece * SPAN)
+            self.out.write(bytes(n) if self.bits is None else np.packbits(self.bits[: n * 8], bitorder="little").tobytes())
+            self.piece, self.bits = self.piece + 1, None
+
+    def add(self, places: np.ndarray) -> None:
+        """Sets bits; places ascend over all calls."""
+        pieces = places // (SPAN * 8)
+        for piece in np.unique(pieces).tolist():
+            self._write_up_to(piece)
+            if self.bits is None:
+                self.bits = np.zeros(SPAN * 8, np.uint8)
+            self.bits[places[pieces == piece] - piece * SPAN * 8] = 1
+
+    def done(self) -> pa.RecordBatch:
+        self._write_up_to(-(-self.size // SPAN))
+        self.out.close()
+        self.where.move(self.spare, f"{self.folder}/{self.name}")
+        return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([self.size], pa.int64())], names=["file", "bytes"])
 
 
 class BitMatrixSource(DataSource):
@@ -204,10 +238,13 @@ class BitMatrixReader(DataSourceReader):
                 step = max(1, PIECE // max(1, self.width * 8))
                 for first in range(at, at + n, step):
                     count = min(step, at + n - first)
-                    data = file.read_at(count * self.width, first * self.width)
-                    bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(count, self.width), axis=1, bitorder="little")[:, : self.samples]
-                    feature, sample = np.nonzero(bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(feature + split.first + first, pa.int64()), pa.array(sample, pa.int32())], names=["feature", "sample"])
+                    # features whose bits don't fit are read alone, in pieces
+                    for start in range(0, self.width, SPAN if count == 1 else max(1, self.width)):
+                        size = min(SPAN, self.width - start) if count == 1 else self.width
+                        data = file.read_at(count * size, first * self.width + start)
+                        bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(count, size), axis=1, bitorder="little")[:, : self.samples - start * 8]
+                        feature, sample = np.nonzero(bits)
+                        yield pa.RecordBatch.from_arrays([pa.array(feature + split.first + first, pa.int64()), pa.array(sample + start * 8, pa.int32())], names=["feature", "sample"])
 
 
 def scan_bits(spark: SparkSession, address: str, samples: int, features: list[int] | None = None, split: int = 1 << 16) -> DataFrame:

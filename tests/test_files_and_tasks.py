@@ -71,6 +71,29 @@ def test_bits_are_read_by_range(tmp_path, monkeypatch):
     assert asked == [(30, 30), (9000, 10), (10000, 10)]  # ten bytes a feature
 
 
+def test_wide_bits_are_unpacked_in_pieces(tmp_path):
+    """A row of 40 million samples is never held as a byte a sample."""
+    import tracemalloc
+
+    with open(tmp_path / "wide.bin", "wb") as out:
+        out.truncate(5_000_000)
+        out.seek(4_999_999)
+        out.write(b"\x80")
+    reader = files.BitMatrixReader({"path": f"file://{tmp_path}/wide.bin", "samples": "40000000"})
+    tracemalloc.start()
+    found = [(f, s) for b in reader.read(reader.partitions()[0]) for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 39_999_999)] and peak < 16 << 20
+
+
+def test_bits_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    cells = [(f, s) for f in (0, 2, 4) for s in (0, 7, 8, 8 * files.SPAN - 1, 8 * files.SPAN, 20 * files.SPAN)]
+    path, samples = f"file://{tmp_path}/pieces", 20 * files.SPAN + 1
+    files.write_bits(spark.createDataFrame(cells, "feature long, sample int"), path, samples, 6, per_file=4).collect()
+    assert sorted(tuple(r) for r in files.scan_bits(spark, path, samples).collect()) == cells
+
+
 def test_bits_that_do_not_fit(spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"12345")
     with pytest.raises(Exception, match="no whole number of features"):
