@@ -30,6 +30,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -166,6 +167,18 @@ def _tokenizer(path: str) -> WordTokenizer:
     return made
 
 
+@contextmanager
+def no_collections() -> Iterator[None]:
+    """No search for cycles inside, which the many short lists of ids would start again and again; they have none and go by their counts."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def write_packed(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes the files under ``folder`` (a URI that pyarrow
     and Spark can both reach). Returns (bucket, part, path, n_docs, n_ids), a row for each file, after writing."""
@@ -184,7 +197,8 @@ def write_packed(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             return batch_of(bucket=([now], pa.int32()), part=([part], pa.int32()), path=([path], pa.string()), n_docs=([len(docs)], pa.int64()), n_ids=([len(ids)], pa.int64()))
 
         for piece in slices(batches, "text"):
-            made = tokenizer.encode_batch(piece.column("text"))
+            with no_collections():
+                made = tokenizer.encode_batch(piece.column("text"))
             for bucket, doc, ids in zip(piece.column(BUCKET).to_pylist(), piece.column("doc_id").to_pylist(), made, strict=True):
                 if docs and (bucket != now or held + len(ids) + 1 > file_ids):
                     yield flush()

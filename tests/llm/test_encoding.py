@@ -145,3 +145,13 @@ def test_files_are_bounded_and_a_hot_id_is_spread(spark, tmp_path):
     assert sorted((str(r.doc_id), r.ids_crc32) for r in found) == want
     whole = packing.packed_round_trip(df, JSON, f"file://{tmp_path}/one").collect()
     assert sorted(map(str, whole)) == sorted(map(str, found))
+
+
+def test_ids_are_made_without_searches_for_cycles():
+    """The worker's collector is off while a batch is encoded, and on again afterwards, also after an error."""
+    import gc
+
+    with pytest.raises(KeyError), packing.no_collections():
+        assert not gc.isenabled()
+        raise KeyError
+    assert gc.isenabled()
