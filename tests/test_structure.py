@@ -183,3 +183,14 @@ def test_anomaly_against_a_loop_over_sources(spark):
         assert np.allclose([r.score_js, r.family_js, r.gene_gap, r.anomaly], [score, family, gap, 0.4 * score + 0.4 * family + 0.2 * gap], atol=1e-9)
     one = shift.source_anomaly(spark.createDataFrame([("a", 0.1, "x", True, False)] * 2, "source string, p double, family string, g boolean, h boolean"), {"g": F.col("g")}).collect()
     assert [(r.n, r.anomaly) for r in one] == [(2, None)]
+
+
+def test_a_tile_is_multiplied_only_as_far_as_its_cells_reach(monkeypatch):
+    made, zeros = [], np.zeros
+    r, c, v, factor = np.array([0, 3, 511]), np.array([2, 24, 7]), np.array([1.0, -2.0, 0.5]), np.arange(512.0 * 14).reshape(512, 14)
+    monkeypatch.setattr(decomposition.np, "zeros", lambda shape, *rest: made.append(shape) or zeros(shape, *rest))
+    found = decomposition.tile_product(r, c, v, factor)
+    monkeypatch.undo()
+    whole = np.zeros((512, 512))
+    whole[r, c] = v
+    assert np.array_equal(found, whole @ factor) and made[0] == (512, 25)
