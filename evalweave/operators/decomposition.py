@@ -56,11 +56,11 @@ def _tiles(entries: DataFrame) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.collect_list("e").alias("e")).select("i", "j", "e.r", "e.c", "e.v")
 
 
-def tile_product(r: np.ndarray, c: np.ndarray, v: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    """A block of the product: the tile is made no larger than its cells reach, so few features are not multiplied as BLOCK."""
+def tile_product(r: np.ndarray, c: np.ndarray, v: np.ndarray, factor: np.ndarray, block: int) -> np.ndarray:
+    """A block of the product: the tile is made no larger than its cells reach, so few features are not multiplied as ``block``."""
     tile = np.zeros((r.max() + 1, c.max() + 1))
     tile[r, c] = v
-    found = np.zeros((BLOCK, factor.shape[1]))
+    found = np.zeros((block, factor.shape[1]))
     found[: len(tile)] = tile @ factor[: tile.shape[1]]
     return found
 
@@ -76,7 +76,7 @@ def _product(tiles: DataFrame, dense: DataFrame, width: int, transposed: bool) -
                 for k in range(batch.num_rows):
                     r, c, v = (batch.column(n)[k].values.to_numpy(zero_copy_only=False) for n in ("r", "c", "v"))
                     factor = np.frombuffer(batch.column("m")[k].as_py()).reshape(-1, width)
-                    yield batch.column(out)[k].as_py(), tile_product(*((c, r) if transposed else (r, c)), v, factor)
+                    yield batch.column(out)[k].as_py(), tile_product(*((c, r) if transposed else (r, c)), v, factor, BLOCK)
 
         return _blocks(parts())
 

@@ -189,7 +189,7 @@ def test_a_tile_is_multiplied_only_as_far_as_its_cells_reach(monkeypatch):
     made, zeros = [], np.zeros
     r, c, v, factor = np.array([0, 3, 511]), np.array([2, 24, 7]), np.array([1.0, -2.0, 0.5]), np.arange(512.0 * 14).reshape(512, 14)
     monkeypatch.setattr(decomposition.np, "zeros", lambda shape, *rest: made.append(shape) or zeros(shape, *rest))
-    found = decomposition.tile_product(r, c, v, factor)
+    found = decomposition.tile_product(r, c, v, factor, 512)
     monkeypatch.undo()
     whole = np.zeros((512, 512))
     whole[r, c] = v
