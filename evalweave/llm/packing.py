@@ -23,9 +23,12 @@ reads back as an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import gc
+import json
 import math
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint_dir, id_text, materialise, slices
 from .ordered import BUCKET, add_bucket, shuffle_width, tie_hash
-from .words import WordEncoder, id_bytes
+from .words import WordEncoder, gathered, id_bytes
 
 MAGIC, HEADER, BLOCK_IDS = b"EWBITS01", struct.Struct("<8s5Q"), 4096
 #: Ids of a file: 16 MB at 16 bits.
@@ -121,20 +124,84 @@ class PackedFile:
 
 #: What stands between words that are encoded together, and how many are.
 TAB, JOINED = "\t", 256
+#: Kinds of characters that the splitter keeps in runs; an apostrophe starts contractions and ``<`` a special token, so they are OTHER, as
+#: is everything from PLAIN on.
+OTHER, LETTER, DIGIT, MARK, LINE = range(5)
+MARKS, PLAIN = "".join(sorted({*string.punctuation} - {*"'<"})), 0x2000
 
 
 class WordTokenizer(WordEncoder):
-    """A byte-level file of the ``tokenizers`` library over whole texts."""
+    """A byte-level file of the ``tokenizers`` library over whole texts.
+
+    Most words are runs of letters, digits and marks, which the splitter cuts where the kind changes, in any text. Words that differ
+    by marks share their runs, and each distinct run goes to the library's model once; other words go through its whole chain.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(self._encode_words, 600_000)
+        super().__init__(self._encode_any, 600_000)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         (self._tab,) = self.tokenizer.encode(TAB, add_special_tokens=False).ids
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+        self._model, self._kinds = self.tokenizer.model, self._kinds_of_characters()
+        # the byte-level alphabet: printable bytes of Latin-1 stand for themselves, others for the code points from 256 on
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        free = iter(range(0x100, 0x200))
+        self._alphabet = "".join(chr(b if b in own else next(free)) for b in range(256))
+
+    def _kinds_of_characters(self) -> np.ndarray | None:
+        """The kind of each code point up to PLAIN, letters as the library's own splitter tells them; none if the file isn't plainly byte-level."""
+        made = json.loads(self.tokenizer.to_str())
+        split, model = made["pre_tokenizer"] or {}, made["model"]
+        if made["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout"):
+            return None
+        some = [c for c in map(chr, range(PLAIN)) if c.isalpha()]
+        pieces = {at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(TAB.join(f"a{c}a" for c in some))}
+        kinds = np.full(PLAIN + 1, OTHER, np.uint8)
+        kinds[[ord(c) for i, c in enumerate(some) if (4 * i, 4 * i + 3) in pieces]] = LETTER
+        for characters, kind in ((string.digits, DIGIT), (MARKS, MARK), ("\n", LINE)):
+            kinds[[*map(ord, characters)]] = kind
+        plain = lambda text: all(c == " " or kinds[min(ord(c), PLAIN)] != OTHER for c in text)
+        return None if any(plain(t["content"]) for t in made["added_tokens"]) else kinds
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Each run is one piece of the splitter: its bytes in the library's alphabet go to its model."""
+        if not runs:
+            return []
+        spelt = codecs.charmap_decode(TAB.join(runs).encode(), "strict", self._alphabet)[0].split(self._alphabet[ord(TAB)])
+        return id_bytes([[t.id for t in self._model.tokenize(run)] for run in spelt])
+
+    def _word_table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self._kinds is None or not len(words):
+            return super()._word_table(words)
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], words.buffers()[2]
+        points = np.frombuffer(bytes(data[ends[0] : ends[-1]]).decode().encode("utf-32-le"), np.uint32)
+        at = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int32) + ends[0]
+        at = np.concatenate([ends[:1], at])
+        kind, starts = self._kinds[np.minimum(points, PLAIN)], np.zeros(len(points), bool)
+        starts[np.searchsorted(at, ends[:-1])] = True
+        run = np.flatnonzero(starts | (np.diff(kind, prepend=OTHER) != 0))
+        first, word = starts[run], np.cumsum(starts[run]) - 1
+        # a line's end is a piece of its own if it is a single one before other characters of the word
+        line = (kind[run] == LINE) & ((np.diff(run, append=len(points)) > 1) | first | np.append(first[1:], True))
+        odd = np.zeros(len(words), bool)
+        odd[word[(kind[run] == OTHER) | line]] = True
+        plain = ~odd[word]
+        texts = pa.StringArray.from_buffers(len(run), pa.py_buffer(at[np.append(run, len(points))].astype(np.int32)), data)
+        lead, rest = (texts.filter(pa.array(plain & x)).dictionary_encode() for x in (first, ~first))
+        leads, rests = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (lead, rest))
+        values = self._words.recall(leads, lambda fresh: self._encode_runs([" " + r for r in fresh])) + self._heads.recall(rests, self._encode_runs)
+        values += self._after_space(words.filter(pa.array(odd)).to_pylist())
+        # an odd word is one unit, at its first run
+        code = np.zeros(len(run), np.int64)
+        code[plain & first], code[plain & ~first] = lead.indices.to_numpy(), rest.indices.to_numpy() + len(leads)
+        code[~plain & first] = len(leads) + len(rests) + np.arange(odd.sum())
+        unit = plain | first
+        table, sizes = gathered(values, code[unit])
+        return table, np.add.reduceat(sizes, np.flatnonzero(first[unit]))
+
+    def _encode_any(self, words: list[str]) -> list[bytes]:
         """Words with a space before them share long strings, with a tabulator between each two: white space
         that the library's splitter makes a piece of its own there. What holds white space elsewhere, or the
         text of a special token, is encoded by itself."""

@@ -83,6 +83,19 @@ def id_bytes(ids: list[list[int]]) -> list[bytes]:
     return [flat[a:b] for a, b in pairwise(ends)]
 
 
+def repeated(table: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries at each place, one after the other, and how many each has. ``table``: the entries' values, ``sizes`` of each."""
+    first, each = np.cumsum(sizes) - sizes, sizes[place]
+    ends = np.cumsum(each)
+    n = int(ends[-1]) if len(ends) else 0
+    return table[np.repeat((first[place] - (ends - each)).astype(np.int32), each) + np.arange(n, dtype=np.int32)], each
+
+
+def gathered(values: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for ids in bytes."""
+    return repeated(np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4, place)
+
+
 def joined_words(parts: list[str]) -> list[str]:
     """Parts of a text cut at its spaces, joined again where no character other than white space follows."""
     out = [parts[0]]
@@ -110,6 +123,10 @@ class WordEncoder:
         ids = dict(zip(distinct, self._after_space(distinct), strict=True))
         return self._heads.recall([head], self._encode)[0] + b"".join(map(ids.__getitem__, rest))
 
+    def _word_table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each of some distinct words after a space, one after the other, and how many each has."""
+        return gathered(self._after_space(words.to_pylist()), np.arange(len(words)))
+
     def encode_batch(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """The ids of each text; none of the texts is null."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
@@ -119,27 +136,23 @@ class WordEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
-        place, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        place, words = coded.indices.to_numpy().copy(), coded.dictionary
         # text that has white space after a space is cut by itself
-        odd = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        start = pc.utf8_slice_codeunits(words, 0, 1).dictionary_encode()
+        odd = np.array([not c or c.isspace() for c in start.dictionary.to_pylist()], bool)[start.indices.to_numpy()]
         strange = odd[place]
         strange[offsets[:-1]] = False
         single = set(np.unique(np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1).tolist())
         # heads have no space before them: they get places of their own
         heads, head_at = np.unique(place[offsets[:-1]], return_inverse=True)
-        head_ids = self._heads.recall([words[i] for i in heads], self._encode)
+        head_table, head_sizes = gathered(self._heads.recall(words.take(pa.array(heads)).to_pylist(), self._encode), np.arange(len(heads)))
         place[offsets[:-1]] = len(words) + head_at
-        used = np.flatnonzero(np.bincount(place, minlength=len(words))[: len(words)].astype(bool) & ~odd)
-        values = [b""] * len(words)
-        for i, ids in zip(used.tolist(), self._after_space([words[i] for i in used]), strict=True):
-            values[i] = ids
-        values += head_ids
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        table, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
-        per_word = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(per_word)])
-        flat = table[np.repeat((first[place] - ends[:-1]).astype(np.int32), per_word) + np.arange(ends[-1], dtype=np.int32)]
-        bounds = ends[offsets].tolist()
+        used = np.bincount(place, minlength=len(words))[: len(words)].astype(bool) & ~odd
+        sizes = np.zeros(len(words), np.int64)
+        table, sizes[used] = self._word_table(words.filter(pa.array(used)))
+        table, sizes = np.concatenate([table, head_table]), np.concatenate([sizes, head_sizes])
+        flat, per_word = repeated(table, sizes, place)
+        bounds = np.concatenate([[0], np.cumsum(per_word)])[offsets].tolist()
         out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         for i in single:
             out[i] = np.frombuffer(self._one(texts[i].as_py()), "<u4")

@@ -1,6 +1,7 @@
 """Byte-level BPE, packed ids: against the tokenizer libraries and by round trips."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -155,3 +156,19 @@ def test_ids_are_made_without_searches_for_cycles():
         assert not gc.isenabled()
         raise KeyError
     assert gc.isenabled()
+
+
+def test_words_that_differ_by_marks_share_their_runs():
+    """Each run of letters goes to the model once, and only words that aren't such runs go through the library's whole chain."""
+    path, tokens, chain = public_tokenizers.path("byte_bpe_50k.json"), [], []
+    tokenizer = packing.WordTokenizer(path)
+    runs, any_ = tokenizer._encode_runs, tokenizer._encode_any
+    tokenizer._encode_runs = lambda fresh: tokens.extend(fresh) or runs(fresh)
+    tokenizer._encode = tokenizer._encode_any = lambda words: chain.extend(words) or any_(words)
+    texts = ["an übel, übel. übel!\nübel (übel) übel", "an don't <|endoftext|> a\n\nb 中 x\n"]
+    assert [x.tolist() for x in tokenizer.encode_batch(texts)] == [x.ids for x in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(t for t in tokens if "übel" in t) == [" übel", "übel"]
+    assert sorted(chain) == [" <|endoftext|>", " a\n\nb", " don't", " x\n", " 中", "an"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abZ9*&.,;:!?\n  \t'séßÄяع中<|>　́\rᲐ͸") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert [x.tolist() for x in tokenizer.encode_batch(texts)] == [x.ids for x in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
