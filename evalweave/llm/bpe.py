@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, id_text, map_slices
+from .common import batch_of, held, id_text, map_slices
 from .words import CACHE_ENTRIES, Cache, WordEncoder, id_bytes
 
 #: Pairs that a worker remembers before it starts afresh; this bounds memory, not results.
@@ -241,13 +241,16 @@ class TextEncoder(WordEncoder):
         return id_bytes(self.encoder.encode_pieces([p.encode() for p in pieces]))
 
 
-@cache
 def _encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> TextEncoder:
-    """One for each worker process; it outlives the task."""
-    encoder = TextEncoder(PrefixBPE(load_ranks(path)), pattern, entries)
-    gc.collect()
-    gc.freeze()  # the vocabulary stays: no need to look through it again and again
-    return encoder
+    """One for each worker process; it outlives the task, until a task of another stage drops it."""
+
+    def make() -> TextEncoder:
+        encoder = TextEncoder(PrefixBPE(load_ranks(path)), pattern, entries)
+        gc.collect()
+        gc.freeze()  # the vocabulary stays: no need to look through it again and again
+        return encoder
+
+    return held(("bpe", path, pattern, entries), make)
 
 
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

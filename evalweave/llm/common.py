@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,23 @@ SLICE_ROWS = 2048
 SLICE_BYTES = 2 << 20
 
 
+#: What this worker process keeps between tasks.
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """The one object that a worker process keeps between tasks. Workers live on from stage to stage, so a task that asks for another one
+    drops what the stage before kept, its caches included, before it makes its own."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.unfreeze()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of SLICE_ROWS rows, fewer where ``text`` is long."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, crc32, id_text, map_slices, slices
+from .common import batch_of, crc32, held, id_text, map_slices, slices
 from .words import CACHE_ENTRIES, Cache, flat_words
 
 #: Bounds of the training sample: labelled documents of each class, bytes of a text that is taken, bytes of all
@@ -319,6 +319,17 @@ def train(texts: list[str], label: np.ndarray) -> Model:
     return Model(found.bucket, found.bias - best_threshold(trainer.document_logits(), label))
 
 
+def train_batches(batches: Iterator[pa.RecordBatch]) -> Model | None:
+    """The model of (doc_id, label, text) in ascending doc_id; none without rows."""
+    parts = list(batches)
+    if not parts:
+        return None
+    rows = pa.Table.from_batches(parts).sort_by("doc_id")
+    label, texts = rows["label"].to_numpy().astype(np.int64), rows["text"].to_pylist()
+    del parts, rows
+    return train(texts, label)
+
+
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
     """The middle of the widest range of thresholds with the best weighted accuracy by class: a clean document
     that goes costs CLEAN_COUNTS times a toxic one that stays."""
@@ -355,10 +366,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold
     partitioned matters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if parts:
-            rows = pa.Table.from_batches(parts).sort_by("doc_id")
-            model = train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
+        held("toxicity", object)
+        model = train_batches(batches)
+        if model:
             yield batch_of(bucket=([model.bucket.astype("<f4").tobytes()], pa.binary()), bias=([model.bias], pa.float64()))
 
     found = training_sample(docs, labels, label_col, folds, left_out).coalesce(1).mapInArrow(run, "bucket binary, bias double").collect()
@@ -392,6 +402,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, entries: int = CACHE_ENTRIES, i
     text = f"c{df.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity", object)
         for part in slices(batches, text):
             logits = model.value.text_logits(pc.fill_null(part.column(text), ""), caches.setdefault(0, Cache(entries)))
             yield part.filter(pa.array(sigmoid(logits) < 0.5))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from evalweave.llm import bpe, packing
+from evalweave.llm import bpe, common, packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -172,3 +173,13 @@ def test_words_that_differ_by_marks_share_their_runs():
     rng = random.Random(3)
     texts = ["".join(rng.choice("abZ9*&.,;:!?\n  \t'séßÄяع中<|>　́\rᲐ͸") for _ in range(rng.randrange(60))) for _ in range(3000)]
     assert [x.tolist() for x in tokenizer.encode_batch(texts)] == [x.ids for x in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_stage_drops_what_the_one_before_kept():
+    """A worker that goes from encoding to another stage frees the encoder with its caches; within a stage it keeps it."""
+    encoder = bpe._encoder(RANKS, public_tokenizers.PATTERN, 100)
+    assert bpe._encoder(RANKS, public_tokenizers.PATTERN, 100) is encoder
+    kept = weakref.ref(encoder)
+    del encoder
+    common.held("another stage", object)
+    assert kept() is None
