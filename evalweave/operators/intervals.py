@@ -19,6 +19,8 @@ from .ordered import running_counts, with_range
 
 #: Levels of nodes: the largest has 2^TOP starts, so a node never gathers more. Longer runs have more nodes, as they have more pairs.
 TOP = 12
+#: Buckets that contigs are hashed to, and the rows up to which a bucket's contigs are looked up in one task each.
+BUCKETS, SMALL = 1 << 16, 100_000
 
 
 def endpoints(lo: Column, hi: Column, lo_closed: Column, hi_closed: Column) -> tuple[Column, Column]:
@@ -90,7 +92,7 @@ def gap_distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), b0 - a1 - 1, a0 - b1 - 1)
 
 
-def nearest(queries: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
+def nearest(queries: DataFrame, features: DataFrame, on: list[str], small: int = SMALL) -> DataFrame:
     """(id, q0, q1, on, feature, s0, s1, distance): for each query of whole positions q0..q1 the feature s0..s1 of its contig with
     the least ``gap_distance``; queries of a contig without features are left out.
 
@@ -98,11 +100,38 @@ def nearest(queries: DataFrame, features: DataFrame, on: list[str]) -> DataFrame
     the query's end (and one) go before later ones; of the former the one with the greatest end, then the least
     feature, of the latter the least feature. Nulls in any of these columns, and ranges that end before they start, drop out.
 
-    Features are reduced to one for each start, queries to one point for each end, before any window, so positions that many
-    rows share aren't hot; ranges of positions keep a contig with most rows from being one task.
+    Contigs of hash buckets with up to ``SMALL`` rows are shuffled once and looked up as they are. In the others features are reduced to one
+    for each start, queries to one point for each end, before any window, so positions that many rows share aren't hot; ranges of
+    positions keep a contig with most rows from being one task.
     """
-    queries = queries.select(*on, "id", "q0", "q1").dropna().where("q0 <= q1")
-    features = features.select(*on, "feature", "s0", "s1").dropna().where("s0 <= s1")
+    queries = queries.select(*on, "id", "q0", "q1").dropna().where("q0 <= q1").withColumn("__bucket", F.pmod(F.xxhash64(*on), F.lit(BUCKETS)))
+    features = features.select(*on, "feature", "s0", "s1").dropna().where("s0 <= s1").withColumn("__bucket", F.pmod(F.xxhash64(*on), F.lit(BUCKETS)))
+    sizes = queries.select("__bucket").unionByName(features.select("__bucket")).groupBy("__bucket").agg(F.count("*").alias("n"))
+    large = [r[0] for r in sizes.where(F.col("n") > small).select("__bucket").collect()]  # at most BUCKETS numbers
+    if not large:
+        return _nearest_small(queries, features, on)
+    marks = queries.sparkSession.createDataFrame([(b,) for b in large], "__bucket long")
+    split = lambda df, how: df.join(F.broadcast(marks), "__bucket", how)
+    found = _nearest_large(split(queries, "left_semi").drop("__bucket"), split(features, "left_semi").drop("__bucket"), on)
+    return found.unionByName(_nearest_small(split(queries, "left_anti"), split(features, "left_anti"), on))
+
+
+def _nearest_small(queries: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
+    """As ``nearest``: features and points of a contig in one order, with running extremes over the whole contig."""
+    none = lambda df, names: {c: F.lit(None).cast(df.schema[c].dataType) for c in names}
+    starts = features.select(*on, F.col("s0").cast("long").alias("at"), F.lit(0).alias("kind"), "feature", "s0", "s1").withColumns(none(queries, ("id", "q0", "q1")))
+    points = queries.select(*on, (F.col("q1") + 1).cast("long").alias("at"), F.lit(1).alias("kind"), "id", "q0", "q1").withColumns(none(features, ("feature", "s0", "s1")))
+    rows = starts.unionByName(points)
+    is_start = lambda c: F.when(F.col("kind") == 0, c)
+    up = Window.partitionBy(*on).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*on).orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = is_start(F.struct((-F.col("s1")).alias("end"), "feature", "s0", "s1"))
+    found = rows.withColumn("before", F.min(before).over(up)).withColumn("after", F.min(is_start(F.struct("s0", "feature", "s1"))).over(down))
+    return _judged(found.where("kind = 1"), on)
+
+
+def _nearest_large(queries: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
+    """As ``nearest``, by ranges of positions."""
     before = F.struct((-F.col("s1")).alias("end"), "feature", "s0", "s1")  # the least is the best
     after = F.struct("s0", "feature", "s1")
     starts = features.groupBy(*on, F.col("s0").alias("at")).agg(F.min(before).alias("before"), F.min(after).alias("after")).withColumn("kind", F.lit(0))
@@ -116,7 +145,11 @@ def nearest(queries: DataFrame, features: DataFrame, on: list[str]) -> DataFrame
     over = Window.partitionBy(*on).orderBy("__range")
     ranges = ranges.select(*on, "__range", F.min("before").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.min("after").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
     found = near.join(ranges, [*on, "__range"]).select(*on, "at", F.least("up", "lower").alias("before"), F.least("down", "upper").alias("after"))
-    asked = spread_join(queries.withColumn("at", F.col("q1") + 1), found, [*on, "at"], "id")
+    return _judged(spread_join(queries.withColumn("at", F.col("q1") + 1), found, [*on, "at"], "id"), on)
+
+
+def _judged(asked: DataFrame, on: list[str]) -> DataFrame:
+    """Of the candidates on both sides the nearer."""
     left = F.when(F.col("before").isNotNull(), gap_distance(F.col("q0"), F.col("q1"), F.col("before.s0"), F.col("before.s1")))
     right = F.when(F.col("after").isNotNull(), gap_distance(F.col("q0"), F.col("q1"), F.col("after.s0"), F.col("after.s1")))
     use_left = left.isNotNull() & (right.isNull() | (left <= right))
