@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .intervals import overlap, parse_mic
 from .labels import canonical_unit
 
@@ -48,6 +49,7 @@ def audit(cases: DataFrame, old: DataFrame, new: DataFrame, history: DataFrame)
     category_difference, mic_difference, mic_disjoint (null where they can't be told), native_history, history_link.
     """
     sides = cases.select("sample", F.col("drug").alias("named"), folded_drug(F.col("drug")).alias("drug"), "as_of").join(side(old, "old"), CASE, "left").join(side(new, "new"), CASE, "left")
+    sides = materialise(sides)  # read twice: by the history, and by the cases that it is joined to
     single = F.col("old").eqNullSafe(F.col("old_other")) & F.col("new").eqNullSafe(F.col("new_other"))
     a, b, unit = F.col("old.mic"), F.col("new.mic"), F.lit("mg/L")
     measured = a.isNotNull() & b.isNotNull() & (F.col("old.unit") == unit) & (F.col("new.unit") == unit)

@@ -6,6 +6,8 @@ An interval is a struct (lo, hi, lo_closed, hi_closed) of decimals; a null ``hi`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,17 @@ def parse_mic(raw: Column) -> Column:
     """The interval of a reading; null if it isn't a sign and a positive number."""
     text = F.trim(raw)
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^≤", "<="), "^≥", ">="), "^==", "="), "^=\\s*", "")
-    sign, number = F.regexp_extract(text, r"^(<=|>=|<|>)?", 1), F.regexp_extract(text, r"^(?:<=|>=|<|>)?\s*(\d+(?:\.\d+)?)$", 1)
+    number = lambda t: F.regexp_extract(t, r"^(?:<=|>=|<|>)?\s*(\d+(?:\.\d+)?)$", 1)
+    parts = _once(text, lambda t: F.struct(F.regexp_extract(t, r"^(<=|>=|<|>)?", 1).alias("sign"), number(t).alias("number")))
+    return _once(parts, lambda p: _interval(p["sign"], p["number"]))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it stands in it: Spark writes columns out in each place."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _interval(sign: Column, number: Column) -> Column:
     value = F.when(number != "", number.cast(NUMBER))
     zero, none = F.lit(0).cast(NUMBER), F.lit(None).cast(NUMBER)
     upper = sign.isin("<", "<=")
