@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import materialise
 from .association import bh_fdr
 from .ordered import positions
 
@@ -79,26 +80,32 @@ def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame]
     return reduce(DataFrame.unionByName, parts)
 
 
-def balanced_classes(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Adds ``weight``: what makes all classes weigh the same, a row for each class is broadcast."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("__c"))
+def balanced_classes(rows: DataFrame, label: str = "label", n: str | None = None) -> DataFrame:
+    """Adds ``weight``: what makes all classes weigh the same, a row for each class is broadcast. A row stands for ``n`` equal ones."""
+    times = F.col(n) if n else F.lit(1)
+    counts = rows.groupBy(label).agg(F.sum(times).alias("__c"))
     whole = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
-    weights = counts.crossJoin(F.broadcast(whole)).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))
-    return rows.join(F.broadcast(weights), label)
+    weights = counts.crossJoin(F.broadcast(whole)).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("__w"))
+    return rows.join(F.broadcast(weights), label).withColumn("weight", F.col("__w") * times).drop("__w")
 
 
 def source_classifier(rows: DataFrame, folds: int = 5, reg: float = 0.01) -> DataFrame:
     """``rows`` (label, features, fold) with out-of-fold ``predicted``: a multinomial model with balanced classes for each fold.
 
-    The fold must hold whole groups where samples of a group are alike; a class that a training part lacks is never predicted for it.
+    The fold must hold whole groups where samples of a group are alike; a class that a training part lacks is never predicted for it. Rows with
+    equal label and features count as one of their number's weight, so a pass grows with the kinds of rows, not with the rows, and
+    ``features`` are the predictions' keys: each kind is predicted once for a fold.
     """
     from pyspark.ml.classification import LogisticRegression
 
+    kinds = materialise(rows.groupBy("fold", "label", "features").agg(F.count("*").alias("__n")))
+
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        model = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=reg, maxIter=100).fit(balanced_classes(train))
-        return lambda test: model.transform(test).select(*test.columns, F.col("prediction").alias("predicted"))
+        alike = train.groupBy("label", "features").agg(F.sum("__n").alias("__n"))
+        model = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=reg, maxIter=100).fit(balanced_classes(alike, n="__n"))
+        return lambda test: model.transform(test.select("fold", "features").distinct()).select("fold", "features", F.col("prediction").alias("predicted"))
 
-    return out_of_fold(rows, fit, folds)
+    return rows.join(out_of_fold(kinds, fit, folds), ["fold", "features"]).select(*rows.columns, "predicted")
 
 
 def recall_table(predicted: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

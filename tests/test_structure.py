@@ -194,3 +194,16 @@ def test_a_tile_is_multiplied_only_as_far_as_its_cells_reach(monkeypatch):
     whole = np.zeros((512, 512))
     whole[r, c] = v
     assert np.array_equal(found, whole @ factor) and made[0] == (512, 25)
+
+
+def test_the_classifier_sees_equal_rows_once(spark, monkeypatch):
+    """Rows that repeat are weights of one row, and the predictions are those of the repeated rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    rows = [(i, i % 5, float(c), [float(c == 0), float(c == 1), 1.0]) for i in range(300) for c in [i % 3 if i % 7 else 2]]
+    df = spark.createDataFrame(rows, "sample long, fold int, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    found = shift.source_classifier(df).collect()
+    assert seen == [3] * 5 and sorted(r.sample for r in found) == list(range(300)) and all(r.predicted == r.label for r in found)
