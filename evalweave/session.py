@@ -16,6 +16,18 @@ def session(name: str = "evalweave", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch. Spark's own 64 MB are held by the JVM and by the Python worker of every core at once, more than once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python in batches of at most BATCH_BYTES (or one row); a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of its own only in local mode where that is unset, as in tests."""
     context = spark.sparkContext._jsc.sc()
