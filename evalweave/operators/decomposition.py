@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, small_batches
 from .ordered import positions
 
 BLOCK, SPARE, FACTORS = 512, 10, 16
@@ -160,9 +160,11 @@ def truncated_svd(entries: DataFrame, k: int = 50, iterations: int = 7, seed: in
     """The ``k`` largest singular values and vectors of the matrix ``entries`` (row, feature, value), cells unique.
 
     A random factor of 2 k + SPARE columns (flat spectra need many) is made from the features' numbers, then multiplied by the matrix and its transpose
-    in turn, orthonormal after every product. ``k`` is bounded by the lesser side of the matrix, less one.
+    in turn, orthonormal after every product. ``k`` is bounded by the lesser side of the matrix, less one. A tile and its block of the
+    factor take up to some megabytes, so the session's batches are made small: a task holds a few tiles, however many it has.
     """
     spark = entries.sparkSession
+    small_batches(spark)
     row_names, feature_names = _numbered(entries, "row"), _numbered(entries, "feature")
     n, m = row_names.count(), feature_names.count()
     k = min(k, n - 1, m - 1)

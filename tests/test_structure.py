@@ -207,3 +207,24 @@ def test_the_classifier_sees_equal_rows_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "sample long, fold int, label double, x array<double>").withColumn("features", array_to_vector("x"))
     found = shift.source_classifier(df).collect()
     assert seen == [3] * 5 and sorted(r.sample for r in found) == list(range(300)) and all(r.predicted == r.label for r in found)
+
+
+def test_tiles_come_to_python_a_few_at_a_time(spark, monkeypatch):
+    """However many tiles a task has, a batch of them is of bounded size."""
+    rows, kept = spark.range(10_000).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("feature")), "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows, before, seen = rows.withColumn("value", F.rand(1)).coalesce(1), spark.conf.get(kept), spark.sparkContext.accumulator(0)
+    spark.conf.set(kept, "64m")
+    own = decomposition._product
+
+    def product(tiles, dense, width, transposed):
+        sizes = tiles.coalesce(1).mapInArrow(lambda batches: (b.select([]).from_arrays([[b.nbytes]], ["bytes"]) for b in batches), "bytes long").agg(F.max("bytes")).first()[0]
+        seen.add(1)
+        assert sizes <= 6 << 20
+        return own(tiles, dense, width, transposed)
+
+    monkeypatch.setattr(decomposition, "_product", product)
+    try:
+        decomposition.truncated_svd(rows, k=2, iterations=1)
+        assert seen.value == 4 and int(spark.conf.get(kept)) == 4 << 20
+    finally:
+        spark.conf.set(kept, before)
