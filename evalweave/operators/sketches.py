@@ -15,20 +15,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .joins import spread_join
+from .ordered import positions
 
 K, SIZE, MOST = 21, 1000, 0.05
 #: Confirmation: the identity that the whole sets' distance leaves, and the coverage of the smaller set.
 IDENTITY, COVERAGE = 0.95, 0.6
 #: Texts that a task works on at a time; rows that are broadcast at most, of one long each.
 STEP, FEW = 512, 1_000_000
+#: Entries that a task deals at a time, and the buckets (2^BUCKET_BITS). Pairs that are judged together, and the hashes kept meanwhile.
+HELD, BUCKET_BITS = 1 << 20, 10
+RUN, ROOM = 256, 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,11 +44,18 @@ def kmer_hashes(text: str, k: int = K) -> np.ndarray:
     if not len(codes):
         return np.empty(0, np.int64)
     k = min(k, len(codes))
+    codes += np.uint64(1)
     run = np.zeros(len(codes) - k + 1, np.uint64)
     for i in range(k):
-        run = (run ^ (run >> np.uint64(29))) * ODD + codes[i : len(codes) - k + 1 + i] + np.uint64(1)
-    run = (run ^ (run >> np.uint64(32))) * ODD
-    return np.unique((run ^ (run >> np.uint64(29))).view(np.int64))
+        run ^= run >> np.uint64(29)
+        run *= ODD
+        run += codes[i : i + len(run)]
+    run ^= run >> np.uint64(32)
+    run *= ODD
+    run ^= run >> np.uint64(29)
+    run = run.view(np.int64)
+    run.sort()
+    return run[np.r_[True, run[1:] != run[:-1]]]
 
 
 def least_similarity(most: float, k: int) -> float:
@@ -77,19 +90,85 @@ def at_rows(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row", "left_semi")
 
 
+def dealt(parts: Iterator[dict[str, np.ndarray]], key: str) -> Iterator[pa.RecordBatch]:
+    """Entries, given as columns of numbers, as rows of (bucket, a column's numbers as bytes, ...): equal ``key`` (a column), equal bucket."""
+    held, size = [], 0
+    for part in chain(parts, [None]):
+        if part is not None and len(part[key]):
+            held.append(part)
+            size += len(part[key])
+        if held and (part is None or size >= HELD):
+            columns = {name: np.concatenate([p[name] for p in held]) for name in held[0]}
+            bucket = ((columns[key].view(np.uint64) * ODD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int16)
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+            ends = np.r_[at, len(order)]
+            packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at].astype(np.int32)), *packed], names=["bucket", *columns])
+            held, size = [], 0
+
+
+def buckets(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of one bucket after another, from rows of ``dealt`` that are sorted by bucket."""
+    now, held = None, []
+    whole = lambda: {name: np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, (name, kind) in enumerate(kinds.items())}
+    for batch in batches:
+        for bucket, *values in zip(*(batch.column(name).to_pylist() for name in ("bucket", *kinds)), strict=True):
+            if bucket != now and held:
+                yield whole()
+                held = []
+            now = bucket
+            held.append(values)
+    if held:
+        yield whole()
+
+
 def leads(sets: DataFrame, least: float) -> DataFrame:
     """(row, n, hash): of each set the hashes, from rare to frequent, at one of which it meets every set as similar as ``least``, without those
-    that no other set has. ``sets``: row, sketch."""
-    # a number and a hash are all that is shuffled of a sketch's entry, and only once
-    hashes = sets.select(F.col("row"), F.explode("sketch").alias("hash"))
-    often = hashes.withColumn("often", F.count("*").over(Window.partitionBy("hash"))).where("often > 1")
-    sizes = sets.select("row", F.size("sketch").alias("n"))
-    ranked = often.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("h")).join(sizes, "row")  # a sketch's own hashes
-    # those that only one sketch has come first in the order, and lead nowhere
-    alone = F.col("n") - F.size("h")
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - alone
-    lead = ranked.where(first > 0).select("row", "n", F.explode(F.slice("h", F.lit(1), F.greatest(F.lit(0), F.least(first.cast("int"), F.size("h"))))).alias("x"))
-    return lead.select("row", "n", F.col("x.hash").alias("hash"))
+    that no other set has. ``sets``: row, sketch.
+
+    Hashes are dealt into buckets to be counted, and those that several sets have are dealt back by row to be ranked. Entries move as runs of
+    numbers, many to a row of Spark's.
+    """
+    named = {"row": np.int64, "n": np.int32, "hash": np.int64}
+    counted = named | {"often": np.int32}
+    move = lambda df, kinds: df.repartition("bucket").sortWithinPartitions("bucket").select("bucket", *kinds)
+    schema = lambda kinds: "bucket int, " + ", ".join(f"{name} binary" for name in kinds)
+
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[dict[str, np.ndarray]]:
+            for batch in batches:
+                sketch, n = batch.column("sketch"), pc.fill_null(pc.list_value_length(batch.column("sketch")), 0).to_numpy(zero_copy_only=False)
+                yield {"row": np.repeat(batch.column("row").to_numpy(), n), "n": np.repeat(n, n).astype(np.int32), "hash": sketch.flatten().to_numpy()}
+
+        return dealt(entries(), "hash")
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[dict[str, np.ndarray]]:
+            for found in buckets(batches, named):
+                order = np.argsort(found["hash"], kind="stable")
+                at = np.flatnonzero(np.r_[True, np.diff(found["hash"][order]) != 0])
+                often = np.diff(np.r_[at, len(order)])
+                often = np.repeat(often, often).astype(np.int32)
+                keep = often > 1  # a set's own hashes lead nowhere
+                yield {name: c[order][keep] for name, c in found.items()} | {"often": often[keep]}
+
+        return dealt(entries(), "row")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in buckets(batches, counted):
+            order = np.lexsort((found["hash"], found["often"], found["row"]))
+            row, n = found["row"][order], found["n"][order].astype(np.int64)
+            at = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+            size = np.diff(np.r_[at, len(row)])
+            # hashes that only one set has come first in the order
+            first = n - np.ceil(least * n - 1e-9) + 1 - (n - np.repeat(size, size))
+            keep = np.arange(len(row)) - np.repeat(at, size) < first
+            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(n[keep].astype(np.int32)), pa.array(found["hash"][order][keep])], names=["row", "n", "hash"])
+
+    # a number, a size and a hash are all that moves of a set's entry, once
+    often = move(sets.select("row", "sketch").mapInArrow(by_hash, schema(named)), named).mapInArrow(by_row, schema(counted))
+    return move(often, counted).mapInArrow(rank, "row long, n int, hash long")
 
 
 def similar_sets(sets: DataFrame, most: float) -> DataFrame:
@@ -105,15 +184,72 @@ def similar_sets(sets: DataFrame, most: float) -> DataFrame:
 
 
 def candidate_pairs(sketched: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b) rows, a <= b, of classes of different cohorts whose sketches share a hash where two as similar as ``least`` must; a class
-    that several cohorts have is a pair with itself. ``sketched``: row, sketch; ``members``: row, cohort."""
-    lead = leads(sketched, least).select("row", "hash")
-    lead = materialise(lead.join(members.select("row", "cohort"), "row"))
-    other = lead.select("hash", F.col("row").alias("other"), F.col("cohort").alias("cohort_other"))
-    met = spread_join(lead, other, ["hash"], "row").where((F.col("cohort") < F.col("cohort_other")) & (F.col("row") != F.col("other")))
-    pairs = met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-    shared = members.groupBy("row").agg(F.count("*").alias("cohorts")).where("cohorts > 1")
-    return pairs.unionByName(shared.select(F.col("row").alias("a"), F.col("row").alias("b")))
+    """(a, b) rows, a < b, of classes with members of different cohorts whose sketches share a hash where two as similar as ``least`` must.
+    ``sketched``: row, sketch; ``members``: row, cohort."""
+    # the cohort of a class that has only one
+    only = members.groupBy("row").agg(F.when(F.min("cohort") == F.max("cohort"), F.min("cohort")).alias("only"))
+    lead = materialise(leads(sketched, least).select("row", "hash").join(only, "row"))
+    other = lead.select("hash", F.col("row").alias("other"), F.col("only").alias("only_other"))
+    differ = F.col("only").isNull() | F.col("only_other").isNull() | (F.col("only") != F.col("only_other"))
+    met = spread_join(lead, other, ["hash"], "row").where((F.col("row") < F.col("other")) & differ)
+    return met.select(F.col("row").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def common_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the union, the common numbers) of two ascending arrays of distinct numbers."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two runs, merged
+    again = both[1:] == both[:-1]
+    return both[np.r_[True, ~again]], both[1:][again]
+
+
+def judge(a: list[int], b: list[int], texts: dict[int, str], k: int, size: int, most: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(a, b, distance, jaccard, coverage) of those pairs of texts whose sketches are within the cut-off. A text's hashes are kept while
+    there is room for them, so in pairs that lie together it is hashed once."""
+    kept: dict[int, np.ndarray] = {}
+    room = ROOM
+
+    def hashes(row: int) -> np.ndarray:
+        nonlocal room
+        found = kept.pop(row, None)
+        if found is None:
+            found = kmer_hashes(texts[row], k)
+            room -= len(found)
+        kept[row] = found  # the last used is the last
+        while room < 0 and len(kept) > 2:
+            room += len(kept.pop(next(iter(kept))))
+        return found
+
+    for one, two in zip(a, b, strict=True):
+        x, y = hashes(one), hashes(two)
+        union, common = common_of(x[:size], y[:size])
+        union = union[:size]
+        j = np.searchsorted(common, union[-1], "right") / len(union)
+        distance = max(0.0, -math.log(2 * j / (1 + j)) / k) if j else math.inf
+        if distance <= most:
+            union, common = common_of(x, y)
+            yield one, two, distance, len(common) / len(union), len(common) / min(len(x), len(y))
+
+
+def judged_pairs(texts: DataFrame, pairs: DataFrame, k: int = K, size: int = SIZE, most: float = MOST) -> DataFrame:
+    """(a, b, distance, jaccard, coverage): pairs (a, b) within the cut-off. ``texts``: row, text.
+
+    Pairs of texts that are near the same text lie together and are cut into runs of RUN; a text goes to a run once, however many of its pairs are there.
+    """
+    near = pairs.select(F.explode(F.array("a", "b")).alias("row"), "a").groupBy("row").agg(F.min("a").alias("near"))
+    of = lambda name: near.select(F.col("row").alias(name), F.col("near").alias(f"near_{name}"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("near_a", "near_b").alias("near"))
+    runs = materialise(positions(placed, [F.col("near"), F.col("a"), F.col("b")], "at").select(F.floor(F.col("at") / RUN).alias("run"), "a", "b"))
+    wanted = runs.select(F.col("run").alias("of"), F.explode(F.array("a", "b")).alias("row")).distinct()
+    read = wanted.join(texts.select("row", "text"), "row").select("of", "row", "text")
+
+    def confirm(key: tuple[pa.Scalar, ...], ours: pa.Table, read: pa.Table) -> pa.Table:
+        ours = ours.sort_by([("a", "ascending"), ("b", "ascending")])
+        found = list(judge(*(ours.column(c).to_pylist() for c in ("a", "b")), dict(zip(*(read.column(c).to_pylist() for c in ("row", "text")), strict=True)), k, size, most))
+        kinds = {"a": pa.int64(), "b": pa.int64(), "distance": pa.float64(), "jaccard": pa.float64(), "coverage": pa.float64()}
+        return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    return runs.groupBy("run").cogroup(read.groupBy("of")).applyInArrow(confirm, "a long, b long, distance double, jaccard double, coverage double")
 
 
 def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST, identity: float = IDENTITY, coverage: float = COVERAGE) -> DataFrame:
@@ -126,32 +262,13 @@ def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST
     texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()))
     members = materialise(members.join(texts.select("digest", "row"), "digest").select("row", "cohort", "id", "n"))
     pairs = materialise(candidate_pairs(sketches(texts, k, size), members, least_similarity(most, k)))
-    some = materialise(sketches(at_rows(texts, pairs), k, size))
-    side = lambda name, column: some.select(F.col("row").alias(name), F.col("sketch").alias(column))
-    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b")
-    union = F.slice(F.array_sort(F.array_union("s", "t")), 1, size)
-    near = both.select("a", "b", (F.size(F.array_intersect(F.array_intersect("s", "t"), union)) / F.size(union)).alias("j"))
-    near = near.withColumn("distance", F.when(F.col("j") > 0, F.greatest(F.lit(0.0), -F.log(2 * F.col("j") / (1 + F.col("j"))) / k))).where(F.col("distance") <= most)
-    near = materialise(near.select("a", "b", "distance"))
-    texts = at_rows(texts, near)
-    whole = lambda name, column: texts.select(F.col("row").alias(name), F.col("text").alias(column))
-    read = near.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            jaccard, covered = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own, other = kmer_hashes(x, k), kmer_hashes(y, k)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                jaccard.append(common / (len(own) + len(other) - common))
-                covered.append(common / min(len(own), len(other)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "distance")), pa.array(jaccard, pa.float64()), pa.array(covered, pa.float64())], names=["a", "b", "distance", "jaccard", "coverage"])
-
-    judged = read.mapInArrow(confirm, "a long, b long, distance double, jaccard double, coverage double")
+    judged = materialise(judged_pairs(texts, pairs, k, size, most))
     agrees = (F.col("jaccard") >= least_similarity(1 - identity, k)) & (F.col("coverage") >= coverage)
     of = lambda name: members.select(F.col("row").alias(f"row_{name}"), F.col("cohort").alias(f"cohort_{name}"), F.col("id").alias(name), F.col("n").alias(f"copies_{name}"))
-    named = judged.withColumnsRenamed({"a": "row_1", "b": "row_2"})
-    one = named.select(F.col("row_1").alias("row_a"), F.col("row_2").alias("row_b"), "distance", "jaccard", "coverage")
-    turned = named.where("row_1 <> row_2").select(F.col("row_2").alias("row_a"), F.col("row_1").alias("row_b"), "distance", "jaccard", "coverage")
-    found = one.unionByName(turned).join(of("a"), "row_a").join(of("b"), "row_b").where("cohort_a < cohort_b")
+    named = judged.withColumnsRenamed({"a": "row_a", "b": "row_b"})
+    turned = judged.withColumnsRenamed({"b": "row_a", "a": "row_b"}).select(*named.columns)
+    # a class of several cohorts is a pair with itself
+    shared = members.groupBy("row").agg(F.count("*").alias("cohorts")).where("cohorts > 1")
+    itself = shared.select(F.col("row").alias("row_a"), F.col("row").alias("row_b"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("coverage")).where(F.lit(most >= 0))
+    found = named.unionByName(turned).unionByName(itself).join(of("a"), "row_a").join(of("b"), "row_b").where("cohort_a < cohort_b")
     return found.select("cohort_a", "a", "copies_a", "cohort_b", "b", "copies_b", "distance", "jaccard", "coverage", agrees.alias("confirmed"))

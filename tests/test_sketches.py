@@ -97,3 +97,30 @@ def test_sets_against_all_pairs(spark):
     share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     want = {(i, j): share(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if 1 - share(sets[i], sets[j]) < 0.2}
     assert {(r.a, r.b): r.jaccard for r in found} == want and len(want) > 100
+
+
+def records(spark):
+    """Rows that all shuffles so far have written."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_entries_move_in_runs(spark):
+    """Entries of sketches are no rows of Spark's: 600,000 of them move in some thousand rows."""
+    rng = random.Random(4)
+    rows = [(i, "abc"[i % 3], "".join(rng.choice("abcdefghijklmnop") for _ in range(1200))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, cohort string, text string").repartition(4)
+    before = records(spark)
+    assert sketches.sketch_pairs(df).collect() == []
+    assert 0 < records(spark) - before < 30_000
+
+
+def test_judging_with_little_room(monkeypatch):
+    """Texts that are hashed again, as there is no room to keep their hashes, give the same."""
+    texts = {i: t for i, (_, c, t) in enumerate(corpus()) if c and t}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    whole = list(sketches.judge([a for a, _ in pairs], [b for _, b in pairs], texts, 21, 100, 0.05))
+    monkeypatch.setattr(sketches, "ROOM", 1000)
+    assert list(sketches.judge([a for a, _ in pairs], [b for _, b in pairs], texts, 21, 100, 0.05)) == whole and len(whole) > 50
