@@ -5,8 +5,8 @@ j is the share of the least SIZE hashes of their union that both have. A cut-off
 in any one order of all hashes, two sketches that near share one of the first n - t + 1 of each; the order is from rare to frequent, by counts over all
 sketches, so that classes meet at what is particular to them, and no pair within the cut-off is missed. Only pairs of different cohorts are made.
 
-Texts are numbered, and only numbers and hashes are shuffled: each hash once, to find those that several sketches have. Sketches and texts are read again
-for the few rows that are in pairs.
+Texts are numbered, and only numbers and hashes are shuffled: each hash once, to find those that several sketches have. Texts that are near the same one are
+put into blocks, and blocks that share a hash are judged together, so a text is read and hashed once for many pairs.
 
 What sketches find is then confirmed: the Jaccard similarity and the coverage of the smaller set, both on all k-mers.
 """
@@ -32,9 +32,9 @@ K, SIZE, MOST = 21, 1000, 0.05
 IDENTITY, COVERAGE = 0.95, 0.6
 #: Texts that a task works on at a time; rows that are broadcast at most, of one long each.
 STEP, FEW = 512, 1_000_000
-#: Entries that a task deals at a time, and the buckets (2^BUCKET_BITS). Pairs that are judged together, and the hashes kept meanwhile.
+#: Entries that a task deals at a time, and the buckets (2^BUCKET_BITS). Rows of a block, one for each bit of a long, and blocks of a run.
 HELD, BUCKET_BITS = 1 << 20, 10
-RUN, ROOM = 256, 4_000_000
+BLOCK, RUN = 64, 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,14 +124,14 @@ def buckets(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterat
 
 
 def leads(sets: DataFrame, least: float) -> DataFrame:
-    """(row, n, hash): of each set the hashes, from rare to frequent, at one of which it meets every set as similar as ``least``, without those
-    that no other set has. ``sets``: row, sketch.
+    """(row, n, hash, near): of each set the hashes, from rare to frequent, at one of which it meets every set as similar as ``least``, without those
+    that no other set has; near is the least row of the sets that share a hash with it, by most of its hashes. ``sets``: row, sketch.
 
     Hashes are dealt into buckets to be counted, and those that several sets have are dealt back by row to be ranked. Entries move as runs of
     numbers, many to a row of Spark's.
     """
     named = {"row": np.int64, "n": np.int32, "hash": np.int64}
-    counted = named | {"often": np.int32}
+    counted = named | {"often": np.int32, "near": np.int64}
     move = lambda df, kinds: df.repartition("bucket").sortWithinPartitions("bucket").select("bucket", *kinds)
     schema = lambda kinds: "bucket int, " + ", ".join(f"{name} binary" for name in kinds)
 
@@ -148,10 +148,10 @@ def leads(sets: DataFrame, least: float) -> DataFrame:
             for found in buckets(batches, named):
                 order = np.argsort(found["hash"], kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(found["hash"][order]) != 0])
-                often = np.diff(np.r_[at, len(order)])
-                often = np.repeat(often, often).astype(np.int32)
+                size = np.diff(np.r_[at, len(order)])
+                often, near = np.repeat(size, size).astype(np.int32), np.repeat(np.minimum.reduceat(found["row"][order], at), size)
                 keep = often > 1  # a set's own hashes lead nowhere
-                yield {name: c[order][keep] for name, c in found.items()} | {"often": often[keep]}
+                yield {name: c[order][keep] for name, c in found.items()} | {"often": often[keep], "near": near[keep]}
 
         return dealt(entries(), "row")
 
@@ -164,16 +164,23 @@ def leads(sets: DataFrame, least: float) -> DataFrame:
             # hashes that only one set has come first in the order
             first = n - np.ceil(least * n - 1e-9) + 1 - (n - np.repeat(size, size))
             keep = np.arange(len(row)) - np.repeat(at, size) < first
-            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(n[keep].astype(np.int32)), pa.array(found["hash"][order][keep])], names=["row", "n", "hash"])
+            # the longest run of one near in each row
+            by = np.lexsort((found["near"], found["row"]))
+            ours, nears = found["row"][by], found["near"][by]
+            runs = np.flatnonzero(np.r_[True, (np.diff(ours) != 0) | (np.diff(nears) != 0)])
+            best = np.lexsort((np.diff(np.r_[runs, len(by)]), ours[runs]))
+            last = np.flatnonzero(np.r_[np.diff(ours[runs][best]) != 0, True])
+            near = np.repeat(nears[runs][best][last], size)
+            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(n[keep].astype(np.int32)), pa.array(found["hash"][order][keep]), pa.array(near[keep])], names=["row", "n", "hash", "near"])
 
     # a number, a size and a hash are all that moves of a set's entry, once
     often = move(sets.select("row", "sketch").mapInArrow(by_hash, schema(named)), named).mapInArrow(by_row, schema(counted))
-    return move(often, counted).mapInArrow(rank, "row long, n int, hash long")
+    return move(often, counted).mapInArrow(rank, "row long, n int, hash long, near long")
 
 
 def similar_sets(sets: DataFrame, most: float) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs of sets (row, sketch) whose Jaccard distance is below ``most``."""
-    lead = materialise(leads(sets, 1 - most))
+    lead = materialise(leads(sets, 1 - most).select("row", "n", "hash"))
     other = lead.select("hash", F.col("row").alias("other"), F.col("n").alias("m"))
     fits = F.least("n", "m") >= (1 - most) * F.greatest("n", "m") - 1e-9
     pairs = materialise(spread_join(lead, other, ["hash"], "row").where((F.col("row") < F.col("other")) & fits).select(F.col("row").alias("a"), F.col("other").alias("b")).distinct())
@@ -183,73 +190,101 @@ def similar_sets(sets: DataFrame, most: float) -> DataFrame:
     return both.select("a", "b", (F.col("common") / (F.size("s") + F.size("t") - F.col("common"))).alias("jaccard")).where(1 - F.col("jaccard") < most)
 
 
-def candidate_pairs(sketched: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b) rows, a < b, of classes with members of different cohorts whose sketches share a hash where two as similar as ``least`` must.
-    ``sketched``: row, sketch; ``members``: row, cohort."""
+def tiles(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((row, at), (block, other, own, others)): rows in an order in which those that are near the same row lie together, in blocks of BLOCK, and
+    pairs of blocks (block <= other) with the rows of each, as bits, that share a hash with the other's. ``lead``: row, hash, near.
+
+    Many rows of few blocks that share a hash meet as blocks, not as pairs.
+    """
+    places = materialise(positions(lead.groupBy("row").agg(F.min("near").alias("near")), [F.col("near"), F.col("row")], "at").select("row", "at"))
+    placed = lead.join(places, "row").select("hash", F.floor(F.col("at") / BLOCK).alias("block"), F.expr(f"shiftleft(1L, cast(at % {BLOCK} as int))").alias("bit"))
+    masks = materialise(placed.groupBy("hash", "block").agg(F.bit_or("bit").alias("own")))
+    others = masks.select("hash", F.col("block").alias("other"), F.col("own").alias("others"))
+    met = spread_join(masks, others, ["hash"], "block").where((F.col("block") < F.col("other")) | (F.col("block") == F.col("other")) & (F.bit_count("own") > 1))
+    return places, met.groupBy("block", "other").agg(F.bit_or("own").alias("own"), F.bit_or("others").alias("others"))
+
+
+def judge(blocks: list[tuple[int, int, int, int]], at: np.ndarray, cohort: np.ndarray, texts: list[str], k: int, size: int, most: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, distance, jaccard, coverage), as arrays, of the pairs of texts that ``blocks`` (as of ``tiles``) bring together and whose sketches are
+    within the cut-off; a and b are indices of ``at``, the ascending places of the texts. Texts of one ``cohort`` (a number, or -1) aren't compared.
+
+    Every text is hashed once. The places of a's hashes in the union with b's are their places in both, less what is common up to there.
+    Whole sets are compared only of texts whose sketches are near.
+    """
+    sets = [kmer_hashes(t, k) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    bits = lambda block, mask: np.searchsorted(at, block * BLOCK + np.flatnonzero(mask >> np.arange(BLOCK) & 1))
+    partners: dict[int, list[np.ndarray]] = {}
+    for block, other, own, others in blocks:
+        found = bits(other, others)
+        for a in bits(block, own).tolist():
+            partners.setdefault(a, []).append(found)
+
+    def numbered(some: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The arrays with their hashes numbered, and a zero for each number."""
+        ids = np.unique(np.concatenate(some), return_inverse=True)[1].astype(np.int32)
+        return np.split(ids, np.cumsum([len(x) for x in some])[:-1]), np.zeros(ids.max() + 1, np.int32)
+
+    heads, place = numbered([s[:size] for s in sets])
+    near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for a, found in partners.items():
+        bs = np.unique(np.concatenate(found))
+        bs = bs[(bs > a) & ((cohort[bs] != cohort[a]) | (cohort[a] < 0))]
+        if not len(bs):
+            continue
+        place[heads[a]] = np.arange(1, len(heads[a]) + 1, dtype=np.int32)  # of a hash in a's
+        own = place[np.concatenate([heads[b] for b in bs])]
+        place[heads[a]] = 0
+        ends = np.cumsum(np.minimum(sizes[bs], size))
+        starts = np.r_[0, ends[:-1]]
+        shared = own > 0
+        upto = np.cumsum(shared)
+        before = np.r_[0, upto[ends[:-1] - 1]]
+        rank = own + np.arange(1, len(own) + 1) - upto - np.repeat(starts - before, ends - starts)
+        common = np.add.reduceat(shared & (rank <= size), starts, dtype=np.int64)
+        both = np.add.reduceat(shared, starts, dtype=np.int64)
+        j = common / np.minimum(size, len(heads[a]) + ends - starts - both)
+        with np.errstate(divide="ignore"):
+            distance = np.maximum(0.0, -np.log(2 * j / (1 + j)) / k)
+        if (distance <= most).any():
+            near[a] = bs[distance <= most], distance[distance <= most]
+    if not near:
+        return
+    some = np.unique(np.concatenate([list(near), *(bs for bs, _ in near.values())]))
+    ids, place = numbered([sets[i] for i in some])
+    whole = dict(zip(some.tolist(), ids, strict=True))
+    for a, (bs, distance) in near.items():
+        place[whole[a]] = 1
+        common = np.add.reduceat(place[np.concatenate([whole[b] for b in bs.tolist()])], np.r_[0, np.cumsum(sizes[bs])[:-1]], dtype=np.int64)
+        place[whole[a]] = 0
+        yield np.full(len(bs), a), bs, distance, common / (sizes[a] + sizes[bs] - common), common / np.minimum(sizes[a], sizes[bs])
+
+
+def judged_pairs(texts: DataFrame, lead: DataFrame, members: DataFrame, k: int = K, size: int = SIZE, most: float = MOST) -> DataFrame:
+    """(a, b, distance, jaccard, coverage): pairs of rows within the cut-off, in either order, of classes with members of different cohorts.
+    ``texts``: row, text; ``lead``: row, hash, near; ``members``: row, cohort.
+
+    A task judges pairs of RUN by RUN blocks at a time, for which a text is read once.
+    """
+    places, blocks = tiles(lead)
+    run = lambda column: F.floor(F.col(column) / RUN)
+    blocks = materialise(blocks.select(run("block").alias("run"), run("other").alias("run_other"), "block", "other", "own", "others"))
+    asked = blocks.select("run", "run_other", F.explode(F.array(F.struct("block", F.col("own").alias("mask")), F.struct(F.col("other").alias("block"), F.col("others").alias("mask")))).alias("x"))
+    asked = asked.groupBy(F.col("run").alias("of"), F.col("run_other").alias("of_other"), F.col("x.block").alias("block")).agg(F.bit_or("x.mask").alias("mask"))
+    wanted = asked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where("getbit(mask, bit) = 1").select("of", "of_other", (F.col("block") * BLOCK + F.col("bit")).alias("at"))
     # the cohort of a class that has only one
     only = members.groupBy("row").agg(F.when(F.min("cohort") == F.max("cohort"), F.min("cohort")).alias("only"))
-    lead = materialise(leads(sketched, least).select("row", "hash").join(only, "row"))
-    other = lead.select("hash", F.col("row").alias("other"), F.col("only").alias("only_other"))
-    differ = F.col("only").isNull() | F.col("only_other").isNull() | (F.col("only") != F.col("only_other"))
-    met = spread_join(lead, other, ["hash"], "row").where((F.col("row") < F.col("other")) & differ)
-    return met.select(F.col("row").alias("a"), F.col("other").alias("b")).distinct()
-
-
-def common_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the union, the common numbers) of two ascending arrays of distinct numbers."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")  # two runs, merged
-    again = both[1:] == both[:-1]
-    return both[np.r_[True, ~again]], both[1:][again]
-
-
-def judge(a: list[int], b: list[int], texts: dict[int, str], k: int, size: int, most: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """(a, b, distance, jaccard, coverage) of those pairs of texts whose sketches are within the cut-off. A text's hashes are kept while
-    there is room for them, so in pairs that lie together it is hashed once."""
-    kept: dict[int, np.ndarray] = {}
-    room = ROOM
-
-    def hashes(row: int) -> np.ndarray:
-        nonlocal room
-        found = kept.pop(row, None)
-        if found is None:
-            found = kmer_hashes(texts[row], k)
-            room -= len(found)
-        kept[row] = found  # the last used is the last
-        while room < 0 and len(kept) > 2:
-            room += len(kept.pop(next(iter(kept))))
-        return found
-
-    for one, two in zip(a, b, strict=True):
-        x, y = hashes(one), hashes(two)
-        union, common = common_of(x[:size], y[:size])
-        union = union[:size]
-        j = np.searchsorted(common, union[-1], "right") / len(union)
-        distance = max(0.0, -math.log(2 * j / (1 + j)) / k) if j else math.inf
-        if distance <= most:
-            union, common = common_of(x, y)
-            yield one, two, distance, len(common) / len(union), len(common) / min(len(x), len(y))
-
-
-def judged_pairs(texts: DataFrame, pairs: DataFrame, k: int = K, size: int = SIZE, most: float = MOST) -> DataFrame:
-    """(a, b, distance, jaccard, coverage): pairs (a, b) within the cut-off. ``texts``: row, text.
-
-    Pairs of texts that are near the same text lie together and are cut into runs of RUN; a text goes to a run once, however many of its pairs are there.
-    """
-    near = pairs.select(F.explode(F.array("a", "b")).alias("row"), "a").groupBy("row").agg(F.min("a").alias("near"))
-    of = lambda name: near.select(F.col("row").alias(name), F.col("near").alias(f"near_{name}"))
-    placed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("near_a", "near_b").alias("near"))
-    runs = materialise(positions(placed, [F.col("near"), F.col("a"), F.col("b")], "at").select(F.floor(F.col("at") / RUN).alias("run"), "a", "b"))
-    wanted = runs.select(F.col("run").alias("of"), F.explode(F.array("a", "b")).alias("row")).distinct()
-    read = wanted.join(texts.select("row", "text"), "row").select("of", "row", "text")
+    read = wanted.join(places, "at").join(texts.select("row", "text"), "row").join(only, "row").select("of", "of_other", "at", "row", "only", "text")
 
     def confirm(key: tuple[pa.Scalar, ...], ours: pa.Table, read: pa.Table) -> pa.Table:
-        ours = ours.sort_by([("a", "ascending"), ("b", "ascending")])
-        found = list(judge(*(ours.column(c).to_pylist() for c in ("a", "b")), dict(zip(*(read.column(c).to_pylist() for c in ("row", "text")), strict=True)), k, size, most))
-        kinds = {"a": pa.int64(), "b": pa.int64(), "distance": pa.float64(), "jaccard": pa.float64(), "coverage": pa.float64()}
-        return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds.items())})
+        read = read.sort_by("at")
+        at, row = (read.column(c).to_numpy() for c in ("at", "row"))
+        cohort = pc.fill_null(read.column("only").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        found = list(judge(list(zip(*(ours.column(c).to_pylist() for c in ("block", "other", "own", "others")), strict=True)), at, cohort, read.column("text").to_pylist(), k, size, most))
+        a, b, *values = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, t) for t in (int, int, float, float, float))
+        return pa.table([row[a], row[b], *values], names=["a", "b", "distance", "jaccard", "coverage"])
 
-    return runs.groupBy("run").cogroup(read.groupBy("of")).applyInArrow(confirm, "a long, b long, distance double, jaccard double, coverage double")
+    return blocks.groupBy("run", "run_other").cogroup(read.groupBy("of", "of_other")).applyInArrow(confirm, "a long, b long, distance double, jaccard double, coverage double")
 
 
 def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST, identity: float = IDENTITY, coverage: float = COVERAGE) -> DataFrame:
@@ -261,8 +296,8 @@ def sketch_pairs(df: DataFrame, k: int = K, size: int = SIZE, most: float = MOST
     texts, members = text_classes(df)
     texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()))
     members = materialise(members.join(texts.select("digest", "row"), "digest").select("row", "cohort", "id", "n"))
-    pairs = materialise(candidate_pairs(sketches(texts, k, size), members, least_similarity(most, k)))
-    judged = materialise(judged_pairs(texts, pairs, k, size, most))
+    lead = materialise(leads(sketches(texts, k, size), least_similarity(most, k)).select("row", "hash", "near"))
+    judged = materialise(judged_pairs(texts, lead, members, k, size, most))
     agrees = (F.col("jaccard") >= least_similarity(1 - identity, k)) & (F.col("coverage") >= coverage)
     of = lambda name: members.select(F.col("row").alias(f"row_{name}"), F.col("cohort").alias(f"cohort_{name}"), F.col("id").alias(name), F.col("n").alias(f"copies_{name}"))
     named = judged.withColumnsRenamed({"a": "row_a", "b": "row_b"})

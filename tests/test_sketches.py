@@ -117,10 +117,20 @@ def test_entries_move_in_runs(spark):
     assert 0 < records(spark) - before < 30_000
 
 
-def test_judging_with_little_room(monkeypatch):
-    """Texts that are hashed again, as there is no room to keep their hashes, give the same."""
-    texts = {i: t for i, (_, c, t) in enumerate(corpus()) if c and t}
-    pairs = [(a, b) for a in texts for b in texts if a < b]
-    whole = list(sketches.judge([a for a, _ in pairs], [b for _, b in pairs], texts, 21, 100, 0.05))
-    monkeypatch.setattr(sketches, "ROOM", 1000)
-    assert list(sketches.judge([a for a, _ in pairs], [b for _, b in pairs], texts, 21, 100, 0.05)) == whole and len(whole) > 50
+def test_near_texts_meet_as_blocks(spark, monkeypatch):
+    """150 texts that are near each other are 3 blocks, so 6 tiles instead of 11,175 pairs; judged tile by tile or at once, the pairs are the same."""
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijklmnop") for _ in range(1500)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        own[9 * i] = "z"
+        rows += [(i, "".join(own)), (1000 + i, "".join(rng.choice("abcdefghijklmnop") for _ in range(300)))]
+    texts = spark.createDataFrame(rows, "row long, text string").repartition(4)
+    lead = sketches.leads(sketches.sketches(texts), sketches.least_similarity(0.05, 21))
+    places, found = sketches.tiles(lead)
+    assert places.count() == 150 and {(r.block, r.other) for r in found.collect()} == {(i, j) for j in range(3) for i in range(j + 1)}
+    members = texts.selectExpr("row", "array('a', 'b', 'c')[int(row % 3)] AS cohort")
+    once = {tuple(r) for r in sketches.judged_pairs(texts, lead, members).collect()}
+    monkeypatch.setattr(sketches, "RUN", 1)
+    assert {tuple(r) for r in sketches.judged_pairs(texts, lead, members).collect()} == once and len(once) == 150 * 100 // 2
