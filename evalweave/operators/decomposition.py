@@ -40,6 +40,12 @@ def l2_normalised(entries: DataFrame) -> DataFrame:
     return cells.join(norms, "row").select("row", "feature", (F.col("value") / F.col("norm")).alias("value"))
 
 
+def equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((row, feature), (row, weight)): equal sets of features are one row that stands for their number. ``sets``: features, ascending arrays."""
+    found = materialise(sets.groupBy("features").agg(F.count("*").alias("weight")).withColumn("row", F.monotonically_increasing_id()))
+    return found.select("row", F.explode("features").alias("feature")), found.select("row", "weight")
+
+
 def _numbered(entries: DataFrame, name: str) -> DataFrame:
     return materialise(positions(entries.select(name).distinct(), [F.col(name)], f"{name}_at"))
 
@@ -156,9 +162,12 @@ def _rows_of(dense: DataFrame, width: int, names: DataFrame, name: str, column:
     return names.join(found, names[f"{name}_at"] == found["at"]).select(name, column)
 
 
-def truncated_svd(entries: DataFrame, k: int = 50, iterations: int = 7, seed: int = 42) -> Decomposition:
+def truncated_svd(entries: DataFrame, k: int = 50, iterations: int = 7, seed: int = 42, weights: DataFrame | None = None) -> Decomposition:
     """The ``k`` largest singular values and vectors of the matrix ``entries`` (row, feature, value), cells unique.
 
+    With ``weights`` (row, weight: a whole number) a row stands for so many equal ones, and ``left`` has what each of these has. In the products it is one
+    row, the root of its weight as long: the same values and right vectors.
+
     A random factor of 2 k + SPARE columns (flat spectra need many) is made from the features' numbers, then multiplied by the matrix and its transpose
     in turn, orthonormal after every product. ``k`` is bounded by the lesser side of the matrix, less one. A tile and its block of the
     factor take up to some megabytes, so the session's batches are made small: a task holds a few tiles, however many it has.
@@ -166,12 +175,14 @@ def truncated_svd(entries: DataFrame, k: int = 50, iterations: int = 7, seed: in
     spark = entries.sparkSession
     small_batches(spark)
     row_names, feature_names = _numbered(entries, "row"), _numbered(entries, "feature")
-    n, m = row_names.count(), feature_names.count()
+    entries = entries.withColumn("weight", F.lit(1)) if weights is None else materialise(entries.join(weights, "row"))
+    n = row_names.count() if weights is None else row_names.join(weights, "row").agg(F.sum("weight")).first()[0] or 0
+    m = feature_names.count()
     k = min(k, n - 1, m - 1)
     if k < 1:
         raise ValueError("a decomposition needs two rows and two features")
     width = min(2 * k + SPARE, n, m)
-    tiles = materialise(_tiles(entries.join(row_names, "row").join(feature_names, "feature")))
+    tiles = materialise(_tiles(entries.withColumn("value", F.col("value") * F.sqrt("weight")).join(row_names, "row").join(feature_names, "feature")))
 
     def random(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _blocks((b, np.random.default_rng([seed, b]).normal(size=(BLOCK, width))) for batch in batches for b in batch.column("id").to_pylist())
@@ -189,10 +200,14 @@ def truncated_svd(entries: DataFrame, k: int = 50, iterations: int = 7, seed: in
     left = _times(left, np.ascontiguousarray(vt[:k].T))
     right = _times(back, _inverse(triangle) @ u[:, :k])
     lefts, rights = _rows_of(left, k, row_names, "row", "u"), _rows_of(right, k, feature_names, "feature", "v")
+    weight = F.lit(1)
+    if weights is not None:
+        lefts, weight = lefts.join(weights, "row").withColumn("u", F.transform("u", lambda x: x / F.sqrt("weight"))), F.col("weight")
     # shares of the variance: of the columns of u times the values, and of all features
-    spread = entries.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).agg(F.sum(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).first()[0]
-    moments = lefts.select(F.posexplode("u").alias("at", "u")).groupBy("at").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q")).collect()  # k rows
+    total = lambda x, w: (F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"))
+    spread = entries.groupBy("feature").agg(*total(F.col("value"), F.col("weight"))).agg(F.sum(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).first()[0]
+    moments = lefts.select(weight.alias("weight"), F.posexplode("u").alias("at", "u")).groupBy("at").agg(*total(F.col("u"), F.col("weight"))).collect()  # k rows
     explained = np.zeros(k)
     for r in moments:
         explained[r["at"]] = values[r["at"]] ** 2 * (r.q / n - (r.s / n) ** 2) / spread
-    return Decomposition(lefts, rights, values[:k], explained)
+    return Decomposition(lefts.select("row", "u"), rights, values[:k], explained)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering, decomposition, shift, sketches
 from ..registry import query
-from ..roles import SAMPLES, calls, cohort, samples, table
+from ..roles import SAMPLES, call_rows, calls, cohort, samples, table
 from ..session import materialise
 from .models import folded, group_folds
 
@@ -29,9 +29,13 @@ def truncated_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M01_svd_of_calls")
 def svd_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature's loadings in the two leading directions of the calls, signed so that the greatest is positive."""
-    entries = materialise(decomposition.l2_normalised(calls(spark, sf_dir).select(F.col("sample").alias("row"), "feature", F.lit(1.0).alias("value"))))
-    right = materialise(decomposition.truncated_svd(entries, k=2).right)
+    """Every feature's loadings in the two leading directions of the calls, signed so that the greatest is positive.
+
+    There are far fewer different sets of features than samples, so equal ones are one row of their number's weight."""
+    sets = call_rows(spark, sf_dir).where("sample is not null").groupBy("sample").agg(F.array_sort(F.collect_set("feature")).alias("features"))  # the features of one sample
+    cells, weights = decomposition.equal_sets(sets)
+    entries = materialise(decomposition.l2_normalised(cells.withColumn("value", F.lit(1.0))))
+    right = materialise(decomposition.truncated_svd(entries, k=2, weights=weights).right)
     turn = lambda i: F.signum(F.max_by(F.element_at("v", i), F.abs(F.element_at("v", i))))
     signs = right.agg(turn(1).alias("s1"), turn(2).alias("s2"))
     return right.crossJoin(F.broadcast(signs)).select("feature", F.round(F.element_at("v", 1) * F.col("s1"), 5).alias("first"), F.round(F.element_at("v", 2) * F.col("s2"), 5).alias("second"))  # one row

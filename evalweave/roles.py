@@ -64,9 +64,14 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls before equal ones are made one."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("feature"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("sample", "feature").distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("sample", "feature")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return call_rows(spark, sf_dir).distinct()
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,41 @@ def test_tiles_come_to_python_a_few_at_a_time(spark, monkeypatch):
         assert seen.value == 4 and int(spark.conf.get(kept)) == 4 << 20
     finally:
         spark.conf.set(kept, before)
+
+
+def test_equal_sets_are_one_row_of_their_weight(spark):
+    """Values, vectors and shares are those of the matrix with every row, which is decomposed over a few rows."""
+    rng = np.random.default_rng(3)
+    kinds = [sorted({f"f{j}" for j in rng.choice(9, size=rng.integers(1, 5))}) for _ in range(40)]
+    sets = {i: kinds[int(40 * rng.random() ** 2)] for i in range(500)}
+    df = spark.createDataFrame([(i, f) for i, fs in sets.items() for f in fs], "row long, feature string")
+    plain = decomposition.truncated_svd(decomposition.l2_normalised(df.withColumn("value", F.lit(1.0))), k=3)
+    cells, weights = decomposition.equal_sets(df.groupBy("row").agg(F.array_sort(F.collect_set("feature")).alias("features")))
+    weight = {r.row: r.weight for r in weights.collect()}
+    assert sum(weight.values()) == 500 and len(weight) == len({tuple(fs) for fs in sets.values()}) < 41
+    found = decomposition.truncated_svd(decomposition.l2_normalised(cells.withColumn("value", F.lit(1.0))), k=3, weights=weights)
+    assert np.allclose(found.values, plain.values, rtol=1e-10) and np.allclose(found.explained, plain.explained, rtol=1e-8)
+    right = [{r.feature: np.array(r.v) for r in d.right.collect()} for d in (found, plain)]
+    signs = np.sign(sum(right[0][f] * right[1][f] for f in right[0]))
+    assert right[0].keys() == right[1].keys() and all(np.allclose(right[0][f] * signs, right[1][f], atol=1e-7) for f in right[0])
+    named = {r.row: tuple(sorted(r.features)) for r in cells.groupBy("row").agg(F.collect_list("feature").alias("features")).collect()}
+    left = {named[r.row]: np.array(r.u) for r in found.left.collect()}
+    assert all(np.allclose(left[tuple(sets[r.row])] * signs, r.u, atol=1e-7) for r in plain.left.collect())
+
+
+def test_calls_are_decomposed_by_their_sets(spark, monkeypatch, tmp_path):
+    """However many samples have the same features; samples and features that are null don't count."""
+    made = []
+    own = decomposition.truncated_svd
+    monkeypatch.setattr(decomposition, "truncated_svd", lambda entries, **more: made.append((entries.count(), more["weights"].agg(F.sum("weight")).first()[0])) or own(entries, **more))
+    sets = [(1,), (1, 2), (2, 3), (1, 2, 3), (4,), (3, 4)]
+    lines = [(i, j) for i in range(600) for j in sets[i * i % 6] * 2] + [(None, 1), (None, 2), (5, 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(j, f"brand {j}") for j in range(5)] + [(9, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.feature: (r.first, r.second) for r in structure.svd_of_calls(spark, str(tmp_path)).collect()}
+    kinds = {sets[i * i % 6] for i in range(600)}
+    assert made == [(sum(map(len, kinds)), 600)]
+    rows, features, m = dense_of([(i, f"brand {j}", 1.0) for i in range(600) for j in sets[i * i % 6]])
+    v = np.linalg.svd(m, full_matrices=False)[2][:2]
+    v *= np.sign(v[np.arange(2), np.abs(v).argmax(1)])[:, None]
+    assert list(found) and np.allclose([found[f] for f in features], v.T, atol=2e-4)
